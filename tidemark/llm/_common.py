@@ -142,7 +142,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_LOWER = BYTE[LOWER]
-_powers = np.ones(64, U64)
+_powers = np.ones(1, U64)
 
 
 def powers(n: int) -> np.ndarray:
