@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import _common as c
+from tidemark.llm import _crf
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
@@ -255,33 +256,8 @@ class Field:
         return sum(self.weights[p][places[p]] for p in self.PARTS)
 
     def decode(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Best label of every word; all chains advance together, longest first."""
-        out = np.zeros(len(emit), np.int8)
-        if not len(first):
-            return out
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # chains longer than t
-        score = emit[first] + self.begin
-        back = []
-        for t in range(1, int(size[0])):
-            n = live[t]
-            old = score[:n]
-            best, who = old[:, :1] + self.step[0], np.zeros((n, len(LABELS)), np.int8)
-            for p in range(1, len(LABELS)):
-                other = old[:, p : p + 1] + self.step[p]
-                better = other > best
-                best = np.where(better, other, best)
-                who[better] = p
-            back.append(who)
-            score[:n] = best + emit[first[:n] + t]
-        state = score.argmax(1)
-        for t in range(int(size[0]) - 1, -1, -1):
-            n = live[t]
-            out[first[:n] + t] = state[:n]
-            if t:
-                state[:n] = back[t - 1][np.arange(n), state[:n]]
-        return out
+        """Best label of every word."""
+        return _crf.viterbi(emit, first, size, self.step, self.begin)
 
 
 def train(rows=None, steps: int = 120, ridge: float = 1e-3) -> Field:
@@ -300,50 +276,17 @@ def train(rows=None, steps: int = 120, ridge: float = 1e-3) -> Field:
     f = Field(np.unique(w.form), np.unique(w.coarse), uniq[n >= 6])
     first, size = w.chains(data)
     places = f.places(w, first)
-    # every row of the table is one chain; pad to the longest
-    top, k, chains = int(size.max()), len(LABELS), len(first)
-    at = np.minimum(first[:, None] + np.arange(top), w.n - 1)
-    real = np.arange(top) < size[:, None]
-    names = [*f.PARTS, "step", "begin"]
-    theta = {p: (f.weights | {"step": f.step, "begin": f.begin})[p] for p in names}
-    m, v = ({p: np.zeros_like(theta[p]) for p in names} for _ in range(2))
-    for it in range(1, steps + 1):
-        emit = f.emissions(places)
-        a = np.full((top, chains, k), -np.inf)
-        a[0] = emit[at[:, 0]] + f.begin
-        for t in range(1, top):
-            nxt = _lse(a[t - 1][:, :, None] + f.step, 1) + emit[at[:, t]]
-            a[t] = np.where(real[:, t, None], nxt, a[t - 1])
-        z = _lse(a[-1], 1)
-        b = np.zeros((top, chains, k))
-        grad = {p: -ridge * theta[p] * chains for p in names}
-        for t in range(top - 2, -1, -1):
-            inner = f.step + (emit[at[:, t + 1]] + b[t + 1])[:, None, :]
-            b[t] = np.where(real[:, t + 1, None], _lse(inner, 2), b[t + 1])
-            p = np.exp(a[t][:, :, None] + inner - z[:, None, None]) * real[:, t + 1, None, None]
-            grad["step"] -= p.sum(0)
-        node = np.exp(a + b - z[:, None]).transpose(1, 0, 2)
-        delta = np.zeros((w.n, k))
-        delta[at[real]] = -node[real]
-        grad["begin"] -= node[:, 0].sum(0)
-        delta[np.arange(w.n), gold] += 1
-        np.add.at(grad["begin"], gold[first], 1)
-        inside = np.ones(w.n, bool)
-        inside[first] = False
-        here = np.flatnonzero(inside)
-        np.add.at(grad["step"], (gold[here - 1], gold[here]), 1)
-        for p in f.PARTS:
-            np.add.at(grad[p], places[p], delta)
-        for p in names:
-            g = grad[p] / chains
-            m[p], v[p] = 0.9 * m[p] + 0.1 * g, 0.99 * v[p] + 0.01 * g * g
-            theta[p] += 0.15 * (1 - it / (steps + 1)) * (m[p] / (1 - 0.9**it)) / (np.sqrt(v[p] / (1 - 0.99**it)) + 1e-8)
-    return f
+    theta = f.weights | {"step": f.step, "begin": f.begin}
 
+    def grads():
+        delta, d_step, d_begin = _crf.gradient(f.emissions(places), first, size, f.step, f.begin, gold)
+        out = {p: np.zeros_like(f.weights[p]) for p in f.PARTS} | {"step": d_step, "begin": d_begin}
+        for p in f.PARTS:
+            np.add.at(out[p], places[p], delta)
+        return {p: g / len(first) - ridge * theta[p] for p, g in out.items()}
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+    _crf.adam(theta, grads, steps, 0.15)
+    return f
 
 
 # ---------------------------------------------------------------- both together
