@@ -5,9 +5,9 @@ Plan.  (1) One pass over the text writes a row per document: set size, a 128-bit
 band keys.  (2) Documents with equal sets fall to one representative (the smallest id) by a partial aggregate, so a
 group of exact copies never meets in a task.  (3) Representatives meet in bands.  Each band bucket proposes only links
 to a centre, the member whose own buckets are fullest (an original is in more full buckets than its edited copies), so
-a bucket of n gives n-1 links, not n*n.  (4) Links pass the signature, then the exact sets.  (5) Components follow, and
-the buckets that still hold several components propose again, with a centre for each component, and in the end every
-pair across components, so that nothing is lost: a pair inside one component can't change the result.
+a bucket of n gives n-1 links, not n*n.  (4) Links pass the signature, then the exact sets.  (5) Components follow.  A pair
+inside one component can't change the result; buckets that still hold several components are searched for links
+across them, exactly and without emitting pairs, by an inverted index of shingles over blocks of bounded size.
 
 Edge cases: null or blank text has no shingles and links with nothing; a null id is one document of its own value,
 shown as null again; repeated rows of one id with one text give repeated result rows; other columns are ignored.
@@ -25,8 +25,8 @@ from tidemark.llm import _common as c
 BANDS, ROWS = 30, 5
 #: Signature agreement may be this much under the threshold before a pair is refused (over five standard errors).
 MARGIN = 0.18
-#: Rounds in which buckets propose links to centres only; after them all pairs across components are proposed.
-CENTRE_ROUNDS = 2
+#: Shingles of the documents that one task of the last step holds at once.
+BLOCK = 2_000_000
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 62, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint64)
 
 
@@ -141,6 +141,76 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _rest(bucket: DataFrame, root: DataFrame) -> DataFrame:
+    """Documents of buckets that hold several components, as rows of block pairs: (cluster, lb, rb, side, doc_id, root).
+
+    A cluster joins such buckets; its largest component is at peace with itself, so only its other documents (side 1)
+    look for links, among all documents of the cluster (side 0).  Both sides come in blocks of BLOCK shingles."""
+    at = bucket.join(root, bucket.doc_id == root.node, "left").select("band", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
+    several = at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("doc_id").alias("head")).where("r1 < r2")
+    at = c.written(at.join(several, "band").select("doc_id", "n_shingles", "root", "head"), "unsettled")
+    near = components(at.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+    member = at.select("doc_id", "n_shingles", "root").distinct().join(near.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+    member = c.written(member, "members")
+    size = member.groupBy("cluster", "root").agg(F.sum("n_shingles").alias("n"))
+    size = size.groupBy("cluster").agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    size = size.select("cluster", "main", F.greatest(F.lit(1), blocks(F.col("n") - F.col("most"))).alias("nl"), F.greatest(F.lit(1), blocks(F.col("n"))).alias("nr"))
+    member = member.join(size, "cluster")
+    lot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    seek = member.where("root <> main").select("cluster", lot("nl").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), F.lit(1).alias("side"), "doc_id", "root")
+    held = member.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("lb"), lot("nr").alias("rb"), F.lit(0).alias("side"), "doc_id", "root")
+    return held.unionByName(seek)
+
+
+def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components: for each seeking document and component one confirmed link in each block."""
+    spark = rest.sparkSession
+    rows = rest.join(texts, "doc_id").select("cluster", "lb", "rb", "side", "doc_id", "root", "text")
+    rows = rows.repartition(c.shuffle_width(spark), "cluster", "lb", "rb").sortWithinPartitions("cluster", "lb", "rb", "side")
+
+    def sets_of(texts):
+        data, offs = c.buffers(texts)
+        starts, ends, row = c.word_spans(data, offs)
+        return c.row_sets(*c.shingle_hashes(c.word_hashes(data, starts, ends), row))
+
+    def run(batches):
+        group, held, index = None, [], None
+        for b in batches:
+            keys = np.stack([b[k].to_numpy() for k in ("cluster", "lb", "rb", "side")], 1)
+            cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
+            for lo, hi in zip(cut, [*cut[1:], len(keys)]):
+                sets, at = sets_of(b["text"].slice(lo, hi - lo))
+                ids, roots = b["doc_id"].to_numpy()[lo:hi], b["root"].to_numpy()[lo:hi]
+                if tuple(keys[lo][:3]) != group:
+                    group, held, index = tuple(keys[lo][:3]), [], None
+                if keys[lo][3] == 0:
+                    held.append((sets, np.diff(at), ids, roots))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    size, own, root = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
+                    every, doc = np.concatenate([h[0] for h in held]), np.repeat(np.arange(len(size)), size)
+                    order = np.argsort(every, kind="stable")
+                    every, doc = every[order], doc[order]
+                    index = True
+                found = []
+                for k in range(len(ids)):
+                    x = sets[at[k] : at[k + 1]]
+                    p, q = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+                    n = q - p
+                    hits = doc[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p, n)]
+                    both = np.bincount(hits, minlength=len(size))
+                    ok = np.flatnonzero((100 * both >= percent * (len(x) + size - both)) & (root != roots[k]))
+                    found += [(ids[k], own[j]) for j in ok[np.unique(root[ok], return_index=True)[1]]]
+                if found:
+                    a, z = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.  Documents link when
     100 * intersection >= percent * union of their shingle sets."""
@@ -152,64 +222,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     inked = sketch.where("n_shingles > 0")
     reps = inked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     held = c.written(
-        inked.select("doc_id", "k1", "k2", "sig", "bands").join(reps, ["k1", "k2"]).where("doc_id = rep").drop("k1", "k2", "rep")
+        inked.select("doc_id", "n_shingles", "k1", "k2", "sig", "bands").join(reps, ["k1", "k2"]).where("doc_id = rep").drop("k1", "k2", "rep")
         .withColumn("one", F.row_number().over(_by_id())).where("one = 1").drop("one"), "reps",
     )
-    member = held.select("doc_id", F.explode("bands").alias("band"))
+    member = held.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     full = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     bucket = c.written(member.join(full, "band"), "buckets")
     score = bucket.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    bucket = c.written(bucket.join(score, "doc_id").select("band", "doc_id", "score"), "scored")
-    texts = c.written(docs.join(bucket.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    bucket = c.written(bucket.join(score, "doc_id").select("band", "doc_id", "n_shingles", "score"), "scored")
+    texts = c.written(docs.join(bucket.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sigs = held.select("doc_id", "sig")
-    links, tried, root = None, None, None
-    for turn in range(CENTRE_ROUNDS + 1):
-        at = bucket if root is None else bucket.join(root, bucket.doc_id == root.node, "left").select(
-            "band", "doc_id", "score", F.coalesce("root", "doc_id").alias("root"))
-        if root is None:
-            centre = at.groupBy("band").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("a"))
-            pairs = at.join(centre, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-        else:
-            several = at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band")
-            at = at.join(several, "band")
-            if turn < CENTRE_ROUNDS:
-                heads = at.groupBy("band", "root").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("a"), F.count("*").alias("n"))
-                top = heads.groupBy("band").agg(F.max_by(F.struct("a", "root"), "n").alias("t"))
-                pairs = at.join(top, "band").where("t.root <> root").select("t.a", F.col("doc_id").alias("b"))
-            else:
-                other = at.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-                pairs = at.join(other, "band").where("root < rb").select(F.col("doc_id").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            seen = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = c.written(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        alike = (
-            pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(_agree(percent / 100 - MARGIN), "a long, b long")
-        )
-        sure = (
-            alike.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
-        )
-        found = c.written(sure, "links")
-        if turn and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        root = c.written(components(links), "roots")
+    centre = bucket.groupBy("band").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("a"))
+    pairs = bucket.join(centre, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    alike = (
+        pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+        .select("a", "b", "sa", "sb").mapInArrow(_agree(percent / 100 - MARGIN), "a long, b long")
+    )
+    links = c.written(
+        alike.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        .select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "links",
+    )
+    root = c.written(components(links), "roots")
+    rest = c.written(_rest(bucket, root), "rest")
+    if not rest.isEmpty():
+        more = c.written(_across(rest, texts, percent), "links")
+        root = c.written(components(links.unionByName(more)), "roots")
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    if root is not None:
-        out = out.join(root, out.rep == root.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    else:
-        out = out.withColumnRenamed("rep", "component_id")
+    out = out.join(root, out.rep == root.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.select(
         c.shown_id("doc_id").alias("doc_id"), "n_shingles", c.shown_id("component_id").alias("component_id"),
         (F.col("doc_id") == F.col("component_id")).alias("kept"),
