@@ -50,12 +50,18 @@ def minima(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     gram = lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(K)))
     packed = F.transform(span, lambda i: F.shiftleft(gram(i).bitwiseAND(F.lit((1 << 33) - 1)), 30).bitwiseOR(i.cast("long")))
     rows = rows.select(*keys, F.sort_array(packed).alias("s"))
-    # outer: a plain explode would have Catalyst compute the array once more, to filter empty ones
-    rows = rows.select(*keys, "s", F.posexplode_outer("s").alias("j", "v"))
-    same = lambda x: F.shiftright(x, 30) == F.shiftright(F.col("v"), 30)
-    start = _below(F.col("s"), F.col("j"), F.shiftright("v", 30), lambda y, x: F.shiftright(y, 30) < x)
-    number = F.when((F.col("j") > 0) & same(F.get("s", F.col("j") - 1)), F.col("j") - start).otherwise(0)
-    rows = rows.select(*keys, F.xxhash64(F.shiftright("v", 30), number).alias("x"), F.col("v").bitwiseAND(F.lit((1 << 30) - 1)).alias("p"))
+    name = lambda v: F.shiftright(v, 30)
+
+    def numbered(v, j):
+        start = _below(F.col("s"), j, name(v), lambda y, x: name(y) < x)
+        number = F.when((j > 0) & (name(F.get("s", j - 1)) == name(v)), j - start).otherwise(0)
+        return F.shiftleft(F.xxhash64(name(v), number).bitwiseAND(F.lit((1 << 33) - 1)), 30).bitwiseOR(v.bitwiseAND(F.lit((1 << 30) - 1)))
+
+    # numbered inside the array: an explode that kept the array would copy it for every token.  Outer: a plain explode
+    # would have Catalyst compute the array once more, to filter empty ones.
+    rows = rows.select(*keys, F.transform("s", numbered).alias("s"))
+    rows = rows.select(*keys, F.explode_outer("s").alias("v"))
+    rows = rows.select(*keys, name(F.col("v")).alias("x"), F.col("v").bitwiseAND(F.lit((1 << 30) - 1)).alias("p"))
     value = lambda j: F.shiftleft(F.hash(F.lit(j), "x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("long"), _POS).bitwiseOR(F.col("p"))
     return rows.groupBy(*keys).agg(*(F.min(value(j)).alias(f"m{j}") for j in range(2 * TUPLES)))
 
