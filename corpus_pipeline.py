@@ -1,4 +1,9 @@
-"""A corpus pipeline over `documents`: STAGES in order, each a (name, function) of (spark, docs, sf_dir)."""
+"""A corpus pipeline over `documents`: STAGES in order, each a (name, function) of (spark, docs, sf_dir).
+
+Every stage works on all rows that its predecessor kept and calls one operator of ``tidemark.llm``; all but the last
+return the columns of `documents`.  Null ids and texts pass through each stage as the operators define; an empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _common as c
-from tidemark.llm import minhash
+from tidemark.llm import contamination, minhash, pieces, pii, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tail probability of the top grade (good and clean) is at least one half stay."""
+    return quality.selected(docs.select(*COLUMNS), c.table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five words, similarity 0.8 or more)."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+    kept = minhash.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain four fifths of a benchmark item's shingles go."""
+    return contamination.without_contaminated(docs.select(*COLUMNS), c.table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; all documents stay."""
+    clean = pii.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left: doc_id, n_tokens, ids, round_trip."""
+    return pieces.encode(docs)
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("pii", redact_pii),
+    ("sentencepiece", tokenise),
+]
 ORACLE_SQL = None
 
 
