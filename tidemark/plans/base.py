@@ -81,7 +81,7 @@ def monthly_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("vintage", "quarter", F.when(F.col("level").isNull(), "empty").otherwise("numeric").alias("kind"), "level")
 
 
-SQL_TRIANGLE = """inc as (select year(o_orderdate)*12 + month(o_orderdate) - 1 quarter, year(l_shipdate)*12 + month(l_shipdate) - 1 vintage, sum(cast(l_extendedprice as decimal(18,2))) s
+SQL_TRIANGLE = """inc as (select year(o_orderdate)*12 + month(o_orderdate) - 1 as quarter, year(l_shipdate)*12 + month(l_shipdate) - 1 vintage, sum(cast(l_extendedprice as decimal(18,2))) s
   from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate group by 1, 2),
 grid as (select q.quarter, v.vintage from (select distinct quarter from inc) q join (select distinct vintage from inc) v on v.vintage >= q.quarter),
 tri as (select vintage, quarter, case when level is null then 'empty' else 'numeric' end kind, level from
