@@ -429,7 +429,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     removed spans (start, end, start, end, ... in bytes)."""
     spark = docs.sparkSession
     width = c.shuffle_width(spark)
-    parts, groups = 4 * width, 8 * width
+    parts = groups = width  # answers are at most a row for each pair of them
     docs = c.filled_id(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / BATCHES for k in range(1, BATCHES)], 1000)).first()[0]
     bounds = sorted(set(cuts or []))
