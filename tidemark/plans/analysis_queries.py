@@ -1 +1,242 @@
-"""Queries."""
+"""Surrogate tests, bootstraps, state space, filters and simulation over the weekly panel.  Results that SQL can't give
+have no oracle; their kernels are tested against golden values and brute force."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.kernels import matrices, streams
+from tidemark.operators import accounting as acc
+from tidemark.operators import simulate as sim
+from tidemark.plans import base as b
+from tidemark.plans.catalogue import query
+
+B = 200  # surrogates of a query here; the operators' default is 1,000
+
+
+@query()
+def csd_test(spark, d):
+    return sim.comparisons(sim.csd_test(b.weekly_growth(spark, d), B))
+
+
+@query()
+def primary_with_comparators(spark, d):
+    return sim.comparisons(sim.joint_test(b.weekly_growth(spark, d), B))
+
+
+@query()
+def fixed_date_test(spark, d):
+    return sim.comparisons(sim.csd_test(b.weekly_growth(spark, d), B, onsets=(60, 120, 180, 240, 300)))
+
+
+@query()
+def draw_surrogate(spark, d):
+    """The attempt ledger itself: a row for each attempt, failures included."""
+    return sim.csd_test(b.weekly_growth(spark, d), B).select("sid", "number", "status", "statistic")
+
+
+@query()
+def analyze_h1(spark, d):
+    """Seven analyses of every series: joint primary, trend and lag1; windows 32 and 48; fixed dates; wild signs."""
+    return sim.comparisons(sim.analyze_h1(b.weekly_growth(spark, d), B))
+
+
+@query()
+def e1_analyze(spark, d):
+    """The annual rules (window 30, lookback 2, runs of 1, merge 2, span 4) over monthly growth."""
+    g = b.weekly_growth(spark, d, "month")
+    return sim.comparisons(sim.joint_test(g, B, streams.DEVELOPMENT + 20, window=30, lookback=2, merge=2, least=1, span=4))
+
+
+@query()
+def e3_analyze(spark, d):
+    """Filtered root modulus of a time-varying AR(2), variance ratios by likelihood, over monthly growth."""
+    return sim.filtered_modulus(b.weekly_growth(spark, d, "month"))
+
+
+@query()
+def filtered_modulus(spark, d):
+    return sim.filtered_modulus(b.weekly_growth(spark, d), ratios=(1e-4, 1e-4))
+
+
+@query()
+def episode_interval(spark, d):
+    return sim.intervals(sim.csd_test(b.weekly_growth(spark, d), 1))
+
+
+@query()
+def residual_bootstrap(spark, d):
+    """95 % bands of modulus and period over bootstrap refits, and the number of real-root draws."""
+    draws = sim.bootstrap(b.weekly_growth(spark, d), 500)
+    q = lambda c: F.percentile(c, [0.025, 0.975])
+    return draws.groupBy("sid").agg(F.count("modulus").alias("valid"), F.count_if(F.col("period").isNull()).alias("real"), q("modulus").alias("modulus_band"), q("period").alias("period_band"))
+
+
+def _pair(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sid").orderBy("bucket")
+    levels = b.weekly_levels(spark, d)
+    li = b.read(spark, d, "lineitem").join(b.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(b.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    u = li.groupBy(F.col("c_mktsegment").alias("sid"), F.date_trunc("week", "o_orderdate").alias("bucket")).agg((F.avg("l_discount") * 100).alias("u"))
+    j = levels.join(u, ["sid", "bucket"]).withColumns({"g": 400 * (F.log("y") - F.log(F.lag("y").over(w))), "du": F.col("u") - F.lag("u").over(w)})
+    return j.where("g is not null").select("sid", (F.col("pos") - 1).alias("pos"), "g", "du")
+
+
+@query()
+def rolling_var2(spark, d):
+    return sim.rolling_var2(_pair(spark, d)).select("sid", "pos", "modulus", "intercept")
+
+
+@query()
+def ols_var2(spark, d):
+    """Full-sample VAR(2) of every pair: the last window of full length."""
+
+    def f(row):
+        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
+        c, a1, a2, m = matrices.var2(x[None])
+        yield {"sid": str(row["sid"]), "modulus": float(m[0]), "intercept": c[0].tolist(), "A1": a1[0].tolist(), "A2": a2[0].tolist()}
+
+    return sim.each(sim.packed(_pair(spark, d), "g", "du"), f, "sid string, modulus double, intercept array<double>, A1 array<array<double>>, A2 array<array<double>>")
+
+
+@query()
+def e2_analyze(spark, d):
+    """Observed change of the VAR's spectral radius before onsets of the first series, and its place among surrogates."""
+    from tidemark.kernels import ar
+
+    def stat(x, onsets, window=40, lookback=8):
+        m = matrices.rolling_var2(x, window)[3]
+        parts = [m[t - window] - m[t - window - lookback] for t in onsets if t >= window + lookback]
+        return float(np.mean(parts)) if parts else None
+
+    def f(row):
+        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
+        seen = stat(x, onsets := [t for t, _ in ar.episodes(x[:, 0])])
+        paths = matrices.var_surrogates(x, streams.stream(streams.DEVELOPMENT + 30, sim.unit(row["sid"])), 40) if seen is not None else None
+        vals = [] if paths is None else [v for v in (stat(p, [t for t, _ in ar.episodes(p[:, 0])]) for p in paths) if v is not None]
+        p = (1 + sum(v >= seen for v in vals)) / (len(vals) + 1) if vals else None
+        yield {"sid": str(row["sid"]), "S": seen, "retained": len(vals), "p": p, "episodes": len(onsets)}
+
+    return sim.each(sim.packed(_pair(spark, d), "g", "du"), f, "sid string, S double, retained int, p double, episodes int")
+
+
+@query()
+def e4_compare(spark, d):
+    """Real-time vintages: for each fixed date the series as known then (a prefix), its change and its own surrogates;
+    an attempt's statistic is the mean over dates, and a failed date fails the attempt."""
+    g = b.weekly_growth(spark, d)
+    dates = F.broadcast(spark.createDataFrame([(0, 100), (1, 180), (2, 260), (3, 320)], "j int, onset int"))
+    vint = g.join(dates, F.col("pos") < F.col("onset")).withColumn("sid", F.concat_ws("|", "sid", "j", "onset"))
+
+    def f(row):
+        from tidemark.kernels import ar
+
+        sid, j, onset = str(row["sid"]).rsplit("|", 2)
+        x = np.asarray(row["x"], float)
+        if len(x) < int(onset):
+            return
+        # the onset is the first unknown quarter, so its date lies just behind the path
+        rows = ar.csd_test(np.append(x, 0.0)[: len(x)], streams.stream(streams.DEVELOPMENT + 40, sim.unit(sid), int(j)), B, onsets=(int(onset) - 1,))
+        for r in rows:
+            yield {"sid": sid, "j": int(j), "number": r["number"], "status": r["status"], "change": r["value"]}
+
+    rows = sim.each(sim.packed(vint, "x"), f, "sid string, j int, number int, status string, change double")
+    by = rows.where("number >= -1").groupBy("sid", "number").agg(F.avg("change").alias("S"), F.count_if(F.col("status") != "retained").alias("bad"))
+    seen = by.where("number = -1").select("sid", F.col("S").alias("observed"))
+    draws = by.where("number >= 0").join(seen, "sid").withColumn("status", F.when(F.col("bad") > 0, "failed").otherwise("retained"))
+    return acc.comparison_status(draws.withColumnRenamed("S", "statistic"), ["sid"])
+
+
+@query()
+def hp_cycle(spark, d):
+    return sim.cycles(b.weekly_growth(spark, d), "hp")
+
+
+@query()
+def hamilton_cycle(spark, d):
+    return sim.cycles(b.weekly_growth(spark, d), "hamilton")
+
+
+@query()
+def kalman_filter(spark, d):
+    """Local level by likelihood for every series."""
+
+    def f(row):
+        yield {"sid": str(row["sid"]), **matrices.local_level(np.asarray(row["x"], float))}
+
+    return sim.each(sim.packed(b.weekly_growth(spark, d), "x"), f, "sid string, ratio double, noise double, level_noise double, loglik double")
+
+
+@query()
+def spectral_radius(spark, d):
+    """Companion spectral radius of VAR(2) coefficients taken from embeddings: two 2x2 matrices each."""
+
+    def f(row):
+        e = np.asarray(row["embedding"][:8], float)
+        a = np.sign(e) * (np.abs(e) % 0.5)
+        yield {"vec_id": int(row["vec_id"]), "radius": float(matrices.radius(a[:4].reshape(1, 2, 2), a[4:].reshape(1, 2, 2))[0])}
+
+    return sim.each(b.read(spark, d, "embeddings").select("vec_id", "embedding"), f, "vec_id long, radius double", None)
+
+
+@query()
+def roots_stable(spark, d):
+    def f(row):
+        stable, gap = matrices.roots_stable(np.asarray(row["embedding"][:3], float))
+        yield {"vec_id": int(row["vec_id"]), "stable": stable, "gap": gap}
+
+    return sim.each(b.read(spark, d, "embeddings").select("vec_id", "embedding"), f, "vec_id long, stable boolean, gap double", None)
+
+
+@query()
+def h1_design_series(spark, d):
+    def f(row):
+        x = streams.ar2_design(streams.stream(streams.DEVELOPMENT + 50, 0, int(row["id"])))
+        yield {"replicate": int(row["id"]), "mean": float(x.mean()), "sd": float(x.std()), "x": x.tolist()}
+
+    return sim.each(spark.range(64), f, "replicate int, mean double, sd double, x array<double>", "id")
+
+
+@query()
+def var_design_series(spark, d):
+    def f(row):
+        x = streams.var_design(streams.stream(streams.DEVELOPMENT + 51, 0, int(row["id"])))
+        yield {"replicate": int(row["id"]), "correlation": float(np.corrcoef(x.T)[0, 1]), "g": x[:, 0].tolist(), "du": x[:, 1].tolist()}
+
+    return sim.each(spark.range(64), f, "replicate int, correlation double, g array<double>, du array<double>", "id")
+
+
+@query()
+def white_noise(spark, d):
+    """White-noise cells: share of complex root pairs in fits of short series, with its Wilson interval."""
+    from tidemark.functions import stats
+    from tidemark.kernels import ar
+
+    def f(row):
+        x = streams.stream(streams.DEVELOPMENT + 52, 30, int(row["id"])).standard_normal(30)
+        p1, p2, _ = ar.least_squares(x)
+        yield {"replicate": int(row["id"]), "complex_pair": p1 * p1 + 4 * p2 < 0}
+
+    fits = sim.each(spark.range(2000), f, "replicate int, complex_pair boolean", "id")
+    out = fits.agg(F.count("*").alias("n"), F.count_if("complex_pair").alias("k"))
+    return out.select("n", "k", stats.wilson("k", "n").alias("interval"))
+
+
+@query()
+def size_replicate(spark, d):
+    """Nominal accounting of simulated cells at B = 99."""
+    reps = sim.replicates(spark, [1.0, 1.2, 1.4, 1.6], 10, 99)
+    return acc.cell_summary(reps, ["cell", "kappa"], F.lit(10))
+
+
+@query(f"""with g as (select vec_id sid, cast(unnest(range(len(embedding))) as bigint) pos, cast(unnest(embedding) as double) x from embeddings),
+{b.SQL_LAGS}, {b.sql_full_fit()} select sid, n, round(p1, 6) phi1, round(p2, 6) phi2, round(c, 6) intercept, round(m, 6) modulus, case when p1 is null then 'failed' else 'ok' end status from ff""")
+def white_noise_fits(spark, d):
+    """AR(2) fits of the embeddings as short series: the closed form over positions of the array."""
+    from tidemark.operators import fits
+
+    e = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.posexplode("embedding").alias("pos", "x"))
+    out = fits.ols_ar2(e.select("sid", "pos", F.col("x").cast("double").alias("x")))
+    return out.select("sid", "n", *(F.round(c, 6).alias(c) for c in ("phi1", "phi2", "intercept", "modulus")), "status")

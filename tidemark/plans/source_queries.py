@@ -1 +1,202 @@
-"""Queries."""
+"""Sources and sinks: files in the reference formats are written to the shared folder from the driver's tables, scanned
+back, and must give what SQL gives from the tables."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+from pyspark.sql import functions as F
+
+from tidemark.operators.series import ContractError
+from tidemark.plans import base as b
+from tidemark.plans.catalogue import query
+from tidemark.sources import shared, text, workbook
+
+_QUARTERS = "q as (select year(o_orderdate) || ' Q' || quarter(o_orderdate) as label, min(year(o_orderdate)*4 + quarter(o_orderdate) - 1) k, sum(cast(o_totalprice as decimal(18,2))) y from orders group by 1)"
+
+
+def _quarters(spark, d):
+    o = b.read(spark, d, "orders")
+    label = F.concat(F.year("o_orderdate").cast("string"), F.lit(" Q"), F.quarter("o_orderdate").cast("string"))
+    return o.groupBy(label.alias("label")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("y"))
+
+
+def _ons_file(spark, d) -> str:
+    """Header, yearly, quarterly and monthly records, all as quoted text."""
+    head = [("Title", "Gross order value: CVM"), ("CDID", "ABCD"), ("Source dataset ID", "ORD"), ("PreUnit", ""), ("Unit", "m"), ("Release date", "01-09-2001"), ("Next release", ""), ("Important Notes", "")]
+    rows = spark.createDataFrame(head, "label string, raw string")
+    o = b.read(spark, d, "orders")
+    years = o.groupBy(F.year("o_orderdate").cast("string").alias("label")).agg(F.lit("n/a").alias("raw"))
+    months = o.groupBy(F.upper(F.date_format("o_orderdate", "yyyy MMM")).alias("label")).agg(F.lit("..").alias("raw"))
+    all_ = rows.unionByName(years).unionByName(_quarters(spark, d).select("label", F.col("y").cast("string").alias("raw"))).unionByName(months)
+    path = shared.new_path(spark, "ons")
+    all_.write.option("quoteAll", True).csv(path)
+    return path
+
+
+@query(f"with {_QUARTERS} select label, cast(y as varchar) raw from q")
+def scan_ons_csv(spark, d):
+    return text.scan_ons_csv(spark, _ons_file(spark, d)).where("kind = 'quarter'").select("label", "raw")
+
+
+@query("select 'ok' as identity, 0 as problems")
+def check_identity(spark, d):
+    parsed = text.scan_ons_csv(spark, _ons_file(spark, d))
+    found = text.check_identity(parsed, "ABCD", "ORD", ["order value"], "01-09-2001")
+    return spark.createDataFrame([("ok" if not found else "; ".join(found), len(found))], "identity string, problems int")
+
+
+@query(f"with {_QUARTERS} select label, k - 1995*4 pos, cast(y as double) y from q where k between 1995*4 and 2000*4 + 3")
+def registered_sample(spark, d):
+    return text.registered_sample(text.scan_ons_csv(spark, _ons_file(spark, d)), "1995 Q1", "2000 Q4")
+
+
+_YEARS = "y as (select year(l_shipdate) as year, cast(sum(cast(l_quantity as decimal(18,2))) as double) v from lineitem group by 1)"
+
+
+def _years(spark, d):
+    li = b.read(spark, d, "lineitem")
+    return li.groupBy(F.year("l_shipdate").alias("year")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("v"))
+
+
+@query(f"with {_YEARS} select year, v as value, year % 2 = 0 as definitive from y")
+def scan_silso_v2(spark, d):
+    path = shared.new_path(spark, "silso2")
+    flag = F.when(F.col("year") % 2 == 0, " 1").otherwise(" 0")
+    _years(spark, d).select(F.concat_ws(";", F.concat(F.col("year").cast("string"), F.lit(".5")), F.concat(F.lit("  "), F.col("v").cast("string")), F.lit(" -1.0"), F.lit("   -1"), flag).alias("value")).write.text(path)
+    return text.scan_silso_v2(spark, path)
+
+
+@query(f"with {_YEARS} select year, v as value from y")
+def scan_silso_v1(spark, d):
+    path = shared.new_path(spark, "silso1")
+    _years(spark, d).select(F.concat(F.col("year").cast("string"), F.lit(".5    "), F.col("v").cast("string")).alias("value")).write.text(path)
+    return text.scan_silso_v1(spark, path)
+
+
+@query(f"with {_YEARS} select year, v as wolfer_number, year % 100 as page from y")
+def scan_table_a(spark, d):
+    path = shared.new_path(spark, "table-a")
+    _years(spark, d).select("year", F.col("v").alias("wolfer_number"), (F.col("year") % 100).alias("page")).coalesce(1).write.option("header", True).csv(path)
+    return text.scan_table_a(spark, path)
+
+
+@query("select 'record' as type, o_orderkey as replicate, o_totalprice as S from orders".replace(" as S", ' as "S"'))
+def json_records(spark, d):
+    path = shared.new_path(spark, "records")
+    rows = b.read(spark, d, "orders").select(F.to_json(F.struct(F.lit("record").alias("type"), F.col("o_orderkey").alias("replicate"), F.col("o_totalprice").alias("S"))).alias("value"))
+    manifest = spark.createDataFrame([('{"type":"manifest","plan":1}', 0)], "value string, o int")
+    rows.withColumn("o", F.lit(1)).unionByName(manifest).repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)  # one file: its first line is the manifest
+    return text.json_records(spark, path, "replicate long, S double", ["record"])
+
+
+@query("select conv_id as episode, turn as onset from conversations where turn % 2 = 0")
+def read_onsets_record(spark, d):
+    """Onset lists kept as JSON in one column, read back with a fixed schema."""
+    c = b.read(spark, d, "conversations").where("turn % 2 = 0").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list("turn"))).alias("onsets"))
+    return c.select(F.col("conv_id").alias("episode"), F.explode(F.from_json("onsets", "array<bigint>")).alias("onset"))
+
+
+@query(f"with {b.sql_levels()}, {b.SQL_LAGS}, {b.sql_fit()}, {b.sql_episodes()}, {b.SQL_CHANGES} select sid, row_number() over (partition by sid order by onset) - 1 as j, onset from ch where change is not null")
+def h1_episodes_from_record(spark, d):
+    """The usable onsets of a result record, numbered in order."""
+    from pyspark.sql import Window
+
+    from tidemark.plans.core_queries import _changes
+
+    rec = _changes(spark, d).select("sid", F.to_json(F.struct("onset", "change", F.col("change").isNotNull().alias("statistic_available"))).alias("json"))
+    r = rec.select("sid", F.from_json("json", "onset bigint, change double, statistic_available boolean").alias("r")).where("r.statistic_available")
+    return r.select("sid", (F.row_number().over(Window.partitionBy("sid").orderBy("r.onset")) - 1).cast("long").alias("j"), F.col("r.onset").alias("onset"))
+
+
+@query(f"with {_YEARS}, u as (select year(o_orderdate) as year, avg(cast(o_custkey as double)) u from orders group by 1) select y.year, v, round(u, 6) u from y join u on u.year = y.year")
+def e2_variables(spark, d):
+    u = b.read(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.avg("o_custkey").alias("u"))
+    return _years(spark, d).join(u, "year").select("year", F.col("v").cast("double").alias("v"), F.round("u", 6).alias("u"))
+
+
+@query(f"with {_YEARS}, g as (select year, 100*(ln(v) - ln(lag(v) over (order by year))) x from y) select year, round(x, 6) x from g where x is not null")
+def annual_growth(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sid").orderBy("year")
+    y = _years(spark, d).withColumn("sid", F.lit("all")).withColumn("v", F.col("v").cast("double"))
+    x = y.withColumn("x", 100 * (F.log("v") - F.log(F.lag("v").over(w)))).where("x is not null")
+    return x.select("year", F.round("x", 6).alias("x"))
+
+
+def _workbook(rows: list[list]) -> bytes:
+    """A small XLSX file: text as inline strings, numbers as they are."""
+    cell = lambda r, k, v: f'<c r="{chr(65 + k)}{r}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{chr(65 + k)}{r}"><v>{v}</v></c>'
+    body = "".join(f'<row r="{r}">' + "".join(cell(r, k, v) for k, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _cells(spark, d):
+    """Nations as workbooks, one for each region, and their cells."""
+    n = b.read(spark, d, "nation").orderBy("n_nationkey").collect()  # the fixed table of nations makes the test files
+    books = [(int(r), _workbook([["year", "level"], *([1990 + x.n_nationkey, x.n_nationkey * 1.5] for x in n if x.n_regionkey == r)])) for r in sorted({x.n_regionkey for x in n})]
+    df = spark.createDataFrame(books, "region int, content binary")
+
+    def run(batches):
+        import pandas as pd
+
+        for bt in batches:
+            rows = [(str(r), s, *cell) for r, content in zip(bt["region"], bt["content"]) for w in [workbook.Workbook(content)] for s in w.sheets for cell in w.cells(s, True)]
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "kind", "text"])
+
+    return df.mapInPandas(run, "path string, " + workbook.CELL)
+
+
+@query("""with n as (select n_regionkey, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) + 1 rw from nation)
+select cast(n_regionkey as varchar) as path, rw as row, 1990 + n_nationkey as year, n_nationkey*1.5::double as level from n""")
+def xlsx_cells(spark, d):
+    c = _cells(spark, d).where("row > 1")
+    y = c.where("col = 1").select("path", "row", F.col("text").cast("int").alias("year"))
+    return y.join(c.where("col = 2").select("path", "row", F.col("text").cast("double").alias("level")), ["path", "row"]).withColumn("row", F.col("row").cast("long"))
+
+
+@query("select cast(r_regionkey as varchar) as path, 'data' as sheet, 1 as first, 2 as last from region where r_regionkey in (select n_regionkey from nation)")
+def find_blocks(spark, d):
+    return workbook.find_blocks(_cells(spark, d))
+
+
+@query("select 1990 + n_nationkey as year, n_nationkey*1.5::double as level from nation")
+def extract_levels(spark, d):
+    c = _cells(spark, d).withColumn("row", F.col("row") + 1000 * F.col("path").cast("int"))
+    return workbook.extract_levels(c, "data", 1, 2)
+
+
+@query("select page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '\"'), '\\s+', ' ', 'g')) title, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) n_links from pages")
+def html_dataset_page(spark, d):
+    return workbook.html_pages(b.read(spark, d, "pages")).select("page_id", "title", F.size("links").cast("long").alias("n_links"))
+
+
+@query("select o_orderstatus as cell, count(*) as records, 0::bigint as problems from orders group by 1")
+def replicate_store(spark, d):
+    """Orders put into the store twice (the second time nothing is new), verified and counted."""
+    from tidemark.sources.store import ReplicateStore
+
+    rows = b.read(spark, d, "orders").select(F.col("o_orderstatus").alias("cell"), F.col("o_orderkey").alias("replicate"), F.col("o_totalprice").alias("S"))
+    store = ReplicateStore(spark, shared.new_path(spark, "store"), {"plan": "orders", "version": 1})
+    store.put(rows.where("replicate % 2 = 0"))
+    store.put(rows)
+    if store.put(rows):
+        raise ContractError("the store took a record twice")
+    v = store.verify()
+    bad = v["wrong"] + v["odd"] + v["orphans"] + v["foreign"]
+    return store.records.groupBy("cell").agg(F.count("*").alias("records"), F.lit(bad).cast("long").alias("problems"))
+
+
+@query("select 'rehearsal' as data_kind, o_orderpriority, count(*) as n from orders group by 2")
+def labelled_csv(spark, d):
+    path = shared.new_path(spark, "report")
+    text.write_labelled_csv(b.read(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "rehearsal", path)
+    return spark.read.option("header", True).schema("data_kind string, o_orderpriority string, n long").csv(path)
