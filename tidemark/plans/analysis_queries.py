@@ -137,8 +137,8 @@ def e4_compare(spark, d):
         x = np.asarray(row["x"], float)
         if len(x) < int(onset):
             return
-        # the onset is the first unknown quarter, so its date lies just behind the path
-        rows = ar.csd_test(np.append(x, 0.0)[: len(x)], streams.stream(streams.DEVELOPMENT + 40, sim.unit(sid), int(j)), B, onsets=(int(onset) - 1,))
+        # the onset is the first position that isn't known yet, so its date lies just behind the path
+        rows = ar.csd_test(x, streams.stream(streams.DEVELOPMENT + 40, sim.unit(sid), int(j)), B, onsets=(int(onset),))
         for r in rows:
             yield {"sid": sid, "j": int(j), "number": r["number"], "status": r["status"], "change": r["value"]}
 

@@ -41,9 +41,9 @@ def diff_u(spark, d):
     return series.difference(u).select("pos", *r6("du"))
 
 
-@query(f"with {G} select sid, pos - 64 as pos, round(x, 6) x from g where pos between 64 and 163")
+@query(f"with {G} select sid, pos - 10 as pos, round(x, 6) x from g where pos between 10 and 69")
 def slice_contiguous(spark, d):
-    return series.slice_contiguous(b.weekly_growth(spark, d), 64, 163).select("sid", (F.col("pos") - 64).alias("pos"), *r6("x"))
+    return series.slice_contiguous(b.weekly_growth(spark, d), 10, 69).select("sid", (F.col("pos") - 10).alias("pos"), *r6("x"))
 
 
 @query(f"with {G}, {L} select sid, pos, round(x, 6) x, round(l1, 6) l1, round(l2, 6) l2 from lg")
