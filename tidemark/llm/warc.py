@@ -65,7 +65,7 @@ def write_archives(rows: DataFrame, path: str) -> None:
     )
     full = rows.select(head.alias("head"), block.alias("block"))
     full = full.select(F.concat("head", F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit(EOL * 2), "block").alias("value"))
-    full.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    full.write.option("lineSep", EOL * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(stream):
