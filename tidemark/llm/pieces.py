@@ -17,6 +17,7 @@ null, repeated rows repeat, other columns are ignored (`encode_column` keeps the
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 from itertools import chain
 
@@ -34,7 +35,9 @@ LONGEST = 40
 #: Text bytes whose new units are encoded together.
 UNIT_BYTES = 4 << 20
 #: Units that a worker remembers before it starts afresh.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
+#: A line end; or marks and what follows them up to the next mark or line end.
+UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,6 +116,8 @@ class Model:
         top = n + 1
         pairs = np.array(sorted((int(self.left[i]) * top + int(self.right[i]), int(self.rank[i])) for i in usable.values() if self.rank[i]) or [(-1, 0)])
         self.pair, self.pair_rank = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.pair_maybe = np.zeros(1 << 20, bool)  # most pairs of pieces never merge
+        self.pair_maybe[self._spot(self.pair)] = True
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for p, i in usable.items():
@@ -180,6 +185,11 @@ class Model:
         return out
 
     # ------------------------------------------------ many units of one length
+    @staticmethod
+    def _spot(key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * _BASE) >> np.uint64(44)
+
     def _bordered(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the border between pieces a and b outlasts merging: their merges are undone, latest first, and no
         pair across the border may have been due before the merge undone last."""
@@ -190,8 +200,10 @@ class Model:
         top = len(self.text) + 1
         while len(live):
             key = a * top + b
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            due = (self.pair[at] == key) & (self.pair_rank[at] < limit)
+            due = np.zeros(len(key), bool)
+            ask = np.flatnonzero(self.pair_maybe[self._spot(key)])
+            at = np.minimum(np.searchsorted(self.pair, key[ask]), len(self.pair) - 1)
+            due[ask] = (self.pair[at] == key[ask]) & (self.pair_rank[at] < limit[ask])
             ok[live[due]] = False
             ra, rb = self.rank[a], self.rank[b]
             go = ~due & ((ra > 0) | (rb > 0))
@@ -256,35 +268,58 @@ class Model:
             last[at[best], e], back[at[best], e] = p[best], e - s[best]
         return last, back
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        out: list = [None] * len(units)
+    def encode_units(self, units: list[str], lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, one after the other, and their number for each; where `lead` is set, a line end's ids
+        come first."""
+        at, start, piece = [], [], []  # unit, place in the unit, id
+
+        def spell(i: int, ids: list[int]):
+            at.append(np.full(len(ids), i))
+            start.append(np.arange(len(ids)))
+            piece.append(np.array(ids, np.int64))
+
+        if lead is not None:
+            line = self.ids_of(["\n"])
+            where = np.flatnonzero(lead)
+            at.append(np.repeat(where, len(line)))
+            start.append(np.tile(np.arange(-len(line), 0), len(where)))
+            piece.append(np.tile(np.array(line, np.int64), len(where)))
         by: dict[int, list[int]] = {}
         for i, u in enumerate(units):
-            if not u:
-                out[i] = []
-            elif len(u) > LONGEST or u.startswith(MARK + MARK):
-                out[i] = self.ids_of(self.merges(u)) if self.bpe else self._one(u)
-            else:
+            if len(u) > LONGEST or u.startswith(MARK + MARK):
+                spell(i, self.ids_of(self.merges(u)) if self.bpe else self._one(u))
+            elif u:
                 by.setdefault(len(u), []).append(i)
         for size, rows in by.items():
-            cp = np.frombuffer("".join(units[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            cp = np.frombuffer("".join([units[i] for i in rows]).encode("utf-32-le"), np.uint32).reshape(-1, size)
             last, back = self.viterbi(cp)
-            ends = np.full(len(rows), size)
+            row = np.array(rows)
+            live, end = np.arange(len(rows)), np.full(len(rows), size)
+            odd = np.zeros(len(rows), bool)
             steps = []
-            while (ends > 0).any():
-                live = np.flatnonzero(ends > 0)
-                steps.append((live, last[live, ends[live]], ends[live] - back[live, ends[live]]))
-                ends[live] -= back[live, ends[live]]
-            paths: list[list[int]] = [[] for _ in rows]
-            for live, piece, start in reversed(steps):
-                for r, p, s in zip(live.tolist(), piece.tolist(), start.tolist()):
-                    if p == len(self.text):
-                        paths[r] += self.ids_of([units[rows[r]][s]])
-                    else:
-                        paths[r].append(p)
-            for i, p in zip(rows, paths):
-                out[i] = p
-        return out
+            while len(live):
+                p, s = last[live, end], end - back[live, end]
+                odd[live[p == len(self.text)]] = True
+                steps.append((live, s, p))
+                go = s > 0
+                live, end = live[go], s[go]
+            for live, s, p in steps:
+                fine = ~odd[live]
+                at.append(row[live[fine]])
+                start.append(s[fine])
+                piece.append(p[fine])
+            for r in np.flatnonzero(odd):
+                ids, e = [], size
+                while e:
+                    p, s = int(last[r, e]), e - int(back[r, e])
+                    ids = (self.ids_of([units[row[r]][s]]) if p == len(self.text) else [p]) + ids
+                    e = s
+                spell(int(row[r]), ids)
+        if not at:
+            return np.zeros(0, np.int32), np.zeros(len(units), np.int64)
+        a, s, p = np.concatenate(at), np.concatenate(start), np.concatenate(piece)
+        order = np.lexsort((s, a))
+        return p[order].astype(np.int32), np.bincount(a, minlength=len(units))
 
     def _one(self, u: str) -> list[int]:
         cp = np.frombuffer(u.encode("utf-32-le"), np.uint32).reshape(1, -1)
@@ -307,7 +342,7 @@ class Encoder:
     def _reset(self):
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at = [0]
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -335,25 +370,20 @@ class Encoder:
         return out
 
     def _learn(self, units: list[str]):
-        spelt, cut = [], []
-        for u in units:
-            if u[0] == "\n":
-                spelt.append(u[1:])
-            elif u[0] == MARK:
-                spelt.append(u)
-            else:
-                spelt.append(MARK + u)
-        line = self.model.ids_of(["\n"])
-        for u, ids in zip(units, self.model.encode_units(spelt)):
-            cut.append(line + ids if u[0] == "\n" else ids)
-        flat = np.fromiter(chain.from_iterable(cut), np.int32)
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        for u, ids in zip(units, cut):
-            self.known[u] = len(self.at) - 1
-            self.used += len(ids)
-            self.at.append(self.used)
+        lead = np.array([u[0] == "\n" for u in units])
+        spelt = [u[1:] if u[0] == "\n" else u if u[0] == MARK else MARK + u for u in units]
+        ids, size = self.model.encode_units(spelt, lead)
+        n = len(self.known)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
+        if n + len(units) > len(self.first):
+            more = np.zeros(n + 2 * len(units), np.int64)
+            self.first, self.size = np.concatenate([self.first[:n], more]), np.concatenate([self.size[:n], more.astype(np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[n : n + len(units)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(units)] = size
+        self.used += len(ids)
+        self.known.update(zip(units, range(n, n + len(units))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
@@ -366,9 +396,8 @@ class Encoder:
         if new:
             self._learn(new)
         unit = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        at = np.array(self.at)
-        size = (at[1:] - at[:-1])[unit]
-        pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - at[unit], size)
+        size = self.size[unit].astype(np.int64)
+        pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - self.first[unit], size)
         ends = np.concatenate([[0], np.cumsum(size)])
         return self.flat[pos], ends[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
 
