@@ -353,21 +353,21 @@ class Encoder:
         words = text.replace("\n", " \n").split(" ")
         if "" not in words and MARK not in text:
             return words
-        out, run = [], 0
-        for w in words:
-            run += 1
-            if w.startswith("\n"):
-                run -= 1
-                if run:
-                    out.append(MARK * run)
-                out.append(w)
-                run = 0
-            elif w:
-                out.append(MARK * run + w if run > 1 or w[0] == MARK else w)
-                run = 0
-        if run:
-            out.append(MARK * run)
-        return out
+        out, line = [], False
+        for u in UNIT.findall(MARK + text.replace(" ", MARK)):
+            if u == "\n":
+                if line:
+                    out.append(u)
+                line = True
+            elif u[0] != MARK:  # only behind a line end
+                out.append("\n" + u)
+                line = False
+            else:
+                if line:
+                    out.append("\n")
+                line = False
+                out.append(u[1:] if len(u) > 1 and u[1] != MARK else u)
+        return [*out, "\n"] if line else out
 
     def _learn(self, units: list[str]):
         lead = np.array([u[0] == "\n" for u in units])
