@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     bucket = c.written(bucket.join(score, "doc_id").select("band", "doc_id", "n_shingles", "score"), "scored")
     texts = c.written(docs.join(bucket.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sigs = held.select("doc_id", "sig")
-    centre = bucket.groupBy("band").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("a"))
+    centre = bucket.groupBy("band").agg(F.max_by("doc_id", F.struct("score", F.bitwise_not("doc_id"))).alias("a"))
     pairs = bucket.join(centre, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     alike = (
         pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")

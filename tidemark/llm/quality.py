@@ -178,7 +178,7 @@ def _scored(model, text: str):
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, expected_grade, p_top (tail probability of the top grade), selected (p_top >= least)."""
+    """doc_id, expected_grade, p_top (tail probability of the top grade), kept (p_top >= least)."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, key, text))
     docs = c.id_text(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     scored = _scored(model, "text")
@@ -187,10 +187,10 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, least: floa
         for b, tails in scored(batches):
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)],
-                ["doc_id", "expected_grade", "p_top", "selected"],
+                ["doc_id", "expected_grade", "p_top", "kept"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, expected_grade double, p_top double, selected boolean")
+    return docs.mapInArrow(run, "doc_id long, expected_grade double, p_top double, kept boolean")
 
 
 def selected(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
