@@ -62,6 +62,40 @@ def var_surrogates(x: np.ndarray, rng: np.random.Generator, count: int, kind: st
     return out
 
 
+def var_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, window=40, lookback=8, merge=8, least=2, kind="residual", onsets=None, chunk=200) -> list[dict]:
+    """Rows of the observed change of the spectral radius before onsets of the first variable (number -1) and of every
+    surrogate attempt; only the windows that a statistic needs are fitted, in one batch a chunk."""
+    from tidemark.kernels.ar import episodes
+
+    def measure(paths, dates):
+        need, plan = [], []
+        for b, path in enumerate(paths):
+            ts = [t for t, _ in episodes(path[:, 0], least, merge)] if dates is None else dates
+            ts = [t for t in ts if t >= window + lookback]
+            plan.append((ts, len(need)))
+            need += [(b, p) for t in ts for p in (t - 1, t - 1 - lookback)]
+        if need:
+            at = np.array(need)
+            m = var2(paths[at[:, 0][:, None], at[:, 1][:, None] - window + 1 + np.arange(window)])[3]
+        out = []
+        for ts, k in plan:
+            parts = [float(m[k + 2 * j] - m[k + 2 * j + 1]) for j in range(len(ts))]
+            status = "no_eligible_episode" if not parts else "retained" if np.isfinite(parts).all() else "failed"
+            out.append({"status": status, "value": float(np.mean(parts)) if status == "retained" else None, "onsets": ts, "parts": parts, "error": None if status != "failed" else "not finite"})
+        return out
+
+    seen = measure(x[None], onsets)[0]
+    rows = [{"number": -1, **seen}]
+    if seen["status"] != "retained":
+        return rows
+    for lo in range(0, B, chunk):
+        paths = var_surrogates(x, rng, min(chunk, B - lo), kind)
+        if paths is None:
+            return [*rows, {"number": -2, "status": "null_model_failed", "value": None, "onsets": [], "parts": [], "error": "the full-sample fit is not strictly stable"}]
+        rows += [{"number": lo + k, **r} for k, r in enumerate(measure(paths, onsets))]
+    return rows
+
+
 def roots_stable(coefficients: np.ndarray) -> tuple[bool, float]:
     """All roots (constant term first) inside the unit circle, and the distance of the nearest to the circle."""
     r = np.abs(np.roots(coefficients[::-1]))
@@ -76,7 +110,6 @@ def kalman(y: np.ndarray, z: np.ndarray, h: float, q: np.ndarray, a: np.ndarray,
     root_q, root_h = np.diag(np.sqrt(q)), np.sqrt(h)
     states, errors, variances, loglik = np.empty((len(y), k)), np.empty(len(y)), np.empty(len(y)), 0.0
     for t in range(len(y)):
-        s = np.linalg.qr(np.concatenate([s, root_q], 1).T, mode="r").T
         pre = np.zeros((k + 1, k + 1))
         pre[0, 0], pre[0, 1:], pre[1:, 1:] = root_h, z[t] @ s, s
         post = np.linalg.qr(pre.T, mode="r").T
@@ -86,14 +119,19 @@ def kalman(y: np.ndarray, z: np.ndarray, h: float, q: np.ndarray, a: np.ndarray,
         states[t], errors[t], variances[t] = a, v, f * f
         if t >= burn:
             loglik -= 0.5 * (np.log(2 * np.pi * f * f) + v * v / (f * f))
+        s = np.linalg.qr(np.concatenate([s, root_q], 1).T, mode="r").T
     return {"states": states, "errors": errors, "variances": variances, "loglik": float(loglik)}
 
 
+#: Prior variance of the coefficients of the time-varying model.
+DIFFUSE = 1e8
+
+
 def tv_ar2(x: np.ndarray, r1: float, r2: float, burn: int = 3) -> tuple[np.ndarray, float, float]:
     """Time-varying AR(2): filtered coefficients, noise variance and log likelihood with the variance concentrated out.
     Intercept fixed, both lags random walks with variance ratios r1, r2."""
     y, z = x[2:], np.stack([np.ones(len(x) - 2), x[1:-1], x[:-2]], 1)
-    out = kalman(y, z, 1.0, np.array([0.0, r1, r2]), np.zeros(3), 1e6 * np.eye(3), burn)
+    out = kalman(y, z, 1.0, np.array([0.0, r1, r2]), np.zeros(3), DIFFUSE * np.eye(3), burn)
     v, f = out["errors"][burn:], out["variances"][burn:]
     sigma2 = float((v * v / f).mean())
     n = len(v)

@@ -129,6 +129,16 @@ def rolling_var2(series: DataFrame, window: int = 40) -> DataFrame:
     return each(packed(series, "g", "du"), f, "sid string, pos long, modulus double, intercept array<double>, A1 array<array<double>>, A2 array<array<double>>")
 
 
+def var_test(pairs: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 30, **opts) -> DataFrame:
+    """Attempt ledger of the spectral radius of pairs (g, du)."""
+
+    def f(row):
+        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
+        yield from _attempts(str(row["sid"]), "var", matrices.var_test(x, streams.stream(stream, unit(row["sid"])), B, **opts))
+
+    return each(packed(pairs, "g", "du"), f, ATTEMPTS)
+
+
 def cycles(series: DataFrame, kind: str = "hp", **opts) -> DataFrame:
     """sid, pos, cycle by the HP or the Hamilton filter."""
     g = matrices.hp_cycle if kind == "hp" else matrices.hamilton_cycle

@@ -103,23 +103,8 @@ def ols_var2(spark, d):
 
 @query()
 def e2_analyze(spark, d):
-    """Observed change of the VAR's spectral radius before onsets of the first series, and its place among surrogates."""
-    from tidemark.kernels import ar
-
-    def stat(x, onsets, window=40, lookback=8):
-        m = matrices.rolling_var2(x, window)[3]
-        parts = [m[t - window] - m[t - window - lookback] for t in onsets if t >= window + lookback]
-        return float(np.mean(parts)) if parts else None
-
-    def f(row):
-        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
-        seen = stat(x, onsets := [t for t, _ in ar.episodes(x[:, 0])])
-        paths = matrices.var_surrogates(x, streams.stream(streams.DEVELOPMENT + 30, sim.unit(row["sid"])), 40) if seen is not None else None
-        vals = [] if paths is None else [v for v in (stat(p, [t for t, _ in ar.episodes(p[:, 0])]) for p in paths) if v is not None]
-        p = (1 + sum(v >= seen for v in vals)) / (len(vals) + 1) if vals else None
-        yield {"sid": str(row["sid"]), "S": seen, "retained": len(vals), "p": p, "episodes": len(onsets)}
-
-    return sim.each(sim.packed(_pair(spark, d), "g", "du"), f, "sid string, S double, retained int, p double, episodes int")
+    """Change of the VAR's spectral radius before onsets of the first series, and its place among surrogates."""
+    return sim.comparisons(sim.var_test(_pair(spark, d), B))
 
 
 @query()
