@@ -91,10 +91,10 @@ def json_records(spark, d):
     return text.json_records(spark, path, "replicate long, S double", ["record"])
 
 
-@query("select conv_id as episode, turn as onset from conversations where turn % 2 = 0")
+@query("select conv_id as episode, turn as onset from conversations")
 def read_onsets_record(spark, d):
     """Onset lists kept as JSON in one column, read back with a fixed schema."""
-    c = b.read(spark, d, "conversations").where("turn % 2 = 0").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list("turn"))).alias("onsets"))
+    c = b.read(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list("turn"))).alias("onsets"))
     return c.select(F.col("conv_id").alias("episode"), F.explode(F.from_json("onsets", "array<bigint>")).alias("onset"))
 
 
