@@ -55,5 +55,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: Words and shingle lists of a table in DuckDB: A-Z lower-cased, ASCII white space between words, five words a shingle.
+_SHINGLES = """select {id} id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+   when len(w) > 0 then [array_to_string(w, ' ')] else [] end s
+ from (select {id}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from {table})"""
+
+_REPEATS = """with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+b as (select doc_id, unnest(range(length(h)//2)) p, unnest(list_transform(range(length(h)//2), lambda i: substr(h, 2*i + 1, 2))) x from d),
+g as (select doc_id, unnest(range(length(h)//2 - 49)) p, unnest(list_transform(range(length(h)//2 - 49), lambda i: substr(h, 2*i + 1, 100))) gram from d where length(h) >= 100),
+f as (select gram, min(doc_id) least from g group by gram),
+r as (select g.doc_id, g.p from g join f on f.gram = g.gram where f.least < g.doc_id),
+c as (select b.doc_id, b.p, b.x, coalesce(max(case when r.p is not null then 1 else 0 end) over (partition by b.doc_id order by b.p rows between 49 preceding and current row), 0) gone
+  from b left join r on r.doc_id = b.doc_id and r.p = b.p),
+e as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by p), 0) = 0 as opens from c),
+t as (select doc_id, sum(gone) n_removed, count_if(opens) n_spans, string_agg(case when gone = 0 then x end, '' order by p) kept from e group by doc_id)
+select d.doc_id, length(d.h)//2 n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join t on t.doc_id = d.doc_id"""
+
+_LEAKS = f"""with d as ({_SHINGLES.format(id="doc_id", table="documents")}), i as ({_SHINGLES.format(id="item_id", table="benchmark")}),
+du as (select id, unnest(s) x from d), iu as (select id, unnest(s) x from i),
+n as (select du.id doc_id, iu.id item_id, count(*) n_shared from du join iu on iu.x = du.x group by 1, 2)
+select doc_id, item_id, cast(len(i.s) as bigint) n_item, n_shared, n_shared/len(i.s) containment from n join i on i.id = n.item_id where 5*n_shared >= 4*len(i.s)"""
+
+_WARC = """with p as (select page_id, regexp_replace(coalesce(url, ''), '[\\r\\n]', '%0A', 'g') url, coalesce(html, '') h from pages),
+q as (select *, octet_length(encode(h)) n, max(page_id) over (partition by h) best from p)
+select page_id, n payload_bytes, sha1(h) payload_digest, case when n >= 1000 and best <> page_id then 'revisit' else 'response' end record_type,
+ case when n >= 1000 and best <> page_id then best end refers_to, url from q"""
+
+_NEAR = f"""with recursive d as ({_SHINGLES.format(id="doc_id", table="documents")}), u as (select id, len(s) n, unnest(s) x from d),
+l as (select a.id a, b.id b from u a join u b on a.x = b.x and a.id < b.id group by a.id, b.id, a.n, b.n having 100*count(*) >= 85*(a.n + b.n - count(*))),
+e as (select a, b from l union all select b, a from l),
+reach(id, root) as (select id, id from d union select e.b, reach.root from reach join e on e.a = reach.id where reach.root < e.b),
+c as (select id, min(root) root from reach group by id)
+select d.id doc_id, cast(len(s) as bigint) n_shingles, c.root component_id, c.root = d.id kept from d join c on c.id = d.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_array_dedup": _REPEATS, "op6_benchmark_decontamination": _LEAKS, "op8_warc_revisits": _WARC, "op10_minhash_near_dedup": _NEAR}
