@@ -113,7 +113,7 @@ def test_quality_orders_grades_on_held_out_documents(spark):
     docs = spark.createDataFrame(rows + [(9001, None), (9002, "")], "doc_id long, text string")
     lab = spark.createDataFrame(labels[:400] + [(None, 1, 0), (5000, 1, 0), (1, None, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.score(docs, lab).collect()}
-    held = [(i, 0 if not q else 1 if t else 2) for i, q, t in labels[400:]]
+    held = [(i, 0 if t else 1 if not q else 2) for i, q, t in labels[400:]]
     assert sum(got[i].kept == (g == 2) for i, g in held) / len(held) > 0.95
     assert sum(round(got[i].expected_grade) == g for i, g in held) / len(held) > 0.9
     assert len(got) == 602 and all(0 <= r.expected_grade <= 2 for r in got.values())

@@ -4,10 +4,12 @@ P(grade > k) = sigmoid(w . x - t_k): one weight vector over hashed text features
 thresholds t_0 < t_1 < ...  The expected grade is the sum of these tails, and a document is selected by the tail
 probability of the top grade.
 
-Features: presence of hashed words (letters, digits and non-ASCII bytes; A-Z lower-cased) and binned shares of
-character kinds, word length and repetition.  Words in fewer than MIN_DF of the sampled documents get no weight.
+Features: presence of hashed words and word beginnings (letters, digits and non-ASCII bytes; A-Z lower-cased) and binned shares of
+character kinds, word length and repetition.  Words in fewer than MIN_DF of the sampled documents, and words that a
+score test can't tell from chance, get no weight.
 The model is fitted on a bounded sample: the MAX_TRAIN labelled documents with the smallest hash of their id.
-Grades from the labels table: 0 low quality, 1 good but toxic, 2 good and clean.
+Grades from the labels table: 0 toxic, 1 low quality, 2 good and clean.  Toxic words add up without bound and so need
+the end of the scale; marks of low quality are shares of a text and fit between two thresholds.
 
 Edge cases: null or empty text has shape features alone and is scored like any other; unlabelled or null-id rows are
 scored but not trained on; repeated rows score alike; with fewer than two grades in the sample the thresholds give the
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _common as c
 
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 MIN_DF = 12
+#: Word beginnings, in bytes, that are features beside the words: they carry families of inflected words.
+PREFIXES = (4, 5)
 BITS = 18
 SHAPES = 8
 BINS = 16
@@ -53,14 +57,23 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(ink & ~after) + 1
     row = np.searchsorted(starts, offs)
     h = (c.word_hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
-    words, at = c.row_sets(h, row)
+    per = np.repeat(np.arange(n), np.diff(row))
+    keys = [per << BITS | h]
+    for size in PREFIXES:
+        long = ends - starts > size
+        p = c.word_hashes(data, starts[long], starts[long] + size) ^ np.uint64(0x5DEECE66D1CE4E5B * size % (1 << 64))
+        keys.append(per[long] << BITS | (p >> np.uint64(64 - BITS)).astype(np.int64))
+    key = np.unique(np.concatenate(keys))
+    words, at = key & ((1 << BITS) - 1), np.searchsorted(key, np.arange(n + 1) << BITS)
+    plain = np.unique(keys[0])
+    kinds = np.diff(np.searchsorted(plain, np.arange(n + 1) << BITS))
     size = np.maximum(np.diff(offs), 1)
     total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[offs])
     count = np.maximum(np.diff(row), 1)
     shares = [total(k[data]) / size for k in _KINDS]
     inked = np.diff(np.concatenate([[0], np.cumsum(ends - starts)])[row]) / count
     shapes = np.stack([
-        *(_bin(np.sqrt(s)) for s in shares[:3]), _bin(shares[3] * 2), _bin(inked / 16), _bin(np.diff(at) / count),
+        *(_bin(np.sqrt(s)) for s in shares[:3]), _bin(shares[3] * 2), _bin(inked / 16), _bin(kinds / count),
         _bin(np.log2(size) / 20), _bin(np.sqrt(shares[2] / np.maximum(shares[3], 1e-9) / 8)),
     ], 1)
     shapes = shapes + np.arange(SHAPES) * BINS + (1 << BITS)
@@ -89,7 +102,19 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -40, 40)))
 
 
-def fit(feats: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int = 3, steps: int = 250, ridge: float = 2e-4) -> CumulativeLink:
+def _screened(feats: np.ndarray, row: np.ndarray, df: np.ndarray, grades: np.ndarray, cuts: np.ndarray, width: int) -> np.ndarray:
+    """Features whose score statistic, in the model of thresholds alone, beats the largest that as many features of no
+    effect would show (the square root of twice the log of their number)."""
+    up = np.concatenate([[1.0], 1 / (1 + np.exp(cuts)), [0.0]])
+    slope = up * (1 - up)
+    g = ((slope[:-1] - slope[1:]) / (up[:-1] - up[1:]))[grades]
+    g = g - g.mean()
+    total, square = np.bincount(feats, g[row], width), np.bincount(feats, g[row] ** 2, width)
+    with np.errstate(all="ignore"):
+        return np.abs(total) / np.sqrt(square) > np.sqrt(2 * np.log(max(2, (df > 0).sum())))
+
+
+def fit(feats: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int = 3, steps: int = 400, ridge: float = 3e-5) -> CumulativeLink:
     """Full-batch gradient steps (Adam) on the log likelihood with a ridge; thresholds stay ordered as sums of
     exponentials."""
     width = (1 << BITS) + SHAPES * BINS
@@ -101,9 +126,10 @@ def fit(feats: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int =
         return CumulativeLink(np.zeros(width), base)
     df = np.bincount(feats, minlength=width)
     used = np.flatnonzero((df >= min(MIN_DF, max(2, n // 50))) & (df < n))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    used = used[_screened(feats, row, df, grades, base, width)[used] | (used >= 1 << BITS)]
     col = np.full(width, -1)
     col[used] = np.arange(len(used))
-    row = np.repeat(np.arange(n), np.diff(first))
     keep = col[feats] >= 0
     row, colx = row[keep], col[feats[keep]]
     theta = np.zeros(len(used) + levels - 1)
@@ -138,7 +164,7 @@ def fit(feats: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int =
 
 
 def grade_column():
-    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, key: str = "doc_id", text: str = "text") -> CumulativeLink:
@@ -161,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, key: str =
     order = np.argsort(got["id"].to_numpy(), kind="stable")[:most]  # repeated documents keep the bound
     blobs = [got["features"][int(i)].as_py() for i in order]
     grades = got["grade"].to_numpy()[order].astype(np.int64)
-    feats = np.frombuffer(b"".join(blobs), np.int32).astype(np.int64)
+    feats = np.frombuffer(b"".join(blobs), np.int32)
     return fit(feats, np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs])]).astype(np.int64), grades)
 
 
