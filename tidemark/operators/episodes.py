@@ -39,11 +39,12 @@ def excluding_years(eps: DataFrame, first_year: int, ranges: list[tuple[int, int
 
 
 def onset_change(eps: DataFrame, metric: DataFrame, value: str = "modulus", lookback: int = 8) -> DataFrame:
-    """eps with change = M[onset-1] - M[onset-1-lookback]; NULL where either is missing."""
-    m = metric.select("sid", F.col("pos").alias("p"), F.col(value).alias("v"))
-    out = eps.join(m.select("sid", (F.col("p") + 1).alias("onset"), F.col("v").alias("at")), ["sid", "onset"], "left")
-    out = out.join(m.select("sid", (F.col("p") + 1 + lookback).alias("onset"), F.col("v").alias("before")), ["sid", "onset"], "left")
-    return out.withColumn("change", F.col("at") - F.col("before")).drop("at", "before")
+    """eps with change = M[onset-1] - M[onset-1-lookback]; NULL where either is missing.  The difference is a window of
+    the metric, so one join finds both values."""
+    w = per_series()
+    before = F.when(F.col("pos") - F.lag("pos", lookback).over(w) == lookback, F.lag(value, lookback).over(w))
+    m = metric.select("sid", (F.col("pos") + 1).alias("onset"), (F.col(value) - before).alias("change"))
+    return eps.join(m, ["sid", "onset"], "left")
 
 
 def onset_segment(eps: DataFrame, metric: DataFrame, span: int = 16, value: str = "modulus") -> DataFrame:
