@@ -171,8 +171,14 @@ def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def sets_of(texts):
         data, offs = c.buffers(texts)
-        starts, ends, row = c.word_spans(data, offs)
-        return c.row_sets(*c.shingle_hashes(c.word_hashes(data, starts, ends), row))
+        sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for lo, hi in c.slices(offs):  # working arrays are many times the text
+            d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+            starts, ends, row = c.word_spans(d, o)
+            s, at = c.row_sets(*c.shingle_hashes(c.word_hashes(d, starts, ends), row))
+            sets.append(s)
+            sizes.append(np.diff(at))
+        return np.concatenate(sets), np.cumsum(np.concatenate(sizes))
 
     def run(batches):
         group, held, index = None, [], None
