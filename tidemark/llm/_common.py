@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes that a Python step handles at once; working arrays are a small multiple of it.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Stands for a null document id inside the operators that join or order by id; results show null again.
 NULL_ID = -(1 << 63)
 

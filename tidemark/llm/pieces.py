@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 40
 #: Text bytes whose new units are encoded together.
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 3 << 20
 #: Units that a worker remembers before it starts afresh.
 REMEMBER = 600_000
 #: A line end; or marks and what follows them up to the next mark or line end.
