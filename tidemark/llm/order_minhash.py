@@ -95,7 +95,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     edited text has its last half replaced by the beginning of the next document, in descending order of id."""
     spark = docs.sparkSession
     docs = c.filled_id(docs, key, text).select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    n = 2 * c.shuffle_width(spark)
+    n = 8 * c.shuffle_width(spark)  # many small ranges, so that their hashes fill the partitions evenly
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or []
     cuts = sorted(set(cuts))
     edges = F.lit([*cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
@@ -106,9 +106,8 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     head = c.written(docs.groupBy("part").agg(F.max("doc_id").alias("first")), "first-ids")
     head = docs.join(F.broadcast(head.select("first")), F.col("doc_id") == F.col("first")).groupBy("part").agg(F.min_by("text", "tie").alias("head"))
     head = c.written(head, "heads")
-    follow = head.select("part").withColumn("next", F.lag("part").over(Window.orderBy("part")))
-    last = head.agg(F.max("part").alias("top"))
-    follow = follow.crossJoin(last).select("part", F.coalesce("next", "top").alias("next"))  # one row on the right
+    below = F.lag("part").over(Window.orderBy("part"))
+    follow = head.select("part", F.coalesce(below, F.max("part").over(Window.partitionBy())).alias("next"))
     ends = minima(head.select(F.col("part").alias("next"), F.col("head").alias("t")), ["next"], "t").select("next", signature().alias("head_sig"))
     ends = c.written(follow.join(head.withColumnRenamed("part", "next"), "next").join(ends, "next").drop("next"), "ends")
     rows = docs.withColumn("row", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
