@@ -4,7 +4,8 @@ The base finds e-mail addresses, IPv4 addresses, payment cards and international
 adds spans that the patterns miss (local phone numbers, credentials, addresses with non-ASCII parts, cards in odd
 groups) and never takes one away.  The field is trained on a small labelled table (TABLE, filled in with seeded random
 digits and names) by exact forward-backward gradients, and decoded by Viterbi in numpy over all lines of a slice at
-once.  Chains are lines of text, cut every CHAIN words.
+once.  Chains are whole lines of text, however long; they are decoded in pieces only between words whose label no
+neighbour can change, so the labels are those of the whole line.
 
 Offsets count code points, ends are exclusive.  A null text is empty and has no spans; null ids stay null; repeated rows
 repeat; other columns are ignored by `find` and kept by `redact`.  All scans are linear in the length of the text.
@@ -25,7 +26,6 @@ from tidemark.llm import _crf
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
-CHAIN = 64
 
 # ---------------------------------------------------------------- base patterns
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -209,7 +209,7 @@ class Words:
         self.word = c.word_hashes(data, self.starts, self.ends)
 
     def chains(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and length of every chain: words of one line of one row, CHAIN at most."""
+        """First word and length of every chain: words of one line of one row."""
         if not self.n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lines = np.concatenate([[0], np.cumsum(data == 10)])[self.starts]
@@ -218,12 +218,7 @@ class Words:
         cut[1:] = lines[1:] != lines[:-1]
         cut[self.row[:-1][self.row[:-1] < self.n]] = True
         first = np.flatnonzero(cut)
-        size = np.diff(np.concatenate([first, [self.n]]))
-        if size.max() > CHAIN:
-            parts = -(-size // CHAIN)
-            k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-            first, size = np.repeat(first, parts) + k * CHAIN, np.minimum(np.repeat(size, parts) - k * CHAIN, CHAIN)
-        return first, size
+        return first, np.diff(np.concatenate([first, [self.n]]))
 
 
 def _index(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -257,7 +252,7 @@ class Field:
 
     def decode(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Best label of every word."""
-        return _crf.viterbi(emit, first, size, self.step, self.begin)
+        return _crf.viterbi_apart(emit, first, size, self.step, self.begin)
 
 
 def train(rows=None, steps: int = 120, ridge: float = 1e-3) -> Field:
