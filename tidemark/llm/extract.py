@@ -34,7 +34,8 @@ RAW = frozenset("script style template textarea noscript iframe noembed noframes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Which open element a start tag ends by itself.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>?)""", re.S)
+#: Quoted values have any length.  A quote that never closes ends the tag; none of its kind follows, so it is sought once.
+TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>?)""", re.S)
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]{2,}")
 
@@ -64,9 +65,7 @@ def blocks(page: str) -> list[tuple[str, tuple, str, int]]:
         while len(stack) > to:
             open_[stack.pop()[0]] -= 1
 
-    for m in TAG.finditer(page):
-        if m.start() < pos:
-            continue
+    while m := TAG.search(page, pos):  # from pos, so that nothing inside a comment or raw text counts as a tag
         if m.start() > pos:
             piece = page[pos : m.start()]
             text.append(piece)
