@@ -62,37 +62,39 @@ def var_surrogates(x: np.ndarray, rng: np.random.Generator, count: int, kind: st
     return out
 
 
-def var_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, window=40, lookback=8, merge=8, least=2, kind="residual", onsets=None, chunk=200) -> list[dict]:
-    """Rows of the observed change of the spectral radius before onsets of the first variable (number -1) and of every
-    surrogate attempt; only the windows that a statistic needs are fitted, in one batch a chunk."""
-    from tidemark.kernels.ar import episodes
+def var_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, window=40, lookback=8, merge=8, least=2, kind="residual", onsets=None, chunk=200, span=16, fixed=False, metrics=("primary",)) -> list[dict]:
+    """Rows of the observed statistic (number -1) and of every surrogate attempt, by metric: change and trend of the
+    spectral radius before onsets of the first variable, and change of that variable's autocorrelation; only the
+    windows that a statistic needs are fitted, in one batch a chunk.  A metric without an observed value draws nothing."""
+    from tidemark.kernels import ar
 
     def measure(paths, dates):
-        need, plan = [], []
+        need, lags, plan = [], [], []
         for b, path in enumerate(paths):
-            ts = [t for t, _ in episodes(path[:, 0], least, merge)] if dates is None else dates
-            ts = [t for t in ts if t >= window + lookback]
-            plan.append((ts, len(need)))
-            need += [(b, p) for t in ts for p in (t - 1, t - 1 - lookback)]
-        if need:
-            at = np.array(need)
-            m = var2(paths[at[:, 0][:, None], at[:, 1][:, None] - window + 1 + np.arange(window)])[3]
-        out = []
-        for ts, k in plan:
-            parts = [float(m[k + 2 * j] - m[k + 2 * j + 1]) for j in range(len(ts))]
-            status = "no_eligible_episode" if not parts else "retained" if np.isfinite(parts).all() else "failed"
-            out.append({"status": status, "value": float(np.mean(parts)) if status == "retained" else None, "onsets": ts, "parts": parts, "error": None if status != "failed" else "not finite"})
-        return out
+            ts = [t for t, _ in ar.episodes(path[:, 0], least, merge)] if dates is None else dates
+            steps = {}
+            for m in metrics:
+                to, least_t = (lags if m == "lag1" else need), window + span - 1 if m == "trend" else window + lookback
+                steps[m] = []
+                for t in (t for t in ts if t >= least_t):
+                    at = range(t - span, t) if m == "trend" else (t - 1, t - 1 - lookback)
+                    steps[m].append((t, slice(len(to), len(to) + len(at))))
+                    to += [(b, p) for p in at]
+            plan.append(steps)
+        cut = lambda at: paths[at[:, 0][:, None], at[:, 1][:, None] - window + 1 + np.arange(window)]
+        radii = var2(cut(np.array(need)))[3] if need else np.zeros(0)
+        auto = ar.lag1(cut(np.array(lags))[:, :, 0]) if lags else np.zeros(0)
+        return [{m: ar.record(m, auto if m == "lag1" else radii, steps[m]) for m in metrics} for steps in plan]
 
     seen = measure(x[None], onsets)[0]
-    rows = [{"number": -1, **seen}]
-    if seen["status"] != "retained":
-        return rows
-    for lo in range(0, B, chunk):
+    rows = [{"metric": m, "number": -1, **seen[m]} for m in metrics]
+    wanted = [m for m in metrics if seen[m]["status"] == "retained"]
+    dates = onsets if onsets is not None else seen["primary"]["onsets"] if fixed else None
+    for lo in range(0, B if wanted else 0, chunk):
         paths = var_surrogates(x, rng, min(chunk, B - lo), kind)
         if paths is None:
-            return [*rows, {"number": -2, "status": "null_model_failed", "value": None, "onsets": [], "parts": [], "error": "the full-sample fit is not strictly stable"}]
-        rows += [{"number": lo + k, **r} for k, r in enumerate(measure(paths, onsets))]
+            return rows + [{"metric": m, "number": -2, "status": "null_model_failed", "value": None, "onsets": [], "parts": [], "error": "the full-sample fit is not strictly stable"} for m in wanted]
+        rows += [{"metric": m, "number": lo + k, **r[m]} for k, r in enumerate(measure(paths, dates)) for m in wanted]
     return rows
 
 
@@ -171,6 +173,124 @@ def fit_tv_ar2(x: np.ndarray, grid: np.ndarray = GRID, refine: int = 25) -> dict
     return {"r1": point[0], "r2": point[1], "loglik": ll, "grid_loglik": best[0], "sigma2": sigma2, "states": states}
 
 
+def tv_filters(x: np.ndarray, r1: np.ndarray, r2: np.ndarray, burn: int = 3, states: bool = False):
+    """Log likelihoods (m, g) of `tv_ar2` for paths x (m, n) at ratios r1, r2 (m, g), all filters at once in factored
+    form (P = U D U'); with `states` also both lag coefficients (n - 2, m, g).  A failed filter is NaN."""
+    m, n = x.shape
+    r1, r2 = (np.broadcast_to(np.asarray(r, float), (m, np.shape(r)[-1])) for r in (r1, r2))
+    zero = np.zeros(r1.shape)
+    u01, u02, u12, a0, a1, a2 = zero, zero, zero, zero, zero, zero
+    d0 = d1 = d2 = np.full(r1.shape, DIFFUSE)
+    logs, squares = zero, zero
+    kept = np.empty((n - 2, 2, *r1.shape)) if states else None
+    with np.errstate(all="ignore"):
+        for t in range(2, n):
+            z1, z2 = x[:, t - 1, None], x[:, t - 2, None]
+            f1, f2 = u01 + z1, u02 + u12 * z1 + z2
+            g1, g2 = d1 * f1, d2 * f2
+            e0 = 1.0 + d0
+            e1 = e0 + f1 * g1
+            e2 = e1 + f2 * g2
+            v = x[:, t, None] - a0 - z1 * a1 - z2 * a2
+            b0 = d0 + u01 * g1
+            n01, n12 = u01 - d0 * f1 / e0, u12 - g1 * f2 / e1
+            n02 = u02 - b0 * f2 / e1
+            k = v / e2
+            a0, a1, a2 = a0 + (b0 + u02 * g2) * k, a1 + (g1 + u12 * g2) * k, a2 + g2 * k
+            d0, d1, d2 = d0 / e0, d1 * e0 / e1, d2 * e1 / e2
+            if t - 2 >= burn:
+                logs, squares = logs + np.log(e2), squares + v * k
+            if states:
+                kept[t - 2] = a1, a2
+            p2 = d2 + r2  # the step of the random walks, by weighted Gram-Schmidt
+            u12, u02 = n12 * d2 / p2, n02 * d2 / p2
+            c1, c0 = n12 - u12, n02 - u02
+            p1 = d1 + d2 * c1 * c1 + r1 + r2 * u12 * u12
+            u01 = (n01 * d1 + c0 * c1 * d2 + u02 * u12 * r2) / p1
+            h1, h2, h3 = n01 - u01, c0 - u01 * c1, u01 * u12 - u02
+            d0, d1, d2 = d0 + d1 * h1 * h1 + d2 * h2 * h2 + r1 * u01 * u01 + r2 * h3 * h3, p1, p2
+        count = n - 2 - burn
+        ll = -0.5 * (count * np.log(2 * np.pi * squares / count) + logs + count)
+    ll = np.where(np.isfinite(ll), ll, np.nan)
+    return (ll, kept) if states else ll
+
+
+def fit_tv_many(x: np.ndarray, refine: int = 25, chunk: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ratios r1, r2 and log likelihood of every path, by the steps of `fit_tv_ar2`; NaN where all points fail."""
+    r1, r2 = (g.ravel()[None] for g in np.meshgrid(GRID, GRID, indexing="ij"))
+    order = np.lexsort((r1[0], r1[0] + r2[0]))  # the first of equals has the smaller ratios
+    r1, r2 = r1[:, order], r2[:, order]
+    grid = np.concatenate([tv_filters(x[lo : lo + chunk], r1, r2) for lo in range(0, len(x), chunk)])
+    at = np.where(np.isnan(grid), -np.inf, grid).argmax(1)
+    ll, point = grid[np.arange(len(x)), at], np.stack([r1[0, at], r2[0, at]])
+    for axis in (0, 1, 0, 1):
+        free = point[axis] > 0
+        log = np.log10(np.where(free, point[axis], 1.0))
+        lo, hi = np.maximum(-10.0, log - 0.5), np.minimum(0.0, log + 0.5)
+        own, other = x[free], point[1 - axis][free, None]
+        at_ = lambda u: tv_filters(own, *((10**u, other) if axis == 0 else (other, 10**u)))  # noqa: B023, E731
+        lo, hi = lo[free, None], hi[free, None]
+        if not len(own):
+            continue
+        for _ in range(refine):
+            a, b = lo + 0.382 * (hi - lo), lo + 0.618 * (hi - lo)
+            left = at_(a) >= at_(b)
+            lo, hi = np.where(left, lo, a), np.where(left, b, hi)
+        mid = (lo + hi) / 2
+        got = at_(mid)[:, 0]
+        better = got >= ll[free]
+        where = np.flatnonzero(free)[better]
+        ll[where], point[axis, where] = got[better], 10 ** mid[better, 0]
+    return point[0], point[1], ll
+
+
+TV_METRICS = ("primary", "held_fixed", "trend")
+
+
+def tv_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, first=39, lookback=8, merge=8, least=2, span=16, kind="residual", fixed=False, metrics=TV_METRICS, chunk=250) -> list[dict]:
+    """Surrogate test of the filtered modulus of the time-varying AR(2): every path's variance ratios by likelihood
+    (primary, trend), or those of the series itself (held_fixed).  Rows as those of `ar.csd_test`."""
+    from tidemark.kernels import ar
+
+    def measure(paths, dates, held):
+        found = [[t for t, _ in ar.episodes(p, least, merge)] if dates is None else dates for p in paths]
+        due = np.array([any(t > first + lookback for t in ts) for ts in found])
+        moduli = {m: np.full(paths.shape, np.nan) for m in ("own", "held")}
+        ratios = None
+        if due.any():
+            r1, r2, _ = fit_tv_many(paths[due])
+            ratios = np.stack([r1, r2])
+            if held is None:
+                held = ratios[:, 0]
+            for name, (p, q) in {"own": ratios[:, :, None], "held": np.broadcast_to(held[:, None, None], (2, int(due.sum()), 1))}.items():
+                _, states = tv_filters(paths[due], p, q, states=True)
+                moduli[name][due, first:] = ar.modulus(states[first - 2 :, 0, :, 0], states[first - 2 :, 1, :, 0]).T
+        out = []
+        for k, ts in enumerate(found):
+            got = {}
+            for m in metrics:
+                ok = [t for t in ts if t >= (first + span if m == "trend" else first + lookback + 1)]
+                at = [list(range(t - span, t)) if m == "trend" else [t - 1, t - 1 - lookback] for t in ok]
+                values = moduli["held" if m == "held_fixed" else "own"][k][np.array(at, int).ravel()] if ok else np.zeros(0)
+                w = len(at[0]) if at else 0
+                got[m] = ar.record(m, values, [(t, slice(i * w, i * w + w)) for i, t in enumerate(ok)])
+            out.append(got)
+        return out, held
+
+    x = np.asarray(x, float)
+    (seen,), held = measure(x[None], None, None)
+    rows = [{"metric": m, "number": -1, **seen[m]} for m in metrics]
+    wanted = [m for m in metrics if seen[m]["status"] == "retained"]
+    null = ar.null_model(x) if wanted else None
+    if wanted and null is None:
+        return rows + [{"metric": m, "number": -2, "status": "null_model_failed", "value": None, "onsets": [], "parts": [], "error": "the full-sample fit is not strictly stable"} for m in wanted]
+    dates = seen["primary"]["onsets"] if fixed else None
+    for lo in range(0, B if wanted else 0, chunk):
+        paths = ar.surrogates(null, rng, min(chunk, B - lo), kind)
+        rows += [{"metric": m, "number": lo + k, **r[m]} for k, r in enumerate(measure(paths, dates, held)[0]) for m in wanted]
+    return rows
+
+
 def local_level(y: np.ndarray, grid=np.logspace(-4, 3, 29)) -> dict:
     """Local level model by likelihood over the signal-to-noise ratio, noise variance concentrated out."""
     best = None

@@ -139,6 +139,46 @@ def var_test(pairs: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT
     return each(packed(pairs, "g", "du"), f, ATTEMPTS)
 
 
+def _analyses(row: dict, x: np.ndarray, test, plan: dict[str, dict], B: int, stream: int) -> Iterator[dict]:
+    """One test for each name of the plan, each from its own stream; a test of several metrics gives them all, the
+    first under its name."""
+    for k, (name, opts) in enumerate(plan.items()):
+        rows = test(x, streams.stream(stream + k, unit(row["sid"])), B, **opts)
+        for m in dict.fromkeys(r["metric"] for r in rows):
+            yield from _attempts(str(row["sid"]), name if m == "primary" else m, [r for r in rows if r["metric"] == m])
+
+
+def analyze_e1(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 20) -> DataFrame:
+    """Attempt ledger of the seven annual analyses: joint primary, trend and lag1; windows 25 and 35; fixed dates; wild signs."""
+    rules = {"window": 30, "lookback": 2, "merge": 2, "least": 1, "span": 4}
+    plan = {"primary": rules | {"metrics": ar.METRICS}, "window25": rules | {"window": 25}, "window35": rules | {"window": 35}, "fixed": rules | {"fixed": True}, "wild": rules | {"kind": "wild"}}
+    return each(packed(series, "x"), lambda row: _analyses(row, np.asarray(row["x"], float), ar.csd_test, plan, B, stream), ATTEMPTS)
+
+
+def analyze_e2(pairs: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 30) -> DataFrame:
+    """Attempt ledger of the seven analyses of the spectral radius of pairs (g, du)."""
+    plan = {"primary": {"metrics": ar.METRICS}, "window32": {"window": 32}, "window48": {"window": 48}, "fixed": {"fixed": True}, "wild": {"kind": "wild"}}
+
+    def f(row):
+        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
+        yield from _analyses(row, x, matrices.var_test, plan, B, stream)
+
+    return each(packed(pairs, "g", "du"), f, ATTEMPTS)
+
+
+def analyze_e3(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 80) -> DataFrame:
+    """Attempt ledger of the five analyses of the time-varying AR(2), every surrogate refitted by likelihood: joint
+    primary, held-fixed variances and trend; fixed dates; wild signs."""
+    plan = {"primary": {}, "fixed": {"fixed": True, "metrics": ("primary",)}, "wild": {"kind": "wild", "metrics": ("primary",)}}
+    return each(packed(series, "x"), lambda row: _analyses(row, np.asarray(row["x"], float), matrices.tv_test, plan, B, stream), ATTEMPTS)
+
+
+def whole(analyze: Callable[..., DataFrame], series: DataFrame, B: int = 1000) -> DataFrame:
+    """The comparisons of an analysis, with the 90 % resampling interval of the observed changes on the primary's row."""
+    got = intervals(analyze(series, 0)).select("sid", F.lit("primary").alias("analysis"), F.col("status").alias("interval_status"), "low", "high")
+    return comparisons(analyze(series, B).persist()).join(got, ["sid", "analysis"], "left")
+
+
 def cycles(series: DataFrame, kind: str = "hp", **opts) -> DataFrame:
     """sid, pos, cycle by the HP or the Hamilton filter."""
     g = matrices.hp_cycle if kind == "hp" else matrices.hamilton_cycle

@@ -44,15 +44,16 @@ def analyze_h1(spark, d):
 
 @query()
 def e1_analyze(spark, d):
-    """The annual rules (window 30, lookback 2, runs of 1, merge 2, span 4) over monthly growth."""
-    g = b.weekly_growth(spark, d, "month")
-    return sim.comparisons(sim.joint_test(g, B, streams.DEVELOPMENT + 20, window=30, lookback=2, merge=2, least=1, span=4))
+    """The annual rules (window 30, lookback 2, runs of 1, merge 2, span 4) over monthly growth: joint primary, trend and
+    lag1; windows 25 and 35; fixed dates; wild signs; and the interval."""
+    return sim.whole(sim.analyze_e1, b.weekly_growth(spark, d, "month"), B)
 
 
 @query()
 def e3_analyze(spark, d):
-    """Filtered root modulus of a time-varying AR(2), variance ratios by likelihood, over monthly growth."""
-    return sim.filtered_modulus(b.weekly_growth(spark, d, "month"))
+    """Filtered root modulus of a time-varying AR(2) before onsets of monthly growth, variance ratios by likelihood in
+    the series and in every surrogate: joint primary, held-fixed and trend; fixed dates; wild signs; and the interval."""
+    return sim.whole(sim.analyze_e3, b.weekly_growth(spark, d, "month"), B)
 
 
 @query()
@@ -103,8 +104,9 @@ def ols_var2(spark, d):
 
 @query()
 def e2_analyze(spark, d):
-    """Change of the VAR's spectral radius before onsets of the first series, and its place among surrogates."""
-    return sim.comparisons(sim.var_test(_pair(spark, d), B))
+    """Change of the VAR's spectral radius before onsets of the first series, and its place among surrogates: joint
+    primary, trend and lag1; windows 32 and 48; fixed dates; wild signs; and the interval."""
+    return sim.whole(sim.analyze_e2, _pair(spark, d), B)
 
 
 @query()
