@@ -12,48 +12,46 @@ from tidemark.operators import simulate as sim
 from tidemark.plans import base as b
 from tidemark.plans.catalogue import query
 
-B = 200  # surrogates of a query here; the operators' default is 1,000
-
 
 @query()
 def csd_test(spark, d):
-    return sim.comparisons(sim.csd_test(b.weekly_growth(spark, d), B))
+    return sim.comparisons(sim.csd_test(b.weekly_growth(spark, d)))
 
 
 @query()
 def primary_with_comparators(spark, d):
-    return sim.comparisons(sim.joint_test(b.weekly_growth(spark, d), B))
+    return sim.comparisons(sim.joint_test(b.weekly_growth(spark, d)))
 
 
 @query()
 def fixed_date_test(spark, d):
-    return sim.comparisons(sim.csd_test(b.weekly_growth(spark, d), B, onsets=(60, 120, 180, 240, 300)))
+    return sim.comparisons(sim.csd_test(b.weekly_growth(spark, d), onsets=(60, 120, 180, 240, 300)))
 
 
 @query()
 def draw_surrogate(spark, d):
     """The attempt ledger itself: a row for each attempt, failures included."""
-    return sim.csd_test(b.weekly_growth(spark, d), B).select("sid", "number", "status", "statistic")
+    return sim.csd_test(b.weekly_growth(spark, d)).select("sid", "number", "status", "statistic")
 
 
 @query()
 def analyze_h1(spark, d):
     """Seven analyses of every series: joint primary, trend and lag1; windows 32 and 48; fixed dates; wild signs."""
-    return sim.comparisons(sim.analyze_h1(b.weekly_growth(spark, d), B))
+    return sim.comparisons(sim.analyze_h1(b.weekly_growth(spark, d)))
 
 
 @query()
 def e1_analyze(spark, d):
     """The annual rules (window 30, lookback 2, runs of 1, merge 2, span 4) over monthly growth: joint primary, trend and
     lag1; windows 25 and 35; fixed dates; wild signs; and the interval."""
-    return sim.whole(sim.analyze_e1, b.weekly_growth(spark, d, "month"), B)
+    return sim.whole(sim.analyze_e1, b.weekly_growth(spark, d, "month"))
 
 
 @query()
 def e3_analyze(spark, d):
     """Filtered root modulus of a time-varying AR(2) before onsets of monthly growth, variance ratios by likelihood in
     the series and in every surrogate: joint primary, held-fixed and trend; fixed dates; wild signs; and the interval."""
-    return sim.whole(sim.analyze_e3, b.weekly_growth(spark, d, "month"), B)
+    return sim.whole(sim.analyze_e3, b.weekly_growth(spark, d, "month"))
 
 
 @query()
@@ -69,7 +67,7 @@ def episode_interval(spark, d):
 @query()
 def residual_bootstrap(spark, d):
     """95 % bands of modulus and period over bootstrap refits, and the number of real-root draws."""
-    draws = sim.bootstrap(b.weekly_growth(spark, d), 500)
+    draws = sim.bootstrap(b.weekly_growth(spark, d))
     q = lambda c: F.percentile(c, [0.025, 0.975])
     return draws.groupBy("sid").agg(F.count("modulus").alias("valid"), F.count_if(F.col("period").isNull()).alias("real"), q("modulus").alias("modulus_band"), q("period").alias("period_band"))
 
@@ -106,7 +104,7 @@ def ols_var2(spark, d):
 def e2_analyze(spark, d):
     """Change of the VAR's spectral radius before onsets of the first series, and its place among surrogates: joint
     primary, trend and lag1; windows 32 and 48; fixed dates; wild signs; and the interval."""
-    return sim.whole(sim.analyze_e2, _pair(spark, d), B)
+    return sim.whole(sim.analyze_e2, _pair(spark, d))
 
 
 @query()
@@ -125,7 +123,7 @@ def e4_compare(spark, d):
         if len(x) < int(onset):
             return
         # the onset is the first position that isn't known yet, so its date lies just behind the path
-        rows = ar.csd_test(x, streams.stream(streams.DEVELOPMENT + 40, sim.unit(sid), int(j)), B, onsets=(int(onset),))
+        rows = ar.csd_test(x, streams.stream(streams.DEVELOPMENT + 40, sim.unit(sid), int(j)), onsets=(int(onset),))
         for r in rows:
             yield {"sid": sid, "j": int(j), "number": r["number"], "status": r["status"], "change": r["value"]}
 
@@ -213,9 +211,9 @@ def white_noise(spark, d):
 
 @query()
 def size_replicate(spark, d):
-    """Nominal accounting of simulated cells at B = 99."""
-    reps = sim.replicates(spark, [1.0, 1.2, 1.4, 1.6], 10, 99)
-    return acc.cell_summary(reps, ["cell", "kappa"], F.lit(10))
+    """Nominal accounting of simulated cells: 200 replicates of each, at B = 1,000."""
+    reps = sim.replicates(spark, [1.0, 1.2, 1.4, 1.6], 200)
+    return acc.cell_summary(reps, ["cell", "kappa"], F.lit(200))
 
 
 @query(f"""with g as (select vec_id sid, cast(unnest(range(len(embedding))) as bigint) pos, cast(unnest(embedding) as double) x from embeddings),

@@ -69,7 +69,7 @@ def s2_rows(spark, d):
 @query()
 def comparison_rows(spark, d):
     """Seven fixed rows for each series, unavailable ones kept."""
-    done = sim.comparisons(sim.analyze_h1(b.weekly_growth(spark, d), 100))
+    done = sim.comparisons(sim.analyze_h1(b.weekly_growth(spark, d)))
     names = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(n).alias("analysis")) for k, n in enumerate(("primary", "window32", "window48", "fixed", "wild", "trend", "lag1"))))
     rows = b.read(spark, d, "customer").select(F.col("c_mktsegment").alias("sid")).distinct().select("sid", F.inline(names))
     return rows.join(done, ["sid", "analysis"], "left").withColumn("comparison", F.coalesce("comparison", F.lit("unavailable")))
@@ -78,13 +78,13 @@ def comparison_rows(spark, d):
 @query("select c_mktsegment sid, true as reconciled from customer group by 1")
 def validated_accounting(spark, d):
     """The attempt ledger against its summary: counts by status, numbers 0..B-1 once each, p from the ledger."""
-    ledger = sim.csd_test(b.weekly_growth(spark, d), 100)
+    ledger = sim.csd_test(b.weekly_growth(spark, d))
     s = sim.comparisons(ledger)
     seen = F.first_value(F.when(F.col("number") == -1, F.col("statistic")), True).over(Window.partitionBy("sid"))
     n = ledger.withColumn("S", seen).where("number >= 0").groupBy("sid").agg(
         F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.min("number").alias("lo"), F.max("number").alias("hi"), F.count_if(F.col("status") == "retained").alias("kept"), F.count_if((F.col("status") == "retained") & (F.col("statistic") >= F.col("S"))).alias("over"),
     )
-    ok = (F.col("n") == 100) & (F.col("d") == 100) & (F.col("lo") == 0) & (F.col("hi") == 99) & (F.col("kept") == F.col("retained")) & (F.col("retained") + F.col("no_episode") + F.col("failed") == 100) & (F.abs((1 + F.col("over")) / (1 + F.col("kept")) - F.col("p")) < 1e-12)
+    ok = (F.col("n") == 1000) & (F.col("d") == 1000) & (F.col("lo") == 0) & (F.col("hi") == 999) & (F.col("kept") == F.col("retained")) & (F.col("retained") + F.col("no_episode") + F.col("failed") == 1000) & (F.abs((1 + F.col("over")) / (1 + F.col("kept")) - F.col("p")) < 1e-12)
     return s.join(n, "sid").select("sid", ok.alias("reconciled"))
 
 
@@ -132,8 +132,8 @@ def concentrated_loglik(spark, d):
 
 @query()
 def power_replicate(spark, d):
-    """Simulated power by kappa at B = 99: cells, differences and the kappa of 80 % power."""
-    cells = acc.cell_summary(sim.replicates(spark, [1.0, 1.2, 1.4, 1.6], 12, 99, stream=streams.DEVELOPMENT + 60), ["cell", "kappa"], F.lit(12))
+    """Simulated power by kappa, 200 replicates of each at B = 1,000: cells, differences and the kappa of 80 % power."""
+    cells = acc.cell_summary(sim.replicates(spark, [1.0, 1.2, 1.4, 1.6], 200, stream=streams.DEVELOPMENT + 60), ["cell", "kappa"], F.lit(200))
     return acc.power_summary(cells.withColumn("sid", F.lit("ar2")))
 
 
