@@ -122,8 +122,8 @@ def concentrated_loglik(spark, d):
 
     def f(row):
         x = np.asarray(row["x"], float)
-        for r1 in matrices.GRID[::3]:
-            for r2 in matrices.GRID[::3]:
+        for r1 in matrices.GRID:
+            for r2 in matrices.GRID:
                 _, s2, ll = matrices.tv_ar2(x, float(r1), float(r2))
                 yield {"sid": str(row["sid"]), "r1": float(r1), "r2": float(r2), "loglik": ll if np.isfinite(ll) else None, "sigma2": s2}
 
