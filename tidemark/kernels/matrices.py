@@ -291,16 +291,37 @@ def tv_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, first=39, lo
     return rows
 
 
-def local_level(y: np.ndarray, grid=np.logspace(-4, 3, 29)) -> dict:
-    """Local level model by likelihood over the signal-to-noise ratio, noise variance concentrated out."""
-    best = None
-    for q in grid:
-        out = kalman(y, np.ones((len(y), 1)), 1.0, np.array([q]), np.array([y[0]]), np.eye(1) * 1e6, 1)
+def local_level(y: np.ndarray, grid=np.logspace(-4, 3, 29), refine: int = 40) -> dict:
+    """Local level model by likelihood over the signal-to-noise ratio, variance concentrated out: the best grid point,
+    the grid carried on beyond an end while that is better, then golden sections on the log ratio; and both open ends,
+    no level noise (ratio 0) and no observation noise (ratio infinite), of which the grid gives only neighbours."""
+
+    def at(h, q):
+        out = kalman(y, np.ones((len(y), 1)), h, np.array([q]), np.array([y[0]]), np.eye(1) * 1e6, 1)
         v, f = out["errors"][1:], out["variances"][1:]
         s2 = float((v * v / f).mean())
         ll = float(-0.5 * (len(v) * np.log(2 * np.pi * s2) + np.log(f).sum() + len(v)))
-        if best is None or ll > best["loglik"]:
-            best = {"ratio": float(q), "noise": s2, "level_noise": float(q * s2), "loglik": ll}
+        return {"ratio": float(q) if h else np.inf, "noise": h * s2, "level_noise": float(q * s2), "loglik": ll}
+
+    of = lambda u: at(1.0, 10.0**u)
+    logs = np.log10(grid)
+    step = logs[1] - logs[0]
+    points = [of(u) for u in logs]
+    k = int(np.argmax([p["loglik"] for p in points]))
+    u, best = logs[k], points[k]
+    way = -step if k == 0 else step if k == len(logs) - 1 else 0.0
+    while way and abs(u + way) <= 12 and (more := of(u + way))["loglik"] > best["loglik"]:
+        u, best = u + way, more
+    lo, hi = u - step, u + step
+    for _ in range(refine):
+        c, d = lo + 0.381966 * (hi - lo), lo + 0.618034 * (hi - lo)
+        if of(c)["loglik"] >= of(d)["loglik"]:
+            hi = d
+        else:
+            lo = c
+    for other in (of((lo + hi) / 2), at(1.0, 0.0), at(0.0, 1.0)):
+        if other["loglik"] >= best["loglik"]:
+            best = other
     return best
 
 
