@@ -139,11 +139,21 @@ def power_replicate(spark, d):
 
 @query()
 def sample_by_seed(spark, d):
-    """A seeded sample of record keys (the operator samples): chosen by numpy from the sorted coordinates, then semi-joined."""
-    rng = streams.stream(streams.DEVELOPMENT + 70)
-    pick = sorted(int(k) for k in rng.choice(1000, size=25, replace=False))
-    keys = F.broadcast(spark.createDataFrame([(k,) for k in pick], "o_orderkey long"))
-    return b.read(spark, d, "orders").join(keys, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
+    """A seeded sample of record keys (the operator samples): ranks drawn by numpy from the table's own number of keys,
+    joined through the sorted keys.  Ranks count inside ranges of keys, so that no task sorts the whole table."""
+    orders = b.read(spark, d, "orders")
+    keys = orders.select("o_orderkey").where("o_orderkey is not null").distinct()
+    low, high = keys.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    width = 1 if low is None else (high - low) // 1024 + 1
+    keys = keys.withColumn("part", F.floor((F.col("o_orderkey") - (low or 0)) / width))
+    parts = keys.groupBy("part").count().orderBy("part").collect()  # 1,024 rows at most
+    ends = np.cumsum([r["count"] for r in parts], dtype=np.int64)
+    n = int(ends[-1]) if parts else 0
+    pick = np.sort(streams.stream(streams.DEVELOPMENT + 70).choice(n, size=min(25, n), replace=False)) if n else []
+    at = [(int(k), int(np.searchsorted(ends, k, "right"))) for k in pick]
+    drawn = F.broadcast(spark.createDataFrame([(parts[p]["part"], k - (int(ends[p - 1]) if p else 0) + 1) for k, p in at], "part long, rank int"))
+    ranked = keys.join(drawn.select("part").distinct(), "part", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")))
+    return orders.join(ranked.join(drawn, ["part", "rank"], "left_semi"), "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
 # ------------------------------------------------ labels, editions and text rules

@@ -125,10 +125,10 @@ def json_scalar(spark, d):
 
 @query("select event_id, strftime(ts - interval 1 hour, '%Y-%m-%d %H:%M:%S') back, strftime(ts, '%Y-%m-%d') as day from events where month(ts) = 1")
 def london_time(spark, d):
-    """UTC instants shown in London (winter: the same) and moved by an hour, as text."""
-    e = b.read(spark, d, "events").where(F.month("ts") == 1)
-    back = F.date_format(F.to_utc_timestamp(F.from_utc_timestamp("ts", "Europe/London"), "Europe/London") - F.expr("interval 1 hour"), "yyyy-MM-dd HH:mm:ss")
-    return e.select("event_id", back.alias("back"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    """UTC instants moved by an hour, and their days, shown in London (winter: the same; summer: an hour on), as text."""
+    shown = lambda t: F.from_utc_timestamp(t, "Europe/London")
+    back = F.date_format(shown(F.col("ts") - F.expr("interval 1 hour")), "yyyy-MM-dd HH:mm:ss")
+    return b.read(spark, d, "events").select("event_id", back.alias("back"), F.date_format(shown("ts"), "yyyy-MM-dd").alias("day"))
 
 
 @query("select doc_id, sha256(text) sha from documents")

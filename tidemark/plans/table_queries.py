@@ -169,7 +169,10 @@ def set_difference(spark, d):
 
 @query("select r.i as missing from (select unnest(range(0, 20000)) i) r where not exists (select 1 from orders where o_orderkey = r.i)")
 def missing_coordinates(spark, d):
-    return spark.range(20000).select(F.col("id").alias("missing")).join(b.read(spark, d, "orders").select(F.col("o_orderkey").alias("missing")), "missing", "left_anti")
+    """Planned ids, 0 to the largest key and 0 to 19,999 at least, that have no order."""
+    keys = b.read(spark, d, "orders").select(F.col("o_orderkey").alias("missing"))
+    top = keys.agg(F.max("missing")).first()[0]
+    return spark.range(max(20000, (top or 0) + 1)).select(F.col("id").alias("missing")).join(keys, "missing", "left_anti")
 
 
 @query("select distinct year(o_orderdate) as year from orders intersect select distinct year(l_shipdate) from lineitem")
