@@ -4,7 +4,9 @@ Items are partitioned by size (shingles, up to 16, 32, 64, ...).  For a partitio
 blocks of s shingles, and every two neighbouring blocks form a window: an item that lies in the text lies in a window,
 however long the document, so the similarity of item and window is at least a quarter of the containment.  Windows and
 items meet if any of HASHES minima agree (one row to a band); with containment 0.8 a pair is missed with a chance of
-about one in a million.  Each candidate is then verified by the item's shingles in the whole document.
+about one in a million.  Items of at most EXACT distinct shingles would rarely have the minimum of a window; they are
+looked up by each of their shingles instead, which misses none.  Each candidate is then verified by the item's shingles
+in the whole document.
 
 The items are held by every task.  Their size is measured first; beyond ITEM_BYTES they are handled in blocks of that
 size, each against all documents.  Rows and ids: null or blank texts contain nothing and are contained in nothing; a
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _common as c
 
-HASHES, LEAST = 64, 16
+HASHES, LEAST, EXACT = 64, 16, 8
 ITEM_BYTES = 16 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(606)).integers(1, 1 << 62, (2, HASHES), dtype=np.int64).astype(np.uint64)
 
@@ -49,8 +51,15 @@ class ItemIndex:
         sets, row = c.row_sets(sh, at)
         self.ids, self.sets = ids, [sets[a:b] for a, b in zip(row[:-1], row[1:])]
         of: dict[int, list[int]] = {}
+        short = [i for i, s in enumerate(self.sets) if 0 < len(s) <= EXACT]
+        owner = np.repeat(np.array(short, np.int64), [len(self.sets[i]) for i in short])
+        known = np.concatenate([self.sets[i] for i in short]) if short else np.zeros(0, np.uint64)
+        order = np.argsort(known, kind="stable")
+        self.probes, self.owners = known[order], owner[order]
+        self.near = np.zeros(1 << 16, bool)
+        self.near[(self.probes >> np.uint64(48)).astype(np.int64)] = True
         for i, s in enumerate(self.sets):
-            if len(s):
+            if len(s) > EXACT:
                 of.setdefault(max(LEAST, 1 << (int(at[i + 1] - at[i]) - 1).bit_length()), []).append(i)
         self.parts = []
         for size in sorted(of):
@@ -67,7 +76,7 @@ class ItemIndex:
 
     def search(self, shingles: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) of all pairs with shared >= least * the item's shingles."""
-        if not self.parts or not len(shingles):
+        if not len(shingles):
             return []
         rows = np.flatnonzero(np.diff(at) > 0)
         begin, count = at[rows], np.diff(at)[rows]
@@ -86,8 +95,8 @@ class ItemIndex:
                 size *= 2
                 if layout[-1][4] is not None:
                     break
-        found: set[tuple[int, int]] = set()
-        for j in range(HASHES):
+        found = self._short(shingles, begin, least)
+        for j in range(HASHES if self.parts else 0):
             low = None
             for _, starts, first, blocks, part in layout:
                 low = _minima(j, shingles, starts) if low is None else np.minimum.reduceat(low, starts)
@@ -113,6 +122,29 @@ class ItemIndex:
         return out
 
 
+    def _short(self, shingles: np.ndarray, begin: np.ndarray, least: float) -> set[tuple[int, int]]:
+        """(row of `begin`, item) of all short items that have enough of their shingles there."""
+        if not len(self.probes):
+            return set()
+        at = np.flatnonzero(self.near[(shingles >> np.uint64(48)).astype(np.int64)])
+        a, b = np.searchsorted(self.probes, shingles[at], "left"), np.searchsorted(self.probes, shingles[at], "right")
+        at, a, b = at[a < b], a[a < b], b[a < b]
+        if not len(at):
+            return set()
+        # each shingle of a row once: repeats add nothing
+        row = np.searchsorted(begin, at, "right") - 1
+        seen = np.lexsort((a, row))
+        new = np.ones(len(seen), bool)
+        new[1:] = (row[seen][1:] != row[seen][:-1]) | (a[seen][1:] != a[seen][:-1])
+        row, a, b = row[seen][new], a[seen][new], b[seen][new]
+        n = b - a
+        item = self.owners[np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        pairs, shared = np.unique(np.repeat(row, n) * len(self.sets) + item, return_counts=True)
+        row, item = pairs // len(self.sets), pairs % len(self.sets)
+        enough = shared >= least * np.array([len(s) for s in self.sets])[item]
+        return set(zip(row[enough].tolist(), item[enough].tolist()))
+
+
 def _blocks(items: DataFrame, key: str, text: str):
     """The item index, block by block; one block where the items are small."""
     items = items.select(F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
