@@ -132,3 +132,16 @@ def test_replicates_resume(spark):
     done = first.where("replicate < 2")
     again = simulate.replicates(spark, [1.0, 1.6], 3, 19, done=done)
     assert sorted(map(str, again.collect())) == sorted(map(str, first.where("replicate >= 2").collect()))
+
+
+def test_units_spread_over_tasks(spark):
+    rows = spark.range(64).select(F.col("id").cast("string").alias("sid"))
+
+    def where(row):
+        from pyspark import TaskContext
+
+        yield {"sid": row["sid"], "task": TaskContext.get().partitionId()}
+
+    got = simulate.each(rows, where, "sid string, task int").collect()
+    tasks = [r.task for r in got]
+    assert len(got) == 64 and len(set(tasks)) >= 2 * spark.sparkContext.defaultParallelism and max(map(tasks.count, tasks)) <= 10

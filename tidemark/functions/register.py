@@ -50,7 +50,7 @@ class SurrogatePaths:
 
         null = ar.null_model(np.asarray(x, float))
         if null is not None:
-            for k, p in enumerate(ar.surrogates(null, streams.stream(stream, cell), count)):
+            for k, p in enumerate(null.draw(streams.stream(stream, cell), count)[:, :, 0]):
                 yield k, p.tolist()
 
 

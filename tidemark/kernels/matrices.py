@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from tidemark.kernels import ar
+from tidemark.kernels.paths import Null
+
 
 # ------------------------------------------------ VAR(2)
 def var2(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,60 +45,27 @@ def rolling_var2(x: np.ndarray, window: int = 40) -> tuple[np.ndarray, ...]:
     return var2(np.ascontiguousarray(np.swapaxes(np.lib.stride_tricks.sliding_window_view(x, window, axis=0), 1, 2)))
 
 
-def var_surrogates(x: np.ndarray, rng: np.random.Generator, count: int, kind: str = "residual") -> np.ndarray | None:
-    """Paths (count, n, k) of the fitted null with jointly resampled residual vectors; None unless strictly stable."""
+def var_null(x: np.ndarray) -> Null | None:
+    """The full-sample VAR(2), where it is strictly stable."""
     c, a1, a2, m = var2(x[None])
-    if not m[0] < 1:
-        return None
-    c, a1, a2 = c[0], a1[0], a2[0]
-    r = x[2:] - c - x[1:-1] @ a1.T - x[:-2] @ a2.T
-    r = r - r.mean(0)
-    n = len(r)
-    if kind == "residual":
-        e = r[np.stack([rng.integers(0, n, size=n) for _ in range(count)])]
-    else:
-        e = r * (2 * np.stack([rng.integers(0, 2, size=n) for _ in range(count)]) - 1)[:, :, None]
-    out = np.empty((count, n + 2, x.shape[1]))
-    out[:, :2] = x[:2]
-    for t in range(n):
-        out[:, t + 2] = c + out[:, t + 1] @ a1.T + out[:, t] @ a2.T + e[:, t]
-    return out
+    return Null(x, c[0], [a1[0], a2[0]]) if m[0] < 1 else None
+
+
+def _var_values(paths: np.ndarray, window: int, **_):
+    """Spectral radius, and the first variable's autocorrelation, of the window that ends at a position."""
+    lag1 = ar.windowed(paths, window)
+    view = np.lib.stride_tricks.sliding_window_view(paths, window, axis=1)
 
+    def value(metric, row, at):
+        return lag1(metric, row, at) if metric == "lag1" else var2(np.swapaxes(view[row, at + 1 - window], 1, 2))[3]
 
-def var_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, window=40, lookback=8, merge=8, least=2, kind="residual", onsets=None, chunk=200, span=16, fixed=False, metrics=("primary",)) -> list[dict]:
-    """Rows of the observed statistic (number -1) and of every surrogate attempt, by metric: change and trend of the
-    spectral radius before onsets of the first variable, and change of that variable's autocorrelation; only the
-    windows that a statistic needs are fitted, in one batch a chunk.  A metric without an observed value draws nothing."""
-    from tidemark.kernels import ar
-
-    def measure(paths, dates):
-        need, lags, plan = [], [], []
-        for b, path in enumerate(paths):
-            ts = [t for t, _ in ar.episodes(path[:, 0], least, merge)] if dates is None else dates
-            steps = {}
-            for m in metrics:
-                to, least_t = (lags if m == "lag1" else need), window + span - 1 if m == "trend" else window + lookback
-                steps[m] = []
-                for t in (t for t in ts if t >= least_t):
-                    at = range(t - span, t) if m == "trend" else (t - 1, t - 1 - lookback)
-                    steps[m].append((t, slice(len(to), len(to) + len(at))))
-                    to += [(b, p) for p in at]
-            plan.append(steps)
-        cut = lambda at: paths[at[:, 0][:, None], at[:, 1][:, None] - window + 1 + np.arange(window)]
-        radii = var2(cut(np.array(need)))[3] if need else np.zeros(0)
-        auto = ar.lag1(cut(np.array(lags))[:, :, 0]) if lags else np.zeros(0)
-        return [{m: ar.record(m, auto if m == "lag1" else radii, steps[m]) for m in metrics} for steps in plan]
-
-    seen = measure(x[None], onsets)[0]
-    rows = [{"metric": m, "number": -1, **seen[m]} for m in metrics]
-    wanted = [m for m in metrics if seen[m]["status"] == "retained"]
-    dates = onsets if onsets is not None else seen["primary"]["onsets"] if fixed else None
-    for lo in range(0, B if wanted else 0, chunk):
-        paths = var_surrogates(x, rng, min(chunk, B - lo), kind)
-        if paths is None:
-            return rows + [{"metric": m, "number": -2, "status": "null_model_failed", "value": None, "onsets": [], "parts": [], "error": "the full-sample fit is not strictly stable"} for m in wanted]
-        rows += [{"metric": m, "number": lo + k, **r[m]} for k, r in enumerate(measure(paths, dates)) for m in wanted]
-    return rows
+    return value
+
+
+def var_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, metrics=("primary",), **opts) -> list[dict]:
+    """The surrogate test of a VAR(2)'s spectral radius before onsets of the first variable; residual vectors are
+    resampled jointly."""
+    return ar.surrogate_test(x, lambda: var_null(x), _var_values, rng, B, metrics, **({"chunk": 200} | opts))
 
 
 def roots_stable(coefficients: np.ndarray) -> tuple[bool, float]:
@@ -105,24 +75,54 @@ def roots_stable(coefficients: np.ndarray) -> tuple[bool, float]:
 
 
 # ------------------------------------------------ state space
-def kalman(y: np.ndarray, z: np.ndarray, h: float, q: np.ndarray, a: np.ndarray, p: np.ndarray, burn: int = 0) -> dict:
-    """Filter y[t] = z[t] b[t] + noise (variance h), b a random walk (variances q), by square-root (QR) updates."""
-    k = z.shape[1]
-    s, a = np.linalg.cholesky(p), a.astype(float).copy()
-    root_q, root_h = np.diag(np.sqrt(q)), np.sqrt(h)
-    states, errors, variances, loglik = np.empty((len(y), k)), np.empty(len(y)), np.empty(len(y)), 0.0
-    for t in range(len(y)):
-        pre = np.zeros((k + 1, k + 1))
-        pre[0, 0], pre[0, 1:], pre[1:, 1:] = root_h, z[t] @ s, s
-        post = np.linalg.qr(pre.T, mode="r").T
-        f, gain, s = post[0, 0], post[1:, 0], post[1:, 1:]
-        v = y[t] - z[t] @ a
-        a = a + gain * v / f
-        states[t], errors[t], variances[t] = a, v, f * f
-        if t >= burn:
-            loglik -= 0.5 * (np.log(2 * np.pi * f * f) + v * v / (f * f))
-        s = np.linalg.qr(np.concatenate([s, root_q], 1).T, mode="r").T
-    return {"states": states, "errors": errors, "variances": variances, "loglik": float(loglik)}
+def factored(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit upper-triangular U and diagonal d with p = U diag(d) U'; a zero pivot has a zero column."""
+    p, k = np.array(p, float), len(p)
+    u, d = np.eye(k), np.zeros(k)
+    for j in reversed(range(k)):
+        if p[j, j] < -1e-12 * max(1.0, abs(p).max()):
+            raise ValueError("a covariance is positive semidefinite")
+        d[j] = max(p[j, j], 0.0)
+        if d[j]:
+            u[:j, j] = p[:j, j] / d[j]
+            p[:j, :j] -= d[j] * np.outer(u[:j, j], u[:j, j])
+    return u, d
+
+
+def state_filter(y: np.ndarray, z: np.ndarray, t: np.ndarray, q: np.ndarray, h: float, mean: np.ndarray, spread: np.ndarray, burn: int = 0) -> dict:
+    """Filter y[i] = z[i] b[i] + noise of variance h, b[i+1] = t b[i] + noise of covariance q, from b[0] of this mean and
+    covariance: filtered states, prediction errors and variances, and the log likelihood from observation `burn` on.
+    The covariance is carried as U D U': observations by scalar steps over its columns, moves by weighted
+    orthogonalisation of the rows of [t U, U_q]."""
+    k, n = z.shape[1], len(y)
+    if not h > 0 or not (np.isfinite(y).all() and np.isfinite(z).all()):
+        raise ValueError("observations are finite, and their noise has a positive variance")
+    (u, d), (uq, dq) = factored(spread), factored(q)
+    b = np.array(mean, float)
+    states, errors, variances = np.empty((n, k)), np.empty(n), np.empty(n)
+    for i in range(n):
+        load = z[i] @ u
+        gains = d * load
+        total = h + np.concatenate([[0.0], np.cumsum(load * gains)])
+        errors[i], variances[i] = y[i] - z[i] @ b, total[-1]
+        direction = np.zeros(k)
+        new = u.copy()
+        for j in range(k):
+            new[:, j] = u[:, j] - direction * load[j] / total[j]
+            direction = direction + u[:, j] * gains[j]
+        u, d = new, d * total[:-1] / total[1:]
+        b = b + direction * (errors[i] / total[-1])
+        states[i] = b
+        b = t @ b
+        rows, weight = np.concatenate([t @ u, uq], 1), np.concatenate([d, dq])
+        u, d = np.eye(k), np.zeros(k)
+        for j in reversed(range(k)):
+            d[j] = (rows[j] ** 2 * weight).sum()
+            if d[j]:
+                u[:j, j] = rows[:j] @ (rows[j] * weight) / d[j]
+                rows[:j] -= u[:j, j, None] * rows[j]
+    e, f = errors[burn:], variances[burn:]
+    return {"states": states, "errors": errors, "variances": variances, "loglik": float(-0.5 * (np.log(2 * np.pi * f) + e * e / f).sum())}
 
 
 #: Prior variance of the coefficients of the time-varying model.
@@ -130,59 +130,34 @@ DIFFUSE = 1e8
 
 
 def tv_ar2(x: np.ndarray, r1: float, r2: float, burn: int = 3) -> tuple[np.ndarray, float, float]:
-    """Time-varying AR(2): filtered coefficients, noise variance and log likelihood with the variance concentrated out.
-    Intercept fixed, both lags random walks with variance ratios r1, r2."""
-    y, z = x[2:], np.stack([np.ones(len(x) - 2), x[1:-1], x[:-2]], 1)
-    out = kalman(y, z, 1.0, np.array([0.0, r1, r2]), np.zeros(3), DIFFUSE * np.eye(3), burn)
-    v, f = out["errors"][burn:], out["variances"][burn:]
-    sigma2 = float((v * v / f).mean())
-    n = len(v)
-    return out["states"], sigma2, float(-0.5 * (n * np.log(2 * np.pi * sigma2) + np.log(f).sum() + n))
+    """Time-varying AR(2): filtered (intercept, phi1, phi2), noise variance and log likelihood with the variance
+    concentrated out.  Intercept fixed, both lags random walks with variance ratios r1, r2."""
+    ll, states, noise = tv_filters(np.asarray(x, float)[None], np.array([[r1]]), np.array([[r2]]), burn, states=True)
+    return states[:, :, 0, 0], float(noise[0, 0]), float(ll[0, 0])
 
 
 GRID = np.concatenate([[0.0], 10.0 ** np.linspace(-8, -1, 15)])
 
 
-def fit_tv_ar2(x: np.ndarray, grid: np.ndarray = GRID, refine: int = 25) -> dict:
-    """Grid of variance ratios, best point (ties: smaller ratios), then a bounded search on log ratios by coordinate
-    golden sections; accepted only if it is no worse."""
-    best = (-np.inf, 0.0, 0.0)
-    for r1 in grid:
-        for r2 in grid:
-            ll = tv_ar2(x, r1, r2)[2]
-            if ll > best[0] or (ll == best[0] and (r1 + r2, r1) < (best[1] + best[2], best[1])):
-                best = (ll, float(r1), float(r2))
-    ll, point = best[0], [best[1], best[2]]
-    for axis in (0, 1, 0, 1):
-        if point[axis] == 0:
-            continue
-        lo, hi = max(-10.0, np.log10(point[axis]) - 0.5), min(0.0, np.log10(point[axis]) + 0.5)
-        for _ in range(refine):
-            a, b = lo + 0.382 * (hi - lo), lo + 0.618 * (hi - lo)
-            at = lambda u: tv_ar2(x, *(10**u if i == axis else point[i] for i in (0, 1)))[2]  # noqa: B023, E731
-            if at(a) >= at(b):
-                hi = b
-            else:
-                lo = a
-        new = list(point)
-        new[axis] = 10 ** ((lo + hi) / 2)
-        got = tv_ar2(x, *new)[2]
-        if got >= ll:
-            ll, point = got, new
-    states, sigma2, ll = tv_ar2(x, *point)
-    return {"r1": point[0], "r2": point[1], "loglik": ll, "grid_loglik": best[0], "sigma2": sigma2, "states": states}
+def fit_tv_ar2(x: np.ndarray) -> dict:
+    """One series' variance ratios by likelihood (see fit_tv_many), and its filtered states there."""
+    x = np.asarray(x, float)
+    r1, r2, ll, top = fit_tv_many(x[None])
+    states, noise, ll = tv_ar2(x, r1[0], r2[0])
+    return {"r1": float(r1[0]), "r2": float(r2[0]), "loglik": ll, "grid_loglik": float(top[0]), "sigma2": noise, "states": states}
 
 
 def tv_filters(x: np.ndarray, r1: np.ndarray, r2: np.ndarray, burn: int = 3, states: bool = False):
     """Log likelihoods (m, g) of `tv_ar2` for paths x (m, n) at ratios r1, r2 (m, g), all filters at once in factored
-    form (P = U D U'); with `states` also both lag coefficients (n - 2, m, g).  A failed filter is NaN."""
+    form (P = U D U'); with `states` also the filtered (intercept, phi1, phi2), (n - 2, 3, m, g), and the noise variance.
+    A failed filter is NaN."""
     m, n = x.shape
     r1, r2 = (np.broadcast_to(np.asarray(r, float), (m, np.shape(r)[-1])) for r in (r1, r2))
     zero = np.zeros(r1.shape)
     u01, u02, u12, a0, a1, a2 = zero, zero, zero, zero, zero, zero
     d0 = d1 = d2 = np.full(r1.shape, DIFFUSE)
     logs, squares = zero, zero
-    kept = np.empty((n - 2, 2, *r1.shape)) if states else None
+    kept = np.empty((n - 2, 3, *r1.shape)) if states else None
     with np.errstate(all="ignore"):
         for t in range(2, n):
             z1, z2 = x[:, t - 1, None], x[:, t - 2, None]
@@ -201,7 +176,7 @@ def tv_filters(x: np.ndarray, r1: np.ndarray, r2: np.ndarray, burn: int = 3, sta
             if t - 2 >= burn:
                 logs, squares = logs + np.log(e2), squares + v * k
             if states:
-                kept[t - 2] = a1, a2
+                kept[t - 2] = a0, a1, a2
             p2 = d2 + r2  # the step of the random walks, by weighted Gram-Schmidt
             u12, u02 = n12 * d2 / p2, n02 * d2 / p2
             c1, c0 = n12 - u12, n02 - u02
@@ -212,17 +187,20 @@ def tv_filters(x: np.ndarray, r1: np.ndarray, r2: np.ndarray, burn: int = 3, sta
         count = n - 2 - burn
         ll = -0.5 * (count * np.log(2 * np.pi * squares / count) + logs + count)
     ll = np.where(np.isfinite(ll), ll, np.nan)
-    return (ll, kept) if states else ll
+    return (ll, kept, squares / count) if states else ll
 
 
-def fit_tv_many(x: np.ndarray, refine: int = 25, chunk: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ratios r1, r2 and log likelihood of every path, by the steps of `fit_tv_ar2`; NaN where all points fail."""
+def fit_tv_many(x: np.ndarray, refine: int = 25, chunk: int = 16) -> tuple[np.ndarray, ...]:
+    """Ratios r1, r2, log likelihood and the grid's best log likelihood of every path: the best point of the grid (ties:
+    smaller ratios), then a bounded search on the log ratios by golden sections, axis by axis, taken only if it is no
+    worse; NaN where all points fail."""
     r1, r2 = (g.ravel()[None] for g in np.meshgrid(GRID, GRID, indexing="ij"))
     order = np.lexsort((r1[0], r1[0] + r2[0]))  # the first of equals has the smaller ratios
     r1, r2 = r1[:, order], r2[:, order]
     grid = np.concatenate([tv_filters(x[lo : lo + chunk], r1, r2) for lo in range(0, len(x), chunk)])
     at = np.where(np.isnan(grid), -np.inf, grid).argmax(1)
-    ll, point = grid[np.arange(len(x)), at], np.stack([r1[0, at], r2[0, at]])
+    top = grid[np.arange(len(x)), at]
+    ll, point = top.copy(), np.stack([r1[0, at], r2[0, at]])
     for axis in (0, 1, 0, 1):
         free = point[axis] > 0
         log = np.log10(np.where(free, point[axis], 1.0))
@@ -241,54 +219,31 @@ def fit_tv_many(x: np.ndarray, refine: int = 25, chunk: int = 16) -> tuple[np.nd
         better = got >= ll[free]
         where = np.flatnonzero(free)[better]
         ll[where], point[axis, where] = got[better], 10 ** mid[better, 0]
-    return point[0], point[1], ll
+    return point[0], point[1], ll, top
 
 
 TV_METRICS = ("primary", "held_fixed", "trend")
 
 
-def tv_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, first=39, lookback=8, merge=8, least=2, span=16, kind="residual", fixed=False, metrics=TV_METRICS, chunk=250) -> list[dict]:
-    """Surrogate test of the filtered modulus of the time-varying AR(2): every path's variance ratios by likelihood
-    (primary, trend), or those of the series itself (held_fixed).  Rows as those of `ar.csd_test`."""
-    from tidemark.kernels import ar
-
-    def measure(paths, dates, held):
-        found = [[t for t, _ in ar.episodes(p, least, merge)] if dates is None else dates for p in paths]
-        due = np.array([any(t > first + lookback for t in ts) for ts in found])
-        moduli = {m: np.full(paths.shape, np.nan) for m in ("own", "held")}
-        ratios = None
-        if due.any():
-            r1, r2, _ = fit_tv_many(paths[due])
-            ratios = np.stack([r1, r2])
-            if held is None:
-                held = ratios[:, 0]
-            for name, (p, q) in {"own": ratios[:, :, None], "held": np.broadcast_to(held[:, None, None], (2, int(due.sum()), 1))}.items():
-                _, states = tv_filters(paths[due], p, q, states=True)
-                moduli[name][due, first:] = ar.modulus(states[first - 2 :, 0, :, 0], states[first - 2 :, 1, :, 0]).T
-        out = []
-        for k, ts in enumerate(found):
-            got = {}
-            for m in metrics:
-                ok = [t for t in ts if t >= (first + span if m == "trend" else first + lookback + 1)]
-                at = [list(range(t - span, t)) if m == "trend" else [t - 1, t - 1 - lookback] for t in ok]
-                values = moduli["held" if m == "held_fixed" else "own"][k][np.array(at, int).ravel()] if ok else np.zeros(0)
-                w = len(at[0]) if at else 0
-                got[m] = ar.record(m, values, [(t, slice(i * w, i * w + w)) for i, t in enumerate(ok)])
-            out.append(got)
-        return out, held
-
+def tv_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, metrics=TV_METRICS, first: int = 39, **opts) -> list[dict]:
+    """The surrogate test of the filtered modulus of the time-varying AR(2), from position `first` on: every path's
+    variance ratios by likelihood (primary, trend), or those of the series itself (held_fixed)."""
     x = np.asarray(x, float)
-    (seen,), held = measure(x[None], None, None)
-    rows = [{"metric": m, "number": -1, **seen[m]} for m in metrics]
-    wanted = [m for m in metrics if seen[m]["status"] == "retained"]
-    null = ar.null_model(x) if wanted else None
-    if wanted and null is None:
-        return rows + [{"metric": m, "number": -2, "status": "null_model_failed", "value": None, "onsets": [], "parts": [], "error": "the full-sample fit is not strictly stable"} for m in wanted]
-    dates = seen["primary"]["onsets"] if fixed else None
-    for lo in range(0, B if wanted else 0, chunk):
-        paths = ar.surrogates(null, rng, min(chunk, B - lo), kind)
-        rows += [{"metric": m, "number": lo + k, **r[m]} for k, r in enumerate(measure(paths, dates, held)[0]) for m in wanted]
-    return rows
+    held: list = []
+
+    def values(paths, due, **_):
+        paths = paths[:, :, 0]
+        moduli = {name: np.full(paths.shape, np.nan) for name in ("own", "held")}
+        if len(due):
+            own = np.stack(fit_tv_many(paths[due])[:2])
+            if not held:  # the observed series comes first
+                held.extend(own[:, 0])
+            for name, (p, q) in {"own": own[:, :, None], "held": np.broadcast_to(np.array(held)[:, None, None], (2, len(due), 1))}.items():
+                states = tv_filters(paths[due], p, q, states=True)[1]
+                moduli[name][due, first:] = ar.modulus(states[first - 2 :, 1, :, 0], states[first - 2 :, 2, :, 0]).T
+        return lambda metric, row, at: moduli["held" if metric == "held_fixed" else "own"][row, at]
+
+    return ar.surrogate_test(x[:, None], lambda: ar.null_model(x), values, rng, B, metrics, window=first + 1, **opts)
 
 
 def local_level(y: np.ndarray, grid=np.logspace(-4, 3, 29), refine: int = 40) -> dict:
@@ -297,7 +252,7 @@ def local_level(y: np.ndarray, grid=np.logspace(-4, 3, 29), refine: int = 40) ->
     no level noise (ratio 0) and no observation noise (ratio infinite), of which the grid gives only neighbours."""
 
     def at(h, q):
-        out = kalman(y, np.ones((len(y), 1)), h, np.array([q]), np.array([y[0]]), np.eye(1) * 1e6, 1)
+        out = state_filter(y, np.ones((len(y), 1)), np.eye(1), np.array([[q]]), max(h, 1e-300), y[:1], np.eye(1) * 1e6, 1)
         v, f = out["errors"][1:], out["variances"][1:]
         s2 = float((v * v / f).mean())
         ll = float(-0.5 * (len(v) * np.log(2 * np.pi * s2) + np.log(f).sum() + len(v)))

@@ -22,7 +22,8 @@ def packed(series: DataFrame, *values: str, sid: str = "sid", pos: str = "pos")
 
 
 def each(rows: DataFrame, f: Callable[[dict], Iterator[dict]], schema: str, key: str | None = "sid") -> DataFrame:
-    """f on every row, in Arrow batches; dealt by key first, so that units spread over the cluster."""
+    """f on every row, in Arrow batches; dealt by key first, into a number of partitions that is given, so that small rows
+    of long work are not merged into one task at run time."""
     out = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -30,7 +31,11 @@ def each(rows: DataFrame, f: Callable[[dict], Iterator[dict]], schema: str, key:
             got = [r for row in b.to_dict("records") for r in f(row)]
             yield pd.DataFrame(got, columns=out)
 
-    return (rows.repartition(key) if key else rows).mapInPandas(run, schema)
+    if key:
+        spark = rows.sparkSession
+        width = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartition(width, key)
+    return rows.mapInPandas(run, schema)
 
 
 ATTEMPTS = "sid string, analysis string, number int, status string, statistic double, observed double, onsets array<int>, parts array<double>, error string"
