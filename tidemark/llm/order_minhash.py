@@ -1,18 +1,23 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-A text is a sequence of tokens (runs of up to 24 characters other than white space); its k-mers are three tokens in a
-row (all tokens of a shorter text), numbered by occurrence so that repeats differ.  Each of TUPLES components takes the
-minimal k-mers under two independent hash functions, puts them in text order and hashes the pair: the component agrees
-for two texts if both k-mers are shared *and* stand in the same order, which follows edit distance where a plain
-MinHash sees only the sets.  The fingerprint is the hex of all components; likeness is the share of equal ones.
-
-Plan: tokens are hashed and sorted inside the row (equal k-mers of a text become neighbours, which numbers them), then
-exploded and folded by one hash aggregate of long minima.  Rows are dealt once, by ranges of id, which also serves the
-next document's text and fingerprint and the aggregate; no second shuffle of text.
-
-Edge cases: null text is empty; an empty text has one empty k-mer, so all empty texts share a fingerprint; a null id
-sorts last in descending order and is shown as null; rows that repeat an id follow each other, in order of a hash of
-the text; the next document of the last is the first, of a single document itself; other columns are ignored.
+A text's k-mers are its runs of K characters (a shorter text is one k-mer), numbered by occurrence so that repeats
+differ.  Each of TUPLES hash functions puts the numbered k-mers into an order of its own; the two smallest are taken,
+set in text order and hashed together.  A component agrees for two texts if both k-mers are shared *and* stand in the
+same order, which follows edit distance where a plain MinHash sees only sets.  The fingerprint is the hex of all
+components; likeness is the share of equal ones.
+
+The hash functions are one 34-bit hash turned by evenly spaced steps, h_j(x) = h(x) - j * 2**64 / TUPLES (modulo 2**64).
+Each h_j is as uniform as h, and its smallest values are the next ones behind a point of the sorted hashes, so a text is
+sorted once and each component is a binary search, not a pass over all k-mers.  Components of a text with few k-mers
+repeat each other; likeness keeps its mean, with a larger spread.
+
+Plan: everything is computed inside the row, a text's array of hashes at a time (eight bytes a character).  Rows are
+dealt once, by ranges of id, which also serves the next document's text and fingerprint; no second shuffle of text.
+
+Edge cases: null text is empty; an empty text has one empty k-mer, so all empty texts share a fingerprint; white space
+counts like any character, and text without it is treated alike; a null id sorts last in descending order and is shown
+as null; rows that repeat an id follow each other, in order of a hash of the text; the next document of the last is the
+first, of a single document itself; a text of up to 2**30 characters keeps all its k-mers; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,55 +28,52 @@ from pyspark.sql import functions as F
 from tidemark.llm import _common as c
 
 TUPLES = 32
-K = 3
-TOKEN = r"\S{1,24}"
-_POS = 31
+K = 8
+#: Characters of a piece in which k-mers are cut: finding a character costs its distance from the piece's start.
+PIECE = 64
+#: The low bits of a hash hold the k-mer's place.
+_PLACE = (1 << 30) - 1
+_NAME = ~_PLACE
 
 
-def _below(values: Column, size: Column, x: Column, keep) -> Column:
-    """How many leading entries y of a sorted array satisfy keep(y, x): binary search by falling powers of two.  What
-    the search needs of the row goes through its state: constraints that Catalyst infers don't see columns in lambdas."""
-    powers = F.array(*(F.lit(1 << b).cast("int") for b in range(26, -1, -1)))
-    state = lambda d, x, size: F.struct(d.alias("d"), x.alias("x"), size.alias("n"))
+def _below(values: Column, size: Column, x: Column) -> Column:
+    """How many entries of a sorted array of longs are smaller than x: binary search by falling powers of two."""
+    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0)), lambda b: F.lit(2.0) ** b)
 
-    def step(a, b):
-        far = a["d"] + b
-        return state(F.when((far <= a["n"]) & keep(F.get(values, (far - 1).cast("int")), a["x"]), far).otherwise(a["d"]), a["x"], a["n"])
+    def step(d, power):
+        far = d + power.cast("int")
+        return F.when((far <= size) & (F.get(values, far - 1) < x), far).otherwise(d)
 
-    return F.aggregate(powers, state(F.lit(0), x, size.cast("int")), step, lambda a: a["d"])
+    return F.aggregate(powers, F.lit(0), step)
 
 
-def minima(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and m0..m(2*TUPLES-1) for each row: the minimal hash of each function with its place in the text.  Rows must
-    differ in keys."""
-    hashes = F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    rows = rows.select(*keys, hashes.alias("h"))
-    span = F.sequence(F.lit(0), F.greatest(F.size("h") - K, F.lit(0)))
-    gram = lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(K)))
-    packed = F.transform(span, lambda i: F.shiftleft(gram(i).bitwiseAND(F.lit((1 << 33) - 1)), 30).bitwiseOR(i.cast("long")))
-    rows = rows.select(*keys, F.sort_array(packed).alias("s"))
-    name = lambda v: F.shiftright(v, 30)
+def signed(rows: DataFrame, text: str, into: str, keep: list[str]) -> DataFrame:
+    """The columns to keep, and `into`: the components of the text as an array of longs."""
+    # pieces of PIECE k-mers each: the last K - 1 characters of a piece are the next one's first
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{K},{PIECE + K - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    rows = rows.withColumn("_c", cut).withColumn("_c", F.when(F.size("_c") == 0, F.array(text)).otherwise(F.col("_c")))
 
-    def numbered(v, j):
-        start = _below(F.col("s"), j, name(v), lambda y, x: name(y) < x)
-        number = F.when((j > 0) & (name(F.get("s", j - 1)) == name(v)), j - start).otherwise(0)
-        return F.shiftleft(F.xxhash64(name(v), number).bitwiseAND(F.lit((1 << 33) - 1)), 30).bitwiseOR(v.bitwiseAND(F.lit((1 << 30) - 1)))
+    def hashes(piece, m):
+        first = m * PIECE
+        size = F.greatest(F.least(F.char_length(piece) - (K - 1), F.lit(PIECE)), F.lit(1))
+        return F.transform(F.sequence(first, first + size - 1), lambda p, j: F.xxhash64(F.substring(piece, j + 1, F.lit(K))).bitwiseAND(F.lit(_NAME)).bitwiseOR(p))
 
-    # numbered inside the array: an explode that kept the array would copy it for every token.  Outer: a plain explode
-    # would have Catalyst compute the array once more, to filter empty ones.
-    rows = rows.select(*keys, F.transform("s", numbered).alias("s"))
-    rows = rows.select(*keys, F.explode_outer("s").alias("v"))
-    rows = rows.select(*keys, name(F.col("v")).alias("x"), F.col("v").bitwiseAND(F.lit((1 << 30) - 1)).alias("p"))
-    value = lambda j: F.shiftleft(F.hash(F.lit(j), "x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("long"), _POS).bitwiseOR(F.col("p"))
-    return rows.groupBy(*keys).agg(*(F.min(value(j)).alias(f"m{j}") for j in range(2 * TUPLES)))
+    rows = rows.select(*keep, F.sort_array(F.flatten(F.transform("_c", hashes))).alias("_v"))
+    same = lambda x, j: F.get("_v", j).bitwiseXOR(x).bitwiseAND(F.lit(_NAME)) == 0
 
+    def numbered(x, j):
+        """Equal k-mers are neighbours, in text order: the first keeps its hash, others take their number into it."""
+        number = F.when(~F.coalesce(same(x, j - 2), F.lit(False)), 1).when(~F.coalesce(same(x, j - 3), F.lit(False)), 2).otherwise(j - _below(F.col("_v"), j, x.bitwiseAND(F.lit(_NAME))))
+        return F.when(same(x, j - 1), F.xxhash64(x.bitwiseAND(F.lit(_NAME)), number).bitwiseAND(F.lit(_NAME)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))).otherwise(x)
 
-def signature() -> Column:
-    """The components as an array of longs, from m0.. of minima()."""
-    place = lambda m: F.col(m).bitwiseAND(F.lit((1 << _POS) - 1))
-    name = lambda m: F.shiftright(F.col(m), _POS)
-    pair = lambda a, b: F.when(place(a) <= place(b), F.xxhash64(name(a), name(b))).otherwise(F.xxhash64(name(b), name(a)))
-    return F.array(*(pair(f"m{2 * t}", f"m{2 * t + 1}").bitwiseAND(F.lit(0xFFFFFFFF)) for t in range(TUPLES)))
+    rows = rows.select(*keep, F.sort_array(F.transform("_v", numbered)).alias("_s"))
+    size = F.size("_s")
+    points = F.array(*(F.lit(-(1 << 63) + (j << 64) // TUPLES) for j in range(TUPLES)))
+    found = F.transform(points, lambda x: _below(F.col("_s"), size, x))
+    pair = F.transform(found, lambda i: F.struct(F.get("_s", i % size).alias("a"), F.get("_s", (i + 1) % size).alias("b")))
+    place, name = (lambda x: x.bitwiseAND(F.lit(_PLACE))), (lambda x: x.bitwiseAND(F.lit(_NAME)))
+    tuple_ = lambda x, y: F.xxhash64(name(x), name(y)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return rows.select(*keep, F.transform(pair, lambda p: F.when(place(p["a"]) <= place(p["b"]), tuple_(p["a"], p["b"])).otherwise(tuple_(p["b"], p["a"]))).alias(into))
 
 
 def shown(sig: str) -> Column:
@@ -85,9 +87,8 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint of every row."""
-    rows = c.filled_id(docs, key, text).select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    return minima(rows, ["doc_id", "row"], "text").select(c.shown_id("doc_id").alias("doc_id"), signature().alias("sig")).select("doc_id", shown("sig").alias("fingerprint"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return signed(rows, "text", "sig", ["doc_id"]).select("doc_id", shown("sig").alias("fingerprint"))
 
 
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,8 +99,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n = 8 * c.shuffle_width(spark)  # many small ranges, so that their hashes fill the partitions evenly
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or []
     cuts = sorted(set(cuts))
-    edges = F.lit([*cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    part = _below(edges, F.lit(len(cuts)), F.col("doc_id"), lambda y, x: y <= x)
+    part = _below(F.lit(cuts).cast("array<bigint>"), F.lit(len(cuts)), F.col("doc_id") + 1) if cuts else F.lit(0)
     docs = docs.select(part.cast("int").alias("part"), "doc_id", F.xxhash64("text").alias("tie"), "text")
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc(), "tie")
     # the first document of each part: as many rows as parts
@@ -108,22 +108,18 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     head = c.written(head, "heads")
     below = F.lag("part").over(Window.orderBy("part"))
     follow = head.select("part", F.coalesce(below, F.max("part").over(Window.partitionBy())).alias("next"))
-    ends = minima(head.select(F.col("part").alias("next"), F.col("head").alias("t")), ["next"], "t").select("next", signature().alias("head_sig"))
-    ends = c.written(follow.join(head.withColumnRenamed("part", "next"), "next").join(ends, "next").drop("next"), "ends")
+    ends = signed(head.withColumnRenamed("part", "next"), "head", "head_sig", ["next", "head"])
+    ends = c.written(follow.join(ends, "next").drop("next"), "ends")
     rows = docs.withColumn("row", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
-    rows = rows.join(ends.select("part", "head"), "part").withColumn("next", F.coalesce("next", "head")).drop("head", "tie")
+    rows = rows.join(ends.select("part", "head"), "part").withColumn("next", F.coalesce("next", "head"))
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next", F.lit(1), half))
     rows = rows.select("part", "row", "doc_id", "text", size.cast("long").alias("n_chars"), edited.alias("edited"))
-    sha = F.sha2("edited", 256)
-    two = F.explode_outer(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    both = rows.select("part", "row", two.alias("v")).select("part", "row", "v.kind", "v.t")
-    sigs = minima(both, ["part", "row", "kind"], "t").select("part", "row", "kind", signature().alias("sig"))
-    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("sig")))
-    sigs = sigs.groupBy("part", "row").agg(pick(0).alias("own"), pick(1).alias("other"))
-    facts = rows.select("part", "row", "doc_id", "n_chars", sha.alias("edited_sha256"))
-    out = facts.join(sigs, ["part", "row"]).join(ends.select("part", "head_sig"), "part")
+    rows = signed(rows, "text", "own", ["part", "row", "doc_id", "n_chars", "edited"])
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = signed(rows, "edited", "other", ["part", "row", "doc_id", "n_chars", "edited_sha256", "own"])
+    out = rows.join(ends.select("part", "head_sig"), "part")
     out = out.withColumn("after", F.coalesce(F.lead("own").over(Window.partitionBy("part").orderBy("row")), "head_sig"))
     return out.select(
         c.shown_id("doc_id").alias("doc_id"), "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("other").alias("edited_fingerprint"),
