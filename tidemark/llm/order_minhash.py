@@ -38,44 +38,70 @@ _NAME = ~_PLACE
 
 def _below(values: Column, size: Column, x: Column) -> Column:
     """How many entries of a sorted array of longs are smaller than x: binary search by falling powers of two."""
-    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0)), lambda b: F.lit(2.0) ** b)
+    powers = F.slice(F.lit([1 << b for b in range(30, -1, -1)]), 31 - F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(31))
 
     def step(d, power):
-        far = d + power.cast("int")
+        far = d + power
         return F.when((far <= size) & (F.get(values, far - 1) < x), far).otherwise(d)
 
     return F.aggregate(powers, F.lit(0), step)
 
 
-def signed(rows: DataFrame, text: str, into: str, keep: list[str]) -> DataFrame:
-    """The columns to keep, and `into`: the components of the text as an array of longs."""
+def _range_of(cuts: list[int], x: Column) -> Column:
+    """The number of cuts up to x, by the same search.  x goes through the state: Catalyst infers join conditions from
+    this column, and overlooks columns that only a lambda names."""
+    if not cuts:
+        return F.lit(0)
+    powers = F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)))
+    state = lambda d, x: F.struct(d.alias("d"), x.alias("x"))
+
+    def step(a, power):
+        far = a["d"] + power
+        return state(F.when((far <= len(cuts)) & (F.get(F.lit(cuts).cast("array<bigint>"), far - 1) <= a["x"]), far).otherwise(a["d"]), a["x"])
+
+    return F.aggregate(powers, state(F.lit(0), x), step, lambda a: a["d"])
+
+
+def hashed(text: Column, first: Column) -> Column:
+    """The k-mers of a text in order, each as one long: the high bits of its hash, and its place counted from `first`."""
     # pieces of PIECE k-mers each: the last K - 1 characters of a piece are the next one's first
-    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{K},{PIECE + K - 1}}})).{{1,{PIECE}}}"), F.lit(1))
-    rows = rows.withColumn("_c", cut).withColumn("_c", F.when(F.size("_c") == 0, F.array(text)).otherwise(F.col("_c")))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{K},{PIECE + K - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    cut = F.when(F.char_length(text) < K, F.array(text)).otherwise(cut)
 
-    def hashes(piece, m):
-        first = m * PIECE
+    def one(piece, m):
+        at = first + m * PIECE
         size = F.greatest(F.least(F.char_length(piece) - (K - 1), F.lit(PIECE)), F.lit(1))
-        return F.transform(F.sequence(first, first + size - 1), lambda p, j: F.xxhash64(F.substring(piece, j + 1, F.lit(K))).bitwiseAND(F.lit(_NAME)).bitwiseOR(p))
+        return F.transform(F.sequence(at, at + size - 1), lambda p, j: F.xxhash64(F.substring(piece, j + 1, F.lit(K))).bitwiseAND(F.lit(_NAME)).bitwiseOR(p))
 
-    rows = rows.select(*keep, F.sort_array(F.flatten(F.transform("_c", hashes))).alias("_v"))
-    same = lambda x, j: F.get("_v", j).bitwiseXOR(x).bitwiseAND(F.lit(_NAME)) == 0
+    return F.flatten(F.transform(cut, one))
+
+
+def components(rows: DataFrame, hashes: str, into: str, keep: list[str]) -> DataFrame:
+    """The columns to keep, and `into`: the components of a text, from its k-mers (`hashes`), as an array of longs."""
+    name, place = (lambda x: x.bitwiseAND(F.lit(_NAME))), (lambda x: x.bitwiseAND(F.lit(_PLACE)))
+    rows = rows.select(*keep, F.sort_array(hashes).alias("_v"))
+    same = lambda x, j: name(F.get("_v", j).bitwiseXOR(x)) == 0
 
     def numbered(x, j):
         """Equal k-mers are neighbours, in text order: the first keeps its hash, others take their number into it."""
-        number = F.when(~F.coalesce(same(x, j - 2), F.lit(False)), 1).when(~F.coalesce(same(x, j - 3), F.lit(False)), 2).otherwise(j - _below(F.col("_v"), j, x.bitwiseAND(F.lit(_NAME))))
-        return F.when(same(x, j - 1), F.xxhash64(x.bitwiseAND(F.lit(_NAME)), number).bitwiseAND(F.lit(_NAME)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))).otherwise(x)
+        few = F.aggregate(F.lit([8, 4, 2, 1]), F.lit(2), lambda d, step: F.when(same(x, j - d - step), d + step).otherwise(d))
+        number = F.when(same(x, j - 2), F.when(same(x, j - 18), j - _below(F.col("_v"), j, name(x))).otherwise(few)).otherwise(1)
+        return F.when(same(x, j - 1), name(F.xxhash64(name(x), number)).bitwiseOR(place(x))).otherwise(x)
 
     rows = rows.select(*keep, F.sort_array(F.transform("_v", numbered)).alias("_s"))
     size = F.size("_s")
-    points = F.array(*(F.lit(-(1 << 63) + (j << 64) // TUPLES) for j in range(TUPLES)))
+    points = F.lit([-(1 << 63) + (j << 64) // TUPLES for j in range(TUPLES)]).cast("array<bigint>")
     found = F.transform(points, lambda x: _below(F.col("_s"), size, x))
     pair = F.transform(found, lambda i: F.struct(F.get("_s", i % size).alias("a"), F.get("_s", (i + 1) % size).alias("b")))
-    place, name = (lambda x: x.bitwiseAND(F.lit(_PLACE))), (lambda x: x.bitwiseAND(F.lit(_NAME)))
     tuple_ = lambda x, y: F.xxhash64(name(x), name(y)).bitwiseAND(F.lit(0xFFFFFFFF))
     return rows.select(*keep, F.transform(pair, lambda p: F.when(place(p["a"]) <= place(p["b"]), tuple_(p["a"], p["b"])).otherwise(tuple_(p["b"], p["a"]))).alias(into))
 
 
+def signed(rows: DataFrame, text: str, into: str, keep: list[str]) -> DataFrame:
+    """The columns to keep, and `into`: the components of the text."""
+    return components(rows.select(*keep, hashed(F.col(text), F.lit(0).cast("long")).alias("_h")), "_h", into, keep)
+
+
 def shown(sig: str) -> Column:
     return F.concat_ws("", F.transform(F.col(sig), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")))
 
@@ -99,8 +125,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n = 8 * c.shuffle_width(spark)  # many small ranges, so that their hashes fill the partitions evenly
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or []
     cuts = sorted(set(cuts))
-    part = _below(F.lit(cuts).cast("array<bigint>"), F.lit(len(cuts)), F.col("doc_id") + 1) if cuts else F.lit(0)
-    docs = docs.select(part.cast("int").alias("part"), "doc_id", F.xxhash64("text").alias("tie"), "text")
+    docs = docs.select(_range_of(cuts, F.col("doc_id")).alias("part"), "doc_id", F.xxhash64("text").alias("tie"), "text")
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc(), "tie")
     # the first document of each part: as many rows as parts
     head = c.written(docs.groupBy("part").agg(F.max("doc_id").alias("first")), "first-ids")
@@ -115,10 +140,13 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next", F.lit(1), half))
-    rows = rows.select("part", "row", "doc_id", "text", size.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = signed(rows, "text", "own", ["part", "row", "doc_id", "n_chars", "edited"])
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    rows = signed(rows, "edited", "other", ["part", "row", "doc_id", "n_chars", "edited_sha256", "own"])
+    rows = rows.select("part", "row", "doc_id", "text", size.alias("size"), F.greatest(size - half - (K - 1), F.lit(0)).alias("shared"), edited.alias("edited"))
+    # the first `shared` k-mers of the edited text are the document's own
+    rest = hashed(F.substring("edited", F.col("shared") + 1, F.col("size")), F.col("shared").cast("long"))
+    rows = rows.select("part", "row", "doc_id", "size", "shared", F.sha2("edited", 256).alias("edited_sha256"), hashed(F.col("text"), F.lit(0).cast("long")).alias("_h"), rest.alias("_rest"))
+    rows = rows.select("part", "row", "doc_id", "edited_sha256", F.col("size").cast("long").alias("n_chars"), "_h", F.concat(F.slice("_h", F.lit(1), F.col("shared")), "_rest").alias("_e"))
+    rows = components(rows, "_h", "own", ["part", "row", "doc_id", "n_chars", "edited_sha256", "_e"])
+    rows = components(rows, "_e", "other", ["part", "row", "doc_id", "n_chars", "edited_sha256", "own"])
     out = rows.join(ends.select("part", "head_sig"), "part")
     out = out.withColumn("after", F.coalesce(F.lead("own").over(Window.partitionBy("part").orderBy("row")), "head_sig"))
     return out.select(
