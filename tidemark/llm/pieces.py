@@ -7,7 +7,11 @@ there, and a stored backpointer gives the path.  For unigram models the maximum
 merge-rank (BPE) models a plain sum of scores does not give the model's encoding, so the score of a step is 0 or minus
 infinity: a piece may follow the last piece of the prefix only if merging the two side by side would leave the border
 between them in place.  Every prefix then has exactly one admissible last piece, and the path is the model's own
-encoding.  Units with a run of spaces, and units of over LONGEST characters, are merged by a heap instead.
+encoding.  What may follow depends on the last pieces of no more prefixes than the widest piece has characters, so a long
+unit goes through the same lattice in windows that advance together: each starts some characters early, and where its
+states don't agree with those of the window before it, it is run again from those.  The lattice needs pieces whose own
+last merge is due last; of the runs of space marks some are not, so units that begin with such a run are merged in the
+model's order, pair by pair.
 
 Texts: null and empty give no ids; only U+0020 is marked, as in the model; unknown characters fall back to byte pieces;
 decoding gives the text back but for a literal U+2581, which the model itself can't tell from a space.  Null ids stay
@@ -31,7 +35,10 @@ from tidemark.llm import _common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONGEST = 40
+#: Characters of a window of a long unit; units up to this length are one window.
+WINDOW = 64
+#: Windows that are worked on together.
+WINDOWS = 4096
 #: Text bytes whose new units are encoded together.
 UNIT_BYTES = 3 << 20
 #: Units that a worker remembers before it starts afresh.
@@ -101,6 +108,7 @@ class Model:
         self.out = np.frombuffer(b"".join(out), np.uint8)
         n = len(pieces)
         self.rank, self.left, self.right = np.zeros(n + 1, np.int64), np.arange(n + 1), np.arange(n + 1)
+        self.late = np.zeros(n + 1, np.int64)  # the latest of all merges that make a piece
         usable = dict(self.normal)
         if self.bpe:
             order = sorted((i for p, i in self.normal.items() if len(p) > 1), key=lambda i: (-self.score[i], i))
@@ -113,6 +121,11 @@ class Model:
                         usable.pop(p)  # no merge ever makes it
                     else:
                         self.left[i], self.right[i] = pair
+            for i in sorted(usable.values(), key=lambda i: len(self.text[i])):
+                inner = [int(self.late[x]) for x in (self.left[i], self.right[i]) if x != i]
+                self.late[i] = max([int(self.rank[i]), *inner])
+                if self.late[i] > self.rank[i] and self.text[i].strip(MARK):
+                    raise ValueError(f"the last merge of {self.text[i]!r} is due early; this model needs another lattice")
         top = n + 1
         pairs = np.array(sorted((int(self.left[i]) * top + int(self.right[i]), int(self.rank[i])) for i in usable.values() if self.rank[i]) or [(-1, 0)])
         self.pair, self.pair_rank = pairs[:, 0].copy(), pairs[:, 1].copy()
@@ -213,16 +226,19 @@ class Model:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return ok
 
-    def viterbi(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids (-1: a character without a piece) and lengths along the best path, from the end: arrays of
-        (units, positions) in which entry e is the last piece of the prefix of e+1 characters."""
+    def viterbi(self, cp: np.ndarray, carried: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Last pieces (len(self.text): a character without a piece) and their lengths: arrays of (units, positions) in
+        which entry e is that of the prefix of e characters.  `carried` gives the first entries where they are known."""
         n, size = cp.shape
         none = len(self.text)
         value = c.mix(cp.astype(np.uint64))
         last = np.full((n, size + 1), none, np.int64)
         back = np.zeros((n, size + 1), np.int16)
         total = np.full((n, size + 1), -np.inf)
-        total[:, 0] = 0
+        begin = 1 if carried is None else carried.shape[1]
+        total[:, :begin] = 0
+        if carried is not None:
+            last[:, :begin] = carried
         found: dict[tuple[int, int], np.ndarray] = {}
         h = np.zeros((n, size), np.uint64)
         with np.errstate(over="ignore"):
@@ -239,7 +255,7 @@ class Model:
                     for s in range(size - k + 1):
                         if (hit[:, s] >= 0).any():
                             found[s, k] = hit[:, s]
-        for e in range(1, size + 1):
+        for e in range(begin, size + 1):
             rows, starts, piece = [], [], []
             for k in range(1, min(self.widest, e) + 1):
                 s = e - k
@@ -268,6 +284,49 @@ class Model:
             last[at[best], e], back[at[best], e] = p[best], e - s[best]
         return last, back
 
+    def _windows(self, unit: str) -> list[int]:
+        """Ids of a long unit."""
+        if not self.bpe:  # sums of scores, not states, would have to agree
+            cp = np.frombuffer(unit.encode("utf-32-le"), np.uint32).reshape(1, -1)
+            last, back = (x[0] for x in self.viterbi(cp))
+        else:
+            cp, n, wide = np.frombuffer(unit.encode("utf-32-le"), np.uint32), len(unit), self.widest
+            early = max(WINDOW, 2 * wide)
+            last, back = np.full(n + 1, len(self.text), np.int64), np.zeros(n + 1, np.int16)
+            begin = np.arange(0, n, WINDOW)
+            from_, to = np.maximum(begin - early, 0), np.minimum(begin + WINDOW, n)
+            known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+            for lo in range(0, len(begin), WINDOWS):
+                span = np.arange(lo, min(lo + WINDOWS, len(begin)))
+                got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for size in np.unique((to - from_)[span]):
+                    mine = span[(to - from_)[span] == size]
+                    a, b = self.viterbi(cp[from_[mine][:, None] + np.arange(size)])
+                    got |= {int(w): (a[k], b[k]) for k, w in enumerate(mine)}
+                for w in span.tolist():
+                    at, end, off = int(begin[w]), int(to[w]), int(begin[w] - from_[w])
+                    a, b = got[w]
+                    first = max(at - wide, 0)
+                    if at and (a[off - (at - first) + 1 : off + 1] != last[first + 1 : at + 1]).any():
+                        carried = last[first : at + 1]
+                        key = carried.tobytes() + cp[first:end].tobytes()
+                        if key not in known:
+                            a, b = self.viterbi(cp[None, first:end], carried[None])
+                            known[key] = a[0, at - first :], b[0, at - first :]
+                        last[at : end + 1], back[at : end + 1] = known[key]
+                        back[at] = back_at
+                    else:
+                        last[at + 1 : end + 1], back[at + 1 : end + 1] = a[off + 1 :], b[off + 1 :]
+                    back_at = back[end]
+        ids, e, parts = [], len(unit), []
+        while e:
+            p, s = int(last[e]), e - int(back[e])
+            parts.append(self.ids_of([unit[s]]) if p == len(self.text) else [p])
+            e = s
+        for part in reversed(parts):
+            ids += part
+        return ids
+
     def encode_units(self, units: list[str], lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, one after the other, and their number for each; where `lead` is set, a line end's ids
         come first."""
@@ -286,8 +345,10 @@ class Model:
             piece.append(np.tile(np.array(line, np.int64), len(where)))
         by: dict[int, list[int]] = {}
         for i, u in enumerate(units):
-            if len(u) > LONGEST or u.startswith(MARK + MARK):
-                spell(i, self.ids_of(self.merges(u)) if self.bpe else self._one(u))
+            if self.bpe and u.startswith(MARK + MARK):
+                spell(i, self.ids_of(self.merges(u)))
+            elif len(u) > WINDOW:
+                spell(i, self._windows(u))
             elif u:
                 by.setdefault(len(u), []).append(i)
         for size, rows in by.items():
@@ -321,16 +382,6 @@ class Model:
         order = np.lexsort((s, a))
         return p[order].astype(np.int32), np.bincount(a, minlength=len(units))
 
-    def _one(self, u: str) -> list[int]:
-        cp = np.frombuffer(u.encode("utf-32-le"), np.uint32).reshape(1, -1)
-        last, back = self.viterbi(cp)
-        out, e = [], len(u)
-        while e:
-            p, e0 = int(last[0, e]), e - int(back[0, e])
-            out = (self.ids_of([u[e0]]) if p == len(self.text) else [p]) + out
-            e = e0
-        return out
-
 
 class Encoder:
     """A worker's encoder: remembers the ids of units it has met."""
