@@ -8,11 +8,12 @@ Features: presence of hashed words and word beginnings (letters, digits and non-
 character kinds, word length and repetition.  Words in fewer than MIN_DF of the sampled documents, and words that a
 score test can't tell from chance, get no weight.
 The model is fitted on a bounded sample: the MAX_TRAIN labelled documents with the smallest hash of their id.
-Grades from the labels table: 0 toxic, 1 low quality, 2 good and clean.  Toxic words add up without bound and so need
+Grades from the labels table: 0 toxic, 1 low quality, 2 good and clean; labels other than 0 and 1 are no grade.  Toxic words add up without bound and so need
 the end of the scale; marks of low quality are shares of a text and fit between two thresholds.
 
 Edge cases: null or empty text has shape features alone and is scored like any other; unlabelled or null-id rows are
-scored but not trained on; repeated rows score alike; with fewer than two grades in the sample the thresholds give the
+scored but not trained on; repeated rows score alike, and of the texts of one labelled id that with the smallest hash
+is trained on; with fewer than two grades in the sample the thresholds give the
 observed frequencies; extra columns pass through unchanged.
 """
 
@@ -169,11 +170,11 @@ def grade_column():
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, key: str = "doc_id", text: str = "text") -> CumulativeLink:
     """Fit on at most `most` labelled documents.  The sampled labels have that bound, so they are broadcast."""
-    graded = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    graded = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)")
     graded = graded.select(F.col("doc_id").cast("long").alias("lid"), grade_column().cast("int").alias("grade"))
     graded = graded.groupBy("lid").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("lid"), "lid").limit(most)
     docs = c.id_text(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sample = docs.join(F.broadcast(graded), docs.id == graded.lid).select("lid", "grade", "text")
+    sample = docs.join(F.broadcast(graded), docs.id == graded.lid).groupBy("lid").agg(F.first("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, key: str =
                 yield pa.RecordBatch.from_arrays([b["lid"].slice(lo, hi - lo), b["grade"].slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["id", "grade", "features"])
 
     got = sample.mapInArrow(run, "id long, grade int, features binary").toArrow()
-    order = np.argsort(got["id"].to_numpy(), kind="stable")[:most]  # repeated documents keep the bound
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
     blobs = [got["features"][int(i)].as_py() for i in order]
     grades = got["grade"].to_numpy()[order].astype(np.int64)
     feats = np.frombuffer(b"".join(blobs), np.int32)
