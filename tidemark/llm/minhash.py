@@ -2,15 +2,17 @@
 whole shingle sets, and connected components by alternating large-star and small-star.
 
 Plan.  (1) One pass over the text writes a row per document: set size, a 128-bit key of the set, 16-bit signature and
-band keys.  (2) Documents with equal sets fall to one representative (the smallest id) by a partial aggregate, so a
-group of exact copies never meets in a task.  (3) Representatives meet in bands.  Each band bucket proposes only links
+band keys.  (2) Documents with equal sets are one *node*, by a partial aggregate that keeps the smallest id and one text,
+so a group of exact copies never meets in a task.  Nodes have numbers of their own: an id that occurs with several texts
+belongs to several nodes, and ids need not be unique or known.  (3) Nodes meet in bands.  Each band bucket proposes only links
 to a centre, the member whose own buckets are fullest (an original is in more full buckets than its edited copies), so
 a bucket of n gives n-1 links, not n*n.  (4) Links pass the signature, then the exact sets.  (5) Components follow.  A pair
 inside one component can't change the result; buckets that still hold several components are searched for links
 across them, exactly and without emitting pairs, by an inverted index of shingles over blocks of bounded size.
 
-Edge cases: null or blank text has no shingles and links with nothing; a null id is one document of its own value,
-shown as null again; repeated rows of one id with one text give repeated result rows; other columns are ignored.
+Edge cases: null or blank text has no shingles and links with nothing; a null id is smaller than any other and shown as
+null; rows of one id with different texts are documents of their own, which link only by their texts; repeated rows of
+one id with one text give repeated result rows; any long is an id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,12 +46,12 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
+SKETCH = "doc_id long, print long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
 
 def _sketch(batches):
     for b in batches:
-        ids, (data, offs) = c.longs(b["doc_id"]), c.buffers(b["text"])
+        data, offs = c.buffers(b["text"])
         for lo, hi in c.slices(offs):
             d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             starts, ends, row = c.word_spans(d, o)
@@ -70,11 +72,11 @@ def _sketch(batches):
             low = np.ascontiguousarray((sig & 0xFFFF).astype(np.uint16).T)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[lo:hi]), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                    b["doc_id"].slice(lo, n), b["print"].slice(lo, n), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                     pa.array([r.tobytes() for r in low], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1))),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "sig", "bands"],
+                ["doc_id", "print", "n_shingles", "k1", "k2", "sig", "bands"],
             )
 
 
@@ -142,31 +144,31 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _rest(bucket: DataFrame, root: DataFrame) -> DataFrame:
-    """Documents of buckets that hold several components, as rows of block pairs: (cluster, lb, rb, side, doc_id, root).
+    """Documents of buckets that hold several components, as rows of block pairs: (cluster, lb, rb, side, node, root).
 
     A cluster joins such buckets; its largest component is at peace with itself, so only its other documents (side 1)
     look for links, among all documents of the cluster (side 0).  Both sides come in blocks of BLOCK shingles."""
-    at = bucket.join(root, bucket.doc_id == root.node, "left").select("band", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
-    several = at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("doc_id").alias("head")).where("r1 < r2")
-    at = c.written(at.join(several, "band").select("doc_id", "n_shingles", "root", "head"), "unsettled")
-    near = components(at.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-    member = at.select("doc_id", "n_shingles", "root").distinct().join(near.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+    at = bucket.join(root, "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    several = at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("node").alias("head")).where("r1 < r2")
+    at = c.written(at.join(several, "band").select("node", "n_shingles", "root", "head"), "unsettled")
+    near = components(at.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    member = at.select("node", "n_shingles", "root").distinct().join(near.select("node", F.col("root").alias("cluster")), "node")
     member = c.written(member, "members")
     size = member.groupBy("cluster", "root").agg(F.sum("n_shingles").alias("n"))
     size = size.groupBy("cluster").agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
     size = size.select("cluster", "main", F.greatest(F.lit(1), blocks(F.col("n") - F.col("most"))).alias("nl"), F.greatest(F.lit(1), blocks(F.col("n"))).alias("nr"))
     member = member.join(size, "cluster")
-    lot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    seek = member.where("root <> main").select("cluster", lot("nl").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), F.lit(1).alias("side"), "doc_id", "root")
-    held = member.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("lb"), lot("nr").alias("rb"), F.lit(0).alias("side"), "doc_id", "root")
+    lot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    seek = member.where("root <> main").select("cluster", lot("nl").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), F.lit(1).alias("side"), "node", "root")
+    held = member.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("lb"), lot("nr").alias("rb"), F.lit(0).alias("side"), "node", "root")
     return held.unionByName(seek)
 
 
 def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components: for each seeking document and component one confirmed link in each block."""
     spark = rest.sparkSession
-    rows = rest.join(texts, "doc_id").select("cluster", "lb", "rb", "side", "doc_id", "root", "text")
+    rows = rest.join(texts, "node").select("cluster", "lb", "rb", "side", "node", "root", "text")
     rows = rows.repartition(c.shuffle_width(spark), "cluster", "lb", "rb").sortWithinPartitions("cluster", "lb", "rb", "side")
 
     def sets_of(texts):
@@ -187,7 +189,7 @@ def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
             for lo, hi in zip(cut, [*cut[1:], len(keys)]):
                 sets, at = sets_of(b["text"].slice(lo, hi - lo))
-                ids, roots = b["doc_id"].to_numpy()[lo:hi], b["root"].to_numpy()[lo:hi]
+                ids, roots = b["node"].to_numpy()[lo:hi], b["root"].to_numpy()[lo:hi]
                 if tuple(keys[lo][:3]) != group:
                     group, held, index = tuple(keys[lo][:3]), [], None
                 if keys[lo][3] == 0:
@@ -217,37 +219,39 @@ def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept.  Documents link when
-    100 * intersection >= percent * union of their shingle sets."""
+def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, print (hash of the whole text), n_shingles, node and root, component (smallest
+    id of the root's documents, as a struct that sorts null first).  Documents link when
+    100 * intersection >= percent * union of their shingle sets; without shingles node and root are null."""
     if not 50 <= percent <= 100:
         raise ValueError("the bands are laid out for thresholds of 50 to 100 percent")
-    spark = docs.sparkSession
-    docs = c.filled_id(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("print"), F.col(text).cast("string").alias("text"))
     sketch = c.written(docs.mapInArrow(_sketch, SKETCH), "sketch")
-    inked = sketch.where("n_shingles > 0")
-    reps = inked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    held = c.written(
-        inked.select("doc_id", "n_shingles", "k1", "k2", "sig", "bands").join(reps, ["k1", "k2"]).where("doc_id = rep").drop("k1", "k2", "rep")
-        .withColumn("one", F.row_number().over(_by_id())).where("one = 1").drop("one"), "reps",
-    )
-    member = held.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    inked = sketch.where("n_shingles > 0").withColumn("id", F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id"))
+    # one document stands for a set: its id and text, its signature and bands
+    whole = F.struct("id", "print", "n_shingles", "sig", "bands")
+    reps = inked.groupBy("k1", "k2").agg(F.min(F.struct("id", "print")).alias("least"))
+    held = inked.join(reps, ["k1", "k2"]).where("id = least.id and print = least.print").groupBy("k1", "k2").agg(F.min(whole).alias("r"))
+    held = c.written(held.select("k1", "k2", "r.*", F.monotonically_increasing_id().alias("node")), "reps")
+    member = held.select("node", "n_shingles", F.explode("bands").alias("band"))
     full = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     bucket = c.written(member.join(full, "band"), "buckets")
-    score = bucket.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    bucket = c.written(bucket.join(score, "doc_id").select("band", "doc_id", "n_shingles", "score"), "scored")
-    texts = c.written(docs.join(bucket.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sigs = held.select("doc_id", "sig")
-    centre = bucket.groupBy("band").agg(F.max_by("doc_id", F.struct("score", F.bitwise_not("doc_id"))).alias("a"))
-    pairs = bucket.join(centre, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    score = bucket.groupBy("node").agg(F.sum("n").alias("score"))
+    bucket = c.written(bucket.join(score, "node").select("band", "node", "n_shingles", "score"), "scored")
+    met = held.join(bucket.select("node").distinct(), "node", "left_semi").select("node", F.col("id.doc_id").alias("rep"), F.col("print").alias("p"))
+    texts = docs.join(met.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("rep")) & (F.col("print") == F.col("p"))).groupBy("node").agg(F.min_by("text", F.lit(0)).alias("text"))
+    texts = c.written(texts, "texts")
+    sigs = held.select("node", "sig")
+    centre = bucket.groupBy("band").agg(F.max_by("node", F.struct("score", F.bitwise_not("node"))).alias("a"))
+    pairs = bucket.join(centre, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     alike = (
-        pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", "sa", "sb").mapInArrow(_agree(percent / 100 - MARGIN), "a long, b long")
     )
     links = c.written(
-        alike.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        alike.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "links",
     )
     root = c.written(components(links), "roots")
@@ -255,16 +259,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     if not rest.isEmpty():
         more = c.written(_across(rest, texts, percent), "links")
         root = c.written(components(links.unionByName(more)), "roots")
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    out = out.join(root, out.rep == root.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    return out.select(
-        c.shown_id("doc_id").alias("doc_id"), "n_shingles", c.shown_id("component_id").alias("component_id"),
-        (F.col("doc_id") == F.col("component_id")).alias("kept"),
-    )
+    named = held.select("k1", "k2", "node", "id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = c.written(named, "named")
+    named = named.drop("id").join(named.groupBy("root").agg(F.min("id").alias("component")), "root")
+    out = sketch.select("doc_id", "print", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    return out.select("doc_id", "print", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("doc_id")
+def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (smallest id reachable), kept (it is the smallest)."""
+    out = groups(docs, percent, key, text)
+    own = F.coalesce(F.col("component"), F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id"))["doc_id"]
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the document with the smallest id (of equal
+    ids the text with the smallest hash) stays, and all documents without shingles.  Rows that are equal in id and text
+    stay or go together."""
+    met = groups(docs, percent, key, text)
+    best = met.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "print")).alias("best"))
+    bare = met.where("root is null").select("doc_id", "print")
+    kept = best.select("best.doc_id", "best.print").unionByName(bare).distinct().select(F.col("doc_id").alias("kept_id"), F.col("print").alias("kept_print"))
+    same = docs[key].cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs[text].cast("string")) == F.col("kept_print"))
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
