@@ -22,9 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, similarity 0.8 or more)."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates stays (five words, similarity 0.8 or more); a text that nothing
+    else resembles always does, whatever other rows share its id."""
+    return minhash.one_of_each(docs.select(*COLUMNS), percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
