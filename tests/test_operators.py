@@ -78,9 +78,31 @@ def test_pvalue_counts_ties_and_holm_caps(spark):
     assert got == pytest.approx({"a": 0.03, "c": 0.08, "b": 1.0})
 
 
-def test_labels(spark):
-    df = spark.createDataFrame([("1999 Q4",), (" q2  2001 ",), ("2001-3",), ("2001 Q5",), (None,)], "t string")
-    assert [r[0] for r in df.select(labels.parse_quarter(F.col("t"))).collect()] == [1999 * 4 + 3, 2001 * 4 + 1, 2001 * 4 + 2, None, None]
+@pytest.mark.parametrize("label,quarter", [
+    ("1955 Q1", 1), ("1955Q4", 4), ("1955-Q2", 2), ("1955 - Q1", 1), ("Q3 1955", 3), ("Q3, 1955", 3), ("1955 quarter 1", 1), ("1st quarter 1955", 1), ("  1955   q2 ", 2), ("QTR 1 1955", 1), ("2nd qtr. 1955", 2),
+    ("1955", None), ("1955 Q5", None), ("1955 Q0", None), ("Q1", None), ("Mar 1955", None), ("1955 H1", None), ("55 Q1", None), ("1955-3", None), ("1955/3", None), ("0955 Q1", None), (None, None),
+])
+def test_quarter_labels(spark, label, quarter):
+    got = spark.createDataFrame([(label,)], "t string").select(labels.parse_quarter(F.col("t"))).first()[0]
+    assert got == (quarter and 4 * 1955 + quarter - 1)
+
+
+def test_release_months(spark):
+    fine = ["Jan 2016", "January 2016", "2016 Jan", "2016-01", "2016/01", "01/2016", "2016-01-15", "15 January 2016", "January 15th, 2016", "2016-01-15 00:00:00", "1st of Jan 2016"]
+    bad = ["Jan-16", "Jan", "2016", "Quarter 4 (Oct to Dec) 2015", "Oct to Dec 2015", "Vintage 3", "Jan 2016 Month 2", "2016-13", "13/2016", "", "first estimate", None, "Jan 2016 2017", "Jan 32 2016", "Released in Jan 2016"]
+    rows = spark.createDataFrame([(t, True) for t in fine] + [(t, False) for t in bad], "t string, ok boolean")
+    got = [(r.t, r.m) for r in rows.select("t", "ok", labels.parse_release_month(F.col("t")).alias("m")).collect() if r.m != (12 * 2016 if r.ok else None)]
+    assert got == []
+    assert spark.createDataFrame([("Sept 2016",)], "t string").select(labels.parse_release_month(F.col("t"))).first()[0] == 12 * 2016 + 8
+
+
+def test_numbers_are_hidden(spark):
+    cases = {
+        "1,234 and .5": "[num] and [num]", "5 per cent, 2pp": "[num], [num]", "GBP 5m or £3.2 billion": "[num] or [num]", "in 2016 Q1": "in 2016 Q1", "12345": "[num]", "a–b ‘c’ … £": "a-b 'c' ... GBP",
+        "-1.25%": "[num]", "1,23": "1,23", "1,234 5,678 9,012": "[num] [num] [num]", "3 percentage points": "[num]", None: "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", labels.blank_numbers(F.col("t")).alias("b")).collect()
+    assert {r.t: r.b for r in rows} == cases
 
 
 def test_streamed_rows_equal_the_batch(spark, tmp_path):

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 # English month names.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-#: The forms of a quarter label after upper-casing and collapsing space: (pattern, year group, quarter group).
+# The forms of a quarter label after upper-casing and collapsing space: (pattern, year group, quarter group).
 QUARTERS = [
-    (r"^(\d{4}) ?Q([1-4])$", 1, 2),
-    (r"^Q([1-4]) ?(\d{4})$", 2, 1),
-    (r"^(\d{4})[-/:.]Q?([1-4])$", 1, 2),
-    (r"^(\d{4}) QUARTER ([1-4])$", 1, 2),
-    (r"^QUARTER ([1-4]) (\d{4})$", 2, 1),
+    (r"^(\d{4}) ?-? ?Q ?([1-4])$", 1, 2),
+    (r"^Q ?([1-4]) ?[-,]? ?(\d{4})$", 2, 1),
+    (r"^(\d{4}) (?:QUARTER|QTR)\.? ?([1-4])$", 1, 2),
+    (r"^(?:QUARTER|QTR)\.? ?([1-4]) ?,? ?(\d{4})$", 2, 1),
+    (r"^([1-4])(?:ST|ND|RD|TH) (?:QUARTER|QTR)\.? ?,? ?(\d{4})$", 2, 1),
 ]
+# Words that may stand beside a release month.
+BESIDE = ["st", "nd", "rd", "th", "of"]
 
 
 def folded(x: Column) -> Column:
@@ -24,9 +26,9 @@ def folded(x: Column) -> Column:
 
 
 def parse_quarter(x: Column) -> Column:
-    """Quarter index 4*year + quarter - 1; NULL unless the whole label is one of QUARTERS."""
+    """Quarter index 4*year + quarter - 1; NULL unless the whole label is one of QUARTERS with a year 1000-2999."""
     t = folded(x)
-    one = lambda p, y, q: F.when(t.rlike(p), 4 * F.regexp_extract(t, p, y).cast("int") + F.regexp_extract(t, p, q).cast("int") - 1)
+    one = lambda p, y, q: F.when(t.rlike(p) & F.regexp_extract(t, p, y).between("1000", "2999"), 4 * F.regexp_extract(t, p, y).cast("int") + F.regexp_extract(t, p, q).cast("int") - 1)
     return F.coalesce(*(one(*q) for q in QUARTERS))
 
 
@@ -44,14 +46,22 @@ def months_between_index(later: Column, earlier: Column) -> Column:
 
 
 def parse_release_month(x: Column) -> Column:
-    """12*year + month - 1 of a text with exactly one month name and one year 1000-2999; NULL otherwise."""
-    t = F.lower(x)
-    long, short = "|".join(MONTHS), "|".join(m[:3] for m in MONTHS)
-    names = F.regexp_extract_all(t, F.lit(rf"\b({long}|{short}|sept)\b"), F.lit(1))
-    years = F.regexp_extract_all(t, F.lit(r"\b([12]\d{3})\b"), F.lit(1))
+    """12*year + month - 1 of a date in digits (2016-03, 2016/03/15, 03/2016, with or without a time of day), or of a
+    text of one month name and one year 1000-2999 with at most one day of a month and the words of BESIDE; else NULL."""
+    t = F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    dated, reverse = r"^(\d{4})[-/](\d{1,2})([-/]\d{1,2})?([t ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$", r"^(\d{1,2})[-/](\d{4})$"
+    tokens = F.regexp_extract_all(t, F.lit(r"([a-z]+|\d+)"), F.lit(1))
+    names = F.filter(tokens, lambda w: w.isin(*MONTHS, *(m[:3] for m in MONTHS), "sept"))
+    numbers = F.filter(tokens, lambda w: w.rlike(r"^\d"))
+    words = F.filter(tokens, lambda w: w.rlike("^[a-z]"))
+    years, days = F.filter(numbers, lambda n: F.length(n) == 4), F.filter(numbers, lambda n: F.length(n) != 4)
+    fine = (F.size(names) == 1) & (F.size(years) == 1) & (F.size(days) <= 1) & F.forall(days, lambda n: F.coalesce(n.try_cast("int"), F.lit(0)).between(1, 31))
+    fine = fine & F.forall(words, lambda w: w.isin(*MONTHS, *(m[:3] for m in MONTHS), "sept", *BESIDE))
     order = F.array(*(F.lit(m[:3]) for m in MONTHS))
-    month = F.array_position(order, F.substring(F.get(names, 0), 1, 3)).cast("int")
-    return F.when((F.size(names) == 1) & (F.size(years) == 1), 12 * F.get(years, 0).cast("int") + month - 1)
+    part = lambda p, k: F.regexp_extract(t, p, k).cast("int")
+    year = F.when(t.rlike(dated), part(dated, 1)).when(t.rlike(reverse), part(reverse, 2)).when(fine, F.get(years, 0).cast("int"))
+    month = F.when(t.rlike(dated), part(dated, 2)).when(t.rlike(reverse), part(reverse, 1)).when(fine, F.array_position(order, F.substring(F.get(names, 0), 1, 3)).cast("int"))
+    return F.when(year.between(1000, 2999) & month.between(1, 12), 12 * year + month - 1)
 
 
 def read_vintage_label(x: Column, pivot: int = 50) -> Column:
@@ -84,7 +94,7 @@ def serial_to_date(serial: Column, date1904: bool = False) -> Column:
 
 def is_date_format(code: Column) -> Column:
     """A number format that shows a date: d, m, y, h or s outside quotes, brackets and escapes."""
-    bare = F.regexp_replace(F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]|\\.', ""), r"(?i)general", "")
+    bare = F.regexp_replace(F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]|[\\_*].', ""), r"(?i)general", "")
     return bare.rlike(r"(?i)[dmyhs]")
 
 
@@ -101,12 +111,25 @@ def mask_digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\p{Nd}", "#")
 
 
-#: Ordered: decimals, percentages, currency, long numbers.
-NUMBERS = [r"[-+]?\d[\d,]*\.\d+%?", r"[-+]?\d[\d,]*%", r"[£$€]\s?\d[\d,]*", r"\d{5,}"]
+_SIGN, _AMOUNT = "[-+\u2212]?", r"[0-9][0-9,]*(?:\.[0-9]+)?"
+# What counts as a number to hide, in the order of replacement: currency, shares, thousands, decimals, long.
+NUMBERS = [
+    r"(?i)(?:[£$€]|\b(?:GBP|USD|EUR)\s?)\s?" + _SIGN + _AMOUNT + r"(?:\s?(?:bn|billion|m|million|k|thousand)\b)?",
+    r"(?i)" + _SIGN + _AMOUNT + r"\s?(?:%|per\s?cent\b|percentage\s+points?\b|pp\b)",
+    r"(?<![0-9.,])" + _SIGN + r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?![0-9])",
+    _SIGN + r"[0-9]*\.[0-9]+",
+    r"[0-9]{5,}",
+]
+# Characters written in ASCII afterwards.
+ASCII = {"\u2013": "-", "\u2014": "--", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2026": "...", "\u00a0": " ", "\u2212": "-", "\u2022": "*", "£": "GBP"}
 
 
 def blank_numbers(x: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, "[n]"), NUMBERS, x)
+    """The text with NUMBERS hidden as [num] and folded to ASCII where it is typographic; NULL is empty."""
+    hidden = reduce(lambda t, p: F.regexp_replace(t, p, "[num]"), NUMBERS, F.coalesce(x, F.lit("")))
+    single = {k: v for k, v in ASCII.items() if len(v) == 1}
+    hidden = F.translate(hidden, "".join(single), "".join(single.values()))
+    return reduce(lambda t, k: F.replace(t, F.lit(k), F.lit(ASCII[k])), [k for k in ASCII if k not in single], hidden)
 
 
 def column_index(ref: Column) -> Column:

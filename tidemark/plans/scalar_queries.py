@@ -11,7 +11,7 @@ from tidemark.plans.catalogue import query
 _LABEL = {
     0: ("cast(y as varchar) || ' Q' || q", lambda y, q: F.concat_ws("", y, F.lit(" Q"), q)),
     1: ("'Q' || q || ' ' || y", lambda y, q: F.concat_ws("", F.lit("Q"), q, F.lit(" "), y)),
-    2: ("y || '-' || q", lambda y, q: F.concat_ws("-", y, q)),
+    2: ("y || ' - q' || q", lambda y, q: F.concat_ws(" - q", y, q)),
     3: ("'quarter  ' || q || ' ' || y", lambda y, q: F.concat_ws("", F.lit("quarter  "), q, F.lit(" "), y)),
     4: ("y || ' Q5'", lambda y, q: F.concat_ws("", y, F.lit(" Q5"))),
 }
@@ -39,7 +39,7 @@ def quarter_arithmetic(spark, d):
 def parse_release_month(spark, d):
     k = F.col("o_orderkey")
     text = F.when(k % 7 == 0, F.lit("published 2020 and 2021 in May")).when(k % 7 == 1, F.date_format("o_orderdate", "MMM yyyy")).when(k % 7 == 2, F.date_format("o_orderdate", "d MMMM yyyy"))
-    text = F.coalesce(text, F.concat(F.lit("Released on the "), F.date_format("o_orderdate", "d"), F.lit("th of "), F.date_format("o_orderdate", "MMMM, yyyy")))
+    text = F.coalesce(text, F.concat(F.date_format("o_orderdate", "d"), F.lit("th of "), F.date_format("o_orderdate", "MMMM, yyyy")))
     return b.read(spark, d, "orders").select("o_orderkey", lb.parse_release_month(text).cast("long").alias("m"))
 
 
@@ -87,7 +87,20 @@ def mask_digits(spark, d):
     return b.read(spark, d, "events").select("event_id", lb.mask_digits(F.col("props")).alias("masked"))
 
 
-@query("""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[-+]?[0-9][0-9,]*\\.[0-9]+%?', '[n]', 'g'), '[-+]?[0-9][0-9,]*%', '[n]', 'g'), '[£$€]\\s?[0-9][0-9,]*', '[n]', 'g'), '[0-9]{5,}', '[n]', 'g')) redacted from documents""")
+_HIDE = [  # without look-around: the thousands rule takes its neighbours and is run twice
+    (r"(?:[£$€]|\b(?:GBP|USD|EUR)\s?)\s?[-+−]?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?(?:bn|billion|m|million|k|thousand)\b)?", "[num]", "gi"),
+    (r"[-+−]?[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:%|per\s?cent\b|percentage\s+points?\b|pp\b)", "[num]", "gi"),
+    *[(r"(^|[^0-9.,])[-+−]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?($|[^0-9])", r"\1[num]\2", "g")] * 2,
+    (r"[-+−]?[0-9]*\.[0-9]+", "[num]", "g"), (r"[0-9]{5,}", "[num]", "g"),
+]
+_BLANKED = "coalesce(text, '')"
+for _pattern, _to, _flags in _HIDE:
+    _BLANKED = f"regexp_replace({_BLANKED}, '{_pattern}', '{_to}', '{_flags}')"
+for _from, _to in lb.ASCII.items():
+    _BLANKED = "replace({}, '{}', '{}')".format(_BLANKED, _from, _to.replace("'", "''"))
+
+
+@query(f"select doc_id, md5({_BLANKED}) redacted from documents")
 def blank_numbers(spark, d):
     return b.read(spark, d, "documents").select("doc_id", F.md5(lb.blank_numbers(F.col("text"))).alias("redacted"))
 

@@ -1,18 +1,21 @@
 """An append-only, checksummed store of replicate records: Parquet by cell, a manifest, and a journal.
 
-A batch writes only coordinates that the store lacks, then its journal rows; verify() recomputes every checksum and
-matches records and journal one to one.  A manifest with other content refuses to open."""
+A batch is staged, then its records and its journal rows are appended; it writes only coordinates that the store lacks, and
+one that holds a coordinate twice is refused.  One writer at a time: a lock file refuses the second (`unlock` after a
+writer that died; `recover` then tells the journal of records that it lacks).  verify() recomputes every checksum and matches
+records and journal one to one.  A manifest with other content refuses to open."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import accounting
-from tidemark.operators.series import ContractError
+from tidemark.operators.series import ContractError, stop_if_any
 
 
 def canonical(value) -> str:
@@ -36,9 +39,13 @@ class ReplicateStore:
         elif held.select("sha256").first()[0] != self.manifest:
             raise ContractError("the store has another manifest")
 
-    def _read(self, part: str, schema: str | None = None) -> DataFrame | None:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+    def _at(self, part: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _read(self, part: str) -> DataFrame | None:
+        fs, at = self._at(part)
+        if not fs.exists(at):
             return None
         return self.spark.read.json(f"{self.path}/{part}", schema="content string, sha256 string") if part == "manifest" else self.spark.read.parquet(f"{self.path}/{part}")
 
@@ -48,17 +55,35 @@ class ReplicateStore:
 
     def put(self, rows: DataFrame, keys: tuple[str, ...] = ("cell", "replicate")) -> int:
         """Append the rows whose coordinates are new; returns how many."""
-        held = self.records
-        fresh = rows if held is None else rows.join(held.select(*keys), list(keys), "left_anti").select(*rows.columns)
-        fresh = fresh.withColumn("sha256", checksum(rows.columns)).withColumn("manifest", F.lit(self.manifest))
-        before = 0 if held is None else held.count()
-        fresh.write.mode("append").partitionBy("cell").parquet(f"{self.path}/records")
-        done = self.records
+        fs, lock = self._at("writing")
+        if not fs.createNewFile(lock):
+            raise ContractError("another writer holds the store")
+        try:
+            held = self.records
+            fresh = rows if held is None else rows.join(held.select(*keys), list(keys), "left_anti").select(*rows.columns)
+            fresh = fresh.withColumn("sha256", checksum(rows.columns)).withColumn("manifest", F.lit(self.manifest))
+            stage = f"{self.path}/staged-{uuid.uuid4().hex}"
+            fresh.write.parquet(stage)
+            staged = self.spark.read.schema(fresh.schema).parquet(stage)
+            stop_if_any(staged.groupBy(*keys).count().where("count > 1"), "a batch holds a coordinate twice")
+            n = staged.count()
+            staged.write.mode("append").partitionBy("cell").parquet(f"{self.path}/records")
+            staged.select(*keys, "sha256", F.lit("saved").alias("kind")).write.mode("append").parquet(f"{self.path}/journal")
+            fs.delete(self._at(stage.removeprefix(f"{self.path}/"))[1], True)
+            return n
+        finally:
+            fs.delete(lock, False)
+
+    def unlock(self) -> None:
+        fs, lock = self._at("writing")
+        fs.delete(lock, False)
+
+    def recover(self, keys: tuple[str, ...] = ("cell", "replicate")) -> None:
+        """Journal rows for records that have none."""
         journal = self._read("journal")
-        told = done.select(*keys, "sha256")
+        told = self.records.select(*keys, "sha256")
         told = told if journal is None else told.join(journal.select(*keys), list(keys), "left_anti")
-        told.withColumn("kind", F.lit("saved")).write.mode("append").parquet(f"{self.path}/journal")
-        return done.count() - before
+        told.select(*keys, "sha256", F.lit("saved").alias("kind")).write.mode("append").parquet(f"{self.path}/journal")
 
     def verify(self, keys: tuple[str, ...] = ("cell", "replicate")) -> dict:
         """Counts of records, of wrong checksums, of records without exactly one journal row, and of orphans."""

@@ -11,21 +11,30 @@ from pyspark.sql import functions as F
 from tidemark.operators.series import ContractError, stop_if_any
 
 QUARTER, MONTH, YEAR = r"^\d{4} Q[1-4]$", r"^\d{4} [A-Z]{3}$", r"^\d{4}$"
+MOST_FIELDS = 100
 HEADER_FIELDS = ("Title", "CDID", "Source dataset ID", "PreUnit", "Unit", "Release date", "Next release", "Important Notes")
 
 
 def scan_ons_csv(spark: SparkSession, path: str) -> DataFrame:
-    """label, raw, kind of each two-column record: header, quarter, month or year.  A byte-order mark is dropped; a record
-    of another width stops."""
-    rows = spark.read.schema("label string, raw string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("quote", '"').csv(path)
+    """label, raw, kind of each two-column record: header, quarter, month or year.  A byte-order mark is dropped.  A record
+    of another width, a header field that a file has twice, and a header field behind a file's data stop."""
+    rows = spark.read.schema("label string, raw string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).option("quote", '"').csv(path)
     label = F.regexp_replace("label", "^\\ufeff", "")
     kind = F.when(label.rlike(QUARTER), "quarter").when(label.rlike(MONTH), "month").when(label.rlike(YEAR), "year").otherwise("header")
-    return rows.select(label.alias("label"), "raw", "_corrupt", kind.alias("kind"))
+    rows = rows.select(label.alias("label"), "raw", "_corrupt", kind.alias("kind"), F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    header = F.col("kind") == "header"
+    order = rows.groupBy("file").agg(F.count_if(F.col("_corrupt").isNotNull()).alias("odd"), F.max(F.when(header, F.col("at"))).alias("last"), F.min(F.when(~header, F.col("at"))).alias("first"))
+    stop_if_any(order.where("odd > 0"), "a record is not two fields wide")
+    stop_if_any(order.where("last > first"), "a header field stands behind data")
+    stop_if_any(rows.where(header).groupBy("file", "label").count().where("count > 1"), "a header field stands twice")
+    return rows.select("label", "raw", "kind")
 
 
 def check_identity(parsed: DataFrame, cdid: str, dataset: str, title_parts: list[str], release: str | None = None) -> list[str]:
     """All problems of the header, in one list; a duplicate header field is a problem."""
-    rows = parsed.where("kind = 'header'").select("label", "raw").collect()  # a file's header: a handful of rows
+    rows = parsed.where("kind = 'header'").select("label", "raw").limit(MOST_FIELDS + 1).collect()
+    if len(rows) > MOST_FIELDS:
+        raise ContractError(f"more than {MOST_FIELDS} records are no quarter, month or year: this is no header")
     head: dict[str, str] = {}
     problems = []
     for r in rows:
@@ -87,10 +96,11 @@ def scan_table_a(spark: SparkSession, path: str) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str, schema: str, types: list[str]) -> DataFrame:
     """Records of a JSON-lines file whose first line is the manifest; unknown record types stop."""
-    text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    text = spark.read.text(path)
     kind = F.get_json_object("value", "$.type")
-    first = text.orderBy("line").limit(1).select(kind.alias("type")).first()
-    if first is None or first.type != "manifest":
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    first = text.where("length(value) > 0").select(kind.alias("type"), place.alias("place")).agg(F.min_by("type", "place").alias("type")).first()
+    if first.type != "manifest":
         raise ContractError("the first line is not a manifest")
     stop_if_any(text.select(kind.alias("type")).where(F.col("type").isNull() | ~F.col("type").isin("manifest", *types)), "unknown record type")
     return text.where(kind != "manifest").select(kind.alias("type"), F.from_json("value", schema).alias("r")).select("type", "r.*")

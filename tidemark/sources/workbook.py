@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.operators.series import stop_if_any
+
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Built-in number formats that are dates (fixed by the file format).
@@ -78,10 +80,11 @@ class Workbook:
 
     def _classify(self, x, numbers: bool) -> tuple[str, str | None]:
         t, v = x.get("t", "n"), x.findtext(f"{NS}v")
-        if t == "s":
-            return "text", self.shared[int(v)]
-        if t in ("inlineStr", "str"):
-            return "text", v if t == "str" else "".join(e.text or "" for e in x.iter(f"{NS}t"))
+        if t in ("s", "inlineStr", "str"):
+            text = self.shared[int(v)] if t == "s" else v if t == "str" else "".join(e.text or "" for e in x.iter(f"{NS}t"))
+            return ("text", text) if text and text.strip() else ("empty", None)
+        if t == "d":
+            return ("date", v) if v else ("empty", None)
         if t == "b":
             return "boolean", v
         if t == "e":
@@ -155,10 +158,16 @@ def find_blocks(cells: DataFrame) -> DataFrame:
 
 
 def extract_levels(cells: DataFrame, sheet: str, year_col: int, value_col: int) -> DataFrame:
-    """year, level of a sheet: the two columns meet by row; rows whose year is no whole number are left out."""
-    c = cells.where(F.col("sheet") == sheet)
-    years = c.where((F.col("col") == year_col) & F.col("text").rlike(r"^\d{4}(\.0+)?$")).select("row", F.substring("text", 1, 4).cast("int").alias("year"))
-    return years.join(c.where(F.col("col") == value_col).select("row", F.expr("try_cast(text as double)").alias("level")), "row").select("year", "level")
+    """year, level of a sheet of each workbook: the two columns meet by row.  Rows before the first whole year and behind
+    the last are left out; between them a filled row without a whole year stops."""
+    c = cells.where((F.col("sheet") == sheet) & F.col("col").isin(year_col, value_col) & (F.col("kind") != "empty"))
+    at = lambda k, v: F.max(F.when(F.col("col") == k, v))
+    rows = c.groupBy("path", "row").agg(at(year_col, F.col("text")).alias("y"), at(value_col, F.expr("try_cast(text as double)")).alias("level"), F.count_if(F.col("col") == value_col).alias("n"))
+    rows = rows.withColumn("year", F.when(F.col("y").rlike(r"^\d{4}(\.0+)?$"), F.substring("y", 1, 4).cast("int")))
+    ends = rows.where("year is not null").groupBy("path").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    inside = rows.join(ends, "path").where("row between first and last")
+    stop_if_any(inside.where("year is null"), "a row of the sample has no whole year")
+    return inside.where("n > 0").select("year", "level")
 
 
 # ------------------------------------------------ pages

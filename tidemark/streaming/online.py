@@ -1,18 +1,20 @@
 """Structured Streaming forms of the causal operators.
 
 levels_stream: watermarked tumbling windows give levels; rows later than the watermark are dropped by Spark and counted
-by `late_rows` from the query's progress, never silently.  rolling_stream: keyed state holds the last window of values
+by `LateRows`, never silently.  rolling_stream: keyed state holds the last window of values
 and the open run, so each new observation emits its root modulus and, when it happens, the onset of an episode; on any
 prefix it emits what the batch operator gives."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "sid string, pos long, x double, modulus double, status string, event string, onset long"
@@ -25,9 +27,24 @@ def levels_stream(events: DataFrame, sid: str, at: str, value: str, width: str =
     return w.agg(F.sum(value).alias("y")).select("sid", F.col("window.start").alias("start"), "y")
 
 
-def late_rows(query) -> int:
-    """Rows dropped behind the watermark so far."""
-    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p.get("stateOperators", []))
+class LateRows(StreamingQueryListener):
+    """Rows dropped behind the watermark, by query: every batch is counted as it ends (a query itself keeps only its last
+    hundred).  spark.streams.addListener(late) before the query starts."""
+
+    def __init__(self):
+        self.rows: Counter[str] = Counter()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.rows[str(event.progress.id)] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def count(self, query) -> int:
+        return self.rows[str(query.id)]
 
 
 def rolling_stream(series: DataFrame, window: int = 40, least: int = 2, merge: int = 8) -> DataFrame:
