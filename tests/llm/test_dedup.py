@@ -1,8 +1,11 @@
 """Passages and near-duplicates against brute force."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
+
 from tidemark.llm import minhash, suffix_dedup
 
 LOW = -(1 << 63)
@@ -45,56 +48,82 @@ def test_passages_equal_brute_force(docs, corpus):
 
 
 def test_index_family_levels_grow_geometrically():
-    import numpy as np
-
     f, rng = suffix_dedup.IndexFamily(), np.random.default_rng(1)
-    seen = set()
+    seen = {}
     for batch in range(20):
         keys = rng.integers(0, 4000, 100).astype(np.uint64)
         docs = np.full(100, batch)
-        hit, clash = f.insert(keys, np.zeros(100, np.uint16), docs)
-        assert not clash.any() and hit.tolist() == [int(k) in seen for k in keys]
-        seen |= {int(k) for k in keys}
-        sizes = [len(k) for k, _ in f.levels]
+        first, clash = f.insert(keys, np.zeros(100, np.uint32), docs)
+        for k in keys.tolist():
+            seen.setdefault(k, batch)
+        assert not clash.any() and first.tolist() == [seen[k] for k in keys.tolist()]
+        sizes = [len(level[0]) for level in f.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert f.keys().tolist() == sorted(seen)
+    first, clash = f.insert(keys[:2], np.array([0, 7], np.uint32), np.full(2, 99))
+    assert clash.tolist() == [False, True]
+    assert f.levels_keys().tolist() == sorted(seen)
+
+
+def test_a_common_passage_is_told_once_a_group(spark):
+    """A passage in every document: senders combine it, so a part hears a few entries of it."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    texts = [f"{k} own {rng.random()} " + passage for k in range(2000)]
+    table = pa.table({"g": pa.array([3] * 2000, pa.int32()), "doc_id": pa.array(range(2000), pa.int64()), "text": texts})
+    out = suffix_dedup._send([5], [])(table)
+    low, high, key, check = (np.concatenate(x) for x in zip(*(suffix_dedup.c.unpack(b.as_py()) for b in out["block"])))
+    shared = high > low
+    assert (low[shared] == 0).sum() >= 10 and len(key) == len({*zip(key.tolist(), check.tolist())}) and shared.sum() < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[0] == 0 and all(n >= 400 for i, n in got.items() if i)
+
+
+def test_dealing_numbers_fill_every_partition(spark):
+    from pyspark.sql import functions as F
+
+    numbers = suffix_dedup.even_numbers(spark, 37)
+    got = spark.createDataFrame([(x,) for x in numbers], "g int").repartition(37, "g").select(F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.p for r in got) == list(range(37))
 
 
 def near_brute(corpus, percent):
-    sets = {}
-    for i, t in corpus:
-        sets[ident(i)] = shingles(t) | sets.get(ident(i), set()) if i is not None else sets.get(LOW, set())
-    ids = sorted(sets)
-    parent = {i: i for i in ids}
+    """By row: shingle count, smallest id of the rows that links reach, itself included."""
+    sets = [shingles(t) for _, t in corpus]
+    parent = list(range(len(corpus)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            x, y = sets[a], sets[b]
+    for n in range(len(corpus)):
+        for m in range(n):
+            x, y = sets[n], sets[m]
             if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = find(a), find(b)
+                p, q = find(n), find(m)
                 parent[max(p, q)] = min(p, q)
-    return sets, find
+    least = {}
+    for n, (i, _) in enumerate(corpus):
+        own = (i is not None, i or 0)
+        least[find(n)] = min(least.get(find(n), own), own)
+    name = lambda n: None if not least[find(n)][0] else least[find(n)][1]
+    return [(i, len(sets[n]), name(n), i == name(n)) for n, (i, _) in enumerate(corpus)]
 
 
-def test_components_equal_brute_force(spark, docs, corpus):
-    named = [r for r in corpus if r[0] is not None]
-    for percent in (85, 80):
-        sets, find = near_brute(named, percent)
-        got = minhash.near_duplicates(docs.where("doc_id is not null"), percent).collect()
-        assert len(got) == len(named)
-        for r in got:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), r.doc_id == find(r.doc_id))
+def test_components_equal_brute_force(docs, corpus):
+    """Over the whole corpus: null ids, repeated ids, repeated rows."""
+    more = [(i, corpus[k + 7][1]) for k, (i, _) in enumerate(corpus[:40]) if i is not None]
+    for rows, df in ((corpus, docs), (corpus + more, docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string")))):
+        for percent in (85, 80):
+            got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, percent).collect()]
+            assert sorted(got, key=str) == sorted(near_brute(rows, percent), key=str)
 
 
-def test_near_duplicates_with_null_ids_and_empty_tables(docs, corpus):
-    got = minhash.near_duplicates(docs, 85).collect()
-    assert len(got) == len(corpus) and sum(r.doc_id is None for r in got) == 3
-    assert minhash.near_duplicates(docs.limit(0), 85).collect() == []
+def test_near_duplicates_of_empty_tables(docs):
+    assert minhash.near_duplicates(docs.limit(0), 85).collect() == [] and minhash.one_of_each(docs.limit(0)).collect() == []
     assert suffix_dedup.remove_repeats(docs.limit(0)).collect() == []
 
 
@@ -103,8 +132,7 @@ def test_star_of_copies_that_link_only_to_the_original(spark):
     base = [f"w{k}" for k in range(100)]
     rows = [(0, " ".join(base))] + [(k, " ".join(base[:10 + 3 * k] + ["edit", str(k)] + base[12 + 3 * k :])) for k in range(1, 26)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
-    _, find = near_brute(rows, 85)
-    assert got == {i: find(i) for i, _ in rows}
+    assert got == {i: root for i, _, root, _ in near_brute(rows, 85)}
 
 
 def test_components_of_chains_and_stars(spark):

@@ -8,17 +8,20 @@ the hashes of their 20-byte strings form a *run*; the minimum depends on the 50
 runs of equal minimum, wherever they are.  The index is dealt over the cluster by that minimum, and each part holds its
 own index family.
 
-Coarse pass: a run is (minimum, fingerprint of its whole text).  Batches, in order of document id, are sorted into
-suffix arrays, scanned against the existing levels, and levels of equal size merge geometrically.  A run whose text an
-earlier document has is gone as a whole.  A run whose minimum has only this text is settled.
-Fine pass: only runs that share their minimum with a different text send their bytes (99 at most).  The same index
-family now holds the suffixes themselves in byte order, and matches of 50 bytes are found by merge scan.
-
-Skew: a hot passage has one entry for each document, 14 bytes or so, in packed blocks; levels keep one entry for each
-distinct text.  Text is dealt out once, by hash of document id, and used twice.
-
-Edge cases: a null text is empty (0 bytes, nothing removed); a null id sorts before all others and is shown as null
-again; rows that repeat an id are one document for the rule and give a row each; other columns are ignored.
+Coarse pass: a run is (minimum, fingerprint of its whole text), 96 bits beside the part.  Batches, in order of document
+id, are sorted into suffix arrays, scanned against the existing levels, and levels of equal size merge geometrically.
+A run whose text an earlier document has is gone as a whole.  A run whose minimum has only this text is settled.
+Fine pass: only the first runs of texts that share their minimum with a different text send their bytes (99 at most).  The
+same index family now holds the suffixes themselves in byte order, and matches of 50 bytes are found by merge scan.
+
+Skew: documents are dealt by a hash of their id, once, and used three times.  A sender tells a part each distinct run once
+in FLUSH runs, with the smallest and largest document that has it there, and hears the first document of all; so a
+passage that every document holds is one entry for millions of runs, however many documents share it.  Parts and groups
+have numbers that Spark's hash spreads over all partitions, one each.
+
+Edge cases: a null text is empty (0 bytes, nothing removed); a null id sorts before all others (with the smallest long) and
+is shown as null again; rows that repeat an id are one document for the rule and give a row each; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,186 +130,229 @@ def _rows(blocks, names: list[str], split) -> pa.RecordBatch | None:
 
 # ---------------------------------------------------------------- the index family
 class IndexFamily:
-    """Levels of sorted distinct suffix keys, each with a check word.  insert() takes the next batch (all of whose
-    documents follow those of earlier batches), sorts it into a suffix array, scans it against every level by merging
-    order, and returns which entries an earlier document has; levels of like size merge."""
+    """Levels of sorted distinct suffix keys, each with a check word and its first document.  insert() takes the next batch
+    (all of whose documents follow those of earlier batches), sorts it into a suffix array, scans it against every level
+    by merging order, and returns each entry's first document; levels of like size merge."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, ...]] = []
 
     def insert(self, keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(seen before, clash of keys with another check word), in the order of the batch."""
+        """(first document, clash of keys with another check word), in the order of the batch."""
         order = np.lexsort((docs, keys))
         k, w, d = keys[order], check[order], docs[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(k) else np.zeros(0, np.int64)
-        clash = w != w[first]
-        seen = (d > d[first]) & ~clash
-        uk, uw = k[new], w[new]
+        uk, uw, ud = k[new], w[new], d[new]
         known = np.zeros(len(uk), bool)
-        wrong = np.zeros(len(uk), bool)
-        for lk, lw in self.levels:
+        for lk, lw, ld in self.levels:
             at = np.minimum(np.searchsorted(lk, uk), len(lk) - 1)
             hit = lk[at] == uk
-            wrong |= hit & (lw[at] != uw)
+            uw, ud = np.where(hit, lw[at], uw), np.where(hit, ld[at], ud)
             known |= hit
         group = np.cumsum(new) - 1
-        if len(k):
-            seen |= (known & ~wrong)[group] & ~clash
-            clash |= wrong[group]
-        fresh = ~known
-        if fresh.any():
-            self.levels.append((uk[fresh], uw[fresh]))
+        first, clash = np.empty(len(k), np.int64), np.empty(len(k), bool)
+        first[order], clash[order] = ud[group], uw[group] != w
+        if not known.all():
+            self.levels.append((uk[~known], uw[~known], ud[~known]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             self._merge()
-        out = np.empty((2, len(k)), bool)
-        out[0, order], out[1, order] = seen, clash
-        return out[0], out[1]
+        return first, clash
 
     def _merge(self) -> None:
-        (ak, aw), (bk, bw) = self.levels.pop(), self.levels.pop()
-        k = np.concatenate([ak, bk])
-        order = np.argsort(k, kind="stable")
-        self.levels.append((k[order], np.concatenate([aw, bw])[order]))
+        a, b = self.levels.pop(), self.levels.pop()
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        self.levels.append(tuple(np.concatenate([x, y])[order] for x, y in zip(a, b)))
 
-    def keys(self) -> np.ndarray:
+    def levels_keys(self) -> np.ndarray:
+        """All keys in order."""
         while len(self.levels) > 1:
             self._merge()
         return self.levels[0][0] if self.levels else np.zeros(0, np.uint64)
 
 
 # ---------------------------------------------------------------- steps
-def _send(parts: int, bounds: list[int]):
-    edge = np.array(bounds, np.int64)
-
-    def out(held):
-        doc, tag, ordinal, m, f = (np.concatenate(x) for x in zip(*held))
-        batch = np.searchsorted(edge, doc, "right")
-        place = ((m >> c.U64(40)) % c.U64(parts)).astype(np.int64) * (BATCHES + 1) + batch
-        low = (m & c.U64(0xFFFFFFFF)).astype(np.uint32)
-        arrays = [doc, tag, ordinal.astype(np.uint32), low, (f & c.U64(0xFFFFFFFF)).astype(np.uint32), (f >> c.U64(48)).astype(np.uint16)]
-        return _rows(_blocks(place, arrays), ["part", "batch", "block"], lambda p: divmod(p, BATCHES + 1))
-
-    def run(batches):
-        held, n = [], 0
-        for b in batches:
-            ids, (data, offs) = c.longs(b["doc_id"]), c.buffers(b["text"])
-            tag = tags(data, offs)
-            for r, o, _, _, m, f in pieces(data, offs):
-                held.append((ids[r], tag[r], o, m, f))
-                n += len(r)
-                if n >= FLUSH:
-                    yield out(held)
-                    held, n = [], 0
+def even_numbers(spark, width: int) -> list[int]:
+    """A number for each of `width` hash partitions that falls into it: dealing by these fills all alike."""
+    most = width * (12 + width.bit_length())
+    while True:
+        rows = spark.range(most).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(width)).alias("p")).agg(F.min("v").alias("v")).collect()
+        if len(rows) == width:
+            return [r.v for r in sorted(rows, key=lambda r: r.p)]
+        most *= 2
+
+
+def _names(m: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and check word of runs."""
+    return (m << c.U64(32)) | (f & c.U64(0xFFFFFFFF)), (f >> c.U64(32)).astype(np.uint32)
+
+
+def _part(m: np.ndarray, parts: int) -> np.ndarray:
+    return ((m >> c.U64(40)) % c.U64(parts)).astype(np.int64)
+
+
+def _send(numbers: list[int], bounds: list[int]):
+    """For each distinct run of FLUSH runs of a group: its smallest and largest document."""
+    edge, number = np.array(bounds, np.int64), np.array(numbers)
+    schema = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("g", pa.int32()), ("block", pa.binary())])
+
+    def told(g, held):
+        doc, m, f = (np.concatenate(x) for x in zip(*held))
+        key, check = _names(m, f)
+        part = _part(m, len(number))
+        order = np.lexsort((doc, check, key, part))
+        doc, key, check, part = doc[order], key[order], check[order], part[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (part[1:] != part[:-1])
+        end = np.append(new[1:], True)
+        low, high = doc[new], doc[end]
+        place = part[new] * (BATCHES + 1) + np.searchsorted(edge, low, "right")
+        for p, x in _blocks(place, [low, high, key[new], check[new]]):
+            at, batch = divmod(p, BATCHES + 1)
+            yield int(number[at]), batch, g, x
+
+    def run(docs: pa.Table) -> pa.Table:
+        out, held, n = [], [], 0
+        ids, (data, offs) = c.longs(docs["doc_id"]), c.buffers(docs["text"])
+        g = docs["g"][0].as_py()
+        for r, _, _, _, m, f in pieces(data, offs):
+            held.append((ids[r], m, f))
+            n += len(r)
+            if n >= FLUSH:
+                out += told(g, held)
+                held, n = [], 0
         if n:
-            yield out(held)
+            out += told(g, held)
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
 def _by_part(batches):
-    """Rows of sorted batches, part by part, as lists of unpacked blocks of each batch: (part, batch, arrays)."""
+    """Rows of sorted batches, part by part, as lists of unpacked blocks of each batch: (part, batch, groups, arrays)."""
     part = batch = None
     held: list = []
+    groups: list = []
     for b in batches:
-        for p, k, x in zip(b["part"].to_pylist(), b["batch"].to_pylist(), b["block"]):
+        names = b["g"].to_pylist() if "g" in b.schema.names else [None] * b.num_rows
+        for p, k, g, x in zip(b["part"].to_pylist(), b["batch"].to_pylist(), names, b["block"]):
             if (p, k) != (part, batch) and held:
-                yield part, batch, held
-                held = []
+                yield part, batch, groups, held
+                held, groups = [], []
             part, batch = p, k
             held.append(c.unpack(x.as_py()))
+            groups.append(g)
     if held:
-        yield part, batch, held
+        yield part, batch, groups, held
 
 
-def _coarse(groups: int):
-    """For each part: kind 1, runs that an earlier document has as a whole; kind 2, runs to look into."""
+def _coarse(batches):
+    """For each part: kind 1, runs that an earlier document has as a whole, with the first document; kind 2, runs of their
+    first document to look into; kind 4, runs of any document to look into (keys that clash)."""
 
     def answer(kept, family):
         if not kept:
             return
-        doc, tag, ordinal, key, seen, clash = (np.concatenate(x) for x in zip(*kept))
-        minima = family.keys() >> c.U64(32)
+        g, low, high, key, check, first, clash = (np.concatenate(x) for x in zip(*kept))
+        minima = family.levels_keys() >> c.U64(32)
         several = np.unique(np.concatenate([minima[1:][minima[1:] == minima[:-1]], key[clash] >> c.U64(32)]))
-        at = np.minimum(np.searchsorted(several, key >> c.U64(32)), max(len(several) - 1, 0))
-        look = ~seen & (several[at] == key >> c.U64(32)) if len(several) else np.zeros(len(key), bool)
-        for kind, mask in ((1, seen), (2, look)):
+        shared = np.isin(key >> c.U64(32), several)
+        for kind, mask in ((1, ~clash & (high > first)), (2, ~clash & shared & (low == first)), (4, clash)):
             if mask.any():
-                d, t, o = doc[mask], tag[mask], ordinal[mask]
-                order = np.lexsort((o, d))
-                d, t, o = d[order], t[order], o[order]
-                yield _rows(_blocks(c.spark_hash(d) % groups, [d, t, o]), ["g", "kind", "block"], lambda g, k=kind: (g, k))
-
-    def run(batches):
-        part, family, kept = None, None, []
-        for p, _, blocks in _by_part(batches):
-            if p != part:
-                yield from answer(kept, family)
-                part, family, kept = p, IndexFamily(), []
-            doc, tag, ordinal, low, f, high = (np.concatenate(x) for x in zip(*blocks))
-            key = (low.astype(c.U64) << c.U64(32)) | f.astype(c.U64)
-            seen, clash = family.insert(key, high, doc)
-            kept.append((doc, tag, ordinal, key, seen, clash))
-        yield from answer(kept, family)
-
-    return run
-
-
-def _answers(tab: pa.Table, wanted: tuple[int, ...]) -> list[tuple[int, list[np.ndarray]]]:
-    return [(k, c.unpack(x)) for k, x in zip(tab["kind"].to_pylist(), tab["block"].to_pylist()) if k in wanted]
-
-
-def _look(parts: int, bounds: list[int]):
-    """The bytes of runs of kind 2, dealt by their minimum."""
-    edge = np.array(bounds, np.int64)
+                order = np.lexsort((key[mask], g[mask]))
+                a, k, w, d = g[mask][order], key[mask][order], check[mask][order], first[mask][order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+                yield _rows(_blocks(a[new], [k[new], w[new], d[new]]), ["g", "kind", "block"], lambda p, kind=kind: (p, kind))
+
+    part, family, kept = None, None, []
+    for p, _, groups, blocks in _by_part(batches):
+        if p != part:
+            yield from answer(kept, family)
+            part, family, kept = p, IndexFamily(), []
+        g = np.repeat(np.array(groups, np.int32), [len(x[0]) for x in blocks])
+        low, high, key, check = (np.concatenate(x) for x in zip(*blocks))
+        kept.append((g, low, high, key, check, *family.insert(key, check, low)))
+    yield from answer(kept, family)
+
+
+def _answers(tab: pa.Table, kind: int, width: int) -> list[np.ndarray]:
+    """The arrays of all blocks of a kind, laid end to end and sorted by the first."""
+    got = [c.unpack(x) for k, x in zip(tab["kind"].to_pylist(), tab["block"].to_pylist()) if k == kind]
+    if not got:
+        return [np.zeros(0, np.int64)] * width
+    arrays = [np.concatenate(x) for x in zip(*got)]
+    order = np.argsort(arrays[0], kind="stable")
+    return [x[order] for x in arrays]
+
+
+def _found(known: list[np.ndarray], key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs are among the answers, and the document said of each."""
+    names, words, docs = known
+    if not len(names):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+    hit = (names[at] == key) & (words[at] == check)
+    for k in np.flatnonzero((names[at] == key) & ~hit):  # two texts of one key
+        for j in range(int(at[k]), int(np.searchsorted(names, key[k], "right"))):
+            if words[j] == check[k]:
+                hit[k], at[k] = True, j
+    return hit, docs[at]
+
+
+def _look(numbers: list[int], bounds: list[int]):
+    """The bytes of runs of kinds 2 and 4, dealt by their minimum."""
+    edge, number = np.array(bounds, np.int64), np.array(numbers)
+    schema = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("block", pa.binary())])
 
     def run(_, docs: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("block", pa.binary())])
-        want = [a for _, a in _answers(asked, (2,))]
-        if not want or not docs.num_rows:
-            return schema.empty_table()
-        wd, wt, wo = (np.concatenate(x) for x in zip(*want))
-        names = np.unique(wd)
-        ids, (data, offs) = c.longs(docs["doc_id"]), c.buffers(docs["text"])
-        mine = np.flatnonzero(np.isin(ids, names))
-        held = []
-        asked_for = np.unique(np.rec.fromarrays([wd, wt.astype(np.int64), wo.astype(np.int64)], names="d,t,o"))
-        for i in mine:
-            d = data[offs[i] : offs[i + 1]]
-            o = np.array([0, len(d)])
-            tag = int(tags(d, o)[0])
-            lo, hi = np.searchsorted(asked_for["d"], [ids[i], ids[i] + 1] if ids[i] < (1 << 63) - 1 else [ids[i]] * 2)
-            hi = hi if hi > lo else len(asked_for)
-            own = asked_for[lo:hi]
-            own = own["o"][(own["t"] == tag) & (own["d"] == ids[i])]
-            if not len(own):
-                continue
-            for _, k, s, n, m, _ in pieces(d, o):
-                at = np.flatnonzero(np.isin(k, own))
-                if len(at):
-                    size = n[at] + LENGTH - 1
-                    pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s[at], size)
-                    held.append((np.full(len(at), ids[i]), np.full(len(at), tag, np.uint32), k[at].astype(np.uint32), m[at], n[at].astype(np.uint8), d[pos]))
-        if not held:
+        own, any_ = _answers(asked, 2, 3), _answers(asked, 4, 3)
+        ids = c.longs(docs["doc_id"]) if docs.num_rows else np.zeros(0, np.int64)
+        mine = np.isin(ids, own[2]) | (len(any_[0]) > 0)
+        if not mine.any():
             return schema.empty_table()
-        doc, tag, k, m, n = (np.concatenate([h[j] for h in held]) for j in range(5))
-        text = np.concatenate([h[5] for h in held])
-        first = np.concatenate([[0], np.cumsum(n.astype(np.int64) + LENGTH - 1)])
-        place = ((m >> c.U64(40)) % c.U64(parts)).astype(np.int64) * (BATCHES + 1) + np.searchsorted(edge, doc, "right")
-        out = []
-        for p in np.unique(place):
-            at = np.flatnonzero(place == p)
-            size = first[at + 1] - first[at]
-            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at], size)
-            out.append((*divmod(int(p), BATCHES + 1), c.pack(doc[at], tag[at], k[at], n[at], text[pos])))
-        a, b, x = zip(*out)
-        return pa.table([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], schema=schema)
+        ids, docs = ids[mine], docs.filter(pa.array(mine))
+        data, offs = c.buffers(docs["text"])
+        tag = tags(data, offs)
+        out, held = [], []
+
+        def told():
+            doc, name, k, m, n, text = (np.concatenate(x) for x in zip(*held))
+            first = np.concatenate([[0], np.cumsum(n.astype(np.int64) + LENGTH - 1)])
+            place = _part(m, len(number)) * (BATCHES + 1) + np.searchsorted(edge, doc, "right")
+            order = np.argsort(place, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1]]))
+            for lo, hi in zip(cut, [*cut[1:], len(order)]):
+                at = order[lo:hi]
+                size = first[at + 1] - first[at]
+                pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at], size)
+                p, batch = divmod(int(place[at[0]]), BATCHES + 1)
+                out.append((int(number[p]), batch, c.pack(doc[at], name[at], k[at], n[at], text[pos])))
+
+        n_held = 0
+        for r, k, s, n, m, f in pieces(data, offs):
+            key, check = _names(m, f)
+            hit, doc = _found(own, key, check)
+            hit &= doc == ids[r]
+            if len(any_[0]):
+                hit |= _found(any_, key, check)[0]
+            at = np.flatnonzero(hit)
+            if len(at):
+                size = n[at] + LENGTH - 1
+                pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s[at] + offs[r[at]], size)
+                held.append((ids[r[at]], tag[r[at]], k[at].astype(np.uint32), m[at], n[at].astype(np.uint8), data[pos]))
+                n_held += len(at)
+                if n_held >= FLUSH:
+                    told()
+                    held, n_held = [], 0
+        if held:
+            told()
+        return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
-def _fine(groups: int):
+def _fine(numbers: list[int]):
     """True suffix arrays of the runs' bytes, level by level: kind 3, a bit for each 50-byte string that an earlier
     document has."""
 
@@ -348,12 +395,12 @@ def _fine(groups: int):
 
     def run(batches):
         part, levels = None, []
-        for p, _, blocks in _by_part(batches):
+        for p, _, _, blocks in _by_part(batches):
             if p != part:
                 part, levels = p, []
             doc, tag, ordinal, bits = scan(levels, blocks)
             if len(doc):
-                yield _rows(_blocks(c.spark_hash(doc) % groups, [doc, tag, ordinal, bits]), ["g", "kind", "block"], lambda g: (g, 3))
+                yield _rows(_blocks(c.spark_hash(doc) % len(numbers), [doc, tag, ordinal, bits]), ["g", "kind", "block"], lambda g: (numbers[g], 3))
 
     return run
 
@@ -378,48 +425,66 @@ def _merge_scan(level: list[bytes], keys: list[bytes]) -> np.ndarray:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _covered(lo: int, hi: int, ids, tag, data, offs, whole, some) -> np.ndarray:
+    """Which bytes of rows lo..hi go: of whole runs that an earlier document has, and of single strings (`some`)."""
+    base = int(offs[lo])
+    cover = np.zeros(int(offs[hi]) - base + 1, np.int32)
+    doc, name, ordinal, bits = some
+    for r, k, s, n, m, f in pieces(data[base : int(offs[hi])], offs[lo : hi + 1] - base):
+        row = r + lo
+        at = s + offs[row] - base
+        hit, first = _found(whole, *_names(m, f))
+        hit &= ids[row] > first
+        np.add.at(cover, at[hit], 1)
+        np.add.at(cover, at[hit] + n[hit] + LENGTH - 1, -1)
+        for i in np.unique(row[np.isin(ids[row], doc)]) if len(doc) else ():
+            a, b = np.searchsorted(doc, ids[i], "left"), np.searchsorted(doc, ids[i], "right")
+            mine = name[a:b] == tag[i]
+            o, w = ordinal[a:b][mine], bits[a:b][mine]
+            order = np.argsort(o)
+            o, w = o[order], w[order]
+            x, y = np.searchsorted(row, i, "left"), np.searchsorted(row, i, "right")
+            j = np.minimum(np.searchsorted(o, k[x:y]), max(len(o) - 1, 0))
+            fits = np.flatnonzero(o[j] == k[x:y]) if len(o) else np.zeros(0, np.int64)
+            e, g = np.nonzero((w[j[fits]][:, None] >> np.arange(LENGTH, dtype=c.U64)) & c.U64(1))
+            start = at[x:y][fits][e] + g
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + LENGTH, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _apply(keep_text: bool):
     def run(_, docs: pa.Table, said: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if keep_text else [])]
-        found = _answers(said, (1, 3))
-        whole = [a for k, a in found if k == 1]
-        part = [a for k, a in found if k == 3]
-        none = np.zeros(0, np.int64)
-        wd, wt, wo = (np.concatenate(x) for x in zip(*whole)) if whole else (none, none, none)
-        pd_, pt, po, pb = (np.concatenate(x) for x in zip(*part)) if part else (none, none, none, none.astype(c.U64))
-        w_at, p_at = np.argsort(wd, kind="stable"), np.argsort(pd_, kind="stable")
-        wd, wt, wo, pd_, pt, po, pb = wd[w_at], wt[w_at], wo[w_at], pd_[p_at], pt[p_at], po[p_at], pb[p_at]
-        ids, (data, offs) = c.longs(docs["doc_id"]), c.buffers(docs["text"])
-        rows = []
-        for i in range(docs.num_rows):
-            d = data[offs[i] : offs[i + 1]]
-            cover = np.zeros(len(d) + 1, np.int32)
-            (a, b), (e, f) = (np.searchsorted(x, ids[i], s) for s in ("left", "right") for x in (wd,)), (np.searchsorted(pd_, ids[i], s) for s in ("left", "right"))
-            if b > a or f > e:
-                o = np.array([0, len(d)])
-                tag = int(tags(d, o)[0])
-                full = wo[a:b][wt[a:b] == tag]
-                some, bits = po[e:f][pt[e:f] == tag], pb[e:f][pt[e:f] == tag]
-                order = np.argsort(some)
-                some, bits = some[order], bits[order]
-                for _, k, s, n, _, _ in pieces(d, o):
-                    at = np.isin(k, full)
-                    np.add.at(cover, s[at], 1)
-                    np.add.at(cover, s[at] + n[at] + LENGTH - 1, -1)
-                    for j in np.flatnonzero(np.isin(k, some)):
-                        mask = int(bits[np.searchsorted(some, k[j])])
-                        for g in range(int(n[j])):
-                            if mask >> g & 1:
-                                cover[s[j] + g] += 1
-                                cover[s[j] + g + LENGTH] -= 1
-            gone = np.cumsum(cover[:-1]) > 0
-            kept = d[~gone].tobytes()
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            row = (int(ids[i]), len(d), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest())
-            rows.append((*row, kept, edge.tolist()) if keep_text else row)
-        cols = list(zip(*rows)) if rows else [()] * len(names)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
+        if not docs.num_rows:
+            return pa.table([pa.array([], t) for t in kinds[: len(names)]], names=names)
+        whole, some = _answers(said, 1, 3), _answers(said, 3, 4)
+        ids, (data, offs) = c.longs(docs["doc_id"]), c.buffers(docs["text"])
+        tag = tags(data, offs) if len(some[0]) else None
+        removed, spans, prints, texts, edges = [], [], [], [], []
+        for lo, hi in c.slices(offs):
+            base = int(offs[lo])
+            gone = _covered(lo, hi, ids, tag, data, offs, whole, some)
+            cut = offs[lo : hi + 1] - base
+            total = np.concatenate([[0], np.cumsum(gone)])
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            at = cut[:-1][cut[:-1] < len(gone)]
+            begins[at] = gone[at]
+            opened = np.concatenate([[0], np.cumsum(begins)])
+            removed.append(np.diff(total[cut]))
+            spans.append(np.diff(opened[cut]))
+            kept = data[base : int(offs[hi])][~gone].tobytes()
+            left = cut - total[cut]
+            parts = [kept[a:b] for a, b in zip(left[:-1], left[1:])]
+            prints += [hashlib.sha256(x).hexdigest() for x in parts]
+            if keep_text:
+                texts += parts
+                for a, b in zip(cut[:-1], cut[1:]):
+                    edges.append(np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]]))).tolist())
+        cols = [pc.if_else(docs["given"].combine_chunks(), pa.array(ids), pa.scalar(None, pa.int64())), np.diff(offs), np.concatenate(removed), np.concatenate(spans), prints, texts, edges]
+        return pa.table([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols[: len(names)], kinds)], names=names)
 
     return run
 
@@ -429,17 +494,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     removed spans (start, end, start, end, ... in bytes)."""
     spark = docs.sparkSession
     width = c.shuffle_width(spark)
-    parts = groups = width  # answers are at most a row for each pair of them
-    docs = c.filled_id(docs, key, text).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    numbers = even_numbers(spark, width)  # of parts and of groups: answers are at most a row for each pair of them
+    given = F.col(key).isNotNull().alias("given")
+    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(c.NULL_ID)).alias("doc_id"), given, F.col(text).cast("string").alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / BATCHES for k in range(1, BATCHES)], 1000)).first()[0]
     bounds = sorted(set(cuts or []))
-    sent = docs.mapInArrow(_send(parts, bounds), "part int, batch int, block binary")
-    coarse = sent.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_coarse(groups), "g int, kind int, block binary")
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
+    dealt = docs.select(F.element_at(F.lit(numbers), lot + 1).alias("g"), "doc_id", "given", "text").groupBy("g")
+    sent = dealt.applyInArrow(_send(numbers, bounds), "part int, batch int, g int, block binary")
+    coarse = sent.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_coarse, "g int, kind int, block binary")
     coarse = c.written(coarse, "suffix-answers")
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text")
-    looked = dealt.groupBy("g").cogroup(coarse.where("kind = 2").groupBy("g")).applyInArrow(_look(parts, bounds), "part int, batch int, block binary")
-    fine = looked.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_fine(groups), "g int, kind int, block binary")
+    looked = dealt.cogroup(coarse.where("kind in (2, 4)").groupBy("g")).applyInArrow(_look(numbers, bounds), "part int, batch int, block binary")
+    fine = looked.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_fine(numbers), "g int, kind int, block binary")
     said = coarse.where("kind = 1").unionByName(fine)
     schema = RESULT + (", kept binary, spans array<long>" if keep_text else "")
-    out = dealt.groupBy("g").cogroup(said.groupBy("g")).applyInArrow(_apply(keep_text), schema)
-    return out.withColumn("doc_id", c.shown_id("doc_id"))
+    return dealt.cogroup(said.groupBy("g")).applyInArrow(_apply(keep_text), schema)
