@@ -52,20 +52,40 @@ def var_null(x: np.ndarray) -> Null | None:
 
 
 def _var_values(paths: np.ndarray, window: int, **_):
-    """Spectral radius, and the first variable's autocorrelation, of the window that ends at a position."""
+    """Spectral radius, and the first variable's autocorrelation, of the window that ends at a position.  A window's
+    moments are differences of running totals; one that hardly varies is fitted from its own values."""
     lag1 = ar.windowed(paths, window)
-    view = np.lib.stride_tricks.sliding_window_view(paths, window, axis=1)
-
-    def value(metric, row, at):
-        return lag1(metric, row, at) if metric == "lag1" else var2(np.swapaxes(view[row, at + 1 - window], 1, 2))[3]
+    m, n, k = paths.shape
+    centred = paths - paths.mean(1, keepdims=True)
+    row = np.concatenate([np.ones((m, n - 2, 1)), centred[:, 2:], centred[:, 1:-1], centred[:, :-2]], 2)
+    total = np.zeros((m, n - 1, 1 + 3 * k, 1 + 3 * k))
+    np.cumsum(row[:, :, :, None] * row[:, :, None, :], axis=1, out=total[:, 1:])
+    thin = ar.THIN * (centred * centred).sum(1).min(1) + 1e-300
+
+    def radii(rows, at):
+        g = total[rows, at - 1] - total[rows, at + 1 - window]
+        mean = g[:, 0, 1:] / g[:, :1, 0]
+        g = g[:, 1:, 1:] - mean[:, :, None] * g[:, 0, None, 1:]
+        weak = np.diagonal(g, axis1=1, axis2=2).min(1) < thin[rows]
+        g[weak] = np.eye(3 * k)
+        scale = np.sqrt(np.diagonal(g, axis1=1, axis2=2))
+        g = g / scale[:, :, None] / scale[:, None, :]
+        flat = np.linalg.cond(g[:, k:, k:]) > 1e14
+        g[flat] = np.eye(3 * k)
+        beta = np.linalg.solve(g[:, k:, k:], g[:, k:, :k]) * scale[:, None, :k] / scale[:, k:, None]
+        out = radius(np.swapaxes(beta[:, :k], 1, 2), np.swapaxes(beta[:, k:], 1, 2))
+        own = np.flatnonzero(weak | flat)
+        if len(own):
+            out[own] = var2(paths[rows[own][:, None], at[own][:, None] + np.arange(1 - window, 1)])[3]
+        return out
 
-    return value
+    return lambda metric, rows, at: lag1(metric, rows, at) if metric == "lag1" else radii(rows, at)
 
 
 def var_test(x: np.ndarray, rng: np.random.Generator, B: int = 1000, metrics=("primary",), **opts) -> list[dict]:
     """The surrogate test of a VAR(2)'s spectral radius before onsets of the first variable; residual vectors are
     resampled jointly."""
-    return ar.surrogate_test(x, lambda: var_null(x), _var_values, rng, B, metrics, **({"chunk": 200} | opts))
+    return ar.surrogate_test(x, lambda: var_null(x), _var_values, rng, B, metrics, **({"chunk": max(1, min(200, 100_000 // len(x)))} | opts))
 
 
 def roots_stable(coefficients: np.ndarray) -> tuple[bool, float]:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.kernels import ar, matrices, streams
@@ -178,6 +178,37 @@ def analyze_e3(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPME
     return each(packed(series, "x"), lambda row: _analyses(row, np.asarray(row["x"], float), matrices.tv_test, plan, B, stream), ATTEMPTS)
 
 
+#: The real-time comparison's analyses and their options.
+REAL_TIME = {"primary": {}, "window32": {"window": 32}, "window48": {"window": 48}, "wild": {"kind": "wild"}}
+
+
+def analyze_e4(vintages: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 40, registered: bool = False) -> DataFrame:
+    """Attempt ledger of the real-time comparison.  vintages holds (sid, j, onset, pos, x): for each episode j of a series
+    its growth as known at the onset.  Every vintage is tested at its own onset from its own stream; an attempt's
+    statistic is the mean change over the episodes, and a vintage that fails, fails the attempt."""
+    keys = ["sid", "j", "onset"]
+    rows = vintages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("rows"))  # a vintage is one kernel's input
+    rows = rows.select(*keys, F.col("rows.x").alias("x"), F.concat_ws("/", "sid", "j").alias("unit"))
+
+    def f(row):
+        sid, j, t = str(row["sid"]), int(row["j"]), int(row["onset"])
+        cell = (j, 0) if registered else (unit(sid), j)
+        for k, (name, opts) in enumerate(REAL_TIME.items()):
+            rng = streams.stream(5400 + (0, 1, 2, 4)[k] if registered else stream + k, *cell, allow_registered=registered)
+            for r in ar.csd_test(np.asarray(row["x"], float), rng, B, onsets=(t,), **opts):
+                yield {"sid": sid, "j": j, "onset": t, "analysis": name, "number": r["number"], "status": r["status"], "change": r["value"], "error": r["error"]}
+
+    drawn = each(rows, f, "sid string, j int, onset int, analysis string, number int, status string, change double, error string", "unit")
+    size = F.count_if(F.col("number") == -1).over(Window.partitionBy("sid", "analysis"))
+    drawn = drawn.withColumn("episodes", size)
+    parts = F.array_sort(F.collect_list(F.struct("j", "change", "onset")))  # as many as a series has episodes
+    by = drawn.groupBy("sid", "analysis", "number", "episodes").agg(parts.alias("p"), F.count_if(F.col("status") == "retained").alias("fine"), F.min("status").alias("worst"), F.max("error").alias("error"))
+    status = F.when(F.col("number") == -2, "null_model_failed").when(F.col("fine") == F.col("episodes"), "retained").when(F.col("number") == -1, F.col("worst")).otherwise("failed")
+    by = by.withColumn("status", status).withColumn("statistic", F.when(F.col("status") == "retained", F.aggregate("p.change", F.lit(0.0), lambda n, v: n + v) / F.col("episodes")))
+    seen = F.max(F.when(F.col("number") == -1, F.col("statistic"))).over(Window.partitionBy("sid", "analysis"))
+    return by.select("sid", "analysis", "number", "status", "statistic", seen.alias("observed"), F.col("p.onset").alias("onsets"), F.col("p.change").alias("parts"), "error")
+
+
 def whole(analyze: Callable[..., DataFrame], series: DataFrame, B: int = 1000) -> DataFrame:
     """The comparisons of an analysis, with the 90 % resampling interval of the observed changes on the primary's row."""
     got = intervals(analyze(series, 0)).select("sid", F.lit("primary").alias("analysis"), F.col("status").alias("interval_status"), "low", "high")
@@ -215,11 +246,22 @@ def filtered_modulus(series: DataFrame, first: int = 39, ratios: tuple[float, fl
 REPLICATE = "cell string, kappa double, replicate int, status string, input_sha256 string, S double, p double"
 
 
-def replicates(spark: SparkSession, kappas: list[float], count: int, B: int = 1000, n: int = 259, onsets=(49, 99, 149, 199, 249), stream: int = streams.DEVELOPMENT + 10, done: DataFrame | None = None) -> DataFrame:
-    """One row for each (cell, replicate): a design path, tested at fixed dates.  Coordinates that are in `done` are not
-    run again.  Units are independent and are dealt over the cluster by coordinate."""
+#: Designs of size and power runs: path from (stream, kappa, onsets), test, planted onsets, and the test's rules.
+DESIGNS = {
+    "h1": (streams.ar2_design, ar.csd_test, (49, 99, 149, 199, 249), {}),
+    "e1": (lambda rng, kappa, onsets: streams.ar2_design(rng, kappa, onsets, n=316, reach=2), ar.csd_test, tuple(range(34, 275, 40)), {"window": 30, "lookback": 2, "merge": 2, "least": 1, "span": 4}),
+    "e2": (streams.var_design, matrices.var_test, (77, 148), {}),
+    "e3": (streams.ar2_design, matrices.tv_test, (49, 99, 149, 199, 249), {"metrics": ("primary",)}),
+}
+
+
+def replicates(spark: SparkSession, kappas: list[float], count: int, B: int = 1000, design: str = "h1", fixed: bool = True, stream: int = streams.DEVELOPMENT + 10, done: DataFrame | None = None) -> DataFrame:
+    """One row for each (cell, replicate): a path of the design, tested at its planted dates, or (not fixed: size runs)
+    at the dates found in it.  Coordinates that are in `done` are not run again.  Units are independent and are dealt
+    over the cluster by coordinate.  A path without a date to test has status no_observed."""
     import hashlib
 
+    make, test, onsets, rules = DESIGNS[design]
     rows = spark.range(len(kappas) * count).select((F.col("id") % len(kappas)).cast("int").alias("k"), F.floor(F.col("id") / len(kappas)).cast("int").alias("replicate"))
     rows = rows.withColumn("cell", F.concat(F.lit("kappa"), F.col("k").cast("string")))
     if done is not None:
@@ -228,12 +270,13 @@ def replicates(spark: SparkSession, kappas: list[float], count: int, B: int = 10
 
     def f(row):
         k, r = int(row["k"]), int(row["replicate"])
-        x = streams.ar2_design(streams.stream(stream, k, r), kappas[k], onsets, n)
-        got = ar.csd_test(x, streams.stream(stream + 1, k, r), B, onsets=onsets)
+        x = make(streams.stream(stream, k, r), kappas[k], onsets if fixed else ())
+        got = test(x, streams.stream(stream + 1, k, r), B, **rules, onsets=onsets if fixed else None)
         seen = next(g for g in got if g["number"] == -1)
         kept = [g["value"] for g in got if g["number"] >= 0 and g["status"] == "retained"]
         bad = any(g["status"] == "failed" for g in got if g["number"] >= 0) or not kept
-        p = None if bad else (1 + sum(v >= seen["value"] for v in kept)) / (len(kept) + 1)
-        yield {"cell": row["cell"], "kappa": kappas[k], "replicate": r, "status": "failed" if bad else "ok", "input_sha256": hashlib.sha256(x.astype("<f8").tobytes()).hexdigest(), "S": seen["value"], "p": p}
+        status = "no_observed" if seen["value"] is None else "failed" if bad else "ok"
+        p = None if status != "ok" else (1 + sum(v >= seen["value"] for v in kept)) / (len(kept) + 1)
+        yield {"cell": row["cell"], "kappa": kappas[k], "replicate": r, "status": status, "input_sha256": hashlib.sha256(x.astype("<f8").tobytes()).hexdigest(), "S": seen["value"], "p": p}
 
     return each(rows, f, REPLICATE, "unit")

@@ -109,29 +109,13 @@ def e2_analyze(spark, d):
 
 @query()
 def e4_compare(spark, d):
-    """Real-time vintages: for each fixed date the series as known then (a prefix), its change and its own surrogates;
-    an attempt's statistic is the mean over dates, and a failed date fails the attempt."""
+    """Real-time vintages: for each fixed date the series as known then, its change and its own surrogates, with windows 32
+    and 48 and wild signs; an attempt's statistic is the mean over dates, and a failed date fails the attempt."""
     g = b.weekly_growth(spark, d)
     dates = F.broadcast(spark.createDataFrame([(0, 100), (1, 180), (2, 260), (3, 320)], "j int, onset int"))
-    vint = g.join(dates, F.col("pos") < F.col("onset")).withColumn("sid", F.concat_ws("|", "sid", "j", "onset"))
-
-    def f(row):
-        from tidemark.kernels import ar
-
-        sid, j, onset = str(row["sid"]).rsplit("|", 2)
-        x = np.asarray(row["x"], float)
-        if len(x) < int(onset):
-            return
-        # the onset is the first position that isn't known yet, so its date lies just behind the path
-        rows = ar.csd_test(x, streams.stream(streams.DEVELOPMENT + 40, sim.unit(sid), int(j)), onsets=(int(onset),))
-        for r in rows:
-            yield {"sid": sid, "j": int(j), "number": r["number"], "status": r["status"], "change": r["value"]}
-
-    rows = sim.each(sim.packed(vint, "x"), f, "sid string, j int, number int, status string, change double")
-    by = rows.where("number >= -1").groupBy("sid", "number").agg(F.avg("change").alias("S"), F.count_if(F.col("status") != "retained").alias("bad"))
-    seen = by.where("number = -1").select("sid", F.col("S").alias("observed"))
-    draws = by.where("number >= 0").join(seen, "sid").withColumn("status", F.when(F.col("bad") > 0, "failed").otherwise("retained"))
-    return acc.comparison_status(draws.withColumnRenamed("S", "statistic"), ["sid"])
+    vintages = g.join(dates, F.col("pos") < F.col("onset")).select("sid", "j", "onset", "pos", "x")
+    # the onset is the first position that isn't known yet, so its date lies just behind the path
+    return sim.comparisons(sim.analyze_e4(vintages).persist())
 
 
 @query()
@@ -156,20 +140,22 @@ def kalman_filter(spark, d):
 
 @query()
 def spectral_radius(spark, d):
-    """Companion spectral radius of VAR(2) coefficients taken from embeddings: two 2x2 matrices each."""
+    """Companion spectral radii of VAR(2) coefficients taken from embeddings: every eight entries are two 2x2 matrices, and
+    all systems of a vector are solved in one batch."""
 
     def f(row):
-        e = np.asarray(row["embedding"][:8], float)
-        a = np.sign(e) * (np.abs(e) % 0.5)
-        yield {"vec_id": int(row["vec_id"]), "radius": float(matrices.radius(a[:4].reshape(1, 2, 2), a[4:].reshape(1, 2, 2))[0])}
+        e = np.asarray(row["embedding"], float)
+        a = (np.sign(e) * (np.abs(e) % 0.5))[: len(e) // 8 * 8].reshape(-1, 2, 2, 2)
+        for k, r in enumerate(matrices.radius(a[:, 0], a[:, 1]).tolist()):
+            yield {"vec_id": int(row["vec_id"]), "system": k, "radius": r}
 
-    return sim.each(b.read(spark, d, "embeddings").select("vec_id", "embedding"), f, "vec_id long, radius double", None)
+    return sim.each(b.read(spark, d, "embeddings").select("vec_id", "embedding"), f, "vec_id long, system int, radius double", None)
 
 
 @query()
 def roots_stable(spark, d):
     def f(row):
-        stable, gap = matrices.roots_stable(np.asarray(row["embedding"][:3], float))
+        stable, gap = matrices.roots_stable(np.asarray(row["embedding"], float))
         yield {"vec_id": int(row["vec_id"]), "stable": stable, "gap": gap}
 
     return sim.each(b.read(spark, d, "embeddings").select("vec_id", "embedding"), f, "vec_id long, stable boolean, gap double", None)
@@ -195,18 +181,20 @@ def var_design_series(spark, d):
 
 @query()
 def white_noise(spark, d):
-    """White-noise cells: share of complex root pairs in fits of short series, with its Wilson interval."""
+    """White-noise cells of 30 and 1,000 observations: share of complex root pairs in their fits, with its Wilson interval."""
     from tidemark.functions import stats
     from tidemark.kernels import ar
 
     def f(row):
-        x = streams.stream(streams.DEVELOPMENT + 52, 30, int(row["id"])).standard_normal(30)
+        size = int(row["size"])
+        x = streams.stream(streams.DEVELOPMENT + 52, size, int(row["id"])).standard_normal(size)
         p1, p2, _ = ar.least_squares(x)
-        yield {"replicate": int(row["id"]), "complex_pair": p1 * p1 + 4 * p2 < 0}
+        yield {"size": size, "replicate": int(row["id"]), "complex_pair": p1 * p1 + 4 * p2 < 0}
 
-    fits = sim.each(spark.range(2000), f, "replicate int, complex_pair boolean", "id")
-    out = fits.agg(F.count("*").alias("n"), F.count_if("complex_pair").alias("k"))
-    return out.select("n", "k", stats.wilson("k", "n").alias("interval"))
+    cells = spark.range(2000).select("id", F.explode(F.array(F.lit(30), F.lit(1000))).alias("size"))
+    fits = sim.each(cells, f, "size int, replicate int, complex_pair boolean", "id")
+    out = fits.groupBy("size").agg(F.count("*").alias("n"), F.count_if("complex_pair").alias("k"))
+    return out.select("size", "n", "k", stats.wilson("k", "n").alias("interval"))
 
 
 @query()
@@ -216,6 +204,13 @@ def size_replicate(spark, d):
     return acc.cell_summary(reps, ["cell", "kappa"], F.lit(200))
 
 
+@query()
+def size_designs(spark, d):
+    """Nominal accounting of the annual and the bivariate design without planted dates: 200 replicates, at B = 1,000."""
+    cells = [sim.replicates(spark, [1.0], 200, design=k, fixed=False, stream=streams.DEVELOPMENT + 90 + 2 * j).withColumn("cell", F.lit(k)) for j, k in enumerate(("e1", "e2"))]
+    return acc.cell_summary(cells[0].unionByName(cells[1]), ["cell", "kappa"], F.lit(200))
+
+
 @query(f"""with g as (select vec_id sid, cast(unnest(range(len(embedding))) as bigint) pos, cast(unnest(embedding) as double) x from embeddings),
 {b.SQL_LAGS}, {b.sql_full_fit()} select sid, n, round(p1, 6) phi1, round(p2, 6) phi2, round(c, 6) intercept, round(m, 6) modulus, case when p1 is null then 'failed' else 'ok' end status from ff""")
 def white_noise_fits(spark, d):

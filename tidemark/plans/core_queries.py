@@ -242,19 +242,22 @@ def check_yearly(spark, d):
     return g.groupBy("sid").agg(F.count("*").alias("n"), F.count_if(F.col("x") < 0).alias("negative"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
-@query("""with p(sid, c0, c1, c2) as (select vec_id, embedding[1]::double, embedding[2]::double, embedding[3]::double from embeddings),
+@query("""with w as (select vec_id sid, embedding e, unnest(range(len(embedding) - 2)) k from embeddings),
+p as (select sid, k, e[k + 1]::double c0, e[k + 2]::double c1, e[k + 3]::double c2 from w),
 s as (select *, abs(c0) < abs(c2) s1, c2*c1 - c0*c1 d0, c2*c2 - c0*c0 d1 from p)
-select sid, round(d0, 6) t0, round(d1, 6) t1, case when abs(c2) > 0 then s1 and abs(d0) < abs(d1) end stable from s""")
+select sid, k, round(d0, 6) t0, round(d1, 6) t1, case when abs(c2) > 0 then s1 and abs(d0) < abs(d1) end stable from s""")
 def schur_cohn_stable(spark, d):
-    a = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), roots.complex_array(F.slice("embedding", 1, 3)).alias("a"))
+    """Every three neighbouring entries of a vector as a quadratic."""
+    e = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.size("embedding") - 3)).alias("k"))
+    a = e.select("sid", "k", roots.complex_array(F.slice("embedding", F.col("k").cast("int") + 1, 3)).alias("a"))
     t = roots.schur_transform(F.col("a"))
-    return a.select("sid", F.round(t[0]["re"], 6).alias("t0"), F.round(t[1]["re"], 6).alias("t1"), roots.schur_cohn_stable(F.col("a"), 2).alias("stable"))
+    return a.select("sid", "k", F.round(t[0]["re"], 6).alias("t0"), F.round(t[1]["re"], 6).alias("t1"), roots.schur_cohn_stable(F.col("a"), 2).alias("stable"))
 
 
-@query("select vec_id sid, embedding[4] r0, embedding[3] r1, embedding[2] r2, embedding[1] r3 from embeddings")
+@query("select vec_id sid, unnest(range(len(embedding))) k, unnest(list_reverse(embedding)) r from embeddings")
 def conjugate_reciprocal(spark, d):
-    a = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), roots.conjugate_reciprocal(roots.complex_array(F.slice("embedding", 1, 4))).alias("r"))
-    return a.select("sid", *(F.col("r")[k]["re"].cast("float").alias(f"r{k}") for k in range(4)))
+    a = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.posexplode(roots.conjugate_reciprocal(roots.complex_array(F.col("embedding")))).alias("k", "z"))
+    return a.select("sid", F.col("k").cast("long").alias("k"), F.col("z.re").cast("float").alias("r"))
 
 
 @query("""with recursive v as (select vec_id, embedding e from embeddings), r(vec_id, k, a, b) as (
@@ -268,8 +271,8 @@ def recursion_ar2(spark, d):
     return out.select("vec_id", F.round(F.element_at("path", -1), 6).alias("last"))
 
 
-schur_transform = query("""with p(sid, c0, c1, c2, c3) as (select vec_id, embedding[1]::double, embedding[2]::double, embedding[3]::double, embedding[4]::double from embeddings)
-select sid, round(c3*c1 - c0*c2, 6) t0, round(c3*c2 - c0*c1, 6) t1, round(c3*c3 - c0*c0, 6) t2 from p""", name="schur_transform")(
-    lambda spark, d: b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), roots.schur_transform(roots.complex_array(F.slice("embedding", 1, 4))).alias("t"))
-    .select("sid", *(F.round(F.col("t")[k]["re"], 6).alias(f"t{k}") for k in range(3)))
+schur_transform = query("""with p as (select vec_id sid, len(embedding) n, list_transform(embedding, lambda x: x::double) c, unnest(range(len(embedding) - 1)) k from embeddings)
+select sid, k, round(c[n]*c[k + 2] - c[1]*c[n - 1 - k], 6) t from p""", name="schur_transform")(
+    lambda spark, d: b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.posexplode(roots.schur_transform(roots.complex_array(F.col("embedding")))).alias("k", "z"))
+    .select("sid", F.col("k").cast("long").alias("k"), F.round("z.re", 6).alias("t"))
 )
