@@ -1,8 +1,9 @@
 """A corpus pipeline over `documents`: STAGES in order, each a (name, function) of (spark, docs, sf_dir).
 
 Every stage works on all rows that its predecessor kept and calls one operator of ``tidemark.llm``; all but the last
-return the columns of `documents`.  Null ids and texts pass through each stage as the operators define; an empty table
-gives an empty result.
+return the columns of `documents`, and columns beside those, whatever their names, are left out.  Null ids and texts pass
+through each stage as the operators define; texts of any length are worked on whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tail probability of the top grade (good and clean) is at least one half stay."""
+    """Documents whose tail probability of the top grade (good and clean) is at least one half stay.  A null or empty text
+    is scored by its shape, equal texts alike (so repeated rows stay or go together), a very long one whole."""
     return quality.selected(docs.select(*COLUMNS), c.table(spark, sf_dir, "labels"))
 
 
@@ -28,18 +30,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain four fifths of a benchmark item's shingles go."""
+    """Documents that contain four fifths of a benchmark item's shingles go, exactly four fifths included.  Null and blank
+    texts contain nothing and stay; repeated rows stay or go together; a long text counts with all its shingles."""
     return contamination.without_contaminated(docs.select(*COLUMNS), c.table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; all documents stay."""
+    """Personal data is replaced by its kind in brackets; all documents stay, repeated rows too.  A null text stays null; of
+    spans that overlap each byte is replaced once; lines of any length are decoded whole."""
     clean = pii.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left: doc_id, n_tokens, ids, round_trip."""
+    """Token ids of every document that is left: doc_id, n_tokens, ids, round_trip.  Null and empty texts have no ids; each
+    row is encoded by itself, whole, so repeated rows repeat."""
     return pieces.encode(docs)
 
 
