@@ -68,15 +68,54 @@ CHAT = [
 ]
 
 
+def fold(text):
+    return " ".join("".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text).split())
+
+
+def plain(text):
+    """Own lines and (level, lines) of the quotes, character by character."""
+    own, quotes, before = [], [], 0
+    for line in (text or "").split("\n"):
+        i = 0
+        while i < 3 and line[i : i + 1] in tuple(" \t"):
+            i += 1
+        level = 0
+        while line[i : i + 1] == ">":
+            level, i = level + 1, i + 1
+            if line[i : i + 1] in tuple(" \t"):
+                i += 1
+        if not level:
+            own.append(line)
+        else:
+            if not before:
+                while own and not own[-1].split():
+                    own.pop()
+                if own and own[-1].rstrip().endswith(":") and own[-1].rstrip()[:-1].rstrip().lower().endswith(("wrote", "writes", "said", "schrieb", "schrieb am", "a écrit", "escribió")):
+                    own.pop()
+            if level != before:
+                quotes.append((level, []))
+            quotes[-1][1].append(line[i:])
+        before = level
+    return own, [q for q in quotes if any(x.split() for x in q[1])]
+
+
+def weights(lines):
+    """Folded passages with their weights: the whole 4, each other line 1."""
+    lines = [x for x in map(fold, lines) if x]
+    return {" ".join(lines): 4} | {x: 1 for x in lines if x != " ".join(lines)} if lines else {}
+
+
 def brute(rows):
     out = []
     for c, t, text in rows:
-        own, passages = quotes.parse(text)
+        own, passages = plain(text)
+        own, found = "\n".join(own).strip(), passages
+        passages = [(n, "\n".join(x)) for n, x in found]
         sources = []
         for _, q in passages:
             votes = {}
-            for h, w in quotes.keys(q):
-                at = [u for d, u, other in rows if d == c and c is not None and t is not None and u is not None and u < t and h in {k for k, _ in quotes.keys(quotes.parse(other)[0])}]
+            for h, w in weights(q.split("\n")).items():
+                at = [u for d, u, other in rows if d == c and c is not None and t is not None and u is not None and u < t and h in weights(plain(other)[0])]
                 if at:
                     votes[max(at)] = votes.get(max(at), 0) + w
             sources.append(max(votes, key=lambda u: (votes[u], u)) if votes else None)
@@ -126,9 +165,17 @@ def test_pipeline(spark, tmp_path):
     assert not docs.where(F.col("text").rlike(r"@mail\d\.example\.com")).count()
     last = corpus_pipeline.run(spark, SF)
     assert last.count() == n and last.where("not round_trip").count() == 0
-    dirty = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, dirty, SF).count() >= 0 and stage(spark, dirty.limit(0), SF).count() == 0
+    long = " ".join(f"word{k}" for k in range(20_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, long, "en", "s", len(long)), (2, "call 10.0.0.1 or x@y.org today please", "en", "s", 37)]
+    dirty = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).schema)
+    got = {name: stage(spark, dirty, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    assert all(stage(spark, dirty.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+    texts = lambda name: sorted(str(r.text) for r in got[name])
+    everything = sorted(str(r[1]) for r in rows)
+    assert texts("minhash near-dedup") == everything == texts("benchmark decontamination")  # blank texts are no copies of each other
+    assert len(got["pii"]) == len(rows) and {str(r[1]) for r in rows[:4]} <= set(texts("pii")) and not any("10.0.0.1" in x or "x@y.org" in x for x in texts("pii"))
+    assert set(texts("quality classifier")) <= set(everything) and texts("quality classifier").count("") in (0, 2)
+    assert sorted((str(r.doc_id), r.n_tokens > 0, r.round_trip) for r in got["sentencepiece"]) == sorted([("None", False, True), ("1", False, True), ("1", False, True), ("2", True, True), ("2", True, True)])
 
 
 def test_queries_are_registered():
