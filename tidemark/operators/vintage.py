@@ -2,9 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import labels
+from tidemark.operators.series import ContractError
+
+
+class Stop(ContractError):
+    """A table that can't be read: the step that refused it, and why, with digits masked."""
+
+    def __init__(self, step: str, why: str):
+        super().__init__(f"{step}: {why}")
+        self.step = step
+
+
+def _refuse(bad: DataFrame, step: str, why: str, *show: str) -> None:
+    row = bad.select(*(labels.mask_digits(F.col(c).cast("string")).alias(c) for c in show)).limit(1).collect()
+    if row:
+        raise Stop(step, f"{why}: {row[0].asDict()}")
+
+
+def _direction(month: Column, place: Column, by: list[str]) -> tuple[Column, Column]:
+    """Smallest and largest step between neighbouring months: aggregates of a window result."""
+    step = month - F.lag(month).over(Window.partitionBy(*by).orderBy(place)) if by else month - F.lag(month).over(Window.orderBy(place))
+    return step, F.struct(F.min("step").alias("low"), F.max("step").alias("high"))
+
+
+def join_parts(cells: DataFrame) -> DataFrame:
+    """The cells of the one table that a file's parts make: cells, with place (a column's number in the table) and month.
+
+    cells holds (part, col, vintage_label, row, quarter_label, kind, text), a row for each cell, empty ones too.  Parts are
+    joined side by side only if their row labels are identical and their ranges of months are apart; parts in falling
+    order are joined in falling order.  Step 4.1 refuses what can't be joined, 4.3 a month that can't be read."""
+    columns = cells.select("part", "col", "vintage_label").distinct().withColumn("month", labels.parse_release_month(F.col("vintage_label")))
+    columns = columns.persist()  # a row for each column of a sheet
+    if columns.isEmpty():
+        raise Stop("4.1", "there is no table of vintages by quarters")
+    named = F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("row", "quarter_label")))))  # as many as a sheet has rows
+    several = columns.select("part").distinct().count() > 1
+    if several:
+        _refuse(columns.where("month is null"), "4.3", "a vintage label does not state a month", "vintage_label")
+        if cells.groupBy("part").agg(named.alias("rows")).select("rows").distinct().count() > 1:
+            raise Stop("4.1", "the parts' quarter labels are not identical")
+    step, ends = _direction(F.col("month"), F.col("col"), ["part"])
+    parts = columns.withColumn("step", step).groupBy("part").agg(F.min("month").alias("first"), F.max("month").alias("last"), ends.alias("d"))
+    if several:
+        before = F.lag("last").over(Window.orderBy("first", "last"))  # parts of one file
+        _refuse(parts.withColumn("before", before).where("first <= before"), "4.1", "the parts' ranges of vintages overlap", "part")
+    falling = parts.agg(F.bool_or((F.col("d.high") <= 0) & (F.col("d.low") < 0)) & ~F.coalesce(F.bool_or((F.col("d.low") >= 0) & (F.col("d.high") > 0)), F.lit(False))).first()[0]
+    order = [F.col("first").desc(), F.col("last").desc()] if falling else [F.col("first"), F.col("last")]
+    place = columns.join(parts.select("part", "first", "last"), "part").withColumn("place", F.row_number().over(Window.orderBy(*order, "col")) - 1)
+    return cells.join(F.broadcast(place.select("part", "col", "place", "month")), ["part", "col"])  # a row for each column
+
+
+def read_table(cells: DataFrame) -> DataFrame:
+    """number, label, month, quarter, kind, level of a table of vintages by quarters, from the raw cells of its parts.
+
+    In order: 4.1 parts that can't be joined; 4.2 cells of kind other; 4.3 labels that can't be read and a quarter that
+    stands twice; 4.4 months that don't run in one direction.  The first that is met stops.  Vintages are numbered by
+    release, ties by place."""
+    table = join_parts(cells).withColumn("cell", labels.kind_of(F.col("kind"), F.col("text")))
+    _refuse(table.where("cell = 'other'"), "4.2", "a cell is neither number, marker nor empty", "vintage_label", "quarter_label", "text")
+    _refuse(table.where("month is null"), "4.3", "a vintage label does not state a month", "vintage_label")
+    rows = table.select("row", "quarter_label").distinct().withColumn("quarter", labels.parse_quarter(F.col("quarter_label"))).persist()
+    _refuse(rows.where("quarter is null"), "4.3", "a row label does not state a quarter", "quarter_label")
+    _refuse(rows.groupBy("quarter").agg(F.count("*").alias("n"), F.min("quarter_label").alias("quarter_label")).where("n > 1"), "4.3", "a quarter stands twice", "quarter_label")
+    columns = table.select("place", "vintage_label", "month").distinct()
+    step, ends = _direction(F.col("month"), F.col("place"), [])
+    d = columns.withColumn("step", step).agg(ends.alias("d")).first().d
+    if d.low is None or d.low < 0 < d.high or d.low == d.high == 0:
+        raise Stop("4.4", "the months of release do not run in one direction")
+    number = F.row_number().over(Window.orderBy(F.col("place") if d.low >= 0 else F.col("place").desc())) - 1
+    columns = columns.select("place", number.cast("long").alias("number"))
+    out = table.join(F.broadcast(columns), "place").join(F.broadcast(rows.select("row", "quarter")), "row")  # columns and rows of a sheet
+    return out.select("number", F.col("vintage_label").alias("label"), "month", "quarter", F.col("cell").alias("kind"), F.when(F.col("cell") == "numeric", F.col("text").cast("double")).alias("level"))
+
 
 def first_present(table: DataFrame) -> DataFrame:
     """sid?, quarter, vintage: the earliest vintage with a number for the quarter."""

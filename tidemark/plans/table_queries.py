@@ -219,6 +219,30 @@ def build_tables(spark, d):
     return b.monthly_triangle(spark, d).select("vintage", "quarter", "kind", *r6("level"))
 
 
+_SHEETS = f"""{T}, all_ as (select q.quarter, v.vintage from (select distinct quarter from tri) q, (select distinct vintage from tri) v)"""
+
+
+@query(f"""with {_SHEETS} select dense_rank() over (order by a.vintage) - 1 as number, strftime(make_date(cast(a.vintage // 12 as int), cast(a.vintage % 12 + 1 as int), 1), '%b %Y') as label, a.vintage as month,
+ a.quarter - 16000 as quarter, case when t.level is not null then 'numeric' when (a.quarter + a.vintage) % 5 = 0 then 'marker' else 'empty' end kind, round(t.level, 6) as level
+ from all_ a left join tri t on t.quarter = a.quarter and t.vintage = a.vintage""")
+def read_table(spark, d):
+    """The triangle laid out as two sheets side by side, later vintages first, with labels and markers, and read back."""
+    tri = b.monthly_triangle(spark, d)
+    quarters, vintages = tri.select("quarter").distinct(), tri.select("vintage").distinct()
+    grid = quarters.join(F.broadcast(vintages))  # months by months: bounded by the calendar
+    middle = vintages.agg(F.percentile_approx("vintage", 0.5)).first()[0]
+    text = F.when(F.col("level").isNotNull(), F.col("level").cast("string")).when((F.col("quarter") + F.col("vintage")) % 5 == 0, "..")
+    label = F.date_format(F.make_date(F.floor(F.col("vintage") / 12).cast("int"), (F.col("vintage") % 12 + 1).cast("int"), F.lit(1)), "MMM yyyy")
+    q = (F.col("quarter") - 16_000).cast("int")
+    cells = grid.join(tri, ["quarter", "vintage"], "left").select(
+        F.when(F.col("vintage") > middle, "a").otherwise("b").alias("part"), (-F.col("vintage")).alias("col"), label.alias("vintage_label"), F.col("quarter").alias("row"),
+        F.concat(F.floor(q / 4).cast("string"), F.lit(" Q"), (q % 4 + 1).cast("string")).alias("quarter_label"),
+        F.when(F.col("level").isNotNull(), "number").when(text.isNotNull(), "text").otherwise("empty").alias("kind"), text.alias("text"),
+    )
+    out = vt.read_table(cells)
+    return out.select("number", "label", F.col("month").cast("long").alias("month"), F.col("quarter").cast("long").alias("quarter"), "kind", *r6("level"))
+
+
 @query(f"with {T} select quarter, min(vintage) vintage from tri where kind = 'numeric' group by quarter")
 def first_present(spark, d):
     return vt.first_present(b.monthly_triangle(spark, d))
