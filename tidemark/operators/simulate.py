@@ -75,17 +75,42 @@ def joint_test(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPME
     return each(packed(series, "x"), f, ATTEMPTS)
 
 
+def _planned(rows: DataFrame, values: Callable[[dict], np.ndarray], test: Callable, plan: dict[str, dict], rng: Callable, B: int) -> DataFrame:
+    """Attempt ledger of a plan of analyses: a unit is one analysis of one series, with its own stream rng(name, sid).  A
+    test of several metrics gives them all, the first under the analysis's name."""
+    rows = rows.withColumn("analysis", F.explode(F.array(*map(F.lit, plan)))).withColumn("unit", F.concat_ws("/", "sid", "analysis"))
+
+    def f(row):
+        name = row["analysis"]
+        got = test(values(row), rng(name, row["sid"]), B, **plan[name])
+        for m in dict.fromkeys(r["metric"] for r in got):
+            yield from _attempts(str(row["sid"]), name if m == "primary" else m, [r for r in got if r["metric"] == m])
+
+    return each(rows, f, ATTEMPTS, "unit")
+
+
+def _numbered(plan: dict, stream: int) -> Callable:
+    """Streams of a plan's analyses, in their order."""
+    at = {name: stream + k for k, name in enumerate(plan)}
+    return lambda name, sid: streams.stream(at[name], unit(sid))
+
+
+def _one(row: dict) -> np.ndarray:
+    return np.asarray(row["x"], float)
+
+
+def _two(row: dict) -> np.ndarray:
+    return np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
+
+
 def analyze_h1(series: DataFrame, B: int = 1000, registered: bool = False) -> DataFrame:
     """Attempt ledger of the seven analyses of each series."""
+    plan = {"primary": {"metrics": ar.METRICS}} | ar.VARIANTS
 
-    def f(row):
-        cell = 0 if registered else unit(row["sid"])
-        make = (lambda n: streams.stream(n, cell, allow_registered=True)) if registered else (lambda n: streams.stream(streams.DEVELOPMENT + streams.STREAMS[n], cell))
-        rows = ar.h1(np.asarray(row["x"], float), B, make)
-        for name in ("primary", "trend", "lag1", "window32", "window48", "fixed", "wild"):
-            yield from _attempts(str(row["sid"]), name, [r for r in rows if r["analysis"] == name])
+    def rng(name, sid):
+        return streams.stream(name, 0, allow_registered=True) if registered else streams.stream(streams.DEVELOPMENT + streams.STREAMS[name], unit(sid))
 
-    return each(packed(series, "x"), f, ATTEMPTS)
+    return _planned(packed(series, "x"), _one, ar.csd_test, plan, rng, B)
 
 
 def comparisons(ledger: DataFrame) -> DataFrame:
@@ -144,38 +169,24 @@ def var_test(pairs: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT
     return each(packed(pairs, "g", "du"), f, ATTEMPTS)
 
 
-def _analyses(row: dict, x: np.ndarray, test, plan: dict[str, dict], B: int, stream: int) -> Iterator[dict]:
-    """One test for each name of the plan, each from its own stream; a test of several metrics gives them all, the
-    first under its name."""
-    for k, (name, opts) in enumerate(plan.items()):
-        rows = test(x, streams.stream(stream + k, unit(row["sid"])), B, **opts)
-        for m in dict.fromkeys(r["metric"] for r in rows):
-            yield from _attempts(str(row["sid"]), name if m == "primary" else m, [r for r in rows if r["metric"] == m])
-
-
 def analyze_e1(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 20) -> DataFrame:
     """Attempt ledger of the seven annual analyses: joint primary, trend and lag1; windows 25 and 35; fixed dates; wild signs."""
-    rules = {"window": 30, "lookback": 2, "merge": 2, "least": 1, "span": 4}
+    rules = DESIGNS["e1"][3]
     plan = {"primary": rules | {"metrics": ar.METRICS}, "window25": rules | {"window": 25}, "window35": rules | {"window": 35}, "fixed": rules | {"fixed": True}, "wild": rules | {"kind": "wild"}}
-    return each(packed(series, "x"), lambda row: _analyses(row, np.asarray(row["x"], float), ar.csd_test, plan, B, stream), ATTEMPTS)
+    return _planned(packed(series, "x"), _one, ar.csd_test, plan, _numbered(plan, stream), B)
 
 
 def analyze_e2(pairs: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 30) -> DataFrame:
     """Attempt ledger of the seven analyses of the spectral radius of pairs (g, du)."""
-    plan = {"primary": {"metrics": ar.METRICS}, "window32": {"window": 32}, "window48": {"window": 48}, "fixed": {"fixed": True}, "wild": {"kind": "wild"}}
-
-    def f(row):
-        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
-        yield from _analyses(row, x, matrices.var_test, plan, B, stream)
-
-    return each(packed(pairs, "g", "du"), f, ATTEMPTS)
+    plan = {"primary": {"metrics": ar.METRICS}} | ar.VARIANTS
+    return _planned(packed(pairs, "g", "du"), _two, matrices.var_test, plan, _numbered(plan, stream), B)
 
 
 def analyze_e3(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 80) -> DataFrame:
     """Attempt ledger of the five analyses of the time-varying AR(2), every surrogate refitted by likelihood: joint
     primary, held-fixed variances and trend; fixed dates; wild signs."""
     plan = {"primary": {}, "fixed": {"fixed": True, "metrics": ("primary",)}, "wild": {"kind": "wild", "metrics": ("primary",)}}
-    return each(packed(series, "x"), lambda row: _analyses(row, np.asarray(row["x"], float), matrices.tv_test, plan, B, stream), ATTEMPTS)
+    return _planned(packed(series, "x"), _one, matrices.tv_test, plan, _numbered(plan, stream), B)
 
 
 #: The real-time comparison's analyses and their options.
