@@ -47,6 +47,16 @@ def test_archives_hold_records_by_size(spark, tmp_path, monkeypatch):
     warc.write_archives(warc.records(pages), str(tmp_path / "a"))
     files = {k: sorted((tmp_path / "a" / f"size{k}").glob("*.gz")) for k in range(3)}
     held = {k: [sum(1 for _ in warc.parse(gzip.open(f))) for f in files[k]] for k in files}  # the writer may add an empty file
+    from pathlib import Path
+
+    odd = tmp_path / "odd"  # archives of another layout
+    odd.mkdir()
+    for k in files:
+        for f in files[k]:
+            (odd / f"{k}-{Path(f).name}").write_bytes(f.read_bytes())
+    warc.deduplicate(spark, str(odd), str(tmp_path / "less"))
+    back = warc.read_archives(spark, str(tmp_path / "less")).groupBy("record_type").count().collect()
+    assert {r.record_type: r["count"] for r in back} == {"response": 255, "revisit": 10}
     assert [sum(held[k]) for k in held] == [250, 11, 4] and max(held[0]) <= 100 and max(held[1]) <= 2 and max(held[2]) == 1
 
 

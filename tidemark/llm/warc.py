@@ -52,9 +52,10 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     )
 
 
-def write_archives(rows: DataFrame, path: str, largest: int | None = None) -> None:
-    """Write HEADER rows with payload (ignored for revisits) as archives in folders under path, with headers made here;
-    refers_to_id and refers_to_url may be there for revisits.  `largest` payload: measured if not given."""
+def write_archives(rows: DataFrame, path: str, only: int | None = None) -> None:
+    """Write HEADER rows with payload (ignored for revisits) as archives in folders under path, one for each class of
+    sizes (`only`: all rows are of this class or smaller), with headers made here; refers_to_id and refers_to_url may be
+    there for revisits."""
     for name in REFERS[1:]:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
@@ -78,15 +79,14 @@ def write_archives(rows: DataFrame, path: str, largest: int | None = None) -> No
         F.lit(f"Content-Type: application/http; msgtype=response{EOL}"),
     )
     size = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
-    if largest is None:
-        largest = rows.agg(F.max(size)).first()[0] or 0
+    largest = 0 if only is not None else rows.agg(F.max(size)).first()[0] or 0
     full = rows.select(size.alias("size"), head.alias("head"), block.alias("block"))
     full = full.select("size", F.concat("head", F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit(EOL * 2), "block").alias("value"))
     for k, (low, high) in enumerate(zip((-1, *SIZES), (*SIZES, None))):
-        if k and largest <= low:
-            break
-        own = full.where((F.col("size") > low) & (F.col("size") <= high) if high else F.col("size") > low).select("value")
-        own.write.option("lineSep", EOL * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_BYTES // high if high else 1).text(f"{path}/size{k}")
+        if only not in (None, k) or only is None and k and largest <= low:
+            continue
+        own = full if only == k else full.where((F.col("size") > low) & (F.col("size") <= high) if high else F.col("size") > low)
+        own.select("value").write.option("lineSep", EOL * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_BYTES // high if high else 1).text(f"{path}/size{k}")
 
 
 def parse(stream):
@@ -160,18 +160,22 @@ def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, least: int = LEAST) -> None:
-    """Rewrite the archives at source to target: revisits without payload, all headers fresh."""
+    """Rewrite the archives at source to target: revisits without payload, all headers fresh.  Folders of size classes are
+    rewritten one by one, so that each payload is shuffled once."""
     headers = c.written(read_archives(spark, source), "headers")
-    largest = headers.agg(F.max("payload_bytes")).first()[0] or 0
-    revisits = resolve(headers, least).withColumnRenamed("record_id", "rid").withColumnRenamed("refers_to", "ref")
-    rows = read_archives(spark, source, payload=True).join(revisits, F.col("record_id") == F.col("rid"), "left")
+    revisits = c.written(resolve(headers, least), "revisits").withColumnRenamed("record_id", "rid").withColumnRenamed("refers_to", "ref")
     known, run = F.col("rid").isNotNull(), F.lit(uuid.uuid4().hex)
     fresh = lambda old: F.md5(F.concat_ws("/", run, old))  # the same record's new id wherever it is named
-    write_archives(rows.select(
-        fresh(F.col("record_id")).alias("record_id"), "page_id", F.when(known, "revisit").otherwise(F.col("record_type")).alias("record_type"), "url", "payload_digest", "payload_bytes",
-        F.when(known, F.col("ref")).otherwise(F.col("refers_to")).alias("refers_to"), F.when(known, fresh(F.col("refers_to_id"))).alias("refers_to_id"), "refers_to_url",
-        F.when(~known, F.col("payload")).otherwise("").alias("payload"),
-    ), target, largest)
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    folders = {k: f"{source}/size{k}" for k in range(len(SIZES) + 1)}
+    folders = {k: p for k, p in folders.items() if where(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(where(p))} or {None: source}
+    for k, path in folders.items():
+        rows = read_archives(spark, path, payload=True).join(revisits, F.col("record_id") == F.col("rid"), "left")
+        write_archives(rows.select(
+            fresh(F.col("record_id")).alias("record_id"), "page_id", F.when(known, "revisit").otherwise(F.col("record_type")).alias("record_type"), "url", "payload_digest", "payload_bytes",
+            F.when(known, F.col("ref")).otherwise(F.col("refers_to")).alias("refers_to"), F.when(known, fresh(F.col("refers_to_id"))).alias("refers_to_id"), "refers_to_url",
+            F.when(~known, F.col("payload")).otherwise("").alias("payload"),
+        ), target, k)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
