@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.kernels import ar, matrices, streams
 
 
@@ -114,16 +115,29 @@ def analyze_h1(series: DataFrame, B: int = 1000, registered: bool = False) -> Da
 
 
 def comparisons(ledger: DataFrame) -> DataFrame:
-    """sid, analysis, observed, retained, no_episode, failed, comparison, p of an attempt ledger."""
-    from tidemark.operators import accounting
-
-    drawn = ledger.where("number >= 0")
-    counts = accounting.comparison_status(drawn, ["sid", "analysis"])
-    seen = ledger.where("number = -1").select("sid", "analysis", F.col("status").alias("observed_status"), "observed", F.size("onsets").alias("episodes"))
-    broken = ledger.where("number = -2").select("sid", "analysis", F.lit(True).alias("no_null"))
-    out = seen.join(counts, ["sid", "analysis"], "left").join(broken, ["sid", "analysis"], "left")
-    status = F.when(F.col("no_null"), "null_model_failed").when(F.col("observed_status") != "retained", "observed_not_estimable").otherwise(F.col("comparison"))
-    return out.select("sid", "analysis", "observed", "episodes", F.coalesce("retained", F.lit(0)).alias("retained"), F.coalesce("no_episode", F.lit(0)).alias("no_episode"), F.coalesce("failed", F.lit(0)).alias("failed"), status.alias("comparison"), "p")
+    """One row for each sid and analysis of an attempt ledger, in one pass over it: observed, episodes, positive (changes
+    above zero), retained, no_episode, failed, comparison, p, exceedances (draws that reach the observed value) and the
+    Wilson interval of their share."""
+    seen, drawn = F.col("number") == -1, F.col("number") >= 0
+    of = lambda c: F.max(F.when(seen, c))
+    n = lambda s: F.count_if(drawn & (F.col("status") == s))
+    by = ledger.groupBy("sid", "analysis").agg(
+        of(F.col("status")).alias("seen"), of(F.col("observed")).alias("observed"), of(F.size("onsets")).alias("episodes"), of(F.size(F.filter("parts", lambda x: x > 0))).alias("positive"),
+        n("retained").alias("retained"), n("no_eligible_episode").alias("no_episode"), n("failed").alias("failed"), F.bool_or(F.col("number") == -2).alias("no_null"),
+        F.count_if(drawn & (F.col("status") == "retained") & (F.col("statistic") >= F.col("observed"))).alias("over"),
+    )
+    status = F.when(F.col("no_null"), "null_model_failed").when(F.col("seen") != "retained", "observed_not_estimable").when(F.col("failed") > 0, "failed").when(F.col("retained") == 0, "no_draws").otherwise("complete")
+    full = status == "complete"
+    return by.select(
+        "sid", "analysis", "observed", "episodes", "positive", "retained", "no_episode", "failed", status.alias("comparison"), F.when(full, (1 + F.col("over")) / (1 + F.col("retained"))).alias("p"),
+        F.when(full, F.col("over")).alias("exceedances"), F.when(full, stats.wilson(F.col("over"), F.col("retained"))).alias("interval"),
+    )
+
+
+def episode_table(ledger: DataFrame) -> DataFrame:
+    """sid, analysis, episode, onset, value: what the observed statistic is the mean of."""
+    rows = ledger.where("number = -1").select("sid", "analysis", F.posexplode(F.arrays_zip("onsets", "parts")).alias("episode", "e"))
+    return rows.select("sid", "analysis", "episode", F.col("e.onsets").alias("onset"), F.col("e.parts").alias("value"))
 
 
 def intervals(ledger: DataFrame, B: int = 10_000, stream: int = streams.DEVELOPMENT + 2) -> DataFrame:
@@ -169,9 +183,10 @@ def var_test(pairs: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT
     return each(packed(pairs, "g", "du"), f, ATTEMPTS)
 
 
-def analyze_e1(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 20) -> DataFrame:
-    """Attempt ledger of the seven annual analyses: joint primary, trend and lag1; windows 25 and 35; fixed dates; wild signs."""
-    rules = DESIGNS["e1"][3]
+def analyze_e1(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 20, exogenous: tuple[int, ...] = ()) -> DataFrame:
+    """Attempt ledger of the seven annual analyses: joint primary, trend and lag1; windows 25 and 35; fixed dates; wild signs.
+    Onsets at `exogenous` positions (wars, an epidemic) count neither in the series nor in a surrogate."""
+    rules = DESIGNS["e1"][3] | {"exclude": exogenous}
     plan = {"primary": rules | {"metrics": ar.METRICS}, "window25": rules | {"window": 25}, "window35": rules | {"window": 35}, "fixed": rules | {"fixed": True}, "wild": rules | {"kind": "wild"}}
     return _planned(packed(series, "x"), _one, ar.csd_test, plan, _numbered(plan, stream), B)
 
@@ -223,7 +238,7 @@ def analyze_e4(vintages: DataFrame, B: int = 1000, stream: int = streams.DEVELOP
 def whole(analyze: Callable[..., DataFrame], series: DataFrame, B: int = 1000) -> DataFrame:
     """The comparisons of an analysis, with the 90 % resampling interval of the observed changes on the primary's row."""
     got = intervals(analyze(series, 0)).select("sid", F.lit("primary").alias("analysis"), F.col("status").alias("interval_status"), "low", "high")
-    return comparisons(analyze(series, B).persist()).join(got, ["sid", "analysis"], "left")
+    return comparisons(analyze(series, B)).join(got, ["sid", "analysis"], "left")
 
 
 def cycles(series: DataFrame, kind: str = "hp", **opts) -> DataFrame:

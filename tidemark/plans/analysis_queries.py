@@ -40,6 +40,12 @@ def analyze_h1(spark, d):
     return sim.comparisons(sim.analyze_h1(b.weekly_growth(spark, d)))
 
 
+@query()
+def episode_table(spark, d):
+    """The observed episodes of the seven quarterly analyses: onset and change (or trend) before it."""
+    return sim.episode_table(sim.analyze_h1(b.weekly_growth(spark, d), 0))
+
+
 @query()
 def e1_analyze(spark, d):
     """The annual rules (window 30, lookback 2, runs of 1, merge 2, span 4) over monthly growth: joint primary, trend and
@@ -115,7 +121,7 @@ def e4_compare(spark, d):
     dates = F.broadcast(spark.createDataFrame([(0, 100), (1, 180), (2, 260), (3, 320)], "j int, onset int"))
     vintages = g.join(dates, F.col("pos") < F.col("onset")).select("sid", "j", "onset", "pos", "x")
     # the onset is the first position that isn't known yet, so its date lies just behind the path
-    return sim.comparisons(sim.analyze_e4(vintages).persist())
+    return sim.comparisons(sim.analyze_e4(vintages))
 
 
 @query()
