@@ -132,7 +132,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = c.written(small.where("a <> b").distinct(), "edges")
+        before, e = e, c.written(small.where("a <> b").distinct(), "edges")
+        c.discard(before)
         now = mark(e)
         if now == was:
             break
@@ -237,7 +238,8 @@ def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     full = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     bucket = c.written(member.join(full, "band"), "buckets")
     score = bucket.groupBy("node").agg(F.sum("n").alias("score"))
-    bucket = c.written(bucket.join(score, "node").select("band", "node", "n_shingles", "score"), "scored")
+    met, bucket = bucket, c.written(bucket.join(score, "node").select("band", "node", "n_shingles", "score"), "scored")
+    c.discard(met)
     met = held.join(bucket.select("node").distinct(), "node", "left_semi").select("node", F.col("id.doc_id").alias("rep"), F.col("print").alias("p"))
     texts = docs.join(met.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("rep")) & (F.col("print") == F.col("p"))).groupBy("node").agg(F.min_by("text", F.lit(0)).alias("text"))
     texts = c.written(texts, "texts")
@@ -258,9 +260,12 @@ def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     rest = c.written(_rest(bucket, root), "rest")
     if not rest.isEmpty():
         more = c.written(_across(rest, texts, percent), "links")
-        root = c.written(components(links.unionByName(more)), "roots")
+        first, root = root, c.written(components(links.unionByName(more)), "roots")
+        c.discard(first, more)
+    c.discard(rest, texts, links, bucket)
     named = held.select("k1", "k2", "node", "id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = c.written(named, "named")
+    c.discard(held, root)
     named = named.drop("id").join(named.groupBy("root").agg(F.min("id").alias("component")), "root")
     out = sketch.select("doc_id", "print", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", "print", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))

@@ -95,11 +95,12 @@ def _parse(batches):
 def roots(replies: DataFrame) -> DataFrame:
     """conv_id, turn, root of messages that reply (conv_id, turn, reply_to): pointer doubling until nothing moves.
     Replies go to earlier turns, so there are no rings."""
-    at = c.written(replies.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("root")), "roots")
+    at = last = c.written(replies.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("root")), "roots")
     while True:
         up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("above"))
         moved = c.written(at.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
-        at = moved.drop("moved")
+        c.discard(last)
+        at, last = moved.drop("moved"), moved
         if moved.where("moved").isEmpty():
             return at
 
