@@ -72,7 +72,7 @@ def test_a_common_passage_is_told_once_a_group(spark):
     passage = "".join(rng.choice("abcdefghij ") for _ in range(400))
     texts = [f"{k} own {rng.random()} " + passage for k in range(2000)]
     table = pa.table({"g": pa.array([3] * 2000, pa.int32()), "doc_id": pa.array(range(2000), pa.int64()), "text": texts})
-    out = suffix_dedup._send([5], [])(table)
+    out = suffix_dedup._send([5])(table)
     low, high, key, check = (np.concatenate(x) for x in zip(*(suffix_dedup.c.unpack(b.as_py()) for b in out["block"])))
     shared = high > low
     assert (low[shared] == 0).sum() >= 10 and len(key) == len({*zip(key.tolist(), check.tolist())}) and shared.sum() < 60

@@ -191,9 +191,9 @@ def _part(m: np.ndarray, parts: int) -> np.ndarray:
     return ((m >> c.U64(40)) % c.U64(parts)).astype(np.int64)
 
 
-def _send(numbers: list[int], bounds: list[int]):
-    """For each distinct run of FLUSH runs of a group: its smallest and largest document."""
-    edge, number = np.array(bounds, np.int64), np.array(numbers)
+def _send(numbers: list[int]):
+    """For each distinct run of FLUSH runs of a group: its smallest and largest document; a row for each part."""
+    number = np.array(numbers)
     schema = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("g", pa.int32()), ("block", pa.binary())])
 
     def told(g, held):
@@ -206,10 +206,8 @@ def _send(numbers: list[int], bounds: list[int]):
         new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (part[1:] != part[:-1])
         end = np.append(new[1:], True)
         low, high = doc[new], doc[end]
-        place = part[new] * (BATCHES + 1) + np.searchsorted(edge, low, "right")
-        for p, x in _blocks(place, [low, high, key[new], check[new]]):
-            at, batch = divmod(p, BATCHES + 1)
-            yield int(number[at]), batch, g, x
+        for p, x in _blocks(part[new], [low, high, key[new], check[new]]):
+            yield int(number[p]), 0, g, x
 
     def run(docs: pa.Table) -> pa.Table:
         out, held, n = [], [], 0
@@ -246,8 +244,8 @@ def _by_part(batches):
         yield part, batch, groups, held
 
 
-def _coarse(batches):
-    """For each part: kind 1, runs that an earlier document has as a whole, with the first document; kind 2, runs of their
+def _coarse(bounds: list[int]):
+    """For each part, batch by batch of document ids: kind 1, runs that an earlier document has as a whole, with the first document; kind 2, runs of their
     first document to look into; kind 4, runs of any document to look into (keys that clash)."""
 
     def answer(kept, family):
@@ -265,15 +263,20 @@ def _coarse(batches):
                 new[1:] = (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (w[1:] != w[:-1])
                 yield _rows(_blocks(a[new], [k[new], w[new], d[new]]), ["g", "kind", "block"], lambda p, kind=kind: (p, kind))
 
-    part, family, kept = None, None, []
-    for p, _, groups, blocks in _by_part(batches):
-        if p != part:
+    edge = np.array(bounds, np.int64)
+
+    def run(batches):
+        for _, _, groups, blocks in _by_part(batches):
+            g = np.repeat(np.array(groups, np.int32), [len(x[0]) for x in blocks])
+            low, high, key, check = (np.concatenate(x) for x in zip(*blocks))
+            batch = np.searchsorted(edge, low, "right")
+            family, kept = IndexFamily(), []
+            for k in np.unique(batch):
+                own = batch == k
+                kept.append((g[own], low[own], high[own], key[own], check[own], *family.insert(key[own], check[own], low[own])))
             yield from answer(kept, family)
-            part, family, kept = p, IndexFamily(), []
-        g = np.repeat(np.array(groups, np.int32), [len(x[0]) for x in blocks])
-        low, high, key, check = (np.concatenate(x) for x in zip(*blocks))
-        kept.append((g, low, high, key, check, *family.insert(key, check, low)))
-    yield from answer(kept, family)
+
+    return run
 
 
 def _answers(tab: pa.Table, kind: int, width: int) -> list[np.ndarray]:
@@ -501,8 +504,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     bounds = sorted(set(cuts or []))
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
     dealt = docs.select(F.element_at(F.lit(numbers), lot + 1).alias("g"), "doc_id", "given", "text").groupBy("g")
-    sent = dealt.applyInArrow(_send(numbers, bounds), "part int, batch int, g int, block binary")
-    coarse = sent.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_coarse, "g int, kind int, block binary")
+    sent = dealt.applyInArrow(_send(numbers), "part int, batch int, g int, block binary")
+    coarse = sent.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_coarse(bounds), "g int, kind int, block binary")
     coarse = c.written(coarse, "suffix-answers")
     looked = dealt.cogroup(coarse.where("kind in (2, 4)").groupBy("g")).applyInArrow(_look(numbers, bounds), "part int, batch int, block binary")
     fine = looked.repartition(width, "part").sortWithinPartitions("part", "batch").mapInArrow(_fine(numbers), "g int, kind int, block binary")
