@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import contamination, extract, minhash, order_minhash, pieces, pii, quality, quotes, suffix_dedup, warc
+from tidemark.llm import contamination, embedding_dedup, extract, minhash, order_minhash, pieces, pii, prefix_trie, quality, quotes, spelling, suffix_dedup, warc
 from tidemark.llm._common import table
 
 
@@ -50,6 +50,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -89,5 +101,52 @@ c as (select id, min(root) root from reach group by id)
 select d.id doc_id, cast(len(s) as bigint) n_shingles, c.root component_id, c.root = d.id kept from d join c on c.id = d.id"""
 
 
+#: CRC-32 of a string column in DuckDB: the table of its 256 one-byte values, then a fold over the UTF-8 bytes.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))"
+_BYTES = "list_transform(range(octet_length(encode({s}))), lambda i: cast(('0x' || substr(hex(encode({s})), 2*i + 1, 2)) as bigint))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, {b}), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295)"
+
+_VARIANTS = f"""with recursive tab as (select {_CRC_TABLE} tab),
+runs as (select doc_id, run, count(*) k from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) run from documents)
+  where length(run) >= 6 group by 1, 2),
+h as (select run, k, {_CRC.format(b=_BYTES.format(s="coalesce(cast(doc_id as varchar), '') || ':' || run"))} h from runs, tab),
+w as (select case when h % 199 = 0 then left(run, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end word, k from h),
+v as (select word, cast(sum(k) as bigint) n from w where length(word) >= 6 group by 1 having sum(k) >= 5),
+cut as (select word, n, i, left(word, i) || substr(word, i + 2) rest from (select word, n, unnest(range(length(word))) i from v)),
+near as (select a.word a, b.word b, b.n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join v b on b.word = a.rest union select b.word, a.word, a.n from cut a join v b on b.word = a.rest),
+best as (select a, count(distinct b) n_near, max(n) most from near group by a),
+f as (select v.word, v.n, coalesce(n_near, 0) n_near, case when most >= 5*v.n then (select min(b) from near where near.a = v.word and near.n = most) end form, case when most >= 5*v.n then most end form_n from v left join best on a = v.word),
+up(word, top) as (select word, word from f union select up.word, f.form from up join f on f.word = up.top where f.form is not null)
+select f.word, f.form, up.top root, f.n, f.n_near, f.form_n from f join up on up.word = f.word join f g on g.word = up.top and g.form is null"""
+
+_TRIE = f"""with tab as (select {_CRC_TABLE} tab),
+t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 pos,
+  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) digest, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) words from conversations where conv_id is not null),
+c as (select conv_id, count(*) own, {_CRC.format(b=_BYTES.format(s="cast(conv_id as varchar)"))} % 4 h from t, tab group by conv_id, tab),
+k as (select c.conv_id, c.conv_id - c.conv_id % 20 base, c.h, least(c.h, coalesce(b.own, 0)) k from c left join c b on b.conv_id = c.conv_id - c.conv_id % 20),
+x as (select k.conv_id, t.pos + 1 depth, digest, words from k join t on t.conv_id = k.base where t.pos < k.h
+  union all select k.conv_id, k.k + t.pos - k.h + 1, digest, words from k join t on t.conv_id = k.conv_id where t.pos >= k.h),
+p as (select conv_id, depth, words, string_agg(digest, '') over (partition by conv_id order by depth rows unbounded preceding) key from x),
+full_ as (select k.conv_id, coalesce(m.depth, 0) depth from k left join (select conv_id, max(depth) depth from p group by 1) m on m.conv_id = k.conv_id),
+member as (select conv_id, depth, words, key from p union all select conv_id, 0, 0, '' from k),
+n as (select key, depth, min(conv_id) conv_id, count(*) n_convs, max(words) words from member group by 1, 2),
+e as (select m.key, string_agg(cast(m.conv_id as varchar), ',' order by m.conv_id) ids from member m join full_ f on f.conv_id = m.conv_id and f.depth = m.depth group by 1),
+kids as (select left(key, 64*(depth - 1)) key, count(*) n_children from n where depth > 0 group by 1),
+y as (select n.*, coalesce(n_children, 0) n_children from n left join kids on kids.key = n.key),
+s as (select a.key, sum(case when b.n_children = 0 then 1 else 0 end) n_leaves, sum((b.n_convs - 1)*b.words) saved from y a join y b on starts_with(b.key, a.key) group by 1)
+select y.conv_id, cast(y.depth as bigint) depth, q.conv_id parent_conv_id, y.n_convs, y.n_children, cast(n_leaves as bigint) n_leaves, cast(saved as bigint) saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+ from y join s on s.key = y.key left join y q on q.depth = y.depth - 1 and q.key = left(y.key, 64*(y.depth - 1)) left join e on e.key = y.key"""
+
+_VECTORS = """with recursive v as (select row_number() over (order by vec_id) r, vec_id, label, cast(embedding as double[]) e from embeddings),
+g as (select *, sqrt(list_sum(list_transform(e, lambda x: x*x))) size from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+l as (select a.r a, b.r b from g a join g b on a.label = b.label and len(a.e) = len(b.e) and a.r < b.r and a.size > 0 and b.size > 0 and list_dot_product(a.e, b.e)/(a.size*b.size) >= 0.98),
+d as (select a, b from l union all select b, a from l),
+reach(id, root) as (select r, r from v union select d.b, reach.root from reach join d on d.a = reach.id where reach.root < d.b),
+c as (select id, min(root) root from reach group by id), n as (select a, count(*) k from d group by a)
+select v.vec_id, coalesce(k, 0) n_links, w.vec_id component_id, v.r = c.root kept from v join c on c.id = v.r join v w on w.r = c.root left join n on n.a = v.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": _REPEATS, "op6_benchmark_decontamination": _LEAKS, "op8_warc_revisits": _WARC, "op10_minhash_near_dedup": _NEAR}
+    return {"op1_suffix_array_dedup": _REPEATS, "op6_benchmark_decontamination": _LEAKS, "op8_warc_revisits": _WARC, "op10_minhash_near_dedup": _NEAR,
+            "op11_spelling_variants": _VARIANTS, "op12_prefix_trie": _TRIE, "op13_embedding_near_dedup": _VECTORS}
