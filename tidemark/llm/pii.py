@@ -84,6 +84,10 @@ contact <email:{n}{d}@mail.{n}.org>, or call <phone:+{d} ({ddd}) {ddd}-{dddd}>
 {W} {w} {w} <phone:+{dd} {dd} {dddd} {dddd}> {w} {w}.
 {w} tel. <phone:({ddd}) {ddd}-{dddd}> {w}
 phone: <phone:{ddd}-{ddd}-{dddd}> {w} {w}
+{w} call <phone:{ddd}-{ddd}-{dddd}> {w}
+{w} {w} {w} <phone:{ddd} {ddd} {dddd}> {w} {w} {w}
+{w} {w} <phone:({ddd}) {ddd}-{dddd}> {w} {w} {w}
+mail <email:{u}@{u}.es> {w}
 call me on <phone:{ddd} {ddd} {dddd}> today
 {w} {w} <ip:{o}.{o}.{o}.{o}> {w}, {w}
 server <ip:{o}.{o}.{o}.{o}>:{dddd} is down
@@ -115,6 +119,31 @@ ISBN {ddd}-{d}-{dddd} {w} {w} {w}
 {a} {a} {a} {w} {a}, {a}. {A} {w} {a}
 {ddd} {ddd} {dd} {w} {dddd} {w}, {ddd}
 def {w}(x): return x[{d}] + {dd} * {w}_{w}
+{W}. {W}. {W}. {W}. {W}. {W}. {W}. {W}. {W}.
+{A}. {A}. {A}. {A}, {A}, {A}, {w}, {w}, {w}. {w}.
+{w}{d} {w}{dd} {w}{ddd} {w}{dddd} {w}{ddddd}
+{w}{d} {w}{d} {w}{dd} {w}{dd} {w}{ddd} {w}{ddd} {w}{dddd} {w}{dddd} {w}{ddddd} {w}{ddddd}
+{l}{dddd} {l}{ddddd} {w} {l}{ddd} {l}{dd} {l}{d} {w} {l}{dddd}
+{W}{d} {w}-{dd} {w}_{ddd} {U}{dd} {U}-{dddd} {W}{dddd}, {w}{dd}.
+{d}{w} {dd}{w} {dddd}{w} {dd}{U} {w}{d}{w} {w}{dd}{w}{d} {ddd}{l}
+{w} {d}.{d}.{d} {w} v{d}.{dd} {w} {dd}.{d}.{ddd} {w}-{d}.{d}.{dd}
+{w} in {y} and {y}, {y} {y} {y} {y} {y} {y}
+{y} {y} {y} {y}
+{w} {y}, {y}, {y}, {y} {w} ({y}) {w} {y}-{y} {w} {y}/{dd}
+{y} {y} {y} {y} {y} {y} {y} {y} {y} {y}
+{d} {ddd} {ddd} {ddd} {w} {w}
+{dd} {ddd} {ddd} {w} {ddd} {ddd} {w} {w}
+{ddd} {ddd} {ddd} {w} {w} {d} {ddd} {ddd}
+{d},{ddd},{ddd} {w} {dd},{ddd} {w} {ddd},{ddd},{ddd} {w} {d}.{ddd}.{ddd},{dd}
+ISBN {ddd}-{d}-{dd}-{dddddd}-{d} {w} {w}
+{W} {w}, ISBN {d}-{ddd}-{ddddd}-{d}. ISBN-13: {ddd}-{d}-{dddd}-{dddd}-{d}
+ISBN {ddd}{ddddd}{ddddd} {w} ISSN {dddd}-{dddd} {w}
+{ddd} {dd} {ddd} {dd} {dddd} {dd} {d} {ddd}
+{dd} {dd} {dd} {dd} {dd} {d} {ddd} {dd}
+{d}.{dd} {dd}.{dd} {d}.{ddd} {w} {dddd} {ddd} {dddd} {dd} {ddddd}
+{dddddd} {dddddd} {w} {ddddddd} {ddddd} {dddddddd} {w}
+{dd}:{dd}:{dd} {w} {dddd}-{dd}-{dd}T{dd}:{dd} {w} {dd}/{dd}/{dddd}
+{w} {ddddd} {w} {dddddd} {w} {ddddddd} {w} {dddd} {w} {dddd} {ddd} {w}
 """.strip().splitlines()
 COPIES = 12
 
@@ -134,6 +163,10 @@ def labelled_rows(copies: int = COPIES) -> list[tuple[str, list[tuple[int, int,
             return "".join(str(rng.integers(0, 10)) for _ in f)
         if f == "o":
             return str(rng.integers(1, 256))
+        if f == "y":
+            return str(rng.integers(1960, 2030))
+        if f == "l":
+            return str(rng.choice(list("abcdefghxyzABCX")))
         if f == "x":
             return "".join(rng.choice(list("0123456789abcdef")) for _ in range(int(rng.choice([32, 40, 40, 64]))))
         if f == "p":
@@ -182,7 +215,7 @@ class Words:
         n = len(self.starts)
         self.n, lens = n, self.ends - self.starts
         if not n:
-            self.form = self.coarse = self.word = np.zeros(0, c.U64)
+            self.form = self.coarse = self.word = self.plain = np.zeros(0, c.U64)
             return
         first = np.cumsum(lens) - lens
         pos = np.repeat(self.starts - first, lens) + np.arange(int(lens.sum()))
@@ -200,13 +233,14 @@ class Words:
             shape = c.mix(np.add.reduceat(values, first))
             seen = np.zeros(n, c.U64)
             for k in range(16):
-                seen |= np.where(np.add.reduceat((kind == k).view(np.int8), first, dtype=np.int32) > 0, c.U64(1 << k), c.U64(0)) if k in (0, 2, 3, 4, 6) else c.U64(0)
+                seen |= np.where(np.add.reduceat((kind == k).view(np.int8), first, dtype=np.int32) > 0, c.U64(1 << k), c.U64(0)) if k in (0, 1, 2, 3, 4, 6) else c.U64(0)
             bucket = np.minimum(np.where(lens < 12, lens // 4, 3 + (lens >= 16) + (lens >= 24)), 5).astype(c.U64)
             digs = np.minimum(np.where(digits < 5, digits, 5 + (digits >= 8) + (digits >= 13)), 7).astype(c.U64)
             hexy = ((hexes == lens) & (lens >= 24)).astype(c.U64)
             self.form = c.mix(shape + digs * c.U64(1 << 8) + bucket * c.U64(1 << 16) + hexy * c.U64(1 << 24))
             self.coarse = c.mix(seen * c.U64(64) + digs * c.U64(8) + (lens >= 16).astype(c.U64) * c.U64(2) + hexy)
         self.word = c.word_hashes(data, self.starts, self.ends)
+        self.plain = ((digits == 0) & (np.add.reduceat((kind == 3).astype(np.int64), first) == 0)).astype(np.int64)  # no digit, no @
 
     def chains(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and length of every chain: words of one line of one row."""
@@ -230,12 +264,12 @@ def _index(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Field:
     """Weights: for forms of a word, its neighbours and its text, a row for each label; and transitions."""
 
-    PARTS = ("form", "coarse", "before", "after", "word", "word_before")
+    PARTS = ("form", "coarse", "before", "after", "word", "word_before", "plain")
 
     def __init__(self, forms: np.ndarray, coarse: np.ndarray, words: np.ndarray):
         k = len(LABELS)
         self.forms, self.coarse, self.words = forms, coarse, words
-        rows = {"form": forms, "coarse": coarse, "before": coarse, "after": coarse, "word": words, "word_before": words}
+        rows = {"form": forms, "coarse": coarse, "before": coarse, "after": coarse, "word": words, "word_before": words, "plain": ()}
         self.weights = {p: np.zeros((len(rows[p]) + 2, k)) for p in self.PARTS}  # unknown, and none at an end
         self.step, self.begin = np.zeros((k, k)), np.zeros(k)
 
@@ -245,7 +279,7 @@ class Field:
         if len(first):
             before[first], word_before[first] = len(self.coarse) + 1, len(self.words) + 1
             after[np.concatenate([first[1:], [w.n]]) - 1] = len(self.coarse) + 1
-        return {"form": form, "coarse": coarse, "before": before, "after": after, "word": word, "word_before": word_before}
+        return {"form": form, "coarse": coarse, "before": before, "after": after, "word": word, "word_before": word_before, "plain": w.plain}
 
     def emissions(self, places: dict[str, np.ndarray]) -> np.ndarray:
         return sum(self.weights[p][places[p]] for p in self.PARTS)
