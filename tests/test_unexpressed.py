@@ -60,12 +60,12 @@ def vector_fit(x):
 def test_vector_fits_by_least_squares(spark, pairs):
     for r in Q["ols_var2"](spark, SF).collect():
         c, m = vector_fit(pairs[r.sid])
-        assert np.allclose(r.intercept, c, atol=1e-7) and abs(r.modulus - m) < 1e-7
+        assert np.allclose((r.c_g, r.c_du), c, atol=1e-6) and abs(r.modulus - m) < 1e-6
     rows = Q["rolling_var2"](spark, SF).collect()
     assert len(rows) == sum(len(x) - 39 for x in pairs.values())
     for r in rows[::97]:
         c, m = vector_fit(pairs[r.sid][r.pos - 39 : r.pos + 1])
-        assert np.allclose(r.intercept, c, atol=1e-6) and abs(r.modulus - m) < 1e-6
+        assert np.allclose((r.c_g, r.c_du), c, atol=1e-6) and abs(r.modulus - m) < 1e-6
 
 
 def test_filtered_moduli_by_the_general_filter(spark, growth):

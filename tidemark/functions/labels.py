@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,27 +10,50 @@ from pyspark.sql import functions as F
 
 # English month names.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-# The forms of a quarter label after upper-casing and collapsing space: (pattern, year group, quarter group).
-QUARTERS = [
-    (r"^(\d{4}) ?-? ?Q ?([1-4])$", 1, 2),
-    (r"^Q ?([1-4]) ?[-,]? ?(\d{4})$", 2, 1),
-    (r"^(\d{4}) (?:QUARTER|QTR)\.? ?([1-4])$", 1, 2),
-    (r"^(?:QUARTER|QTR)\.? ?([1-4]) ?,? ?(\d{4})$", 2, 1),
-    (r"^([1-4])(?:ST|ND|RD|TH) (?:QUARTER|QTR)\.? ?,? ?(\d{4})$", 2, 1),
-]
 # Words that may stand beside a release month.
 BESIDE = ["st", "nd", "rd", "th", "of"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def folded(x: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(x), r"\s+", " "))
 
 
 def parse_quarter(x: Column) -> Column:
-    """Quarter index 4*year + quarter - 1; NULL unless the whole label is one of QUARTERS with a year 1000-2999."""
+    """Quarter index 4*year + quarter - 1 of a label that says one year 1000-2999, one quarter 1-4 and one word for quarter, and
+    nothing else; NULL otherwise.
+
+    The label is cut into runs of letters, runs of digits and single marks, and each gets a kind.  The year stands at an end.
+    The word comes before the quarter, unless an ordinal ending is fixed to the quarter, which then comes first.  A point
+    may follow QUARTER or QTR, a dash may stand between Q and the year, a comma before a year that comes last."""
     t = folded(x)
-    one = lambda p, y, q: F.when(t.rlike(p) & F.regexp_extract(t, p, y).between("1000", "2999"), 4 * F.regexp_extract(t, p, y).cast("int") + F.regexp_extract(t, p, q).cast("int") - 1)
-    return F.coalesce(*(one(*q) for q in QUARTERS))
+    token = F.regexp_extract_all(t, F.lit(r"([A-Z]+|[0-9]+|[\s\S])"), F.lit(1))
+    digits = lambda w: w.rlike("^[0-9]")
+    kind = lambda w: (
+        F.when(digits(w) & (F.length(w) == 4) & w.between("1000", "2999"), "year").when(w.isin("1", "2", "3", "4"), "number").when(w == "Q", "letter")
+        .when(w.isin("QUARTER", "QTR"), "name").when(w.isin("ST", "ND", "RD", "TH"), "ending").when(w.isin(".", ",", "-", " "), w).otherwise("other")
+    )
+
+    def read(spaced, kinds, said):
+        at, raw = lambda k: F.array_position(kinds, k), lambda k: F.array_position(spaced, k)  # noqa: E731  1-based; 0 if there is none
+        once = F.size(F.array_distinct(kinds)) == F.size(kinds)
+        whole = once & (at("year") > 0) & (at("number") > 0) & ((at("letter") > 0) != (at("name") > 0)) & (at("other") == 0)
+        word, first, last = at("letter") + at("name"), at("year") == 1, at("year") == F.size(kinds)
+        order = F.when(at("ending") > 0, last & (at("name") > at("number")) & (at("number") == 1) & (raw("ending") == raw("number") + 1)).otherwise((first | last) & (word < at("number")) & (~last | (word == 1)))
+        apart = ~first | (at("letter") > 0) | (F.get(spaced, 1) == " ")
+        point = (at(".") == 0) | ((at("name") > 0) & (raw(".") == raw("name") + 1))
+        comma = (at(",") == 0) | (last & (at(",") == F.size(kinds) - 1))
+        dash = (at("-") == 0) | ((at("letter") > 0) & (at(",") == 0) & (at("-") == F.when(first, 2).otherwise(F.size(kinds) - 1)))
+        number = lambda k: F.get(said, raw(k) - 1).cast("int")
+        return F.when(whole & order & apart & point & comma & dash, 4 * number("year") + number("number") - 1)
+
+    likely = t.rlike("^[A-Z0-9 .,-]{6,24}$")  # the longest has 21
+    read_token = lambda w: let(F.transform(w, kind), lambda spaced: let(F.filter(spaced, lambda k: k != " "), lambda kinds: read(spaced, kinds, w)))
+    return F.when(likely, let(token, read_token))
 
 
 def quarter_label(index: Column) -> Column:
@@ -49,18 +73,28 @@ def parse_release_month(x: Column) -> Column:
     """12*year + month - 1 of a date in digits (2016-03, 2016/03/15, 03/2016, with or without a time of day), or of a
     text of one month name and one year 1000-2999 with at most one day of a month and the words of BESIDE; else NULL."""
     t = F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
-    dated, reverse = r"^(\d{4})[-/](\d{1,2})([-/]\d{1,2})?([t ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$", r"^(\d{1,2})[-/](\d{4})$"
-    tokens = F.regexp_extract_all(t, F.lit(r"([a-z]+|\d+)"), F.lit(1))
-    names = F.filter(tokens, lambda w: w.isin(*MONTHS, *(m[:3] for m in MONTHS), "sept"))
-    numbers = F.filter(tokens, lambda w: w.rlike(r"^\d"))
-    words = F.filter(tokens, lambda w: w.rlike("^[a-z]"))
-    years, days = F.filter(numbers, lambda n: F.length(n) == 4), F.filter(numbers, lambda n: F.length(n) != 4)
-    fine = (F.size(names) == 1) & (F.size(years) == 1) & (F.size(days) <= 1) & F.forall(days, lambda n: F.coalesce(n.try_cast("int"), F.lit(0)).between(1, 31))
-    fine = fine & F.forall(words, lambda w: w.isin(*MONTHS, *(m[:3] for m in MONTHS), "sept", *BESIDE))
-    order = F.array(*(F.lit(m[:3]) for m in MONTHS))
-    part = lambda p, k: F.regexp_extract(t, p, k).cast("int")
-    year = F.when(t.rlike(dated), part(dated, 1)).when(t.rlike(reverse), part(reverse, 2)).when(fine, F.get(years, 0).cast("int"))
-    month = F.when(t.rlike(dated), part(dated, 2)).when(t.rlike(reverse), part(reverse, 1)).when(fine, F.array_position(order, F.substring(F.get(names, 0), 1, 3)).cast("int"))
+    # in words: every word or number is worth a letter, and what is left without the words beside must be a month and a year
+    names = [n for m in MONTHS for n in {m, m[:3], "sept" if m == "september" else m}]
+    number = lambda w: F.coalesce(w.try_cast("int"), F.lit(0))
+    letter = lambda w: (
+        F.when(w.isin(*BESIDE), "").when(w.isin(*names), "m").when(~w.rlike("^[0-9]"), "x").when(F.length(w) == 4, "y").when(number(w).between(1, 31), "d").otherwise("x")
+    )
+    token = F.regexp_extract_all(t, F.lit("([a-z]+|[0-9]+)"), F.lit(1))
+    spelt = F.array_join(F.array_sort(F.filter(F.transform(token, letter), lambda k: k != "")), "").isin("my", "dmy")
+    one = lambda k: F.get(F.filter(token, lambda w: letter(w) == k), 0)
+    by_name = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.substring(one("m"), 1, 3)).cast("int")
+    # in digits: the fields of the day, with a time behind it or not
+    day, time = F.get(F.split(t, "[ t]"), 0), F.get(F.split(t, "[ t]"), 1)
+    field = F.split(day, "[-/]")
+    width = F.transform(field, lambda w: F.when(w.rlike("^[0-9]+$"), F.length(w)).otherwise(0))
+    short = lambda k: F.get(width, k).between(1, 2)
+    fields = F.size(field)
+    timed = (F.size(F.split(t, "[ t]")) <= 2) & (time.isNull() | time.rlike(r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$"))
+    down = (F.get(width, 0) == 4) & short(1) & ((fields == 2) | ((fields == 3) & short(2))) & timed
+    up = (fields == 2) & short(0) & (F.get(width, 1) == 4) & time.isNull()
+    digits = lambda k: F.get(field, k).cast("int")
+    year = F.when(down, digits(0)).when(up, digits(1)).when(spelt, one("y").cast("int"))
+    month = F.when(down, digits(1)).when(up, digits(0)).when(spelt, by_name)
     return F.when(year.between(1000, 2999) & month.between(1, 12), 12 * year + month - 1)
 
 
@@ -111,22 +145,61 @@ def mask_digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\p{Nd}", "#")
 
 
-_SIGN, _AMOUNT = "[-+\u2212]?", r"[0-9][0-9,]*(?:\.[0-9]+)?"
-# What counts as a number to hide, in the order of replacement: currency, shares, thousands, decimals, long.
-NUMBERS = [
-    r"(?i)(?:[£$€]|\b(?:GBP|USD|EUR)\s?)\s?" + _SIGN + _AMOUNT + r"(?:\s?(?:bn|billion|m|million|k|thousand)\b)?",
-    r"(?i)" + _SIGN + _AMOUNT + r"\s?(?:%|per\s?cent\b|percentage\s+points?\b|pp\b)",
-    r"(?<![0-9.,])" + _SIGN + r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?![0-9])",
-    _SIGN + r"[0-9]*\.[0-9]+",
-    r"[0-9]{5,}",
-]
+# Signs, currencies, scales and shares that belong to a number.
+SIGNS, SYMBOLS, CODES = "-+\u2212", "£$€", ["GBP", "USD", "EUR"]
+SCALES, SHARES = ["bn", "billion", "m", "million", "k", "thousand"], ["%", r"per\s?cent", r"percentage\s+points?", "pp"]
+HIDDEN = "[num]"
 # Characters written in ASCII afterwards.
 ASCII = {"\u2013": "-", "\u2014": "--", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2026": "...", "\u00a0": " ", "\u2212": "-", "\u2022": "*", "£": "GBP"}
 
 
+def _plain(body: Column, sign: Column) -> Column:
+    """A number without currency or share.  Its fields lie between commas: one to three digits and then fields of three are one
+    amount; of the other fields those with a decimal point and those of five or more digits are hidden.  A sign is part of
+    an amount and of a decimal."""
+    fields = F.split(body, ",")
+    whole = lambda f, low, high: F.length(f).between(low, high) & ~F.contains(f, F.lit("."))
+    three = F.transform(fields, lambda f, k: F.when(k == 0, whole(f, 1, 3)).otherwise(whole(f, 3, 3)))
+    lead = F.coalesce(F.nullif(F.array_position(three, False), F.lit(0)) - 1, F.size(fields)).cast("int")
+    after = F.get(fields, lead)
+    ends = (lead > 0) & F.coalesce((F.instr(after, ".") == 4), F.lit(False))  # ... ddd.ddd
+    taken = F.when(lead + ends.cast("int") >= 2, lead + ends.cast("int")).otherwise(0)
+
+    def decimal(f):
+        parts = F.split(f, r"\.")
+        shown = F.when(F.get(parts, 1) == "", F.concat(F.get(parts, 0), F.lit("."))).otherwise("")
+        return F.concat(shown, F.repeat(F.lit(HIDDEN), F.size(F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p != ""))))
+
+    dotted = lambda f: F.contains(f, F.lit(".")) & ~F.endswith(f, F.lit("."))
+    hide = lambda f: F.when(dotted(f), decimal(f)).when(F.length(f) >= 5, F.lit(HIDDEN)).otherwise(f)
+    rest = F.transform(F.slice(fields, taken + 1, F.size(fields)), hide)
+    out = F.array_join(F.when(taken > 0, F.concat(F.array(F.lit(HIDDEN)), rest)).otherwise(rest), ",")
+    signed = (taken > 0) | (dotted(F.get(fields, 0)) & (F.get(F.split(F.get(fields, 0), r"\."), 1) != ""))
+    return F.concat(F.when(signed, "").otherwise(sign), out)
+
+
 def blank_numbers(x: Column) -> Column:
-    """The text with NUMBERS hidden as [num] and folded to ASCII where it is typographic; NULL is empty."""
-    hidden = reduce(lambda t, p: F.regexp_replace(t, p, "[num]"), NUMBERS, F.coalesce(x, F.lit("")))
+    """The text without currency amounts, shares, decimals, grouped thousands and numbers of five or more digits, each shown as
+    [num], and in ASCII where it is typographic; NULL is empty.  One scan finds digits with their points and commas, and what
+    belongs to them before and behind; what is hidden is decided for each find."""
+    scan = (
+        rf"(?i)((?:[{SYMBOLS}]|\b(?:{'|'.join(CODES)})\s?)\s?)?([{SIGNS}]?)([0-9.,]*[0-9])"
+        rf"(?:(\s?(?:%|(?:{'|'.join(SHARES[1:])})\b))|(\s?(?:{'|'.join(SCALES)})\b))?"
+    )
+    t = F.coalesce(x, F.lit(""))
+    part = lambda h, k: F.regexp_extract(h, scan, k)
+
+    def shown(h):
+        money, sign, body, share, scale = (part(h, k) for k in range(1, 6))
+        front = F.regexp_extract(body, r"^[0-9][0-9,]*(\.[0-9]+)?", 0)
+        back = F.regexp_extract(body, r"[0-9][0-9,]*(\.[0-9]+)?$", 0)
+        beyond, before = F.substring(body, F.length(front) + 1, F.length(body)), F.substring(body, F.lit(1), F.length(body) - F.length(back))
+        paid = F.concat(F.lit(HIDDEN), F.when(beyond == "", "").otherwise(_plain(beyond, F.lit(""))), share, F.when(beyond == "", "").otherwise(scale))
+        shared = F.concat(F.when(before == "", "").otherwise(_plain(before, sign)), F.lit(HIDDEN))
+        return F.when((money != "") & (front != "") & ((share == "") | (beyond == "")), paid).when(share != "", F.concat(money, shared)).otherwise(F.concat(money, _plain(body, sign), scale))
+
+    finds = F.transform(F.regexp_extract_all(t, F.lit(scan), F.lit(0)), shown)
+    hidden = F.array_join(F.zip_with(F.split(t, scan, -1), finds, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     single = {k: v for k, v in ASCII.items() if len(v) == 1}
     hidden = F.translate(hidden, "".join(single), "".join(single.values()))
     return reduce(lambda t, k: F.replace(t, F.lit(k), F.lit(ASCII[k])), [k for k in ASCII if k not in single], hidden)

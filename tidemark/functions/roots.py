@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.labels import let
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -87,11 +89,22 @@ def schur_transform(a: Column) -> Column:
     return F.slice(step, 2, F.size(a) - 1)
 
 
-def schur_cohn_stable(a: Column, degree: int) -> Column:
-    """All roots inside the unit circle, for a known degree: |a_0| < |a_n| at each step; NULL for a zero leading term."""
+def schur_cohn_stable(a: Column) -> Column:
+    """All roots inside the unit circle, whatever the degree: as many Schur-Cohn steps as the array is long, each asking for
+    |a_0| < |a_n| of what the step before left, scaled to its largest coefficient.  A constant has no roots outside; a zero or
+    missing leading term is an error; NULL gives NULL."""
     size = lambda z: z["re"] * z["re"] + z["im"] * z["im"]
-    ok, p = F.lit(True), a
-    for _ in range(degree):
-        ok = ok & (size(F.element_at(p, 1)) < size(F.element_at(p, -1)))
-        p = schur_transform(p)
-    return F.when(size(F.element_at(a, -1)) > 0, ok)
+
+    def scaled(s, q, most):
+        inside = size(F.element_at(s["p"], 1)) < size(F.element_at(s["p"], -1))
+        unit = F.transform(q, lambda z: F.struct((z["re"] / most).alias("re"), (z["im"] / most).alias("im")))
+        return let(s["ok"] & inside & (most > 0), lambda on: F.struct(F.when(on, unit).otherwise(s["p"]).alias("p"), on.alias("ok")))
+
+    def step(s, _):
+        most = lambda q: F.array_max(F.transform(q, lambda z: F.greatest(F.abs(z["re"]), F.abs(z["im"]))))
+        return let(schur_transform(s["p"]), lambda q: let(most(q), lambda m: scaled(s, q, m)))
+
+    start = F.struct(F.transform(a, lambda z: F.struct(z["re"].alias("re"), z["im"].alias("im"))).alias("p"), F.lit(True).alias("ok"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.size(a) - 1), start, step, lambda s: s["ok"])
+    wrong = F.raise_error(F.lit("the leading coefficient is zero or missing")).cast("boolean")
+    return F.when(a.isNull(), None).when((F.size(a) == 0) | F.coalesce(size(F.get(a, F.size(a) - 1)) == 0, F.lit(True)), wrong).when(F.size(a) == 1, True).otherwise(walked)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.kernels import ar, matrices, streams
+from tidemark.sources import shared
 
 
 def packed(series: DataFrame, *values: str, sid: str = "sid", pos: str = "pos") -> DataFrame:
@@ -65,6 +66,20 @@ def csd_test(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT
     return each(packed(series, "x"), f, ATTEMPTS)
 
 
+def surrogate_paths(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT, chunk: int = 250) -> DataFrame:
+    """sid, number, path of the attempts that `csd_test` makes from the same stream, with the series itself as number -1."""
+
+    def f(row):
+        x = np.asarray(row["x"], float)
+        yield {"sid": str(row["sid"]), "number": -1, "path": x.tolist()}
+        model, rng = ar.null_model(x), streams.stream(stream, unit(row["sid"]))
+        for lo in range(0, B if model is not None else 0, chunk):
+            for k, path in enumerate(model.draw(rng, min(chunk, B - lo), "residual")[:, :, 0]):
+                yield {"sid": str(row["sid"]), "number": lo + k, "path": path.tolist()}
+
+    return each(packed(series, "x"), f, "sid string, number int, path array<double>")
+
+
 def joint_test(series: DataFrame, B: int = 1000, stream: int = streams.DEVELOPMENT + 1, **opts) -> DataFrame:
     """One set of paths, three metrics with their own denominators."""
 
@@ -236,9 +251,11 @@ def analyze_e4(vintages: DataFrame, B: int = 1000, stream: int = streams.DEVELOP
 
 
 def whole(analyze: Callable[..., DataFrame], series: DataFrame, B: int = 1000) -> DataFrame:
-    """The comparisons of an analysis, with the 90 % resampling interval of the observed changes on the primary's row."""
-    got = intervals(analyze(series, 0)).select("sid", F.lit("primary").alias("analysis"), F.col("status").alias("interval_status"), "low", "high")
-    return comparisons(analyze(series, B)).join(got, ["sid", "analysis"], "left")
+    """The comparisons of an analysis, with the 90 % resampling interval of the observed changes on the primary's row; both from
+    one ledger, which is written once."""
+    ledger = shared.written(analyze(series, B), "ledger")
+    got = intervals(ledger).select("sid", F.lit("primary").alias("analysis"), F.col("status").alias("interval_status"), "low", "high")
+    return comparisons(ledger).join(got, ["sid", "analysis"], "left")
 
 
 def cycles(series: DataFrame, kind: str = "hp", **opts) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.kernels import matrices, streams
 from tidemark.operators import accounting as acc
+from tidemark.operators import regress
 from tidemark.operators import simulate as sim
 from tidemark.plans import base as b
 from tidemark.plans.catalogue import query
@@ -89,21 +90,27 @@ def _pair(spark, d):
     return j.where("g is not null").select("sid", (F.col("pos") - 1).alias("pos"), "g", "du")
 
 
-@query()
-def rolling_var2(spark, d):
-    return sim.rolling_var2(_pair(spark, d)).select("sid", "pos", "modulus", "intercept")
+_Z, _Y = ["g1", "d1", "g2", "d2"], ["g", "du"]
+_WINDOWS = b.sql_regression("vr", _Z, _Y, "sid, pos", "over (partition by sid order by pos rows between 37 preceding and current row)", 38)
+_WHOLE = b.sql_regression("vr", _Z, _Y, "sid")
 
 
-@query()
-def ols_var2(spark, d):
-    """Full-sample VAR(2) of every pair: the last window of full length."""
+@query(f"""with recursive {b.SQL_PAIR}, {_WINDOWS}, kk as (select *, sid || ' ' || pos id from rg), {b.sql_radius("kk", b.SQL_VAR_MATRIX, "id")}
+select sid, pos, round(radius, 6) modulus, round(c_g, 6) c_g, round(c_du, 6) c_du, case when b_g1_g is null then 'failed' else 'ok' end status from kk left join rad on rad.id = kk.id""")
+def rolling_var2(spark, d):
+    """VAR(2) of every window of 40: windowed moments, an elimination over arrays and root squaring, all in the plan."""
+    f = regress.rolling_var2(_pair(spark, d))
+    return f.select("sid", "pos", F.round("modulus", 6).alias("modulus"), *(F.round(F.get("intercept", j), 6).alias(k) for j, k in enumerate(("c_g", "c_du"))), "status")
 
-    def f(row):
-        x = np.stack([np.asarray(row["g"], float), np.asarray(row["du"], float)], 1)
-        c, a1, a2, m = matrices.var2(x[None])
-        yield {"sid": str(row["sid"]), "modulus": float(m[0]), "intercept": c[0].tolist(), "A1": a1[0].tolist(), "A2": a2[0].tolist()}
 
-    return sim.each(sim.packed(_pair(spark, d), "g", "du"), f, "sid string, modulus double, intercept array<double>, A1 array<array<double>>, A2 array<array<double>>")
+@query(f"""with recursive {b.SQL_PAIR}, {_WHOLE}, {b.sql_radius("rg", b.SQL_VAR_MATRIX, "sid")}
+select rg.sid, n, round(radius, 6) modulus, round(c_g, 6) c_g, round(c_du, 6) c_du, round(b_g1_g, 6) a1_11, round(b_d1_g, 6) a1_12, round(b_g1_du, 6) a1_21, round(b_d1_du, 6) a1_22,
+ round(b_g2_g, 6) a2_11, round(b_d2_g, 6) a2_12, round(b_g2_du, 6) a2_21, round(b_d2_du, 6) a2_22, case when b_g1_g is null then 'failed' else 'ok' end status from rg left join rad on rad.sid = rg.sid""")
+def ols_var2(spark, d):
+    """VAR(2) of every whole pair of series."""
+    f = regress.ols_var2(_pair(spark, d))
+    cells = [F.round(F.get(F.get(m, i), j), 6).alias(f"{m.lower()}_{i + 1}{j + 1}") for m in ("A1", "A2") for i in (0, 1) for j in (0, 1)]
+    return f.select("sid", "n", F.round("modulus", 6).alias("modulus"), *(F.round(F.get("intercept", j), 6).alias(k) for j, k in enumerate(("c_g", "c_du"))), *cells, "status")
 
 
 @query()
@@ -115,12 +122,18 @@ def e2_analyze(spark, d):
 
 @query()
 def e4_compare(spark, d):
-    """Real-time vintages: for each fixed date the series as known then, its change and its own surrogates, with windows 32
-    and 48 and wild signs; an attempt's statistic is the mean over dates, and a failed date fails the attempt."""
+    """Real-time vintages: for each of the last four episodes of the latest vintage with 56 values before its onset (the widest
+    window and the lookback), the series as known then, its change and its own surrogates, with windows 32 and 48 and wild signs; an
+    attempt's statistic is the mean over dates, and a failed date fails the attempt."""
+    from pyspark.sql import Window
+
+    from tidemark.operators import episodes
+
     g = b.weekly_growth(spark, d)
-    dates = F.broadcast(spark.createDataFrame([(0, 100), (1, 180), (2, 260), (3, 320)], "j int, onset int"))
-    vintages = g.join(dates, F.col("pos") < F.col("onset")).select("sid", "j", "onset", "pos", "x")
+    late = Window.partitionBy("sid").orderBy(F.col("onset").desc())  # episodes of one series
+    dates = episodes.episodes(episodes.runs(g)).where("onset >= 56").withColumn("k", F.row_number().over(late)).where("k <= 4").select("sid", (4 - F.col("k")).alias("j"), "onset")
     # the onset is the first position that isn't known yet, so its date lies just behind the path
+    vintages = g.join(dates, "sid").where("pos < onset").select("sid", F.col("j").cast("int").alias("j"), F.col("onset").cast("int").alias("onset"), "pos", "x")
     return sim.comparisons(sim.analyze_e4(vintages))
 
 
@@ -129,9 +142,15 @@ def hp_cycle(spark, d):
     return sim.cycles(b.weekly_growth(spark, d), "hp")
 
 
-@query()
+_AHEAD = ["h0", "h1", "h2", "h3"]
+
+
+@query(f"""with {b.sql_levels()}, hr as (select sid, pos, x, lag(x, 8) over w h0, lag(x, 9) over w h1, lag(x, 10) over w h2, lag(x, 11) over w h3 from g window w as (partition by sid order by pos)),
+ht as (select * from hr where h3 is not null and sid in (select sid from g group by sid having count(*) >= 17)), {b.sql_regression("ht", _AHEAD, ["x"], "sid")}
+select hr.sid, pos, round(x - c_x - b_h0_x*h0 - b_h1_x*h1 - b_h2_x*h2 - b_h3_x*h3, 6) + 0.0 as cycle from hr left join rg on rg.sid = hr.sid""")
 def hamilton_cycle(spark, d):
-    return sim.cycles(b.weekly_growth(spark, d), "hamilton")
+    """Residual on values eight to eleven weeks before."""
+    return regress.hamilton_cycle(b.weekly_growth(spark, d)).select("sid", "pos", (F.round("cycle", 6) + 0.0).alias("cycle"))
 
 
 @query()
@@ -144,18 +163,20 @@ def kalman_filter(spark, d):
     return sim.each(sim.packed(b.weekly_growth(spark, d), "x"), f, "sid string, ratio double, noise double, level_noise double, loglik double")
 
 
-@query()
-def spectral_radius(spark, d):
-    """Companion spectral radii of VAR(2) coefficients taken from embeddings: every eight entries are two 2x2 matrices, and
-    all systems of a vector are solved in one batch."""
+_SYSTEMS = """ev as (select vec_id, cast(unnest(range(len(embedding)//8)) as int) system, list_transform(embedding, lambda x: sign(cast(x as double))*(abs(cast(x as double)) % 0.5)) e from embeddings),
+es as (select vec_id, system, vec_id || ' ' || system id, """ + ", ".join(f"e[8*system + {k + 1}] m{k}" for k in range(8)) + " from ev)"
+_SYSTEM_MATRIX = [["m0", "m1", "m4", "m5"], ["m2", "m3", "m6", "m7"], ["1", "0", "0", "0"], ["0", "1", "0", "0"]]
 
-    def f(row):
-        e = np.asarray(row["embedding"], float)
-        a = (np.sign(e) * (np.abs(e) % 0.5))[: len(e) // 8 * 8].reshape(-1, 2, 2, 2)
-        for k, r in enumerate(matrices.radius(a[:, 0], a[:, 1]).tolist()):
-            yield {"vec_id": int(row["vec_id"]), "system": k, "radius": r}
 
-    return sim.each(b.read(spark, d, "embeddings").select("vec_id", "embedding"), f, "vec_id long, system int, radius double", None)
+@query(f"with recursive {_SYSTEMS}, {b.sql_radius('es', _SYSTEM_MATRIX, 'id')} select vec_id, system, round(radius, 6) radius from es join rad using (id)")
+def spectral_radius(spark, d):
+    """Companion spectral radii of VAR(2) coefficients taken from embeddings: every eight entries are two 2x2 matrices, whose
+    radius is the largest root of a quartic."""
+    e = b.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.signum(x.cast("double")) * (F.abs(x.cast("double")) % 0.5)).alias("e"))
+    e = e.select("vec_id", "e", F.explode(F.sequence(F.lit(0), F.floor(F.size("e") / 8).cast("int") - 1)).alias("system"))
+    m = [F.get("e", 8 * F.col("system") + k) for k in range(8)]
+    poly = regress.var_polynomial([m[0:2], m[2:4]], [m[4:6], m[6:8]])
+    return e.select("vec_id", "system", F.round(regress.largest_modulus(poly), 6).alias("radius"))
 
 
 @query()

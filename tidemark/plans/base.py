@@ -87,3 +87,43 @@ grid as (select q.quarter, v.vintage from (select distinct quarter from inc) q j
 tri as (select vintage, quarter, case when level is null then 'empty' else 'numeric' end kind, level from
   (select grid.vintage, grid.quarter, cast(sum(s) over (partition by grid.quarter order by grid.vintage rows unbounded preceding) as double) level
    from grid left join inc on inc.quarter = grid.quarter and inc.vintage = grid.vintage))"""
+
+
+# ------------------------------------------------ least squares of several regressors, as SQL
+def sql_regression(source: str, z: list[str], y: list[str], by: str, over: str = "", least: int = 0, name: str = "rg") -> str:
+    """CTEs up to `name`: by, n, c_<y>, b_<z>_<y>, from normal equations by elimination without exchange of rows, one CTE for each
+    unknown; coefficients are null where a pivot is lost."""
+    cov = [f"covar_pop({a}, {v}) {over} as s_{a}_{v}" for a in z for v in (*z, *y)]
+    avg = [f"avg({v}) {over} as m_{v}" for v in (*z, *y)]
+    group = "" if over else f" group by {by}"
+    out = f"{name}_m as (select * from (select {by}, count(*) {over} as n, {', '.join(cov + avg)} from {source}{group}) where n >= {least}),\n"
+    unit = [f"s_{a}_{v}/nullif(sqrt(s_{a}_{a}){f'*sqrt(s_{v}_{v})' if v in z else ''}, 0) as a_{a}_{v}" for a in z for v in (*z, *y)]
+    out += f"{name}_0 as (select {by}, n, {', '.join(f'm_{v}' for v in (*z, *y))}, {', '.join(f'sqrt(s_{a}_{a}) as d_{a}' for a in z)}, {', '.join(unit)} from {name}_m),\n"
+    keep = f"{by}, n, {', '.join(f'm_{v}' for v in (*z, *y))}, {', '.join(f'd_{a}' for a in z)}"
+    for k, p in enumerate(z):
+        rest = [*z[k + 1 :], *y]
+        cells = [f"a_{p}_{v}/nullif(case when abs(a_{p}_{p}) > 1e-12 then a_{p}_{p} end, 0) as a_{p}_{v}" for v in rest]
+        cells += [f"a_{a}_{v} - a_{a}_{p}*a_{p}_{v}/nullif(case when abs(a_{p}_{p}) > 1e-12 then a_{p}_{p} end, 0) as a_{a}_{v}" for a in z if a != p for v in rest]
+        out += f"{name}_{k + 1} as (select {keep}, {', '.join(cells)} from {name}_{k}),\n"
+    beta = [f"a_{a}_{v}/d_{a} as b_{a}_{v}" for a in z for v in y]
+    out += f"{name}_b as (select {by}, n, {', '.join(f'm_{v}' for v in (*z, *y))}, {', '.join(beta)} from {name}_{len(z)}),\n"
+    const = [f"m_{v} - {' - '.join(f'm_{a}*b_{a}_{v}' for a in z)} as c_{v}" for v in y]
+    return out + f"{name} as (select *, {', '.join(const)} from {name}_b)"
+
+
+def sql_radius(source: str, matrix: list[list[str]], key: str, name: str = "rad", steps: int = 40) -> str:
+    """CTEs up to `name`: key, radius of a square matrix, by the norms of its repeated squares.  Needs `with recursive`."""
+    n = len(matrix)
+    start = ", ".join(x for row in matrix for x in row)
+    norm = "sqrt(list_sum(list_transform({m}, lambda x: x*x)))"
+    square = f"list_transform(range({n * n}), lambda k: list_sum(list_transform(range({n}), lambda j: m[(k // {n})*{n} + j + 1]*m[j*{n} + k % {n} + 1])))"
+    return f"""{name}_0 as (select {key}, list_transform([{start}], lambda x: cast(x as double)) m0 from {source}),
+{name}_s({key}, k, m, lg) as (select {key}, 0, list_transform(m0, lambda x: x/{norm.format(m='m0')}), ln({norm.format(m='m0')}) from {name}_0 where m0[1] is not null
+  union all select {key}, k + 1, list_transform(q, lambda x: x/{norm.format(m='q')}), lg + ln({norm.format(m='q')})/power(2, k + 1) from (select {key}, k, {square} q, lg from {name}_s where k < {steps})),
+{name} as (select {key}, exp(lg) radius from {name}_s where k = {steps})"""
+
+
+SQL_PAIR = f"""{sql_levels()}, uu as (select c_mktsegment sid, date_trunc('week', o_orderdate) bucket, avg(l_discount)*100 u from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2),
+pr as (select * from (select ix.sid, pos - 1 pos, 400*(ln(y) - ln(lag(y) over w)) g, u - lag(u) over w du from ix join uu on uu.sid = ix.sid and uu.bucket = ix.bucket window w as (partition by ix.sid order by ix.bucket)) where g is not null),
+vr as (select * from (select sid, pos, g, du, lag(g) over w g1, lag(du) over w d1, lag(g, 2) over w g2, lag(du, 2) over w d2 from pr window w as (partition by sid order by pos)) where g2 is not null and d2 is not null)"""
+SQL_VAR_MATRIX = [["b_g1_g", "b_d1_g", "b_g2_g", "b_d2_g"], ["b_g1_du", "b_d1_du", "b_g2_du", "b_d2_du"], ["1", "0", "0", "0"], ["0", "1", "0", "0"]]

@@ -29,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import analysis_queries, core_queries, report_queries, scalar_queries, source_queries, table_queries  # noqa: F401
+    from tidemark.plans import analysis_queries, core_queries, evidence_queries, report_queries, scalar_queries, sheet_queries, source_queries, stream_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

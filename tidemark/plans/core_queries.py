@@ -251,7 +251,25 @@ def schur_cohn_stable(spark, d):
     e = b.read(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.size("embedding") - 3)).alias("k"))
     a = e.select("sid", "k", roots.complex_array(F.slice("embedding", F.col("k").cast("int") + 1, 3)).alias("a"))
     t = roots.schur_transform(F.col("a"))
-    return a.select("sid", "k", F.round(t[0]["re"], 6).alias("t0"), F.round(t[1]["re"], 6).alias("t1"), roots.schur_cohn_stable(F.col("a"), 2).alias("stable"))
+    return a.select("sid", "k", F.round(t[0]["re"], 6).alias("t0"), F.round(t[1]["re"], 6).alias("t1"), F.when(F.element_at("a", -1)["re"] != 0, roots.schur_cohn_stable(F.col("a"))).alias("stable"))
+
+
+_SQUARED = "list_transform(range(len(p)), lambda k: list_sum(list_transform(range(greatest(0, 2*k - len(p) + 1), least(len(p) - 1, 2*k) + 1), lambda i: (case when i % 2 = 0 then 1 else -1 end)*p[i + 1]*p[2*k - i + 1])))"
+_SCALE = "list_max(list_transform(range(1, len({p})), lambda j: power(abs({p}[j + 1]), 1.0/j)))"
+_SCALED = "list_transform(range(len(q)), lambda j: q[j + 1]/power(z, j))"
+
+
+@query(f"""with recursive v as (select vec_id, cast(1 + vec_id % least(64, len(embedding)) as int) degree, embedding from embeddings),
+s0 as (select vec_id, degree, list_prepend(1.0::double, list_reverse(list_transform(embedding[1:degree], lambda x: cast(x as double)))) q from v), s1 as (select *, {_SCALE.format(p="q")} z from s0),
+r(vec_id, degree, k, p, lg) as (select vec_id, degree, 0, {_SCALED}, ln(z) from s1 union all select vec_id, degree, k + 1, {_SCALED}, lg + ln(z)/power(2, k + 1) from (select *, {_SCALE.format(p="q")} z from (select vec_id, degree, k, lg, {_SQUARED} q from r where k < 30)))
+select vec_id, degree, lg < 0 stable, round(exp(lg), 3) modulus from r where k = 30""")
+def schur_cohn_degrees(spark, d):
+    """Polynomials of degree 1 to 64 with leading term 1: Schur-Cohn in one fold, and the modulus of the largest root."""
+    from tidemark.operators import regress
+
+    e = b.read(spark, d, "embeddings").withColumn("degree", (1 + F.col("vec_id") % F.least(F.lit(64), F.size("embedding"))).cast("int"))
+    e = e.withColumn("c", F.concat(F.transform(F.slice("embedding", F.lit(1), F.col("degree")), lambda x: x.cast("double")), F.array(F.lit(1.0))))
+    return e.select("vec_id", "degree", roots.schur_cohn_stable(roots.complex_array(F.col("c"))).alias("stable"), F.round(regress.largest_modulus(F.col("c")), 3).alias("modulus"))
 
 
 @query("select vec_id sid, unnest(range(len(embedding))) k, unnest(list_reverse(embedding)) r from embeddings")

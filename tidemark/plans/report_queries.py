@@ -105,6 +105,35 @@ def independent_review(spark, d):
     return both.agg(F.count("*").alias("n"), F.coalesce(F.max(gap) <= 1e-9, F.lit(False)).alias("agree"))
 
 
+REVIEWED = 100
+
+
+@query(f"""with {G}, {L}, {b.sql_fit()}, {b.sql_episodes()}, {b.SQL_CHANGES} select sid, round(avg(change), 6) s, count(*) n_onsets, {REVIEWED + 1} n_attempts, 0 n_odd from ch where onset >= 48 group by sid""")
+def attempts_review(spark, d):
+    """Every attempt of the surrogate test by a second route: its path as rows, episodes and windowed fits over sets, against the
+    kernel's ledger.  The observed row is shown; n_odd counts attempts on which the routes differ in anything."""
+    from tidemark.operators import review
+
+    g = b.weekly_growth(spark, d)
+    ledger = sim.csd_test(g, REVIEWED).where("number >= -1").select("sid", "number", "status", F.size("onsets").cast("long").alias("n_onsets"), "statistic")
+    ledger = ledger.withColumn("statistic", F.when(F.col("status") == "retained", F.col("statistic")))
+    sets = shared.written(review.attempts_by_sets(sim.surrogate_paths(g, REVIEWED)), "attempts")
+    met = review.compare(ledger, sets, ["sid", "number"], ["status", "n_onsets"], ["statistic"])
+    odd = met.groupBy("sid").agg(F.count("*").alias("n_attempts"), F.count_if(F.col("verdict") != "same").alias("n_odd"))
+    return sets.where("number = -1").join(odd, "sid").select("sid", F.round("statistic", 6).alias("s"), "n_onsets", "n_attempts", "n_odd")
+
+
+@query(f"with {G}, {L}, {b.sql_fit()} select sid, pos, round(m, 6) modulus, 'same' as verdict from mm")
+def rolling_review(spark, d):
+    """Every rolling fit from running totals by Cramer's rule, and what its comparison with the windowed moments says."""
+    from tidemark.operators import review
+
+    g = b.weekly_growth(spark, d)
+    second = review.rolling_by_totals(g)
+    met = review.compare(fits.rolling_ar2(g), second, ["sid", "pos"], close=["phi1", "phi2", "modulus"])
+    return second.join(met, ["sid", "pos"], "full").select("sid", "pos", *r6("modulus"), "verdict")
+
+
 @query()
 def fit_ml(spark, d):
     """Likelihood of the time-varying AR(2): the best grid point and the refined one, which is never worse."""
@@ -121,11 +150,10 @@ def concentrated_loglik(spark, d):
     """The likelihood grid itself: a row for each series and pair of variance ratios."""
 
     def f(row):
-        x = np.asarray(row["x"], float)
-        for r1 in matrices.GRID:
-            for r2 in matrices.GRID:
-                _, s2, ll = matrices.tv_ar2(x, float(r1), float(r2))
-                yield {"sid": str(row["sid"]), "r1": float(r1), "r2": float(r2), "loglik": ll if np.isfinite(ll) else None, "sigma2": s2}
+        r1, r2 = (g.ravel()[None] for g in np.meshgrid(matrices.GRID, matrices.GRID, indexing="ij"))
+        ll, _, s2 = matrices.tv_filters(np.asarray(row["x"], float)[None], r1, r2, states=True)  # all points of the grid at once
+        for k in range(r1.size):
+            yield {"sid": str(row["sid"]), "r1": float(r1[0, k]), "r2": float(r2[0, k]), "loglik": float(ll[0, k]) if np.isfinite(ll[0, k]) else None, "sigma2": float(s2[0, k])}
 
     return sim.each(sim.packed(b.weekly_growth(spark, d, "month"), "x"), f, "sid string, r1 double, r2 double, loglik double, sigma2 double")
 

@@ -167,7 +167,7 @@ def set_difference(spark, d):
     return b.read(spark, d, "customer").select("c_custkey").exceptAll(b.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
-@query("select r.i as missing from (select unnest(range(0, 20000)) i) r where not exists (select 1 from orders where o_orderkey = r.i)")
+@query("select r.i as missing from (select unnest(range(0, greatest(20000, (select max(o_orderkey) + 1 from orders)))) i) r where not exists (select 1 from orders where o_orderkey = r.i)")
 def missing_coordinates(spark, d):
     """Planned ids, 0 to the largest key and 0 to 19,999 at least, that have no order."""
     keys = b.read(spark, d, "orders").select(F.col("o_orderkey").alias("missing"))

@@ -6,11 +6,13 @@ a kind (text, number, boolean, error, date, empty); number text is withheld unle
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,7 @@ def column_number(letters: str) -> int:
 
 
 def is_date_code(code: str) -> bool:
-    bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
+    bare = re.sub(r'"[^"]*"|\[[^\]]*\]|[\\_*].', "", code)  # quoted, bracketed, escaped, padding
     return bool(re.search(r"[dmyhs]", re.sub("general", "", bare, flags=re.I), re.I))
 
 
@@ -96,6 +98,33 @@ class Workbook:
     def merged(self, sheet: str) -> list[str]:
         return [m.get("ref") for _, m in ET.iterparse(self.zip.open(self.sheets[sheet])) if m.tag == f"{NS}mergeCell"]
 
+    def notes(self, sheet: str) -> Iterator[tuple[str, str, str]]:
+        """(cell, kind, text) of a sheet's notes and threaded comments, from the parts that its relationships name."""
+        at = self.sheets[sheet]
+        folder, name = at.rsplit("/", 1)
+        rels = f"{folder}/_rels/{name}.rels"
+        if rels not in self.zip.namelist():
+            return
+        for r in ET.fromstring(self.zip.read(rels)):
+            kind = r.get("Type", "").rsplit("/", 1)[-1]
+            if kind not in ("comments", "threadedComment"):
+                continue
+            target = r.get("Target")
+            part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+            for el in ET.fromstring(self.zip.read(part)).iter():
+                if el.tag.rsplit("}", 1)[-1] in ("comment", "threadedComment"):
+                    text = "".join(t.text or "" for t in el.iter() if t.tag.rsplit("}", 1)[-1] in ("t", "text"))
+                    yield el.get("ref"), "note" if kind == "comments" else "comment", text
+
+    def properties(self) -> Iterator[tuple[str, str]]:
+        """(name, text) of the document properties, core, application's and custom, that have a text."""
+        for part in ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml"):
+            if part in self.zip.namelist():
+                for el in ET.fromstring(self.zip.read(part)):
+                    text = "".join(el.itertext()).strip()
+                    if text:
+                        yield el.get("name") or el.tag.rsplit("}", 1)[-1], text
+
 
 class _Part(InputPartition):
     def __init__(self, path: str):
@@ -135,17 +164,110 @@ class WorkbookSource(DataSource):
         return WorkbookReader(self.options)
 
 
-def xlsx_cells(spark: SparkSession, path: str, numbers: bool = False, max_row: int | None = None, columns: set[int] | None = None) -> DataFrame:
-    """Cells of all workbooks at a Spark path: path, sheet, row, col, kind, text."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of all workbooks at a Spark path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+
+
+def _each_book(books: DataFrame, schema: str, rows) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                book = Workbook(content)
-                rows = [(path, s, *cell) for s in book.sheets for cell in book.cells(s, numbers, max_row, columns)]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "kind", "text"])
+                found = iter(rows(Workbook(content)))
+                while some := [(path, *x) for _, x in zip(range(50_000), found)]:
+                    yield pd.DataFrame(some, columns=names)
+
+    return books.select("path", "content").mapInPandas(run, schema)
+
+
+def cells_of(books: DataFrame, numbers: bool = False, max_row: int | None = None, columns: set[int] | None = None) -> DataFrame:
+    """Cells of workbooks (path, content): path, sheet, row, col, kind, text."""
+    return _each_book(books, "path string, " + CELL, lambda w: ((s, *x) for s in w.sheets for x in w.cells(s, numbers, max_row, columns)))
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, " + CELL)
+def merged_of(books: DataFrame) -> DataFrame:
+    """Merged ranges of workbooks: path, sheet, top, left, bottom, right."""
+    corner = re.compile(r"([A-Z]+)([0-9]+)(?::([A-Z]+)([0-9]+))?")
+
+    def rows(w):
+        for s in w.sheets:
+            for ref in w.merged(s):
+                a, b, c, d = corner.fullmatch(ref).groups()
+                yield s, int(b), column_number(a), int(d or b), column_number(c or a)
+
+    return _each_book(books, "path string, sheet string, top int, left int, bottom int, right int", rows)
+
+
+def notes_of(books: DataFrame) -> DataFrame:
+    """Notes and comments of workbooks, by cell, and document properties (sheet and cell are null): path, sheet, ref, kind, text."""
+
+    def rows(w):
+        yield from ((s, *x) for s in w.sheets for x in w.notes(s))
+        yield from ((None, name, "property", text) for name, text in w.properties())
+
+    return _each_book(books, "path string, sheet string, ref string, kind string, text string", rows)
+
+
+def xlsx_cells(spark: SparkSession, path: str, numbers: bool = False, max_row: int | None = None, columns: set[int] | None = None) -> DataFrame:
+    """Cells of all workbooks at a Spark path: path, sheet, row, col, kind, text."""
+    return cells_of(files(spark, path), numbers, max_row, columns)
+
+
+# ------------------------------------------------ writing
+_HEAD = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_KIN = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+
+
+def letters(col: int) -> str:
+    out = ""
+    while col:
+        col, k = divmod(col - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def book_bytes(sheets: dict[str, list[tuple]], merged: dict[str, list[str]], notes: dict[str, list[tuple]], properties: dict[str, str]) -> bytes:
+    """An XLSX file of (row, col, kind, text) cells, sorted; text is inline, other kinds keep their stored form."""
+    form = {"number": "<c r=\"{0}\"><v>{1}</v></c>", "date": "<c r=\"{0}\" s=\"1\"><v>{1}</v></c>", "boolean": "<c r=\"{0}\" t=\"b\"><v>{1}</v></c>", "error": "<c r=\"{0}\" t=\"e\"><v>{1}</v></c>", "text": "<c r=\"{0}\" t=\"inlineStr\"><is><t>{1}</t></is></c>"}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)  # noqa: E731  equal cells, equal bytes
+        put("xl/workbook.xml", f"<workbook {_HEAD}><sheets>" + "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        put("xl/_rels/workbook.xml.rels", _RELS.format("".join(f'<Relationship Id="rId{k}" Type="{_KIN}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))))
+        put("xl/styles.xml", f'<styleSheet {_HEAD}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        put("docProps/core.xml", "<properties>" + "".join(f"<{k}>{escape(v)}</{k}>" for k, v in properties.items()) + "</properties>")
+        for k, (name, cells) in enumerate(sheets.items(), 1):
+            body, row = [], None
+            for r, c, kind, text in cells:
+                if r != row:
+                    body.append(("</row>" if row else "") + f'<row r="{r}">')
+                    row = r
+                body.append(form[kind].format(f"{letters(c)}{r}", escape(text)))
+            spans = "".join(f'<mergeCell ref="{m}"/>' for m in merged.get(name, ()))
+            put(f"xl/worksheets/sheet{k}.xml", f"<worksheet {_HEAD}><sheetData>{''.join(body)}{'</row>' if row else ''}</sheetData>" + (f"<mergeCells>{spans}</mergeCells>" if spans else "") + "</worksheet>")
+            if notes.get(name):
+                put(f"xl/worksheets/_rels/sheet{k}.xml.rels", _RELS.format(f'<Relationship Id="rId1" Type="{_KIN}/comments" Target="../comments{k}.xml"/>'))
+                put(f"xl/comments{k}.xml", f"<comments {_HEAD}><commentList>" + "".join(f'<comment ref="{ref}"><text><t>{escape(t)}</t></text></comment>' for ref, t in notes[name]) + "</commentList></comments>")
+    return out.getvalue()
+
+
+def books(cells: DataFrame) -> DataFrame:
+    """name, content of the workbooks that cells make, a task a workbook: cells has book, sheet, row, col, kind, text, and kind may be
+    merged (text is the range), note (row and col are the cell) or property (sheet is the property's name)."""
+
+    def make(key, pdf):
+        pdf = pdf.sort_values(["sheet", "row", "col"])
+        plain = pdf[~pdf.kind.isin(["merged", "note", "property"])]
+        sheets = {s: list(zip(g.row, g.col, g.kind, g.text)) for s, g in plain.groupby("sheet")}
+        merged = {s: list(g.text) for s, g in pdf[pdf.kind == "merged"].groupby("sheet")}
+        notes = {s: [(f"{letters(c)}{r}", t) for r, c, t in zip(g.row, g.col, g.text)] for s, g in pdf[pdf.kind == "note"].groupby("sheet")}
+        own = pdf[pdf.kind == "property"]
+        return pd.DataFrame({"name": [f"{key[0]}.xlsx"], "content": [book_bytes(sheets, merged, notes, dict(zip(own.sheet, own.text)))]})
+
+    return cells.groupBy("book").applyInPandas(make, "name string, content binary")
 
 
 def find_blocks(cells: DataFrame) -> DataFrame:
