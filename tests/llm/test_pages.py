@@ -183,4 +183,4 @@ def test_queries_are_registered():
     from tidemark.llm import queries
 
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(names) | {"pipeline"} <= set(__spark_entry__.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and set(names) | {"pipeline"} <= set(__spark_entry__.queries())

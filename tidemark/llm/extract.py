@@ -34,9 +34,11 @@ RAW = frozenset("script style template textarea noscript iframe noembed noframes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Which open element a start tag ends by itself.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Quoted values have any length.  A quote that never closes ends the tag; none of its kind follows, so it is sought once.
-TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>?)""", re.S)
-ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An attribute as HTML's states read it: a name, and behind `=` a value, which a quote opens only as its first character.  A quote
+#: that never closes is part of the name that follows; none of its kind comes later, so it is sought once.
+ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
+TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+)*+)>?)""", re.S)
+COMMENT_ENDS = re.compile("--!?>")
 NAME = re.compile(r"[a-z]{2,}")
 
 
@@ -73,8 +75,9 @@ def blocks(page: str) -> list[tuple[str, tuple, str, int]]:
                 links += len(piece)
         pos = m.end()
         if m[1]:
-            end = page.find("-->", pos)
-            pos = len(page) if end < 0 else end + 3
+            empty = re.compile("-?>").match(page, pos)  # <!--> and <!---> are whole
+            end = empty or COMMENT_ENDS.search(page, pos)
+            pos = end.end() if end else len(page)
             continue
         if m[2]:
             end = page.find(">", pos)
@@ -114,7 +117,8 @@ def blocks(page: str) -> list[tuple[str, tuple, str, int]]:
                 continue
             own = {f"<{tag}"}
             for a in ATTR.finditer(m[5]):
-                own.update(f".{w}" for w in NAME.findall((a[2] or a[3] or a[4] or "").lower()))
+                if a[1].lower() in ("class", "id", "role"):
+                    own.update(f".{w}" for w in NAME.findall((a[2] or a[3] or a[4] or "").lower()))
             above = stack[-1][1] if stack else frozenset()
             stack.append((tag, above if own <= above else above | own))
             open_[tag] = open_.get(tag, 0) + 1
@@ -182,7 +186,7 @@ class Extractor:
 _MARK = ""
 
 
-def labelled_pages(n: int = 360) -> list[str]:
+def labelled_pages(n: int = 540) -> list[str]:
     """Pages of many layouts; the blocks of the article begin with U+E000."""
     rng = np.random.Generator(np.random.PCG64(2718))
     pick = lambda *x: x[int(rng.integers(len(x)))]
@@ -206,6 +210,13 @@ def labelled_pages(n: int = 360) -> list[str]:
     def cls(*names):
         return f'{pick("class", "class", "id")}="{pick(*names)}"'
 
+    def replies(tags=("section", "div", "div", "ol")):
+        names = ("comments", "comment-list", "comment", "disqus", "replies", "discussion", "responses", "feedback", "thread", "user-comments", "reader-comments", "talkback", "conversation", "opinions", "remarks", "respond")
+        outer, inner = pick(*tags), pick("div", "p", "li", "article")
+        head = pick("", f"<h3>{prose(1, 3)}</h3>", f"<h2>{prose(1, 4)}</h2>")
+        one = lambda: f"<{inner}{pick('', f' {cls("comment", "reply", "message", "comment-body")}')}>{pick('', f'<b>{prose(1, 2)}</b> ', f'<a href="/u">{prose(1, 2)}</a> ')}{prose()}</{inner}>"
+        return f"<{outer} {cls(*names)}>{head}{''.join(one() for _ in range(int(rng.integers(1, 5))))}</{outer}>"
+
     def noise():
         return pick(
             lambda: f"<div {cls('ad', 'ads', 'advert', 'sponsored', 'banner', 'promo')}>{prose()}</div>",
@@ -215,7 +226,7 @@ def labelled_pages(n: int = 360) -> list[str]:
             lambda: f"<form action='/s'><label>{prose(1, 3)}</label><p>{prose(1, 20)}</p><button>{prose(1, 2)}</button></form>",
             lambda: f"<nav><ul>{links()}</ul></nav>",
             lambda: f"<div {cls('menu', 'navbar', 'breadcrumb', 'nav')}><ul>{links()}</ul></div>",
-            lambda: f"<{(s := pick('section', 'div'))} {cls('comments', 'comment-list', 'comment', 'disqus', 'replies')}><h3>{prose(1, 3)}</h3>" + "".join(f"<{(q := pick('div', 'p', 'li'))}>{prose()}</{q}>" for _ in range(int(rng.integers(1, 5)))) + f"</{s}>",
+            replies,
         )()
 
     def body(end):
@@ -247,8 +258,10 @@ def labelled_pages(n: int = 360) -> list[str]:
         end = pick("</p>", "</p>", "")
         top = pick("", f"<header><h2>{prose(1, 5)}</h2><p>{prose(1, 20)}</p><nav><ul>{links()}</ul></nav></header>", f"<nav><ul>{links()}</ul></nav>", f"<header><div>{prose(1, 6)}</div></header>", f"<div {cls('header', 'masthead', 'top')}>{prose(1, 8)}</div><div {cls('menu', 'nav')}><ul>{links()}</ul></div>")
         foot = pick("", f"<footer>&copy; {prose(1, 4)} &middot; {prose(1, 30)}</footer>", f"<footer><p>{prose()}</p><ul>{links()}</ul></footer>", f"<div {cls('footer', 'copyright', 'bottom')}><p>&copy; {prose(1, 20)}</p></div>")
-        kind = pick("article", "article", "article", "main", "div", "both", "plain")
+        kind = pick("article", "article", "article", "main", "div", "both", "plain", "section", "bare", "role", "center", "table", "nested")
         main = body(end)
+        if rng.random() < 0.25:
+            main += replies()
         if kind == "article":
             main = f"<article>{main}</article>"
         elif kind == "main":
@@ -257,6 +270,19 @@ def labelled_pages(n: int = 360) -> list[str]:
             main = f"<main {cls('content', 'main')}>{noise() if rng.random() < 0.3 else ''}<article>{main}</article>{noise() if rng.random() < 0.3 else ''}</main>"
         elif kind == "div":
             main = f"<div {cls('content', 'post', 'entry-content', 'article-body', 'story', 'main', 'post-content')}>{main}</div>"
+        elif kind == "section":
+            main = f"<section>{main}</section>"
+        elif kind == "bare":
+            main = f"<div>{main}</div>"
+        elif kind == "nested":
+            main = f"<div><section><div>{main}</div></section></div>"
+        elif kind == "role":
+            main = f'<div role="main">{main}</div>'
+        elif kind == "center":
+            main = f"<center>{main}</center>"
+        elif kind == "table":
+            side = f"<td>{pick(lambda: f'<ul>{links()}</ul>', lambda: ' '.join(f'<a href=/{i}>{prose(1, 2)}</a>' for i in range(int(rng.integers(2, 6)))), lambda: '<br>'.join(f'<a href=/{i}>{prose(1, 2)}</a>' for i in range(int(rng.integers(2, 6)))))()}</td>"
+            main = f"<table><tr>{pick(side, '')}<td>{main}</td>{pick(side, '', '')}</tr></table>"
         mess = [noise() for _ in range(int(rng.integers(0, 3)))]
         mid = "".join([*mess[:1], main, *mess[1:]])
         page = f"<!DOCTYPE html><html><head><title>{prose(1, 14)}</title></head><body>{top}{mid}{foot}</body></html>"
