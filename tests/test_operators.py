@@ -135,6 +135,8 @@ def test_registered_functions(spark):
     register.register(spark)
     r = spark.sql("select root_modulus(1D, -0.5D) m, in_triangle(1D, -0.5D) t, wilson_low(5, 10) w, spectral_radius(array(array(1D, -0.5D), array(1D, 0D))) s, schur_cohn_stable(array(0.2D, 0.1D, 1D)) k").first()
     assert abs(r.m - r.s) < 1e-12 and r.t and r.k and 0.2 < r.w < 0.3
+    r = spark.sql("select mc_pvalue(2, 3) p, mc_pvalue(0, 0) none, root_summary(1D, -0.5D) s, root_summary(0.5D, 0.2D) u, root_summary(0D, 0D) z").first()
+    assert r.p == 0.75 and r.none is None and r.s.complex_pair and abs(r.s.period - 8) < 1e-12 and r.u.period is None and r.u.stable and r.z.half_life == 0
     assert [tuple(x) for x in spark.sql("select * from episodes(array(1D, -1D, -1D, 1D), 2, 8)").collect()] == [(1, 2)]
 
 

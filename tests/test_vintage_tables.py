@@ -44,3 +44,12 @@ def test_vintages_are_numbered_by_release_and_ties_by_place(spark):
 def test_parts_are_joined_by_their_months(spark, sheets, levels):
     got = sorted(vintage.read_table(table(spark, *sheets)).where("quarter = 7820").collect(), key=lambda r: r.number)
     assert [r.label for r in got] == [*A, *B] and [r.level for r in got] == levels
+
+
+def test_episodes_are_selected_by_the_run_of_their_first_vintage(spark):
+    """Quarters 0 to 9 by vintages 0 to 5: a vintage knows the quarters before 2 * number + 1, with a hole, a bad level and none for 20."""
+    rows = [(v, q, "numeric" if q < 2 * v + 1 and (v, q) != (3, 1) else "empty", None if (v, q) == (3, 1) or q >= 2 * v + 1 else -1.0 if (v, q) == (4, 2) else 1.0 + q) for v in range(6) for q in range(10)]
+    t = spark.createDataFrame(rows, "vintage long, quarter long, kind string, level double")
+    e = spark.createDataFrame([(0, 1), (1, 3), (2, 6), (3, 8), (4, 20), (5, 10)], "j long, onset long")
+    got = {r.j: (r.vintage, r.n_v, r.ended_by, r.failed_step) for r in vintage.select_episodes(t, e, 0, window=2, lookback=1).collect()}
+    assert got == {0: (0, 0, "floor", "7.2"), 1: (1, 2, "floor", "7.3"), 2: (3, 3, "gap", None), 3: (4, 7, "floor", "7.4"), 4: (None, 0, None, "7.1"), 5: (5, 9, "floor", None)}

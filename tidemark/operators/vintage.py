@@ -124,14 +124,31 @@ def vintage_run(table: DataFrame, floor: int = 0) -> DataFrame:
     return run.select("vintage", "onset", "first", "length", ended.alias("ended_by"))
 
 
-def select_episodes(facts: DataFrame, window: int = 40, lookback: int = 8) -> DataFrame:
-    """The first failing step of each episode, in fixed order, or usable.  Facts: n_level (levels at the vintage),
-    first_vintage (whether the vintage before lacked the level), run_length, status."""
+def select_episodes(table: DataFrame, episodes: DataFrame, floor: int = 0, window: int = 40, lookback: int = 8) -> DataFrame:
+    """j, onset, vintage, n_v, ended_by, failed_step, usable of every episode (j, onset): the vintage is the first with a number for
+    the quarter before the onset, and its unbroken run until then gives n_v growth values.
+
+    The first step that fails: 7.1 no vintage has that number; 7.2 the vintage is the table's earliest, or the one before it has the
+    number too, so that its first release can't be told; 7.3 fewer than window + lookback values; 7.4 a level of the run that is
+    not positive and finite.  j is kept as it is."""
+    fp = first_present(table).select((F.col("quarter") + 1).alias("onset"), "vintage")
+    e = episodes.select("j", "onset").join(fp, "onset", "left")
+    earlier = Window.orderBy("vintage")  # one row for each vintage of a table
+    order = table.select("vintage").distinct().withColumn("before", F.lag("vintage").over(earlier))
+    held = table.where("kind = 'numeric'").select(F.col("vintage").alias("before"), (F.col("quarter") + 1).alias("onset"), F.lit(True).alias("known"))
+    e = e.join(F.broadcast(order), "vintage", "left").join(held, ["before", "onset"], "left")
+    asked = e.where("vintage is not null").select("vintage", "onset").distinct()
+    rows = table.join(F.broadcast(asked), "vintage").where("quarter < onset")  # a row an episode
+    run = vintage_run(rows, floor)
+    odd = F.col("level").isNull() | F.isnan("level") | (F.abs("level") == float("inf")) | (F.col("level") <= 0)
+    bad = rows.join(run.select("vintage", "onset", "first"), ["vintage", "onset"]).where(F.col("quarter") >= F.col("first")).groupBy("vintage", "onset").agg(F.count_if(odd).alias("bad"))
+    e = e.join(run.select("vintage", "onset", "length", "ended_by"), ["vintage", "onset"], "left").join(bad, ["vintage", "onset"], "left")
+    n_v = F.greatest(F.coalesce("length", F.lit(0)) - 1, F.lit(0)).cast("long")
     step = (
-        F.when(F.col("vintage").isNull(), "7.1").when(~F.col("first_vintage"), "7.2").when(F.col("status") != "ok", "7.3")
-        .when(F.col("run_length") < window + lookback, "7.4")
+        F.when(F.col("vintage").isNull(), "7.1").when(F.col("before").isNull() | F.coalesce("known", F.lit(False)), "7.2")
+        .when(n_v < window + lookback, "7.3").when(F.coalesce("bad", F.lit(0)) > 0, "7.4")
     )
-    return facts.withColumn("failed_step", step).withColumn("usable", step.isNull())
+    return e.select("j", "onset", "vintage", n_v.alias("n_v"), "ended_by", step.alias("failed_step"), step.isNull().alias("usable"))
 
 
 def first_showing_onset(growths: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.operators import accounting as acc
 from tidemark.operators import vintage as vt
 from tidemark.plans import base as b
 from tidemark.plans.catalogue import query
+from tidemark.sources import shared
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 T = b.SQL_TRIANGLE
@@ -310,16 +311,29 @@ def order_vintages(spark, d):
     return vt.order_vintages(lb).withColumn("number", F.col("number").cast("long"))
 
 
-@query(f"""with {T}, fp as (select quarter, min(vintage) vintage from tri where kind = 'numeric' group by quarter), n as (select vintage, count_if(kind = 'numeric') run_length from tri group by 1),
-e as (select q.quarter episode, fp.vintage, fp.vintage <= q.quarter + 1 fv, coalesce(run_length, 0) run_length, case when q.quarter % 11 = 0 then 'stop' else 'ok' end status from (select distinct quarter from tri) q left join fp on fp.quarter = q.quarter and fp.quarter % 25 <> 0 left join n on n.vintage = fp.vintage)
-select episode, case when vintage is null then '7.1' when not fv then '7.2' when status <> 'ok' then '7.3' when run_length < 48 then '7.4' end failed_step, case when vintage is null then false else fv and status = 'ok' and run_length >= 48 end usable from e""")
+_FLOOR = 1995 * 12
+
+
+@query(f"""with {_GROWTHS}, la as (select quarter, x, lag(x) over w b, lead(x) over w a from gr where vintage = (select max(vintage) from gr) window w as (order by quarter)),
+ep as (select quarter onset, row_number() over (order by quarter) - 1 j from la where x < 0 and a < 0 and coalesce(b, 0) >= 0),
+e as (select ep.*, (select min(vintage) from tri where kind = 'numeric' and quarter = onset - 1) k from ep), e2 as (select *, (select max(vintage) from tri where vintage < k) before from e),
+rk as (select e2.*, tri.quarter, kind, level, row_number() over (partition by j order by tri.quarter desc) r from e2 join tri on tri.vintage = k and tri.quarter < onset and tri.quarter >= {_FLOOR}),
+br as (select *, sum(case when kind = 'numeric' and quarter = onset - r then 0 else 1 end) over (partition by j order by quarter desc rows unbounded preceding) b from rk),
+ru as (select j, count_if(b = 0) length, min(case when b = 0 then quarter end) f, max(case when not (kind = 'numeric' and quarter = onset - r) then quarter end) bad, count_if(b = 0 and level <= 0) odd, min(onset) o from br group by j),
+z as (select e2.*, greatest(coalesce(length, 0) - 1, 0) n_v, case when length is not null then case when f = {_FLOOR} then 'floor' when bad = coalesce(f, o) - 1 then 'gap' else 'no_row' end end ended_by, coalesce(odd, 0) odd from e2 left join ru using (j))
+select j, onset, k vintage, n_v, ended_by, case when k is null then '7.1' when before is null or exists (select 1 from tri where tri.vintage = before and tri.quarter = onset - 1 and kind = 'numeric') then '7.2' when n_v < 48 then '7.3' when odd > 0 then '7.4' end failed_step,
+ k is not null and before is not null and not exists (select 1 from tri where tri.vintage = before and tri.quarter = onset - 1 and kind = 'numeric') and n_v >= 48 and odd = 0 usable from z""")
 def select_episode(spark, d):
-    t = b.monthly_triangle(spark, d)
-    fp = vt.first_present(t).where("quarter % 25 <> 0")
-    n = t.groupBy("vintage").agg(F.count_if(F.col("kind") == "numeric").alias("run_length"))
-    e = t.select("quarter").distinct().join(fp, "quarter", "left").join(n, "vintage", "left")
-    facts = e.select(F.col("quarter").alias("episode"), "vintage", (F.col("vintage") <= F.col("quarter") + 1).alias("first_vintage"), F.coalesce("run_length", F.lit(0)).alias("run_length"), F.when(F.col("quarter") % 11 == 0, "stop").otherwise("ok").alias("status"))
-    return vt.select_episodes(facts).select("episode", "failed_step", "usable")
+    """Episodes of the latest vintage, each with the vintage that first knew the month before it and the run that vintage had."""
+    from pyspark.sql import Window
+
+    t = shared.written(b.monthly_triangle(spark, d), "triangle")
+    g = _growths(spark, d)
+    w = Window.partitionBy(F.lit("latest")).orderBy("quarter")  # one vintage's months
+    last = g.join(F.broadcast(g.agg(F.max("vintage").alias("vintage"))), "vintage").withColumns({"b": F.lag("x").over(w), "a": F.lead("x").over(w)})
+    onsets = last.where((F.col("x") < 0) & (F.col("a") < 0) & (F.coalesce("b", F.lit(0.0)) >= 0)).select(F.col("quarter").alias("onset"))
+    onsets = onsets.withColumn("j", (F.row_number().over(Window.partitionBy(F.lit("latest")).orderBy("onset")) - 1).cast("long"))
+    return vt.select_episodes(t, onsets, _FLOOR)
 
 
 @query(f"""with {T}, f as (select quarter, min_by(level, vintage) a, max_by(level, vintage) z from tri where level is not null group by quarter) select quarter, round(a, 6) real_time, round(z, 6) final, round(z - a, 6) revision from f""")
