@@ -73,6 +73,18 @@ def edition_resolution(spark, d):
     return r.select("listing", "ask", _plain(F.col("edition")).alias("edition"), F.col("day").cast("string").alias("day"), "outcome", "complete", "n_out", "n_later", "n_within", "n_undated")
 
 
+@query(f"""with {_PAGES}, {_SPAN} select listing, count(*) editions, count_if(day_status = 'agreed') days_agreed, count_if(day_status = 'conflicting') days_conflicting, count_if(day_status = 'absent') days_absent,
+ count_if(minute_status = 'agreed') minutes_agreed, count_if(minute_status = 'conflicting') minutes_conflicting, count_if(n_files <> 1) several_files, count(distinct day) as days from sp group by 1""")
+def null_spec_counts(spark, d):
+    """What the evidence of each listing's editions amounts to: agreed, conflicting and absent days and minutes."""
+    e = ed.evidence(*_editions(spark, d))
+    n = lambda c, v: F.count_if(F.col(c) == v)
+    return e.groupBy("listing").agg(
+        F.count("*").alias("editions"), n("day_status", "agreed").alias("days_agreed"), n("day_status", "conflicting").alias("days_conflicting"), n("day_status", "absent").alias("days_absent"), n("minute_status", "agreed").alias("minutes_agreed"),
+        n("minute_status", "conflicting").alias("minutes_conflicting"), F.count_if(F.col("n_files") != 1).alias("several_files"), F.count_distinct("day").alias("days"),
+    )
+
+
 # ------------------------------------------------ staged selection
 # The rules (stage, field, pattern, whether it must be found).
 RULES = [(1, "type", "STEEL|BRASS|COPPER|TIN|NICKEL|[aeiou]", True), (1, "name", "^$", False), (2, "size", "^[1-9]$|^1[0-9]$", True), (3, "key", "[05]$", True), (3, "size", "7", False), (4, "key", "[0-4][05]$", True)]

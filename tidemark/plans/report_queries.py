@@ -197,25 +197,6 @@ def latest_edition(spark, d):
     return r.where("k = 1 and ties = 1").select("event_type", "listing", F.date_format("released", "yyyy-MM-dd HH:mm:ss").alias("released"), "n")
 
 
-@query("select event_type, count(distinct user_id) users, count(distinct cast(ts as date)) as days, max_by(event_id, ts) latest, count(distinct cast(ts as date)) = 30 as complete from events group by 1")
-def null_spec_counts(spark, d):
-    e = b.read(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
-    out = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("day").alias("days"), F.max_by("event_id", "ts").alias("latest"))
-    return out.withColumn("complete", F.col("days") == 30)
-
-
-@query("""with m as (select distinct year(o_orderdate)*12 + month(o_orderdate) - 1 as month from orders), l as (select month, case when month % 6 = 1 then null else month end label from m),
-n as (select *, lag(label) over (order by month) b, lead(label) over (order by month) a from l)
-select month, coalesce(label, case when a - b = 2 then b + 1 end) as reading, coalesce(label is null and a - b = 2, false) by_place from n""")
-def table_parts(spark, d):
-    """A label that can't be read by itself is read by its place, if its neighbours are two months apart."""
-    m = b.read(spark, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("long").alias("month")).distinct()
-    w = Window.partitionBy(F.lit("table")).orderBy("month")  # one table's labels: bounded by the calendar
-    n = m.withColumn("label", F.when(F.col("month") % 6 != 1, F.col("month"))).withColumns({"b": F.lag("label").over(w), "a": F.lead("label").over(w)})
-    place = F.col("label").isNull() & (F.col("a") - F.col("b") == 2)
-    return n.select("month", F.coalesce("label", F.when(place, F.col("b") + 1)).alias("reading"), F.coalesce(place, F.lit(False)).alias("by_place"))
-
-
 @query("select doc_id, regexp_matches(text, '[0-9]{4,}') numbers, regexp_matches(text, '!!') shouting, contains(text, ' | ') as piped from documents")
 def check_title_and_notes(spark, d):
     """Text-only conflict scan: which rules a text breaks."""
@@ -223,14 +204,6 @@ def check_title_and_notes(spark, d):
     return b.read(spark, d, "documents").select("doc_id", t.rlike("[0-9]{4,}").alias("numbers"), t.rlike("!!").alias("shouting"), F.contains(t, F.lit(" | ")).alias("piped"))
 
 
-@query("select n_regionkey, count_if(regexp_matches(n_name, '[02468]$')) hits, case when count_if(regexp_matches(n_name, '[02468]$')) = 1 then max(case when regexp_matches(n_name, '[02468]$') then n_name end) end chosen from nation group by 1")
-def header_only(spark, d):
-    """Selection by header text alone: exactly one heading of a sheet may satisfy the rule."""
-    hit = F.col("n_name").rlike("[02468]$")
-    out = b.read(spark, d, "nation").groupBy("n_regionkey").agg(F.count_if(hit).alias("hits"), F.max(F.when(hit, F.col("n_name"))).alias("one"))
-    return out.select("n_regionkey", "hits", F.when(F.col("hits") == 1, F.col("one")).alias("chosen"))
-
-
 @query("select 'orders' as plan, sha256('{\"plan\":\"orders\",\"version\":1}') sha256")
 def read_manifest(spark, d):
     """A store's manifest, read without creating anything, with its checksum recomputed."""

@@ -1,13 +1,13 @@
 """Workbooks from file to table: a workbook for each nation, written by tasks, read back cell by cell, cut into blocks, its
 labels read and its parts joined.  A sheet is quarters of ordering by months of shipping, in two parts; some labels state no
-month, and of five nations three have a fault in the sheet `late`, each another one."""
+month (in one nation of five only where their neighbours tell it), and of five nations three have a fault in the sheet `late`, each another one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import sheets
+from tidemark.operators import cascade, sheets
 from tidemark.plans import base as b
 from tidemark.plans.catalogue import query
 from tidemark.sources import parts, shared, workbook
@@ -28,7 +28,10 @@ def _amounts(spark, d) -> DataFrame:
 
 def _cells(spark, d) -> DataFrame:
     a = shared.written(_amounts(spark, d).withColumn("sheet", F.when(F.col("v") < CUT_MONTH, "early").otherwise("late")), "amounts")
-    cols = shared.written(a.select("n", "sheet", "v").distinct().withColumn("col", F.row_number().over(Window.partitionBy("n", "sheet").orderBy("v")) + 2), "cols")  # months of a sheet
+    of_sheet = Window.partitionBy("n", "sheet")  # months of a sheet
+    inside = F.col("v").between(F.min("v").over(of_sheet) + 2, F.max("v").over(of_sheet) - 2)
+    cols = a.select("n", "sheet", "v").distinct().withColumn("col", F.row_number().over(of_sheet.orderBy("v")) + 2)
+    cols = shared.written(cols.withColumn("silent", (F.col("v") % 9).isin(4, 5) & ((F.col("n") % 5 != 0) | inside)), "cols")
     rows = shared.written(a.select("n", "q").distinct().withColumn("row", F.row_number().over(Window.partitionBy("n").orderBy("q")) + 6), "rows")
     own = shared.written(cols.groupBy("n", "sheet").agg(F.max("col").alias("last")), "ends")
     late = own.where("sheet = 'late'")
@@ -46,7 +49,7 @@ def _cells(spark, d) -> DataFrame:
     made = [
         cell(own, at(1), at(1), "text", title), cell(own, at(3), at(1), "text", F.lit("Pieces shipped")), cell(own, at(1), at(1), "merged", F.lit("A1:D1")), cell(own, at(5), at(3), "note", F.lit("first month")),
         cell(own.select("n", F.lit("creator").alias("sheet")).distinct(), at(0), at(0), "property", F.lit("statistics")),
-        cell(cols, at(5), F.col("col"), "text", F.when((F.col("v") % 9).isin(4, 5), "see note").otherwise(month)),
+        cell(cols, at(5), F.col("col"), "text", F.when(F.col("silent"), "see note").otherwise(month)),
         cell(own.where((F.col("n") % 2 == 0) & ~odd_gap), at(6), at(3), "text", F.lit("provisional")),
         cell(of_rows.where(~gone), F.col("row"), at(2), "text", quarter),
         cell(a.join(cols, ["n", "sheet", "v"]).join(rows, ["n", "q"]).where(~(gone & (F.col("col") == 3))), F.col("row"), F.col("col"), "number", F.col("amount")),
@@ -75,7 +78,7 @@ def _named(df: DataFrame) -> DataFrame:
 _AMOUNTS = """a as (select c_nationkey n, year(o_orderdate)*4 + quarter(o_orderdate) - 1 q, year(l_shipdate)*12 + month(l_shipdate) - 1 v, cast(sum(cast(l_quantity as decimal(18,2))) as bigint) amount
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_shipdate >= o_orderdate group by 1, 2, 3),
 s as (select *, case when v < 1998*12 + 6 then 'early' else 'late' end sheet from a),
-co as (select n, sheet, v, row_number() over (partition by n, sheet order by v) + 2 col from (select distinct n, sheet, v from s)),
+co as (select n, sheet, v, row_number() over (partition by n, sheet order by v) + 2 col, v % 9 in (4, 5) and (n % 5 <> 0 or v between min(v) over (partition by n, sheet) + 2 and max(v) over (partition by n, sheet) - 2) silent from (select distinct n, sheet, v from s)),
 ro as (select n, q, row_number() over (partition by n order by q) + 6 as row from (select distinct n, q from s)), ow as (select n, sheet, max(col) last from co group by 1, 2)"""
 _CELLS = f"""{_AMOUNTS}, ro2 as (select ro.n, sheet, q, row, last from ro join ow on ow.n = ro.n where sheet = 'late' or q <= 1998*4 + 1),
 cells as (select n, sheet, 1 as row, unnest(range(1, least(4, last) + 1)) col, 'text' kind from (select n, sheet, case when n % 5 = 1 and sheet = 'late' then last + 3 else last end last from ow) union all select n, sheet, 3, 1, 'text' from ow union all select n, sheet, 5, col, 'text' from co
@@ -123,7 +126,7 @@ def read_structure(spark, d):
     return out.select("path", "sheet", *(F.col(k).cast("long").alias(k) for k in ("label_col", "header_row", "first_row", "last_row", "first_col", "last_col", "n_columns", "n_empty_columns", "n_rows", "n_empty_rows")), "refused")
 
 
-_RULES = """h as (select *, v % 9 in (4, 5) silent from co),
+_RULES = """h as (select * from co),
 g as (select *, (select max(x.v) from h x where x.n = h.n and x.sheet = h.sheet and not x.silent and x.v < h.v) lo, (select min(x.v) from h x where x.n = h.n and x.sheet = h.sheet and not x.silent and x.v > h.v) hi from h),
 b as (select g.*, (select count(*) from h x where x.n = g.n and x.sheet = g.sheet and x.v > g.lo and x.v < g.hi) between_ from g),
 m as (select n, sheet, col, case when not silent or hi - lo = between_ + 1 then v end as month, case when not silent then 'A' when hi - lo = between_ + 1 then 'B' end as rule from b)"""
@@ -160,6 +163,50 @@ def map_structure(spark, d):
     return _named(outcome.join(held, "path", "left")).select("path", "step", "why", "n_cells", "n_numeric", "total", "last_month", "last_number")
 
 
+@query(f"""with {_AMOUNTS}, {_RULES}, r as (select n, sheet, count(*) n_rows from (select ro.n, ow.sheet, q from ro join ow on ow.n = ro.n where sheet = 'late' or q <= 1998*4 + 1) group by 1, 2), w as (select n, max(n_rows) longest from r group by 1)
+select 'nation' || n path, sheet, count(*) n_labels, count_if(rule = 'A') by_itself, count_if(rule = 'B') by_place, count_if(rule is null) unread, min(month) first_month, max(month) last_month, max(n_rows) n_rows, max(longest - n_rows) n_padded
+ from m join r using (n, sheet) join w using (n) where n % 5 in (0, 4) group by 1, 2""")
+def table_parts(spark, d):
+    """The parts of every workbook whose geometry is whole: how its labels were read, its rows, and the rows it is padded with."""
+    c = shared.written(workbook.xlsx_cells(spark, _folder(spark, d)), "cells")
+    shape = shared.written(sheets.shapes(c), "shapes")
+    good = shape.join(shape.groupBy("path").agg(F.max("refused").alias("why")).where("why is null").select("path"), "path")
+    near = c.join(good.select("path", "sheet", "label_col", "header_row", "first_row", "last_row"), ["path", "sheet"])
+    heads = sheets.read_labels(near.where("row = header_row and col > label_col and kind <> 'empty'").select("path", "sheet", "col", "kind", "text"), ["path", "sheet"])
+    side = near.where("row between first_row and last_row and col = label_col and kind <> 'empty'")
+    side = side.select("path", "sheet", (F.row_number().over(Window.partitionBy("path", "sheet").orderBy("row")) - 1).alias("place"), F.col("text").alias("quarter_label"))
+    rows = sheets.join_on_first_labels(side).groupBy("path", "sheet").agg(F.count_if(~F.col("padded")).alias("n_rows"), F.count_if("padded").alias("n_padded"))
+    said = heads.groupBy("path", "sheet").agg(F.count("*").alias("n_labels"), F.count_if(F.col("rule") == "A").alias("by_itself"), F.count_if(F.col("rule") == "B").alias("by_place"), F.count_if(F.col("rule").isNull()).alias("unread"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))
+    return _named(said.join(rows, ["path", "sheet"])).select("path", "sheet", "n_labels", "by_itself", "by_place", "unread", "first_month", "last_month", "n_rows", "n_padded")
+
+
+@query(f"""with {_AMOUNTS}, {_RULES}, u as (select n, count_if(month is null) unread from m group by n), k as (select m.n, m.month, row_number() over (partition by m.n order by m.month) - 1 number from m),
+qs as (select distinct n, q from s where exists (select 1 from ow where ow.n = s.n and sheet = 'late') or q <= 1998*4 + 1)
+select 'nation' || k.n path, number, k.month, qs.q as quarter, case when amount is null then 'empty' else 'numeric' end kind, cast(amount as double) as level
+ from k join u using (n) join qs on qs.n = k.n left join s on s.n = k.n and s.v = k.month and s.q = qs.q where k.n % 5 in (0, 4) and unread = 0""")
+def join_parts(spark, d):
+    """The joined table of every workbook that could be read: vintages of all parts in order of release, shorter parts padded."""
+    table, _ = sheets.read(workbook.xlsx_cells(spark, _folder(spark, d), numbers=True))
+    return _named(table).select("path", "number", "month", F.col("quarter").cast("long").alias("quarter"), "kind", "level")
+
+
+# A heading that states a month; of these the year 2000; of these January.
+HEADINGS = [(1, "heading", "^[A-Z][a-z]{2} [0-9]{4}$", True), (2, "heading", " 2000$", True), (3, "heading", "^Jan", True)]
+
+
+@query(f"""with {_AMOUNTS}, h as (select n, sheet, col, v, not silent s1, v // 12 = 2000 s2, v % 12 = 0 s3 from co), g as (select *, case when not s1 then 1 when not s2 then 2 when not s3 then 3 end gone from h),
+c as (select n, sheet, j stage, count_if(gone is null or gone > j) k from g, unnest(range(1, 4)) t(j) group by 1, 2, 3), f as (select n, sheet, coalesce(min(case when k <= 1 then stage end), 3) stage from c group by 1, 2),
+o as (select n, sheet, stage, case k when 1 then 'chosen' when 0 then 'nothing' else 'several' end outcome from f join c using (n, sheet, stage))
+select 'nation' || n path, sheet, outcome, stage, max(case when outcome = 'chosen' and coalesce(gone > stage, true) then col end) chosen_col, count(*) rivals from g join o using (n, sheet) group by 1, 2, 3, 4""")
+def header_only(spark, d):
+    """The column that the headings alone select in every sheet, the stage that decided, and how many columns there were."""
+    c = workbook.xlsx_cells(spark, _folder(spark, d), max_row=5).where("row = 5 and col > 2 and kind = 'text'")
+    candidates = c.select("path", "sheet", F.col("col").alias("candidate"), F.create_map(F.lit("heading"), "text").alias("fields"))
+    made = cascade.cascade(candidates, spark.createDataFrame(HEADINGS, "stage int, field string, pattern string, wanted boolean"), ["path", "sheet"])
+    out = made.groupBy("path", "sheet", "outcome", "stage").agg(F.max(F.when(F.col("chosen"), F.col("candidate"))).cast("long").alias("chosen_col"), F.count("*").alias("rivals"))
+    return _named(out).select("path", "sheet", "outcome", "stage", "chosen_col", "rivals")
+
+
 @query("""select o_orderpriority, cast(sum(cast(o_totalprice as decimal(18,2))) as double) total, count(*) as rows from orders group by 1""")
 def report_parts(spark, d):
     """Records as transactional part files with a manifest, and read back with their digests checked."""

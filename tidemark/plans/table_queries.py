@@ -353,14 +353,6 @@ def two_clocks(spark, d):
     return vt.two_clocks(e, r).select("vintage", "onset", F.col("days").cast("long").alias("days"), "order")
 
 
-@query("""with parts as (select l_returnflag part, l_linenumber col, l_suppkey row, max(l_quantity) v from lineitem group by 1, 2, 3), a as (select * from parts where part = 'A'), z as (select * from parts where part = 'N')
-select coalesce(a.row, z.row) as row, coalesce(a.col, z.col) col, a.v v1, z.v v2 from a full join z on z.row = a.row and z.col = a.col""")
-def join_parts(spark, d):
-    parts = b.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("part"), F.col("l_linenumber").alias("col"), F.col("l_suppkey").alias("row")).agg(F.max("l_quantity").alias("v"))
-    side = lambda p, n: parts.where(F.col("part") == p).select("row", "col", F.col("v").alias(n))
-    return side("A", "v1").join(side("N", "v2"), ["row", "col"], "full")
-
-
 @query("select e.event_type, cast(e.ts as date)::varchar as day, count(distinct e.user_id) as n from events e join (select event_type t, min(cast(ts as date)) first_day from events group by 1) f on f.t = e.event_type and cast(e.ts as date) = f.first_day group by 1, 2")
 def edition_calendar(spark, d):
     """Editions meet calendar entries of equal date and listing."""
