@@ -87,6 +87,8 @@ phone: <phone:{ddd}-{ddd}-{dddd}> {w} {w}
 {w} call <phone:{ddd}-{ddd}-{dddd}> {w}
 {w} {w} {w} <phone:{ddd} {ddd} {dddd}> {w} {w} {w}
 {w} {w} <phone:({ddd}) {ddd}-{dddd}> {w} {w} {w}
+{w} in <phone:{ddd} {ddd} {dddd}> {w} {w}
+{w} and <phone:{ddd} {ddd} {dddd}> {w} {w}
 mail <email:{u}@{u}.es> {w}
 call me on <phone:{ddd} {ddd} {dddd}> today
 {w} {w} <ip:{o}.{o}.{o}.{o}> {w}, {w}
@@ -123,6 +125,11 @@ def {w}(x): return x[{d}] + {dd} * {w}_{w}
 {A}. {A}. {A}. {A}, {A}, {A}, {w}, {w}, {w}. {w}.
 {w}{d} {w}{dd} {w}{ddd} {w}{dddd} {w}{ddddd}
 {w}{d} {w}{d} {w}{dd} {w}{dd} {w}{ddd} {w}{ddd} {w}{dddd} {w}{dddd} {w}{ddddd} {w}{ddddd}
+{w}{d} {w}{d} {w}{d} {w}{d} {w}{d} {w}{d} {w}{d} {w}{d}
+{w}{dd} {w}{dd} {w}{dd} {w}{dd} {w}{dd} {w}{dd} {w}{dd} {w}{dd}
+{w}{ddd} {w}{ddd} {w}{ddd} {w}{ddd} {w}{ddd} {w}{ddd} {w}{ddd} {w}{ddd}
+{w}{dddd} {w}{dddd} {w}{dddd} {w}{dddd} {w}{dddd} {w}{dddd} {w}{dddd}
+{w}{ddddd} {w}{ddddd} {w}{ddddd} {w}{ddddd} {w}{ddddd} {w}{dddddd} {w}{ddddddd}
 {l}{dddd} {l}{ddddd} {w} {l}{ddd} {l}{dd} {l}{d} {w} {l}{dddd}
 {W}{d} {w}-{dd} {w}_{ddd} {U}{dd} {U}-{dddd} {W}{dddd}, {w}{dd}.
 {d}{w} {dd}{w} {dddd}{w} {dd}{U} {w}{d}{w} {w}{dd}{w}{d} {ddd}{l}
@@ -240,7 +247,8 @@ class Words:
             self.form = c.mix(shape + digs * c.U64(1 << 8) + bucket * c.U64(1 << 16) + hexy * c.U64(1 << 24))
             self.coarse = c.mix(seen * c.U64(64) + digs * c.U64(8) + (lens >= 16).astype(c.U64) * c.U64(2) + hexy)
         self.word = c.word_hashes(data, self.starts, self.ends)
-        self.plain = ((digits == 0) & (np.add.reduceat((kind == 3).astype(np.int64), first) == 0)).astype(np.int64)  # no digit, no @
+        at_sign, letters = (np.add.reduceat(x.astype(np.int64), first) > 0 for x in (kind == 3, (kind <= 1) | (kind == 14)))
+        self.plain = np.where(at_sign, 0, np.where(digits == 0, 1, np.where(letters, 2, 0)))  # words, words with digits, and others
 
     def chains(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and length of every chain: words of one line of one row."""
@@ -269,7 +277,7 @@ class Field:
     def __init__(self, forms: np.ndarray, coarse: np.ndarray, words: np.ndarray):
         k = len(LABELS)
         self.forms, self.coarse, self.words = forms, coarse, words
-        rows = {"form": forms, "coarse": coarse, "before": coarse, "after": coarse, "word": words, "word_before": words, "plain": ()}
+        rows = {"form": forms, "coarse": coarse, "before": coarse, "after": coarse, "word": words, "word_before": words, "plain": (0,)}
         self.weights = {p: np.zeros((len(rows[p]) + 2, k)) for p in self.PARTS}  # unknown, and none at an end
         self.step, self.begin = np.zeros((k, k)), np.zeros(k)
 
