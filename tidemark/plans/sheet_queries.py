@@ -62,9 +62,9 @@ def _cells(spark, d) -> DataFrame:
 
 
 def _folder(spark, d) -> str:
-    """The workbooks of a set of tables, written once in a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _made:
+    """The workbooks of a set of tables, written once in a session and shared folder."""
+    key = (spark.sparkContext.applicationId, shared.shared_dir(spark), d)
+    if key not in _made or not parts.manifest_of(_made[key]):
         path = shared.new_path(spark, "workbooks")
         parts.write_files(workbook.books(_cells(spark, d)), path)
         _made[key] = path
