@@ -105,6 +105,15 @@ def test_numbers_are_hidden(spark):
     assert {r.t: r.b for r in rows} == cases
 
 
+def test_numbers_of_many_points_and_commas_are_hidden(spark):
+    cases = {
+        "126.57.31.34%%%": "[num].[num]%%", "€5, 1,%": "[num] [num]", "...5": "..[num]", "12.34..56": "[num].[num]", "12345.,41": "[num].,41", "1234.5.6%": "1234.[num]", "1,234-5,678": "[num][num]",
+        "éGBP 5\n12,345\n": "é[num]\n[num]\n",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", labels.blank_numbers(F.col("t")).alias("b")).collect()
+    assert {r.t: r.b for r in rows} == cases
+
+
 def test_streamed_rows_equal_the_batch(spark, tmp_path):
     p = panel(spark, n=90, k=2)
     for k in range(3):

@@ -147,59 +147,29 @@ def mask_digits(x: Column) -> Column:
 
 # Signs, currencies, scales and shares that belong to a number.
 SIGNS, SYMBOLS, CODES = "-+\u2212", "£$€", ["GBP", "USD", "EUR"]
-SCALES, SHARES = ["bn", "billion", "m", "million", "k", "thousand"], ["%", r"per\s?cent", r"percentage\s+points?", "pp"]
+SCALES, SHARES = ["bn", "billion", "m", "million", "k", "thousand"], [r"per[\t\n\f\r ]?cent", r"percentage[\t\n\f\r ]+points?", "pp"]
 HIDDEN = "[num]"
 # Characters written in ASCII afterwards.
 ASCII = {"\u2013": "-", "\u2014": "--", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2026": "...", "\u00a0": " ", "\u2212": "-", "\u2022": "*", "£": "GBP"}
 
 
-def _plain(body: Column, sign: Column) -> Column:
-    """A number without currency or share.  Its fields lie between commas: one to three digits and then fields of three are one
-    amount; of the other fields those with a decimal point and those of five or more digits are hidden.  A sign is part of
-    an amount and of a decimal."""
-    fields = F.split(body, ",")
-    whole = lambda f, low, high: F.length(f).between(low, high) & ~F.contains(f, F.lit("."))
-    three = F.transform(fields, lambda f, k: F.when(k == 0, whole(f, 1, 3)).otherwise(whole(f, 3, 3)))
-    lead = F.coalesce(F.nullif(F.array_position(three, False), F.lit(0)) - 1, F.size(fields)).cast("int")
-    after = F.get(fields, lead)
-    ends = (lead > 0) & F.coalesce((F.instr(after, ".") == 4), F.lit(False))  # ... ddd.ddd
-    taken = F.when(lead + ends.cast("int") >= 2, lead + ends.cast("int")).otherwise(0)
-
-    def decimal(f):
-        parts = F.split(f, r"\.")
-        shown = F.when(F.get(parts, 1) == "", F.concat(F.get(parts, 0), F.lit("."))).otherwise("")
-        return F.concat(shown, F.repeat(F.lit(HIDDEN), F.size(F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p != ""))))
-
-    dotted = lambda f: F.contains(f, F.lit(".")) & ~F.endswith(f, F.lit("."))
-    hide = lambda f: F.when(dotted(f), decimal(f)).when(F.length(f) >= 5, F.lit(HIDDEN)).otherwise(f)
-    rest = F.transform(F.slice(fields, taken + 1, F.size(fields)), hide)
-    out = F.array_join(F.when(taken > 0, F.concat(F.array(F.lit(HIDDEN)), rest)).otherwise(rest), ",")
-    signed = (taken > 0) | (dotted(F.get(fields, 0)) & (F.get(F.split(F.get(fields, 0), r"\."), 1) != ""))
-    return F.concat(F.when(signed, "").otherwise(sign), out)
+# White space and words in ASCII, as Java's own classes depend on its version.
+_GAP, _STARTS, _STOPS = r"[\t\n\f\r ]?", "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+_AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+_GROUPED = rf"(\A|[^0-9.,])[{SIGNS}]?[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]+)?(\z|[^0-9])"
+_HIDE = [
+    (rf"(?iu)(?:[{SYMBOLS}]|{_STARTS}(?:{'|'.join(CODES)}){_GAP}){_GAP}[{SIGNS}]?{_AMOUNT}(?:{_GAP}(?:{'|'.join(SCALES)}){_STOPS})?", HIDDEN),
+    (rf"(?iu)[{SIGNS}]?{_AMOUNT}{_GAP}(?:%|(?:{'|'.join(SHARES)}){_STOPS})", HIDDEN),
+    *[(_GROUPED, f"$1{HIDDEN}$2")] * 2,  # a find takes the marks beside it, so that its neighbour is met the second time
+    (rf"[{SIGNS}]?[0-9]*\.[0-9]+", HIDDEN), ("[0-9]{5,}", HIDDEN),
+]
 
 
 def blank_numbers(x: Column) -> Column:
-    """The text without currency amounts, shares, decimals, grouped thousands and numbers of five or more digits, each shown as
-    [num], and in ASCII where it is typographic; NULL is empty.  One scan finds digits with their points and commas, and what
-    belongs to them before and behind; what is hidden is decided for each find."""
-    scan = (
-        rf"(?i)((?:[{SYMBOLS}]|\b(?:{'|'.join(CODES)})\s?)\s?)?([{SIGNS}]?)([0-9.,]*[0-9])"
-        rf"(?:(\s?(?:%|(?:{'|'.join(SHARES[1:])})\b))|(\s?(?:{'|'.join(SCALES)})\b))?"
-    )
-    t = F.coalesce(x, F.lit(""))
-    part = lambda h, k: F.regexp_extract(h, scan, k)
-
-    def shown(h):
-        money, sign, body, share, scale = (part(h, k) for k in range(1, 6))
-        front = F.regexp_extract(body, r"^[0-9][0-9,]*(\.[0-9]+)?", 0)
-        back = F.regexp_extract(body, r"[0-9][0-9,]*(\.[0-9]+)?$", 0)
-        beyond, before = F.substring(body, F.length(front) + 1, F.length(body)), F.substring(body, F.lit(1), F.length(body) - F.length(back))
-        paid = F.concat(F.lit(HIDDEN), F.when(beyond == "", "").otherwise(_plain(beyond, F.lit(""))), share, F.when(beyond == "", "").otherwise(scale))
-        shared = F.concat(F.when(before == "", "").otherwise(_plain(before, sign)), F.lit(HIDDEN))
-        return F.when((money != "") & (front != "") & ((share == "") | (beyond == "")), paid).when(share != "", F.concat(money, shared)).otherwise(F.concat(money, _plain(body, sign), scale))
-
-    finds = F.transform(F.regexp_extract_all(t, F.lit(scan), F.lit(0)), shown)
-    hidden = F.array_join(F.zip_with(F.split(t, scan, -1), finds, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    """The text without currency amounts, shares, grouped thousands, decimals and numbers of five or more digits, each shown as
+    [num], and in ASCII where it is typographic; NULL is empty.  The kinds are hidden in this order, each in what the ones
+    before it left, so a number of many points and commas is cut the same way wherever it stands."""
+    hidden = reduce(lambda t, rule: F.regexp_replace(t, *(F.lit(v) for v in rule)), _HIDE, F.coalesce(x, F.lit("")))
     single = {k: v for k, v in ASCII.items() if len(v) == 1}
     hidden = F.translate(hidden, "".join(single), "".join(single.values()))
     return reduce(lambda t, k: F.replace(t, F.lit(k), F.lit(ASCII[k])), [k for k in ASCII if k not in single], hidden)
