@@ -1,8 +1,11 @@
 """Vintage tables: every step that refuses, one by one, and the numbering of vintages."""
 
+import os
+
 import pytest
 
 from tidemark.operators import vintage
+from tidemark.plans import base
 
 
 def sheet(part="p", vintages=("Jan 2016", "Feb 2016", "Mar 2016"), quarters=("1955 Q1", "1955 Q2"), fill=None):
@@ -53,3 +56,12 @@ def test_episodes_are_selected_by_the_run_of_their_first_vintage(spark):
     e = spark.createDataFrame([(0, 1), (1, 3), (2, 6), (3, 8), (4, 20), (5, 10)], "j long, onset long")
     got = {r.j: (r.vintage, r.n_v, r.ended_by, r.failed_step) for r in vintage.select_episodes(t, e, 0, window=2, lookback=1).collect()}
     assert got == {0: (0, 0, "floor", "7.2"), 1: (1, 2, "floor", "7.3"), 2: (3, 3, "gap", None), 3: (4, 7, "floor", "7.4"), 4: (None, 0, None, "7.1"), 5: (5, 9, "floor", None)}
+
+
+SF = os.environ.get("TIDEMARK_SF", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_the_triangle_reads_line_items_once(spark):
+    """Its months are written, so what names it often doesn't join line items and orders again."""
+    assert not [f for f in base.monthly_triangle(spark, SF).inputFiles() if "lineitem" in f or "orders" in f]

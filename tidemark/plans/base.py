@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import series
+from tidemark.sources import shared
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +66,14 @@ SQL_CHANGES = """ch as (select e.*, a.m - b.m change from eps e left join mm a o
 
 def monthly_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order months as reference periods, ship months as vintages: vintage, quarter, kind, level.  A level is the value of
-    a month's orders shipped by the end of the vintage month, on or after their order day."""
+    a month's orders shipped by the end of the vintage month, on or after their order day.  The sums by month are written
+    once (a row for each two months): the plan names them three times, and callers name the triangle many times."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_extendedprice")
     month = lambda d: (F.year(d) * 12 + F.month(d) - 1).cast("long")
     j = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
     inc = j.groupBy(month("o_orderdate").alias("quarter"), month("l_shipdate").alias("vintage")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("s"))
+    inc = shared.written(inc, "months")
     periods = inc.select("quarter").distinct()
     vintages = inc.select("vintage").distinct()
     grid = periods.join(F.broadcast(vintages), F.col("vintage") >= F.col("quarter"))  # months: bounded by the calendar
