@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tidemark.operators import vintage
-from tidemark.plans import base
+from tidemark.plans import base, table_queries
 
 
 def sheet(part="p", vintages=("Jan 2016", "Feb 2016", "Mar 2016"), quarters=("1955 Q1", "1955 Q2"), fill=None):
@@ -65,3 +65,8 @@ SF = os.environ.get("TIDEMARK_SF", "/root/testdata/sf0.001")
 def test_the_triangle_reads_line_items_once(spark):
     """Its months are written, so what names it often doesn't join line items and orders again."""
     assert not [f for f in base.monthly_triangle(spark, SF).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_episodes_take_growths_from_the_written_triangle(spark):
+    assert {os.path.basename(os.path.dirname(f)).split("-")[0] for f in table_queries.select_episode(spark, SF).inputFiles()} == {"triangle"}

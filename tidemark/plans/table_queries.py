@@ -275,23 +275,23 @@ def vintage_run(spark, d):
 _GROWTHS = f"{T}, gr as (select * from (select vintage, quarter, case when quarter = lag(quarter) over w + 1 then 400*(ln(level) - ln(lag(level) over w)) end x from tri where level is not null window w as (partition by vintage order by quarter)) where x is not null)"
 
 
-def _growths(spark, d):
+def _growths(triangle):
     from pyspark.sql import Window
 
     w = Window.partitionBy("vintage").orderBy("quarter")
-    t = b.monthly_triangle(spark, d).where("level is not null")
+    t = triangle.where("level is not null")
     x = F.when(F.col("quarter") == F.lag("quarter").over(w) + 1, 400 * (F.log("level") - F.log(F.lag("level").over(w))))
     return t.withColumn("x", x).where("x is not null").select("vintage", "quarter", "x")
 
 
 @query(f"with {_GROWTHS} select vintage, quarter, round(x, 6) x from gr")
 def vintage_series(spark, d):
-    return _growths(spark, d).select("vintage", "quarter", *r6("x"))
+    return _growths(b.monthly_triangle(spark, d)).select("vintage", "quarter", *r6("x"))
 
 
 @query(f"with {_GROWTHS} select a.quarter onset, min(a.vintage) vintage from gr a join gr z on z.vintage = a.vintage and z.quarter = a.quarter + 1 where a.x < 0 and z.x < 0 group by 1")
 def first_showing_onset(spark, d):
-    return vt.first_showing_onset(_growths(spark, d))
+    return vt.first_showing_onset(_growths(b.monthly_triangle(spark, d)))
 
 
 @query(f"with {T} select vintage, count_if(kind = 'numeric') n_numeric, count_if(kind = 'empty') n_empty, count_if(kind = 'marker') n_marker, count_if(kind = 'other') n_other from tri group by grouping sets ((vintage), ())")
@@ -328,7 +328,7 @@ def select_episode(spark, d):
     from pyspark.sql import Window
 
     t = shared.written(b.monthly_triangle(spark, d), "triangle")
-    g = _growths(spark, d)
+    g = _growths(t)
     w = Window.partitionBy(F.lit("latest")).orderBy("quarter")  # one vintage's months
     last = g.join(F.broadcast(g.agg(F.max("vintage").alias("vintage"))), "vintage").withColumns({"b": F.lag("x").over(w), "a": F.lead("x").over(w)})
     onsets = last.where((F.col("x") < 0) & (F.col("a") < 0) & (F.coalesce("b", F.lit(0.0)) >= 0)).select(F.col("quarter").alias("onset"))
