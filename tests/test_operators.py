@@ -178,3 +178,18 @@ def test_units_spread_over_tasks(spark):
     got = simulate.each(rows, where, "sid string, task int").collect()
     tasks = [r.task for r in got]
     assert len(got) == 64 and len(set(tasks)) >= 2 * spark.sparkContext.defaultParallelism and max(map(tasks.count, tasks)) <= 10
+
+
+def test_polynomials_of_a_batch_by_degree(spark):
+    """Degrees mixed in a batch; nothing of a fold is written out for each coefficient, and the work is dealt out."""
+    rng = np.random.default_rng(3)
+    c = {k: [*rng.normal(size=1 + k % 9).tolist(), 1.0] for k in range(200)} | {200: None, 201: [2.0], 202: [0.0, 0.0, 1.0], 203: [2.0, -3.0, 1.0], 204: [float("nan"), 1.0]}
+    out = simulate.polynomial_roots(spark.createDataFrame(list(c.items()), "vec_id long, c array<double>").coalesce(1), "c")
+    assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    got = {r.vec_id: (r.stable, r.modulus) for r in out.collect()}
+    assert got[200] == (None, None) and got[201] == (True, None) and got[202] == (True, 0.0) and got[204][0] is False and np.isnan(got[204][1])
+    for k in [*range(200), 203]:
+        want = np.abs(np.roots(c[k][::-1])).max()
+        assert got[k][0] == (want < 1) and abs(got[k][1] - want) < 1e-6 * want
+    with pytest.raises(Exception, match="leading coefficient"):
+        simulate.polynomial_roots(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, c array<double>"), "c").collect()

@@ -9,8 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tidemark.functions import stats
 from tidemark.kernels import ar, matrices, streams
@@ -40,6 +43,33 @@ def each(rows: DataFrame, f: Callable[[dict], Iterator[dict]], schema: str, key:
     return rows.mapInPandas(run, schema)
 
 
+def polynomial_roots(rows: DataFrame, coefficients: str, key: str = "vec_id", squarings: int = 30) -> DataFrame:
+    """The columns of rows but the coefficients (arrays of doubles, constant term first), with stable (all roots inside the unit
+    circle) and modulus (the largest; NULL for a constant); both NULL without coefficients.  Polynomials of a batch are worked on
+    together by degree, and dealt by key before, as a small file holds long work.  A zero or missing leading term stops."""
+    kept = [c for c in rows.columns if c != coefficients]
+
+    def run(batches):
+        for b in batches:
+            c = b.column(coefficients)
+            size = pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False)
+            flat, at = c.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+            stable, modulus = np.ones(len(size), bool), np.zeros(len(size))
+            for n in np.unique(size[size >= 0]):
+                own = np.flatnonzero(size == n)
+                m = flat[at[own][:, None] + np.arange(n)]
+                if n == 0 or (m[:, -1] == 0).any():
+                    raise ValueError("the leading coefficient is zero or missing")
+                if n > 1:
+                    stable[own], modulus[own] = matrices.schur_cohn(m), matrices.largest_modulus(m, squarings)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(stable, mask=size < 0), pa.array(modulus, mask=size < 2)], [*kept, "stable", "modulus"])
+
+    spark = rows.sparkSession
+    width = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = StructType([*(rows.schema[k] for k in kept), StructField("stable", BooleanType()), StructField("modulus", DoubleType())])
+    return rows.repartition(width, key).mapInArrow(run, schema)
+
+
 ATTEMPTS = "sid string, analysis string, number int, status string, statistic double, observed double, onsets array<int>, parts array<double>, error string"
 
 

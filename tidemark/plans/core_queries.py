@@ -264,12 +264,12 @@ s0 as (select vec_id, degree, list_prepend(1.0::double, list_reverse(list_transf
 r(vec_id, degree, k, p, lg) as (select vec_id, degree, 0, {_SCALED}, ln(z) from s1 union all select vec_id, degree, k + 1, {_SCALED}, lg + ln(z)/power(2, k + 1) from (select *, {_SCALE.format(p="q")} z from (select vec_id, degree, k, lg, {_SQUARED} q from r where k < 30)))
 select vec_id, degree, lg < 0 stable, round(exp(lg), 3) modulus from r where k = 30""")
 def schur_cohn_degrees(spark, d):
-    """Polynomials of degree 1 to 64 with leading term 1: Schur-Cohn in one fold, and the modulus of the largest root."""
-    from tidemark.operators import regress
+    """Polynomials of degree 1 to 64 with leading term 1: Schur-Cohn, and the modulus of the largest root."""
+    from tidemark.operators import simulate
 
     e = b.read(spark, d, "embeddings").withColumn("degree", (1 + F.col("vec_id") % F.least(F.lit(64), F.size("embedding"))).cast("int"))
     e = e.withColumn("c", F.concat(F.transform(F.slice("embedding", F.lit(1), F.col("degree")), lambda x: x.cast("double")), F.array(F.lit(1.0))))
-    return e.select("vec_id", "degree", roots.schur_cohn_stable(roots.complex_array(F.col("c"))).alias("stable"), F.round(regress.largest_modulus(F.col("c")), 3).alias("modulus"))
+    return simulate.polynomial_roots(e.select("vec_id", "degree", "c"), "c").select("vec_id", "degree", "stable", F.round("modulus", 3).alias("modulus"))
 
 
 @query("select vec_id sid, unnest(range(len(embedding))) k, unnest(list_reverse(embedding)) r from embeddings")
