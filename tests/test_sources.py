@@ -124,3 +124,14 @@ def test_page_titles(spark, tmp_path):
     assert got == {1: ("a & b&amp", 1), 2: ("&lt; \" &lt;", 0), 3: (None, None), 4: ("", 0)}
     decoded = {r.page_id: r.title for r in workbook.html_pages(spark.read.parquet(str(tmp_path / "pages.parquet"))).collect()}
     assert decoded == {1: "a & b&", 2: "&lt; \" <", 3: None, 4: ""}
+
+
+def test_json_records_are_written_by_every_partition(spark, tmp_path):
+    """The manifest comes first without a sort, and rows stay in their own partitions' files."""
+    rows = spark.range(0, 1000, 1, 6).select(F.format_string('{"type":"record","k":%d}', "id").alias("value"))
+    text.write_json_records(rows, '{"type":"manifest"}', str(tmp_path / "r"))
+    files = sorted((tmp_path / "r").glob("part-*"))
+    assert len(files) == 7 and files[0].read_text() == '{"type":"manifest"}\n'
+    assert sorted(r.k for r in text.json_records(spark, str(tmp_path / "r"), "k long", ["record"]).collect()) == list(range(1000))
+    text.write_json_records(rows.where("id < 0"), '{"type":"manifest"}', str(tmp_path / "none"))
+    assert text.json_records(spark, str(tmp_path / "none"), "k long", ["record"]).count() == 0

@@ -94,8 +94,15 @@ def scan_table_a(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("year int, wolfer_number double, page int").option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def write_json_records(rows: DataFrame, manifest: str, path: str) -> None:
+    """A folder of JSON lines: the manifest is the first line of the first file, and every partition of rows (one column, value)
+    writes a file of its own, so that nothing is sorted or gathered."""
+    first = rows.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1)
+    first.unionByName(rows).write.text(path)
+
+
 def json_records(spark: SparkSession, path: str, schema: str, types: list[str]) -> DataFrame:
-    """Records of a JSON-lines file whose first line is the manifest; unknown record types stop."""
+    """Records of a JSON-lines file, or of a folder of them in order of name, whose first line is the manifest; unknown record types stop."""
     text = spark.read.text(path)
     kind = F.get_json_object("value", "$.type")
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
